@@ -141,10 +141,10 @@ def _judge(pieces: str, ranks: str, bands: dict, filter_only: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [judge(t.as_py()) for t in part.column("_text")]
+                found = [judge(t.as_py()) for t in part.column("__text")]
                 if filter_only:
                     keep = part.filter(pa.array([x["kept"] for x in found], pa.bool_()))
-                    yield keep.drop_columns(["_text"])
+                    yield keep.drop_columns(["__text"])
                 else:
                     yield pa.RecordBatch.from_pylist([x | {"doc_id": i} for i, x in zip(part.column("doc_id").to_pylist(), found, strict=True)], schema=schema)
 
@@ -160,13 +160,13 @@ def quality_rules(docs: DataFrame, pieces: str | None = None, ranks: str | None
     table gives no rows; further columns are ignored. Nothing is shuffled.
     """
     pieces, ranks = pieces or vocabulary("piece_bpe_32k.model"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(_judge(pieces, ranks, bands, False), ", ".join(["doc_id long", *(f"{n} {t}" for n, t in _SCHEMA)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")).mapInArrow(_judge(pieces, ranks, bands, False), ", ".join(["doc_id long", *(f"{n} {t}" for n, t in _SCHEMA)]))
 
 
 def keep_good(docs: DataFrame, pieces: str | None = None, ranks: str | None = None, bands: dict = BANDS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that the rules keep."""
     pieces, ranks = pieces or vocabulary("piece_bpe_32k.model"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken")
-    return docs.withColumn("_text", F.col(text_col)).mapInArrow(_judge(pieces, ranks, bands, True), docs.schema)
+    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_judge(pieces, ranks, bands, True), docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

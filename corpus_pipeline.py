@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attesta.llm.common import materialize
 from attesta.llm.exact_dedup import keep_first
 from attesta.llm.mixing import take_mix
+from attesta.llm.near_dedup import keep_one
 from attesta.llm.packing import pack
 from attesta.llm.quality_rules import keep_good
 
@@ -26,6 +27,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates one document stays."""
+    return keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return take_mix(docs)
@@ -36,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
 #: Tokenising and alignment have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
