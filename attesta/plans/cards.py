@@ -54,7 +54,7 @@ def sides(card: DataFrame) -> DataFrame:
 
 def tokens(card: DataFrame) -> DataFrame:
     """OCR tokens of the cards: a grid of ten by twenty pixels a character, confidence by the word's length."""
-    lines = sides(card).select("doc_id", "side", F.posexplode(F.split(F.expr("rtrim(full_text)"), "\n")).alias("line_num", "line"))
+    lines = sides(card).select("doc_id", "side", F.posexplode(F.split(F.regexp_replace("full_text", r"\n$", ""), "\n")).alias("line_num", "line"))
     t = lines.select("doc_id", "side", "line_num", "line", F.posexplode(F.split("line", " ")).alias("w", "text"))
     x = F.expr("10 * coalesce(length(array_join(slice(split(line, ' '), 1, w), ' ')) + case when w > 0 then 1 else 0 end, 0)").cast("int")
     y = (F.col("line_num") * 20).cast("int")

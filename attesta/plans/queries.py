@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fields import EXTRACTORS
+from ..functions.fields import ADDRESS_WORDS, EXTRACTORS
 from ..functions.similarity import native_ratio, similarity
 from ..operators import layout, views
 from ..operators.match import address_score, dates_agree, match_sides, name_score, submitted_rows
@@ -355,7 +355,13 @@ def extract_gender(spark, sf_dir):
     return _extract(spark, sf_dir, "gender")
 
 
-@query(_WITH_CARDS + f"SELECT s.doc_id, side, 'Address: ' || address AS raw_text, 'Address: ' || address AS normalized_text, 'aadhaar_address_block' AS matched_pattern, {_span(chr(39) + 'Address: ' + chr(39) + ' || address', chr(39) * 2)} FROM sides s JOIN cards c USING (doc_id) WHERE contains(full_text, 'Address: ')")
+_LOOKS = f"""looks AS (SELECT doc_id, side, full_text, [x FOR x IN string_split(rtrim(full_text, chr(10)), chr(10)) IF NOT regexp_matches(lower(x), 'verified|portal|signature|government|credential|authority') AND regexp_matches(lower(x), '{"|".join(ADDRESS_WORDS)}')] AS l FROM sides WHERE NOT contains(full_text, 'Address: '))"""
+
+
+@query(
+    _WITH_CARDS + f""", {_LOOKS} SELECT s.doc_id, side, 'Address: ' || address AS raw_text, 'Address: ' || address AS normalized_text, 'aadhaar_address_block' AS matched_pattern, {_span(chr(39) + 'Address: ' + chr(39) + ' || address', chr(39) * 2)} FROM sides s JOIN cards c USING (doc_id) WHERE contains(full_text, 'Address: ')
+    UNION ALL SELECT doc_id, side, array_to_string(l, ', '), array_to_string(l, ', '), 'heuristic_address', CAST(strpos(full_text, l[1]) - 1 AS INT), CAST(strpos(full_text, l[-1]) - 1 + length(l[-1]) AS INT) FROM looks WHERE len(l) > 0"""
+)
 def extract_address(spark, sf_dir):
     return _extract(spark, sf_dir, "address")
 
@@ -404,12 +410,12 @@ def field_bbox(spark, sf_dir):
 
 
 @query(
-    _WITH_TOKENS + """, n AS (SELECT doc_id, side, line_num, line, length(replace(line, ' ', '')) AS chars, len(line) * 9 AS wide FROM lines), ws AS (SELECT n.*, t.w, t.text, CASE WHEN contains(line, ' ') THEN greatest(1, CAST(floor(wide * (length(t.text) / chars::DOUBLE)) AS INT)) ELSE wide END AS ww FROM n JOIN toks t USING (doc_id, side, line_num))
+    _WITH_TOKENS + """, n AS (SELECT doc_id, side, line_num, line, length(replace(line, ' ', '')) AS chars, len(line) * 9 AS wide FROM lines), ws AS (SELECT n.*, t.w, t.text, CASE WHEN contains(n.line, ' ') THEN greatest(1, CAST(floor(wide * (length(t.text) / chars::DOUBLE)) AS INT)) ELSE wide END AS ww FROM n JOIN toks t USING (doc_id, side, line_num))
     SELECT doc_id, side, text, CAST(line_num AS INT) AS line_num, CAST(coalesce(sum(ww + CAST(floor(wide * 0.02::DOUBLE) AS INT)) OVER (PARTITION BY doc_id, side, line_num ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 5 AS INT) AS x, CAST(ww AS INT) AS w FROM ws"""
 )
 def word_boxes(spark, sf_dir):
     """Lines with polygons to words with boxes."""
-    lines = C.sides(C.cards(spark, sf_dir)).select("doc_id", "side", F.posexplode(F.split(F.expr("rtrim(full_text)"), "\n")).alias("line_idx", "text"))
+    lines = C.sides(C.cards(spark, sf_dir)).select("doc_id", "side", F.posexplode(F.split(F.regexp_replace("full_text", r"\n$", ""), "\n")).alias("line_idx", "text"))
     n, y = (F.char_length("text") * 9 + 5).cast("double"), (F.col("line_idx") * 20).cast("double")
     point = lambda a, b: F.array(a, b)
     poly = F.array(point(F.lit(5.4), y), point(n + 0.9, y), point(n + 0.9, y + 16), point(F.lit(5.4), y + 16))
