@@ -4,7 +4,7 @@ Within a source every document is expected ``target / source_size`` times.
 Documents are put in order of size, the expected copies are summed up along
 that order, one offset drawn from the seed is added, and a document is taken
 once for each integer that its stretch of the sum crosses. As neighbours have
-nearly equal sizes, the words taken miss the target by no more than about the
+nearly equal sizes, the words taken miss the target by no more than twice the
 size of the source's largest document.
 """
 
