@@ -273,8 +273,8 @@ def test_mixing(spark, docs, clash, none):
     many = spark.createDataFrame([(i, prose(1 + i * 7 % 90, i), f"s{i % 4}" if i % 3 else "s0") for i in range(3000)], "doc_id long, text string, source string")
     taken = collections.defaultdict(float)
     goal = {}
-    for r in rows(mixing.mix(many)):
-        key = r["target"]
+    for r in rows(mixing.mix(many, carry=("source",))):
+        key = r["source"]
         taken[key] += r["taken"]
         goal[key] = r["target"]
     assert all(abs(taken[k] - goal[k]) <= 2 * 90 for k in goal)  # twice the largest document
