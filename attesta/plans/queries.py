@@ -98,9 +98,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        name = f.__name__.removesuffix("_query")
+        QUERIES[name] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name] = sql
         return f
 
     return add
