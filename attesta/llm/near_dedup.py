@@ -31,6 +31,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a sketch of ORDER shingles with chance 0.4, hence one of SKETCHES all but surely.
 SKETCHES, ORDER = 28, 4
+#: Sketches of the first round, which joins most near copies.
+FIRST = 8
+#: Classes of shingle hashes by which pairs are ruled out before their texts are fetched.
+BINS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +82,12 @@ def order_sketches(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER)
     return keys.view(np.int64)
 
 
+def profile(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of distinct shingles, and how many of them fall in each of BINS classes of hashes (127 at most)."""
+    h = np.unique(h)
+    return len(h), np.minimum(np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 127).astype(np.int8)
+
+
 def distinct_in_order(h: np.ndarray) -> np.ndarray:
     return h[np.sort(np.unique(h, return_index=True)[1])]
 
@@ -125,16 +135,16 @@ def _sequence(text: Column) -> Column:
 
 
 def _sketcher(width: int, sketches: int, order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary()), ("keys", pa.list_(pa.int64())), ("n", pa.int32()), ("bins", pa.list_(pa.int8()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = [order_sketches(shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), width), sketches, order) for t in part.column(2)]
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+                h = [shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), width) for t in part.column(2)]
+                keys, n, bins = [order_sketches(x, sketches, order) for x in h], *zip(*map(profile, h), strict=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (keys, bins)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists[0], pa.array(n, pa.int32()), lists[1]], schema=schema)
 
     return rows
 
@@ -168,65 +178,89 @@ def _verifier(width: int, least: float):
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Update labels (node, comp) by links (a, b): comp becomes the least node that is connected.
 
+    Only nodes that have a link have a label; any other is its own component.
     Components, not nodes, are joined: every component takes the least
     neighbouring one, pointers are followed twice, and the edges that are left
     between components shrink to none in about as many rounds as the logarithm
     of the longest chain.
     """
+    ends = links.select("a", "a").union(links.select("b", "b")).toDF("node", "comp")
+    labels = labels.union(ends).groupBy("node").agg(F.min("comp").alias("comp"))  # a component is its least node
     while True:
         la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
         edges = materialize(links.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb").distinct(), "edges")
         if edges.isEmpty():
             return labels
         both = edges.union(edges.select("cb", "ca")).toDF("c", "p")
-        up = materialize(both.groupBy("c").agg(F.min("p").alias("p")).where("p < c"), "up")
+        up = both.groupBy("c").agg(F.min("p").alias("p")).where("p < c")
         for _ in range(2):
             step = up.toDF("p", "q")
             up = up.join(step, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
         labels = materialize(labels.join(up, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
+def _may_match(n: Column, bins: Column, other_n: Column, other_bins: Column, least: float) -> Column:
+    """False only for pairs that cannot reach ``least``: shingles without a partner are at least the difference of the
+    profiles, and at most (n + n') * (1 - least) / (1 + least)."""
+    apart = F.aggregate(F.zip_with(bins, other_bins, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, v: s + v)
+    room = (n + other_n) * ((1 - least) / (1 + least)) + 1e-6
+    return (F.abs(n - other_n) <= room) & (apart <= room)
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGLE, sketches: int = SKETCHES, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): every row's doc_id and seq; every distinct word sequence's seq, first_id, class_id, class_size.
 
     See ``near_duplicates`` for what the classes are.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _sequence(F.col(text_col)).alias("seq"), F.col(text_col).alias("_text"))
-    rows = materialize(base.mapInArrow(_sketcher(width, sketches, order), "doc_id long, seq binary, keys array<long>"), "sketches")
-    nodes = rows.groupBy("seq").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    rows = materialize(base.mapInArrow(_sketcher(width, sketches, order), "doc_id long, seq binary, keys array<long>, n int, bins array<tinyint>"), "sketches")
+    nodes = rows.groupBy("seq").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bins").alias("bins"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = rows.select("doc_id", "seq")
-
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key")
-    members = materialize(keyed.join(shared, "key", "left_semi").select("key", "node"), "members")
-    labels = materialize(members.select("node").distinct().withColumn("comp", F.col("node")), "labels")
-
-    wanted = nodes.join(labels.select("node"), "node", "left_semi").select("node", F.col("seq").alias("_seq"), F.col("first_id").alias("_first"))
-    texts = base.join(wanted, (F.col("seq") == F.col("_seq")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "_text")
-    texts = materialize(texts.mapInArrow(_packed, "node long, body binary"), "texts")
-
-    tested, representatives = None, 1
-    while True:
-        live = members.join(labels, "node")
-        open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z")).where("x < z").select("key")
-        live = materialize(live.join(open_keys, "key", "left_semi").select("key", "node", "comp"), "live")
-        if live.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("node", F.lit(representatives)), F.lit(representatives)) if representatives > 1 else F.lit(0).cast("long")
-        heads = live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
-        heads = materialize(heads, "heads")
-        pairs = live.join(heads, "key").where("comp <> head_comp").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+    profiles = nodes.select("node", "n", "bins")
+
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
+
+    def members(keys: Column) -> DataFrame:
+        """(key, node, comp) of the given sketches of all nodes."""
+        known = nodes.select("node", keys.alias("keys")).join(labels, "node", "left")
+        return known.select(F.explode("keys").alias("key"), "node", F.coalesce("comp", "node").alias("comp"))
+
+    def opened(rows_of: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component, with the bucket's size m, their profiles and the
+        number w of members that a node meets in all its buckets: a text from which copies were made meets the most."""
+        keys = rows_of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("m")).where("x < z").select("key", "m")
+        found = materialize(rows_of.join(keys, "key").select("key", "node", "comp", "m"), "open")
+        met = found.groupBy("node").agg(F.sum("m").alias("w"))
+        return materialize(found.join(profiles.join(met, "node"), "node").select("key", "node", "comp", "m", "w", "n", "bins"), "live")
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """(node, body) of nodes: their texts, packed. The id in the join keeps copies of a text apart."""
+        of = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("seq").alias("_seq"), F.col("first_id").alias("_first")), "wanted")
+        # a merge join at any size: the plan, and what it moves, grows with the documents and has no step
+        texts = base.join(of.hint("merge"), (F.col("seq") == F.col("_seq")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "_text")
+        return materialize(texts.mapInArrow(_packed, "node long, body binary"), "texts")
+
+    live, representatives, first = opened(members(F.slice("keys", 1, FIRST))), 1, True
+    texts = fetched(live.select("node").distinct())
+    while first or not live.isEmpty():
+        # a bucket of no more members than representatives is done with in this round: each is one
+        part = F.when(F.col("m") <= representatives, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(representatives)), F.lit(representatives)))
+        heads = live.groupBy("key", part.alias("part")).agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
+        heads = heads.select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("head_n"), F.col("h.bins").alias("head_bins"))
+        maybe = (F.col("_key") == F.col("key")) & (F.col("comp") != F.col("head_comp")) & _may_match(F.col("n"), F.col("bins"), F.col("head_n"), F.col("head_bins"), least)
+        pairs = live.withColumnRenamed("key", "_key").join(heads, maybe).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
-        links = materialize(both.mapInArrow(_verifier(width, least), "a long, b long"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = connect(labels, links)
-        # what has been held against its whole bucket leaves it
-        members = materialize(live.select("key", "node").join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti"), "members")
-        representatives *= 8 if representatives == 1 else 2
+        labels = connect(labels, materialize(both.mapInArrow(_verifier(width, least), "a long, b long"), "links"))
+        if first:  # now all sketches: most near copies are of one component by now, so few buckets are open
+            live, representatives, first = opened(members(F.col("keys"))), 1, False
+            texts = texts.union(fetched(live.select("node").distinct().join(texts.select("node"), "node", "left_anti")))
+            continue
+        # what has been held against its whole bucket leaves it, and so do buckets of one component
+        left = live.select("key", "node").join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").join(labels, "node", "left")
+        live = opened(left.select("key", "node", F.coalesce("comp", "node").alias("comp")))
+        representatives *= 32 if representatives == 1 else 8
 
     joined = nodes.join(labels, "node", "left").select("seq", "first_id", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = joined.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
