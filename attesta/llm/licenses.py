@@ -83,9 +83,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     speaking = base.where(F.col("text").rlike(ANCHOR))
     both = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\s*\n")))
     words = F.regexp_count("text", F.lit(WORD))
-    passages = materialize(speaking.select("doc_id", "path", words.alias("words"), F.posexplode(F.filter(both, lambda x: x.rlike(ANCHOR))).alias("place", "passage")), "passages")
+    # counts stand beside the arrays, below the explode: above it they would be made again for every row
+    parts = speaking.select("doc_id", "path", words.alias("words"), F.filter(both, lambda x: x.rlike(ANCHOR)).alias("parts"))
+    passages = parts.select("doc_id", "path", "words", F.posexplode("parts").alias("place", "passage"))
+    passages = materialize(passages.withColumn("own", F.regexp_count("passage", F.lit(WORD))), "passages")
     weights, names, other = _weights(spark, passages, templates)
-    tf = passages.select("doc_id", "path", "words", "place", F.regexp_count("passage", F.lit(WORD)).alias("own"), F.explode(_terms(F.col("passage"))).alias("term")).groupBy("doc_id", "path", "words", "place", "own", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = passages.select("doc_id", "path", "words", "place", "own", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("doc_id", "path", "words", "place", "own", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(weights), "term", "left")
     x = F.col("tf") * F.coalesce("idf", F.lit(other))
     sums = [F.sum(x * F.coalesce(F.col("weights")[i], F.lit(0.0))) for i in range(len(names))]
