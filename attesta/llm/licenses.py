@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import materialize, table
 
 #: Public notices as they stand in file headers and at the start of licence files.
 TEMPLATES = {
@@ -72,8 +72,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
 
     ``origin`` is 'notice' for a file's own best passage of similarity
     ``least`` or more, 'inherited' for the nearest ancestor directory with a
-    licence file (a name like LICENSE, or a file most of whose words are one
-    notice), else null like the licence. Of equal similarities the licence last
+    licence file (a name like LICENSE or COPYING; a notice in any other file
+    speaks of that file only), else null like the licence. Of equal similarities the licence last
     in order of name wins. Null texts have no notice; a null path has no
     directory; rows that repeat an id and path count as one file each time and get equal results. An
     empty table gives no rows; further columns are ignored.
@@ -82,25 +82,22 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     speaking = base.where(F.col("text").rlike(ANCHOR))
     both = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\s*\n")))
-    words = F.regexp_count("text", F.lit(WORD))
-    # counts stand beside the arrays, below the explode: above it they would be made again for every row
-    parts = speaking.select("doc_id", "path", words.alias("words"), F.filter(both, lambda x: x.rlike(ANCHOR)).alias("parts"))
-    passages = parts.select("doc_id", "path", "words", F.posexplode("parts").alias("place", "passage"))
-    passages = materialize(passages.withColumn("own", F.regexp_count("passage", F.lit(WORD))), "passages")
+    parts = speaking.select("doc_id", "path", F.filter(both, lambda x: x.rlike(ANCHOR)).alias("parts"))
+    passages = materialize(parts.select("doc_id", "path", F.posexplode("parts").alias("place", "passage")), "passages")
     weights, names, other = _weights(spark, passages, templates)
-    tf = passages.select("doc_id", "path", "words", "place", "own", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("doc_id", "path", "words", "place", "own", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = passages.select("doc_id", "path", "place", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("doc_id", "path", "place", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(weights), "term", "left")
     x = F.col("tf") * F.coalesce("idf", F.lit(other))
     sums = [F.sum(x * F.coalesce(F.col("weights")[i], F.lit(0.0))) for i in range(len(names))]
-    scored = w.groupBy("doc_id", "path", "words", "place", "own").agg(F.sum(x * x).alias("n2"), F.array(*sums).alias("dots"))
+    scored = w.groupBy("doc_id", "path", "place").agg(F.sum(x * x).alias("n2"), F.array(*sums).alias("dots"))
     best = F.array_max(F.zip_with("dots", F.array(*map(F.lit, names)), lambda d, n: F.struct(F.round(d / F.sqrt("n2"), 9).alias("similarity"), n.alias("licence"))))
-    scored = scored.select("doc_id", "path", best.alias("best"), (F.col("own") * 2 >= F.col("words")).alias("mostly")).where(F.col("best.similarity") >= least)
-    own = scored.groupBy("doc_id", "path").agg(F.max("best").alias("best"), F.bool_or("mostly").alias("mostly"))
-    own = materialize(own.select("doc_id", "path", F.col("best.licence").alias("own"), F.col("best.similarity").alias("similarity"), "mostly"), "notices")
+    scored = scored.select("doc_id", "path", best.alias("best")).where(F.col("best.similarity") >= least)
+    own = scored.groupBy("doc_id", "path").agg(F.max("best").alias("best"))
+    own = materialize(own.select("doc_id", "path", F.col("best.licence").alias("own"), F.col("best.similarity").alias("similarity")), "notices")
 
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
     name = F.element_at(F.split("path", "/"), -1)
-    licensed = own.where(F.col("mostly") | name.rlike(LICENCE_FILE)).select(folder.alias("dir"), F.struct("similarity", F.col("own").alias("licence")).alias("best"))
+    licensed = own.where(name.rlike(LICENCE_FILE)).select(folder.alias("dir"), F.struct("similarity", F.col("own").alias("licence")).alias("best"))
     licensed = licensed.where("dir IS NOT NULL").groupBy("dir").agg(F.max("best").alias("best"))
     dirs = base.select(folder.alias("at")).where("at IS NOT NULL").distinct()  # each directory once, not each file
     parts = F.split("at", "/")
@@ -109,7 +106,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     near = near.select("at", F.col("near.dir").alias("licence_dir"), F.col("near.best.licence").alias("inherited"))
 
     out = base.select("doc_id", "path", folder.alias("_at"))
-    out = out.join(own.drop("mostly").toDF("_id", "_path", "own", "similarity"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    out = out.join(own.toDF("_id", "_path", "own", "similarity"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left")
     out = out.join(near, F.col("_at") == F.col("at"), "left")
     mine = F.col("own").isNotNull()
     return out.select(
@@ -119,7 +116,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files of a tree: source / language / id."""
+    """All documents as files of a tree: source / language / id. No such name is a licence file, so none inherits."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     return scan(docs.select("doc_id", "text", path.alias("path")))

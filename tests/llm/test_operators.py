@@ -455,3 +455,11 @@ def test_licence_similarity_is_the_cosine(spark):
         a = vec(terms(texts[r["doc_id"]]))
         best = max((sum(a[t] * b.get(t, 0) for t in a) / norm(a) / norm(b), n) for n, b in ((n, vec(t)) for n, t in notices))
         assert r["similarity"] == pytest.approx(best[0], abs=1e-6) and r["licence"] == best[1]
+
+
+def test_a_short_document_does_not_license_its_folder(spark, tmp_path):
+    """Half of a document's words or all of them in a notice: its neighbours still have no licence."""
+    texts = ["Released under the MIT License.", "few words\nLicensed under the Apache License, Version 2.0.", "an unrelated document", None]
+    spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["licence_dir"]) for r in rows(licenses.op7_licenses(spark, str(tmp_path)))}
+    assert got == {0: ("MIT", "notice", None), 1: ("Apache-2.0", "notice", None), 2: (None, None, None), 3: (None, None, None)}
