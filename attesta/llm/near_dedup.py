@@ -1,8 +1,10 @@
 """Near duplicates by order MinHash, verified by banded alignment.
 
-A text is its sequence of word shingles. Every sketch takes the few shingle
-occurrences with the least hash values and keeps them in the order of the text,
-so that equal sketches speak of equal order and not only of equal sets. Texts
+A text is its sequence of distinct word shingles, each where it first occurs.
+Every sketch takes the few shingles with the least hash values and keeps them in
+that order, so that equal sketches speak of equal order and not only of equal
+sets. Sketches sample the very sequences that are aligned: how often a line is
+repeated changes neither. Texts
 that share a sketch are candidates; a candidate pair is a link if the alignment
 of its shingle sequences is long enough, and classes are the connected
 components of links.
@@ -55,17 +57,12 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 
 def order_sketches(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER) -> np.ndarray:
-    """Sketch keys of a shingle sequence: least labelled occurrences, in text order."""
+    """Sketch keys of a shingle sequence: least distinct shingles, in order of first occurrence."""
+    h = distinct_in_order(h)
     n = len(h)
     if not n:
         return np.zeros(0, np.int64)
-    rank = np.argsort(h, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = h[rank][1:] != h[rank][:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    label = np.empty(n, np.uint64)
-    label[rank] = (np.arange(n) - first).astype(np.uint64)  # which occurrence of its shingle it is
-    base = _mix(h + label * _GOLD)
+    base = _mix(h)
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _GOLD)
     keys = np.empty(sketches, np.uint64)
     step = max(1, (1 << 18) // n)

@@ -189,6 +189,22 @@ def test_order_matters_to_sketches():
     assert len(near_dedup.order_sketches(near_dedup.shingles(b""))) == 0
 
 
+def test_near_copies_that_repeat_lines_differently(spark):
+    """Pairs that differ in how often a line repeats, and in a few words, against all pairs by brute force."""
+    texts = []
+    for k in range(8):
+        head, line, tail = prose(50, 300 + k), prose(8, 400 + k), prose(50, 500 + k)
+        texts += ["\n".join([x, *[line] * n, y]) for x, n, y in ((head, 5, tail), (head, 40, tail), (edited(head, 60, k), 200, tail), (edited(head, 6, k), 10, tail))]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(*(" ".join(WORD.findall(texts[x])) for x in (i, j))) >= 0.8:
+                want = [min(want[i], want[j]) if w == max(want[i], want[j]) else w for w in want]
+    assert len(set(want)) == 16  # three of four are one class
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got == dict(enumerate(want))
+
+
 # --- packing and tokens
 
 
