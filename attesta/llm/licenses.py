@@ -1,12 +1,16 @@
 """Licence scan: sparse TF-IDF cosine to templates, and inheritance by path (DataFrame functions only).
 
-Passages (lines and paragraphs) that speak of licences are compared with short
-public notices. A file without a notice of its own takes the licence of the
+Passages (lines, sentences and paragraphs) that speak of licences are compared
+with public notices: by cosine, with document frequencies of all words, and by
+whether they hold all of a notice in a row, however long the passage and the corpus. A file without a notice of its own takes the licence of the
 nearest ancestor directory that has a licence file.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,14 @@ TEMPLATES = {
 ANCHOR = r"(?i)licen[cs]e|copyright|public domain|permission|redistribut|\bCC[ -](?:BY|0)|\bCC0"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LEAST_SIMILARITY = 0.6
+#: A notice of so many terms is found in any longer sentence that has them in a row.
+LEAST_IN_A_ROW = 4
+#: Words of one passage in so many are broadcast with their document frequency.
+OFTEN = 1000
+#: Ends of sentences, over the marks of comments at the start of a line.
+SENTENCE_END = r"(?<=[.!?])[\s#*/;%-]+(?=[\"'(]?\p{Lu})"
+#: The notices of the first are part of the second's: a file with a notice of the second has the second.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
 
@@ -41,37 +53,46 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _weights(spark: SparkSession, passages: DataFrame, templates: dict[str, tuple[str, ...]]) -> tuple[DataFrame, list[str], float]:
-    """(term, idf, weight in each notice) of the notices' terms; the notices' names; the idf of any other term.
+def _notices(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
+    return [(name, re.findall(TERM, text.lower())) for name, texts in templates.items() for text in texts]
 
-    Document frequencies count the passages of all files and the notices. Only
-    the notices' terms are counted, some hundred rows whatever the input: that
-    is what bounds the driver's and the broadcast table.
-    """
-    import math
-    import re
 
-    notices = [(name, re.findall(TERM, text.lower())) for name, texts in templates.items() for text in texts]
+def _held(notices: list[tuple[str, list[str]]]) -> Column:
+    """Places of the notices whose terms stand in the passage in a row, whatever stands before and after them."""
+    line = F.concat(F.lit(" "), F.array_join(_terms(F.col("passage")), " "), F.lit(" "))
+    hits = lambda x: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(f" {' '.join(terms)} ")), F.lit(i)) for i, (_, terms) in enumerate(notices) if len(terms) >= LEAST_IN_A_ROW]).cast("array<int>"))
+    return F.transform(F.array(line), hits)[0]  # the line is made once, not for every notice
+
+
+def _weights(spark: SparkSession, frequencies: DataFrame, total: int, notices: list[tuple[str, list[str]]]) -> tuple[DataFrame, DataFrame]:
+    """(term, idf, weights) to broadcast, with the weight in each notice; (term, idf) of all other terms.
+
+    Document frequencies count the passages of all files and the notices; for a
+    word that no notice has, the passages other than the one that is compared.
+    Broadcast are the notices' terms, some hundred rows whatever the input, and
+    the words of at least one passage in OFTEN, whose number is bounded by OFTEN
+    times the mean length of a passage. The others are joined by term.
+    """
     vocabulary = sorted({t for _, terms in notices for t in terms})
-    found = passages.select(F.explode(F.array_intersect(_terms(F.col("passage")), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").count()
-    df = {r["term"]: r["count"] for r in found.collect()}
-    total = passages.count() + len(notices)
-    idf = lambda n: math.log((1 + total) / (1 + n)) + 1
-    own = {t: df.get(t, 0) + sum(t in terms for _, terms in notices) for t in vocabulary}
+    of = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
+    df = {r["term"]: r["count"] for r in frequencies.join(of, "term", "left_semi").collect()}
+    idf = {t: math.log((1 + total) / (1 + df.get(t, 0) + sum(t in terms for _, terms in notices))) + 1 for t in vocabulary}
     columns = []
     for _, terms in notices:
-        w = {t: terms.count(t) * idf(own[t]) for t in terms}
+        w = {t: terms.count(t) * idf[t] for t in terms}
         size = math.sqrt(sum(v * v for v in w.values()))
         columns.append({t: v / size for t, v in w.items()})
-    rows = [(t, idf(own[t]), [c.get(t, 0.0) for c in columns]) for t in vocabulary]
-    return spark.createDataFrame(rows, "term string, idf double, weights array<double>"), [n for n, _ in notices], idf(0)
+    known = spark.createDataFrame([(t, idf[t], [c.get(t, 0.0) for c in columns]) for t in vocabulary], "term string, idf double, weights array<double>")
+    others = frequencies.join(of, "term", "left_anti").select("term", (F.log(F.lit(1.0 + total) / F.col("count")) + 1).alias("idf"), (F.col("count") * OFTEN >= total).alias("often"))
+    common = others.where("often").select("term", "idf", F.lit(None).cast("array<double>").alias("weights"))
+    return known.union(common), others.where("NOT often").select("term", "idf")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST_SIMILARITY) -> DataFrame:
     """One row per row of ``files``: doc_id, path, licence, similarity, origin, licence_dir.
 
-    ``origin`` is 'notice' for a file's own best passage of similarity
-    ``least`` or more, 'inherited' for the nearest ancestor directory with a
+    ``origin`` is 'notice' for a file's own best passage, one that holds a whole
+    notice in a row before any other of similarity ``least`` or more, 'inherited' for the nearest ancestor directory with a
     licence file (a name like LICENSE or COPYING; a notice in any other file
     speaks of that file only), else null like the licence. Of equal similarities the licence last
     in order of name wins. Null texts have no notice; a null path has no
@@ -81,18 +102,30 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     spark = files.sparkSession
     base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     speaking = base.where(F.col("text").rlike(ANCHOR))
-    both = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\s*\n")))
-    parts = speaking.select("doc_id", "path", F.filter(both, lambda x: x.rlike(ANCHOR)).alias("parts"))
-    passages = materialize(parts.select("doc_id", "path", F.posexplode("parts").alias("place", "passage")), "passages")
-    weights, names, other = _weights(spark, passages, templates)
-    tf = passages.select("doc_id", "path", "place", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("doc_id", "path", "place", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(F.broadcast(weights), "term", "left")
-    x = F.col("tf") * F.coalesce("idf", F.lit(other))
-    sums = [F.sum(x * F.coalesce(F.col("weights")[i], F.lit(0.0))) for i in range(len(names))]
-    scored = w.groupBy("doc_id", "path", "place").agg(F.sum(x * x).alias("n2"), F.array(*sums).alias("dots"))
-    best = F.array_max(F.zip_with("dots", F.array(*map(F.lit, names)), lambda d, n: F.struct(F.round(d / F.sqrt("n2"), 9).alias("similarity"), n.alias("licence"))))
-    scored = scored.select("doc_id", "path", best.alias("best")).where(F.col("best.similarity") >= least)
-    own = scored.groupBy("doc_id", "path").agg(F.max("best").alias("best"))
+    paragraphs = F.split("text", r"\n\s*\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda x: F.split(x, SENTENCE_END)))
+    every = F.array_distinct(F.concat(F.split("text", r"\n"), paragraphs, sentences))
+    notices = _notices(templates)
+    names = F.array(*[F.lit(n) for n, _ in notices])
+    parts = speaking.select("doc_id", "path", F.filter(every, lambda x: x.rlike(ANCHOR)).alias("parts"))
+    passages = parts.select("doc_id", "path", F.explode("parts").alias("passage")).withColumn("held", _held(notices))
+    passages = materialize(passages.withColumn("place", F.monotonically_increasing_id()), "passages")
+    frequencies = materialize(passages.select(F.explode(F.array_distinct(_terms(F.col("passage")))).alias("term")).groupBy("term").count(), "frequencies")
+    known, seldom = _weights(spark, frequencies, passages.count() + len(notices), notices)
+    at = ["place", "doc_id", "path", "held"]
+    tf = passages.select(*at, F.explode(_terms(F.col("passage"))).alias("term")).groupBy(*at, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = materialize(tf.join(F.broadcast(known), "term", "left"), "terms")
+    w = w.where("idf IS NOT NULL").unionByName(w.where("idf IS NULL").drop("idf").join(seldom, "term"))
+    x = F.col("tf") * F.col("idf")
+    sums = [F.sum(x * F.coalesce(F.col("weights")[i], F.lit(0.0))) for i in range(len(notices))]
+    scored = w.groupBy(*at).agg(F.sum(x * x).alias("n2"), F.array(*sums).alias("dots"))
+    each = F.transform("dots", lambda d, i: F.struct(F.array_contains("held", i).alias("held"), F.round(d / F.sqrt("n2"), 9).alias("similarity"), F.element_at(names, i + 1).alias("licence")))
+    scored = scored.select("doc_id", "path", F.array_max(F.filter(each, lambda e: e["held"] | (e["similarity"] >= least))).alias("best")).where("best IS NOT NULL")
+    first = F.max("best")
+    for part, whole in PART_OF.items():
+        of = F.col("best.licence")
+        first = F.when(F.bool_or(of == whole), F.max(F.when(of != part, F.col("best")))).otherwise(first)
+    own = scored.groupBy("doc_id", "path").agg(first.alias("best"))
     own = materialize(own.select("doc_id", "path", F.col("best.licence").alias("own"), F.col("best.similarity").alias("similarity")), "notices")
 
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))

@@ -479,3 +479,16 @@ def test_a_short_document_does_not_license_its_folder(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["licence"], r["origin"], r["licence_dir"]) for r in rows(licenses.op7_licenses(spark, str(tmp_path)))}
     assert got == {0: ("MIT", "notice", None), 1: ("Apache-2.0", "notice", None), 2: (None, None, None), 3: (None, None, None)}
+
+
+def test_licences_do_not_depend_on_corpus_size(spark):
+    """Notices within longer sentences, whole or with a word missing, beside few passages and beside many."""
+    wanted = {
+        "Code licensed under the Apache License, Version 2.0.": "Apache-2.0", "Text licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This project is released under the MIT License.": "MIT",
+        "Zyxwv, the 3.7 release of Qwert, is released under the MIT License. Nothing more.": "MIT", "The text of a page and of its list is licensed under Apache License, Version 2.0.": "Apache-2.0",
+        "The text of a page has a licence somewhere.": None,
+    }
+    for n in (40, 4000):
+        rows_ = [(i, f"f{i}", t) for i, t in enumerate(wanted)] + [(100 + i, f"g{i}", f"The text of a page and of its list {i} is of unknown licence.") for i in range(n)]
+        got = {r["doc_id"]: r["licence"] for r in rows(licenses.scan(spark.createDataFrame(rows_, "doc_id long, path string, text string")))}
+        assert [got[i] for i in range(len(wanted))] == list(wanted.values()) and sum(v is not None for v in got.values()) == 5
