@@ -492,3 +492,24 @@ def test_licences_do_not_depend_on_corpus_size(spark):
         rows_ = [(i, f"f{i}", t) for i, t in enumerate(wanted)] + [(100 + i, f"g{i}", f"The text of a page and of its list {i} is of unknown licence.") for i in range(n)]
         got = {r["doc_id"]: r["licence"] for r in rows(licenses.scan(spark.createDataFrame(rows_, "doc_id long, path string, text string")))}
         assert [got[i] for i in range(len(wanted))] == list(wanted.values()) and sum(v is not None for v in got.values()) == 5
+
+
+def test_each_licence_header_has_its_own_licence(spark):
+    """Headers as they stand in source files, wrapped and behind comment marks, and titles of licence texts."""
+    gnu = "# This {0} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {1}General Public License as published by\n# the Free Software Foundation, either version {2} of the License, or\n# (at your option) any later version.\n#\n# This {0} is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU {1}General Public License for more details.\n#\n# You should have received a copy of the GNU {1}General Public License\n# along with this {0}.  If not, see <https://www.gnu.org/licenses/>."
+    bsd = "Copyright (c) 2019, Somebody\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n{0}\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    third = "\n3. Neither the name of {0} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    files = [
+        ("GPL-3.0", gnu.format("program", "", "3")), ("GPL-2.0", gnu.format("program", "", "2")), ("GPL-2.0", gnu.format("program", "", "2").replace("software:", "software;").replace("Foundation,", "Foundation;")),
+        ("AGPL-3.0", gnu.format("program", "Affero ", "3")), ("LGPL-3.0", gnu.format("program", "Lesser ", "3")), ("LGPL-2.1", gnu.format("library", "Lesser ", "2.1")),
+        ("BSD-2-Clause", bsd.format("")), ("BSD-3-Clause", bsd.format(third.format("the copyright holder"))), ("BSD-3-Clause", bsd.format(third.format("Example Industries"))),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\nmore"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991"),
+        ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007"), ("Apache-2.0", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/"),
+        ("Apache-2.0", "// Copyright 2020 A\n// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License."), ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+        ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ]
+    for more in (0, 1500):
+        table = [(i, f"d{i}/x.py", f"{t}\n\nimport zyx{i}\ncall(zyx{i})\n") for i, (_, t) in enumerate(files)] + [(100 + i, f"e{i}/y.py", f"copyright line {i} of nobody") for i in range(more)]
+        got = {r["doc_id"]: r["licence"] for r in rows(licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")))}
+        assert [(got[i], t) for i, (_, t) in enumerate(files)] == files
