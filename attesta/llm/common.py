@@ -8,11 +8,12 @@ executors, so a lost executor never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Deletes the ASCII white space of ``[\x20\x09-\x0D]``.
@@ -24,12 +25,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``).
 
-    Only if the session names none (tests, a laptop) a temporary folder is
-    made, set as the checkpoint folder and removed at exit.
+    Only if the session names none and runs in one process (tests, a laptop) a
+    temporary folder is made, set as the checkpoint folder and removed at exit;
+    on a cluster a machine's own folder would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="attesta-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(f"file://{base}")
@@ -43,10 +47,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written(df, new_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -56,6 +62,46 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """The intermediate tables of one operator, which go once nothing reads them.
+
+    ``keep_only`` names the tables that the frames returned to the caller read
+    (results are lazy, so those must stay for as long as the caller needs them).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, new_path(spark, name)
+        self.tables: list[tuple[str, DataFrame]] = []
+        self.made = 0
+
+    def path(self, name: str) -> str:
+        self.made += 1
+        return f"{self.root}/{self.made:03d}-{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        out = written(df, path)
+        self.tables.append((path, out))
+        return out
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        for path, df in self.tables:
+            if not any(df is f for f in frames):
+                drop_path(self.spark, path)
+        self.tables = [x for x in self.tables if any(x[1] is f for f in frames)]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have (names are compared without regard to case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,8 +128,6 @@ def global_index(df: DataFrame, order: list[str | Column], name: str, index: str
     )
     pid = F.shiftright("_m", 33)
     counts = placed.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
     return (

@@ -1,22 +1,30 @@
 """Near duplicates by order MinHash, verified by banded alignment.
 
-A text is its sequence of distinct word shingles, each where it first occurs.
-Every sketch takes the few shingles with the least hash values and keeps them in
-that order, so that equal sketches speak of equal order and not only of equal
-sets. Sketches sample the very sequences that are aligned: how often a line is
-repeated changes neither. Texts
-that share a sketch are candidates; a candidate pair is a link if the alignment
-of its shingle sequences is long enough, and classes are the connected
-components of links.
-
-Buckets are never expanded into all pairs: in each round a bucket's members are
-held against a few representatives; members that are linked already need no
-further look. A bucket leaves once what is left in it is one component or has
-been held against each other, so no link that its members have is lost.
+A text is its sequence of word shingles. Every sketch takes the few shingles
+with the least hash values and keeps them in text order, so that equal sketches
+speak of equal order and not only of equal sets. Some sketches sample
+occurrence-labelled shingles (the first and the second time a shingle occurs are
+two items), the others the first occurrences, which are what is aligned: how
+often a line is repeated changes neither those nor a link. Texts that share a
+sketch are candidates; a candidate pair is a link if the alignment of its
+sequences is long enough, and classes are the connected components of links.
+
+Buckets are never expanded into all pairs. First every bucket's members are held
+against one head, the text that meets the most others. What is still of several
+components then is held against a pivot, the text from which the head's
+component seems to be copied, and split by what its members have beyond the
+pivot: a link has either a shingle in common that the pivot lacks, which makes
+parts of those few that do, or both texts have so much of the pivot that this,
+with their lengths, allows a link, which makes a pair (``_Part``). The parts get
+pivots of their own, until each is of one component or so small that its few
+members are held against each other. Every round makes a row for each member of
+an open bucket and its pivot, and no link is lost on the way.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -27,14 +35,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Scratch, table, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares a sketch of ORDER shingles with chance 0.4, hence one of SKETCHES all but surely.
-SKETCHES, ORDER = 28, 4
-#: Sketches of the first round, which joins most near copies.
-FIRST = 8
+#: A pair of similarity 0.8 shares a sketch of ORDER shingles with chance 0.4, hence one of the SKETCHES of first
+#: occurrences all but surely. LABELLED more sketches are of occurrence-labelled shingles.
+SKETCHES, LABELLED, ORDER = 28, 4, 4
+#: Members of a bucket that are held against each other rather than against a pivot.
+FEW = 16
+#: Sketches by which texts of the same shingles as their pivot are told apart by order.
+ORDER_SKETCHES, ORDER_OF_SAME = 24, 6
 #: Classes of shingle hashes by which pairs are ruled out before their texts are fetched.
 BINS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,14 +67,23 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def order_sketches(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER) -> np.ndarray:
-    """Sketch keys of a shingle sequence: least distinct shingles, in order of first occurrence."""
-    h = distinct_in_order(h)
+def labelled(h: np.ndarray) -> np.ndarray:
+    """A shingle sequence with each repeat as an item of its own: the k-th occurrence of a shingle is labelled k."""
+    order = np.argsort(h, kind="stable")
+    at = np.arange(len(h))
+    starts = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
+    seen = np.empty(len(h), np.uint64)
+    seen[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+    return np.where(seen > 0, _mix(h + seen * _GOLD), h)
+
+
+def order_sketches(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER, first: int = 1) -> np.ndarray:
+    """Sketch keys of a sequence of distinct items: those of least hash values, in text order; ``first`` numbers the hash functions."""
     n = len(h)
-    if not n:
+    if not n or not sketches:
         return np.zeros(0, np.int64)
     base = _mix(h)
-    seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _GOLD)
+    seeds = _mix(np.arange(first, first + sketches, dtype=np.uint64) * _GOLD)
     keys = np.empty(sketches, np.uint64)
     step = max(1, (1 << 18) // n)
     for s in range(0, sketches, step):
@@ -79,6 +99,14 @@ def order_sketches(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER)
     return keys.view(np.int64)
 
 
+def sketch_keys(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER, repeats: int = LABELLED) -> np.ndarray:
+    """Sketches of the first occurrences of a shingle sequence, then those of its occurrence-labelled shingles."""
+    distinct = distinct_in_order(h)
+    if len(distinct) == len(h):
+        return order_sketches(h, sketches + repeats, order)
+    return np.concatenate([order_sketches(distinct, sketches, order), order_sketches(labelled(h), repeats, order, sketches + 1)])
+
+
 def profile(h: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of distinct shingles, and how many of them fall in each of BINS classes of hashes (127 at most)."""
     h = np.unique(h)
@@ -131,17 +159,31 @@ def _sequence(text: Column) -> Column:
     return F.unhex(F.md5(F.trim(one).cast("binary")))
 
 
+def _utf8(text: pa.StringScalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
+
+
 def _sketcher(width: int, sketches: int, order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary()), ("keys", pa.list_(pa.int64())), ("n", pa.int32()), ("bins", pa.list_(pa.int8()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("seq", pa.binary()), ("keys", pa.list_(pa.int64())), ("n", pa.int32()), ("bins", pa.list_(pa.int8()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                h = [shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), width) for t in part.column(2)]
-                keys, n, bins = [order_sketches(x, sketches, order) for x in h], *zip(*map(profile, h), strict=True)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (keys, bins)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists[0], pa.array(n, pa.int32()), lists[1]], schema=schema)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                seq, keys, n, bins = [], [], [], []
+                for text in map(_utf8, part.column(2)):
+                    seq.append(hashlib.md5(b" ".join(text.split())).digest())  # as _sequence
+                    h = shingles(text, width)
+                    keys.append(sketch_keys(h, sketches, order))
+                    size, classes = profile(h)
+                    n.append(size)
+                    bins.append(classes)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seq, pa.binary()), _lists(keys, pa.int64()), pa.array(n, pa.int32()), _lists(bins, pa.int8())], schema=schema)
 
     return rows
 
@@ -149,30 +191,94 @@ def _sketcher(width: int, sketches: int, order: int):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        body = [packer.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["node", "body"])
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            body = [packer.compress(_utf8(t)) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(body, pa.binary())], names=["node", "body"])
+
+
+class _Bodies:
+    """Distinct shingles of packed texts; those of the last few heads are kept, as pairs of one head stand together."""
+
+    def __init__(self, width: int):
+        self.width, self.unpack, self.held = width, zstandard.ZstdDecompressor().decompress, {}
+
+    def __call__(self, body: pa.BinaryScalar) -> np.ndarray:
+        return distinct_in_order(shingles(self.unpack(body.as_py()), self.width))
+
+    def head(self, node: int, body: pa.BinaryScalar) -> np.ndarray:
+        if node not in self.held:
+            if len(self.held) >= 4:
+                del self.held[next(iter(self.held))]
+            self.held[node] = self(body)
+        return self.held[node]
 
 
 def _verifier(width: int, least: float):
+    """Rows (a, b, body_a, body_b) -> the pairs that are links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        held: tuple[int | None, np.ndarray | None] = (None, None)  # pairs of one representative stand together
+        read = _Bodies(width)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            links = []
-            for k in range(batch.num_rows):
-                if held[0] != b[k]:
-                    held = (b[k], distinct_in_order(shingles(unpack(batch.column(3)[k].as_py()), width)))
-                if similar(held[1], distinct_in_order(shingles(unpack(batch.column(2)[k].as_py()), width)), least):
-                    links.append((a[k], b[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], schema=schema)
+            links = [k for k in range(batch.num_rows) if similar(read.head(b[k], batch.column(3)[k]), read(batch.column(2)[k]), least)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in links], pa.int64()), pa.array([b[k] for k in links], pa.int64())], schema=schema)
 
     return rows
 
 
-def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
+def beyond(h: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """Of a text's distinct shingles those outside ``known`` by which it meets its links, and how many are inside.
+
+    Texts a and b of similarity ``least`` or more share at least
+    (|a| + |b|) * least / (1 + least) shingles. What they share inside ``known``
+    is no more than either has there; if that is less, they share one outside.
+    At least ``least * |a|`` of a's shingles are shared, so of those outside all
+    but that many, less those inside, plus one are enough, if every text takes
+    its least by value: both then take one that they share.
+    """
+    outside = np.sort(h[~np.isin(h, known)])
+    inside = len(h) - len(outside)
+    return outside[: max(0, len(outside) - max(1, math.ceil(least * len(h) - 1e-9) - inside) + 1)], inside
+
+
+def _splitter(width: int, least: float):
+    """Rows (node, pivot, root, their bodies) -> how a node stands to its pivot, and the keys of the parts that it goes to.
+
+    ``known`` are the shingles of the pivot and of the root, the pivot of the
+    first split. ``most`` is the greatest size of a text with which the node can
+    be linked though they share nothing beyond. Texts with the pivot's own
+    shingles, perhaps in another order (``near``), also meet by sketches of that
+    order.
+    """
+    schema = pa.schema([("node", pa.int64()), ("pivot", pa.int64()), ("root", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("n", pa.int32()), ("most", pa.float64()), ("keys", pa.list_(pa.int64()))])
+    share = least / (1 + least)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Bodies(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                pivots, roots = part.column("pivot").to_pylist(), part.column("root").to_pylist()
+                linked, near, n, most, keys = [], [], [], [], []
+                for k, (pivot, root) in enumerate(zip(pivots, roots, strict=True)):
+                    p, h = read.head(pivot, part.column("pivot_body")[k]), read(part.column("body")[k])
+                    known = p if root == pivot else np.union1d(p, read.head(root, part.column("root_body")[k]))
+                    outside, inside = beyond(h, known, least)
+                    linked.append(similar(p, h, least))
+                    near.append(bool(np.isin(h, p).sum() >= (len(h) + len(p)) * share - 1e-9))
+                    n.append(len(h))
+                    most.append(inside / share - len(h) + 1e-6)
+                    if near[-1]:
+                        outside = np.concatenate([outside, order_sketches(h, ORDER_SKETCHES, ORDER_OF_SAME, 1001).view(np.uint64)])
+                    keys.append(_mix(outside + _mix(np.array([pivot, root], np.uint64) * _GOLD).sum()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "pivot", "root")), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(n, pa.int32()), pa.array(most), _lists(keys, pa.int64())], schema=schema)
+
+    return rows
+
+
+def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """Update labels (node, comp) by links (a, b): comp becomes the least node that is connected.
 
     Only nodes that have a link have a label; any other is its own component.
@@ -181,11 +287,13 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     between components shrink to none in about as many rounds as the logarithm
     of the longest chain.
     """
+    if links.isEmpty():
+        return labels
     ends = links.select("a", "a").union(links.select("b", "b")).toDF("node", "comp")
-    labels = labels.union(ends).groupBy("node").agg(F.min("comp").alias("comp"))  # a component is its least node
+    labels = scratch.write(labels.union(ends).groupBy("node").agg(F.min("comp").alias("comp")), "labels")  # a component is its least node
     while True:
         la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-        edges = materialize(links.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb").distinct(), "edges")
+        edges = scratch.write(links.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb").distinct(), "edges")
         if edges.isEmpty():
             return labels
         both = edges.union(edges.select("cb", "ca")).toDF("c", "p")
@@ -193,7 +301,7 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
         for _ in range(2):
             step = up.toDF("p", "q")
             up = up.join(step, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
-        labels = materialize(labels.join(up, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+        labels = scratch.write(labels.join(up, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
 def _may_match(n: Column, bins: Column, other_n: Column, other_bins: Column, least: float) -> Column:
@@ -210,58 +318,85 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
     See ``near_duplicates`` for what the classes are.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _sequence(F.col(text_col)).alias("seq"), F.col(text_col).alias("_text"))
-    rows = materialize(base.mapInArrow(_sketcher(width, sketches, order), "doc_id long, seq binary, keys array<long>, n int, bins array<tinyint>"), "sketches")
-    nodes = rows.groupBy("seq").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bins").alias("bins"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rows = rows.select("doc_id", "seq")
-    profiles = nodes.select("node", "n", "bins")
-
+    scratch = Scratch(spark, "near-dedup")
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # with the id, it finds a row's text again
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), F.col(text_col).alias("text"))
+    rows = scratch.write(base.mapInArrow(_sketcher(width, sketches, order), "doc_id long, raw long, seq binary, keys array<long>, n int, bins array<tinyint>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("f")
+    nodes = rows.groupBy("seq").agg(first, F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "seq", F.col("f.doc_id").alias("first_id"), F.col("f.raw").alias("raw"), "copies", "keys", "n", "bins"), "nodes")
     labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
 
-    def members(keys: Column) -> DataFrame:
-        """(key, node, comp) of the given sketches of all nodes."""
-        known = nodes.select("node", keys.alias("keys")).join(labels, "node", "left")
-        return known.select(F.explode("keys").alias("key"), "node", F.coalesce("comp", "node").alias("comp"))
-
-    def opened(rows_of: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component, with the bucket's size m, their profiles and the
-        number w of members that a node meets in all its buckets: a text from which copies were made meets the most."""
-        keys = rows_of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("m")).where("x < z").select("key", "m")
-        found = materialize(rows_of.join(keys, "key").select("key", "node", "comp", "m"), "open")
-        met = found.groupBy("node").agg(F.sum("m").alias("w"))
-        return materialize(found.join(profiles.join(met, "node"), "node").select("key", "node", "comp", "m", "w", "n", "bins"), "live")
-
-    def fetched(wanted: DataFrame) -> DataFrame:
-        """(node, body) of nodes: their texts, packed. The id in the join keeps copies of a text apart."""
-        of = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("seq").alias("_seq"), F.col("first_id").alias("_first")), "wanted")
-        # a merge join at any size: the plan, and what it moves, grows with the documents and has no step
-        texts = base.join(of.hint("merge"), (F.col("seq") == F.col("_seq")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "_text")
-        return materialize(texts.mapInArrow(_packed, "node long, body binary"), "texts")
-
-    live, representatives, first = opened(members(F.slice("keys", 1, FIRST))), 1, True
-    texts = fetched(live.select("node").distinct())
-    while first or not live.isEmpty():
-        # a bucket of no more members than representatives is done with in this round: each is one
-        part = F.when(F.col("m") <= representatives, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(representatives)), F.lit(representatives)))
-        heads = live.groupBy("key", part.alias("part")).agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
-        heads = heads.select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("head_n"), F.col("h.bins").alias("head_bins"))
-        maybe = (F.col("_key") == F.col("key")) & (F.col("comp") != F.col("head_comp")) & _may_match(F.col("n"), F.col("bins"), F.col("head_n"), F.col("head_bins"), least)
-        pairs = live.withColumnRenamed("key", "_key").join(heads, maybe).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-        both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
-        labels = connect(labels, materialize(both.mapInArrow(_verifier(width, least), "a long, b long"), "links"))
-        if first:  # now all sketches: most near copies are of one component by now, so few buckets are open
-            live, representatives, first = opened(members(F.col("keys"))), 1, False
-            texts = texts.union(fetched(live.select("node").distinct().join(texts.select("node"), "node", "left_anti")))
-            continue
-        # what has been held against its whole bucket leaves it, and so do buckets of one component
-        left = live.select("key", "node").join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").join(labels, "node", "left")
-        live = opened(left.select("key", "node", F.coalesce("comp", "node").alias("comp")))
-        representatives *= 32 if representatives == 1 else 8
+    def opened(members: DataFrame, name: str) -> DataFrame:
+        """Of (key, node, root) those in buckets of more than one component, with comp and the bucket's size m.
+
+        Buckets of the same members are one: of several such keys one stays.
+        """
+        known = members.join(labels, "node", "left").select("key", "node", "root", F.coalesce("comp", "node").alias("comp"))
+        keys = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("root").alias("root")).where("x < z")
+        keys = keys.groupBy("x", "z", "m", "who", "root").agg(F.min("key").alias("key")).select("key", "m")
+        return scratch.write(known.join(keys, "key"), name)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of nodes those that are links; b is the one that many pairs may have."""
+        both = pairs.distinct().join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
+        return both.mapInArrow(_verifier(width, least), "a long, b long")
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        """Of rows with profiles (n, bins) and (_n, _bins) those that may be links."""
+        return pairs.where(_may_match(F.col("n"), F.col("bins"), F.col("_n"), F.col("_bins"), least))
+
+    buckets = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", F.lit(None).cast("long").alias("root"))
+    live = opened(buckets, "open")
+    met = live.groupBy("node").agg(F.sum("m").alias("w"))  # a text meets so many members in all its buckets
+    known = scratch.write(nodes.join(met, "node").select("node", "w", "n", "bins", F.col("raw").alias("_raw"), "first_id"), "known")
+    profiles = known.select("node", "w", "n", "bins")
+    found = base.join(known.hint("merge"), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    packed = found.select("node", "text").mapInArrow(_packed, "node long, body binary")
+    texts = scratch.write(packed.groupBy("node").agg(F.first("body").alias("body")), "texts")  # rows may repeat
+
+    # every bucket's members against one head: the text that meets the most, as that does from which copies were made
+    live = live.join(profiles, "node")
+    heads = live.groupBy("key").agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
+    held = scratch.write(live.join(heads, "key").where("node <> h.node").select("key", "node", "root", "comp", "n", "bins", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("_n"), F.col("h.bins").alias("_bins")), "held")
+    labels = connect(scratch, labels, scratch.write(linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b"))), "links"))
+    live = opened(held.select("key", "node", "root"), "live")
+
+    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20)
+    while not live.isEmpty():
+        few, many = live.where(F.col("m") <= FEW).join(profiles, "node"), live.where(F.col("m") > FEW)
+        pairs = few.join(few.toDF(*[f"_{c}" for c in few.columns]), (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")))
+        links = scratch.write(linked(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b"))), "links")
+        if many.isEmpty():
+            labels = connect(scratch, labels, links)
+            break
+
+        # the pivot: at first the text of the head's component that meets the most, later the head itself
+        heads = many.join(profiles, "node").groupBy("key").agg(F.max(F.struct("w", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("comp"))
+        centers = profiles.join(labels, "node").groupBy("comp").agg(F.max(F.struct("w", "node")).alias("c")).select("comp", F.col("c.node").alias("center"))
+        pivots = heads.join(centers, "comp", "left").select("key", "head", F.coalesce("center", "head").alias("center"))
+        pivot = F.when(F.col("root").isNull(), F.col("center")).otherwise(F.col("head"))
+        against = many.join(pivots, "key").select("node", pivot.alias("pivot"), F.coalesce("root", "center").alias("root")).where("node <> pivot").distinct()
+        both = against.join(texts, "node").join(texts.toDF("root", "root_body"), "root").join(texts.toDF("pivot", "pivot_body"), "pivot")
+        parts = both.mapInArrow(_splitter(width, least), "node long, pivot long, root long, linked boolean, near boolean, n int, most double, keys array<long>")
+        parts = scratch.write(parts, "parts")
+
+        # pairs that may be links without a shingle beyond the pivot in common: by size, in bands of it
+        sized = parts.join(labels, "node", "left").select("node", "pivot", "root", "near", "n", "most", F.coalesce("comp", "node").alias("comp"))
+        low, high = F.ceil(F.col("n") * least - 1e-6), F.least(F.col("most"), F.col("n") / least)
+        off = sized.where(~F.col("near")).withColumn("low", low.cast("double")).withColumn("high", high).where("low <= high").withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))))
+        others = sized.withColumn("band", band(F.col("n").cast("double"))).select(*[F.col(c).alias(f"_{c}") for c in ("node", "pivot", "root", "n", "most", "comp", "band")])
+        fits = F.col("_n").between(F.col("low"), F.col("high")) & (F.col("n") <= F.col("_most")) & (F.col("comp") != F.col("_comp"))
+        pairs = off.join(others, (F.col("pivot") == F.col("_pivot")) & (F.col("root") == F.col("_root")) & (F.col("band") == F.col("_band")) & fits)
+        by_size = scratch.write(linked(pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))), "links")
+        labels = connect(scratch, labels, links.union(parts.where("linked").select("node", "pivot")).union(by_size))
+        live = opened(parts.select(F.explode("keys").alias("key"), "node", "root"), "live")
 
     joined = nodes.join(labels, "node", "left").select("seq", "first_id", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = joined.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return rows, joined.join(classes, "comp").select("seq", "first_id", "class_id", "class_size")
+    out = scratch.write(joined.join(classes, "comp").select("seq", "first_id", "class_id", "class_size"), "classes")
+    scratch.keep_only(rows, out)
+    return rows.select("doc_id", "seq"), out
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -287,10 +422,11 @@ def _kept(doc_id: Column, first_id: str = "first_id", class_id: str = "class_id"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` (all columns) without those that are near duplicates of one that stays."""
     _, nodes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    many = nodes.where("class_size > 1").select(F.col("seq").alias("__seq"), F.col("first_id").alias("__first"), F.col("class_id").alias("__class"))
-    joined = docs.withColumn("__of", _sequence(F.col(text_col))).join(many, F.col("__of") == F.col("__seq"), "left")
-    kept = joined.where(F.col("__seq").isNull() | _kept(F.col(id_col).cast("long"), "__first", "__class"))
-    return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
+    of, seq, first, klass = unused(docs, "of", "seq", "first_id", "class_id")
+    many = nodes.where("class_size > 1").select(F.col("seq").alias(seq), F.col("first_id").alias(first), F.col("class_id").alias(klass))
+    joined = docs.withColumn(of, _sequence(F.col(text_col))).join(many, F.col(of) == F.col(seq), "left")
+    kept = joined.where(F.col(seq).isNull() | _kept(F.col(id_col).cast("long"), first, klass))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,17 +16,19 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import ByteBpe, vocabulary
+from .tokens import BYTE_BPE_SPECIAL, ByteBpe, vocabulary
 
 LENGTH = 1024
-_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-_IDS = pa.schema([*_OUT, ("ids", pa.list_(pa.int64()))])
+#: Ids that a task gathers before it hands them on.
+BATCH_TOKENS = 1 << 18
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -129,67 +131,95 @@ class _Block:
             yield got
 
 
-def _packer(ranks: str, capacity: int, end_id: int, block_tokens: int, with_ids: bool):
-    schema = _IDS if with_ids else _OUT
+class _Out:
+    """Pieces on their way to Arrow: numbers by column, ids as the bytes that they are."""
 
+    def __init__(self, with_ids: bool):
+        self.with_ids = with_ids
+        self._empty()
+
+    def _empty(self) -> None:
+        self.columns: list[list] = [[] for _ in _NAMES]
+        self.ids: list[bytes] = []
+        self.tokens = 0
+
+    def add(self, row: tuple, ids: bytes) -> None:
+        for column, value in zip(self.columns, row, strict=True):
+            column.append(value)
+        self.tokens += len(ids) // 4
+        if self.with_ids:
+            self.ids.append(ids)
+
+    def full(self) -> bool:
+        return self.tokens >= BATCH_TOKENS or len(self.columns[0]) >= 8192
+
+    def batch(self) -> pa.RecordBatch:
+        arrays, names = [pa.array(c, pa.int64()) for c in self.columns], list(_NAMES)
+        if self.with_ids:
+            ends = np.cumsum([0, *(len(x) // 4 for x in self.ids)]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(self.ids), np.int32))))
+            names.append("ids")
+        self._empty()
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _packer(ranks: str, special: dict[str, int], capacity: int, end_id: int, block_tokens: int, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteBpe(ranks).encode
+        encode = ByteBpe(ranks, special).encode
         end = end_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
-        out: list[dict] = []
+        out = _Out(with_ids)
 
         def emit(pieces: list[tuple]) -> None:
             nonlocal number
             at = 0
             for (doc_id, total), start, ids in pieces:
-                row = {"doc_id": doc_id, "start": start, "length": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "doc_tokens": total, "sequence_id": number, "offset": at}
-                if with_ids:
-                    row["ids"] = memoryview(ids).cast("I").tolist()
-                out.append(row)
+                out.add((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, number, at), ids)
                 at += len(ids) // 4
             number += 1
 
-        def drain(least: int):
-            while len(out) >= max(least, 1):
-                yield pa.RecordBatch.from_pylist(out[:4096], schema=schema)
-                del out[:4096]
+        def packed(block: _Block) -> Iterator[pa.RecordBatch]:
+            for got in block.sequences():
+                emit(got)
+                if out.full():
+                    yield out.batch()
 
         block = _Block(capacity)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(t.as_py() or "" for t in batch.column(1)), strict=True):
-                ids += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time: they may be long
+                ids = next(encode([text.as_py() or ""])) + end
                 doc, whole = (doc_id, len(ids) // 4), len(ids) // (4 * capacity)
                 for i in range(whole):
                     emit([(doc, i * capacity, ids[4 * capacity * i : 4 * capacity * (i + 1)])])
+                    if out.full():
+                        yield out.batch()
                 if rest := ids[4 * capacity * whole :]:
                     block.add(doc, whole * capacity, rest)
                 if block.tokens >= block_tokens:
-                    for got in block.sequences():
-                        emit(got)
+                    yield from packed(block)
                     block = _Block(capacity)
-                yield from drain(4096)
-        for got in block.sequences():
-            emit(got)
-            yield from drain(4096)
-        yield from drain(1)
+        yield from packed(block)
+        if out.columns[0]:
+            yield out.batch()
 
     return rows
 
 
-def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, end_id: int = 0, block_tokens: int = 4_000_000, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, special: dict[str, int] = BYTE_BPE_SPECIAL, end_id: int = 0, block_tokens: int = 2_000_000, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    A document's ids are those of the public byte-level vocabulary and then
-    ``end_id``. Every id lies in exactly one piece; sequences hold ``length``
+    A document's ids are those of the public byte-level vocabulary (strings of
+    its ``special`` tokens are those tokens) and then ``end_id``. Every id lies in exactly one piece; sequences hold ``length``
     ids or a power of two, so none needs padding. Packing happens where the
-    text is read: nothing is shuffled, a task holds one block of ids, and
+    text is read: nothing is shuffled, a task holds one block of ids (as bytes)
+    and one batch of pieces, and
     sequence numbers start from the task's number, so a task that runs again
     gives the same rows. Null and empty texts are documents of one id; rows
     that repeat an id are documents of their own; an empty table gives no rows.
     """
     ranks = ranks or vocabulary("byte_bpe_50k.tiktoken")
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_packer(ranks, length, end_id, block_tokens, with_ids), kinds)
+    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_packer(ranks, special, length, end_id, block_tokens, with_ids), kinds)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

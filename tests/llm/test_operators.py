@@ -205,6 +205,54 @@ def test_near_copies_that_repeat_lines_differently(spark):
     assert got == dict(enumerate(want))
 
 
+def brute_classes(texts: list[str]) -> dict[int, int]:
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    seqs = [near_dedup.distinct_in_order(near_dedup.shingles(t.encode())) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or near_dedup.similar(seqs[i], seqs[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_dedup_splits_buckets_by_what_is_beyond_the_pivot(spark):
+    """A large group with members that aren't similar to its original but to each other, and texts that share one passage."""
+    base, passage, texts = prose(200, 21), prose(150, 22), []
+    for k in range(30):
+        texts += [edited(base, 60, 1000 + k), edited(base, 17, 2000 + k)]
+        if k % 3 == 0:
+            texts.append(edited(texts[-1], 90, 3000 + k))  # a copy of a heavily edited copy
+        texts += [f"{passage} {prose(50 + k % 4, 4000 + k)}", " ".join(base.split(" ")[: 200 - 4 * k])]
+    want = brute_classes(texts)
+    sizes = collections.Counter(want.values())
+    assert max(sizes.values()) > 40 and sum(n == 1 for n in sizes.values()) > 20
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got == want
+
+
+def test_links_share_something_beyond_known_shingles_or_may_be_told_by_size():
+    rng = np.random.default_rng(5)
+    seen = collections.Counter()
+    for _ in range(4000):
+        n = int(rng.integers(2, 60))
+        p = rng.permutation(200)[:n]
+
+        def vary(x, by):
+            x = x[rng.random(len(x)) > by * rng.random()]
+            return np.unique(np.concatenate([x, rng.integers(0, 1000, int(len(x) * by * rng.random()) + 1)]))
+
+        a = vary(p, 0.5)
+        b = vary(a, 0.25)
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.8:
+            continue
+        (x, in_a), (y, in_b) = (near_dedup.beyond(t.astype(np.uint64), p.astype(np.uint64), 0.8) for t in (a, b))
+        by_size = len(b) <= in_a * 9 / 4 - len(a) + 1e-6 and len(a) <= in_b * 9 / 4 - len(b) + 1e-6
+        seen[by_size] += 1
+        assert by_size or len(np.intersect1d(x, y))
+    assert min(seen.values()) > 50
+
+
 # --- packing and tokens
 
 
@@ -212,19 +260,27 @@ def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
-    theirs.encode_special_tokens = True
-    ours = tokens.ByteBpe(tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    ours = tokens.ByteBpe(tokens.vocabulary("byte_bpe_50k.tiktoken"), tokens.BYTE_BPE_SPECIAL)
     rng = np.random.default_rng(0)
     parts = [" ", "  ", "\n", "\r\n", "\t", "a", "Bc", " é", "漢", "'s", "1", "12", "!", "　", "\x1c", "\x85", "​", "🙂", "<|endoftext|>"]
     texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 25))) for _ in range(2000)] + [t or "" for _, t, *_ in ROWS]
-    assert [ours.ids(t) for t in texts] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    assert [ours.ids(t) for t in texts] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]  # the library's defaults
+    assert any(50256 in ours.ids(t) for t in texts)
+    theirs.encode_special_tokens = True
+    ordinary = tokens.ByteBpe(tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    assert [ordinary.ids(t) for t in texts] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packing_round_trip(docs, clash, none):
+@pytest.mark.parametrize("batch", [1 << 18, 900])
+def test_packing_round_trip(spark, clash, none, batch, monkeypatch):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
-    got = rows(packing.pack(clash))
+    special = [(20, "<|endoftext|>"), (21, "a <|endoftext|>  b<|endoftext|><|endoftext|>\n"), (22, "<|endoftext|")]
+    texts = clash.select("doc_id", "text", "length").unionByName(spark.createDataFrame([(*x, "own") for x in special], "doc_id long, text string, length string"))
+    monkeypatch.setattr(packing, "BATCH_TOKENS", batch)
+    got = rows(packing.pack(texts, block_tokens=20 * batch))
+    ROWS = [*globals()["ROWS"], *special]
     ids = {r[0]: [*theirs.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in ROWS}
     covered = collections.Counter()
     for r in got:
