@@ -189,12 +189,12 @@ def _sketcher(width: int, sketches: int, order: int):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            body = [packer.compress(_utf8(t)) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(body, pa.binary())], names=["node", "body"])
+            body = [packer.compress(_utf8(t)) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(body, pa.binary())], names=["doc_id", "raw", "body"])
 
 
 class _Bodies:
@@ -337,10 +337,15 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         keys = keys.groupBy("x", "z", "m", "who", "root").agg(F.min("key").alias("key")).select("key", "m")
         return scratch.write(known.join(keys, "key"), name)
 
+    def bodies(of: DataFrame, node: str, body: str) -> DataFrame:
+        """(node, body) of the texts that ``of`` names, so that a join moves those and no others."""
+        return texts.join(of.select(F.col(node).alias("node")), "node", "left_semi").toDF(node, body)
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes those that are links; b is the one that many pairs may have."""
-        both = pairs.distinct().join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
-        return both.mapInArrow(_verifier(width, least), "a long, b long")
+        """Of pairs (a, b) of nodes those that are links, written; b is the one that many pairs may have."""
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        both = pairs.join(bodies(pairs, "a", "body_a"), "a").join(bodies(pairs, "b", "body_b"), "b").select("a", "b", "body_a", "body_b")
+        return scratch.write(both.mapInArrow(_verifier(width, least), "a long, b long"), "links")
 
     def matching(pairs: DataFrame) -> DataFrame:
         """Of rows with profiles (n, bins) and (_n, _bins) those that may be links."""
@@ -351,22 +356,22 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
     met = live.groupBy("node").agg(F.sum("m").alias("w"))  # a text meets so many members in all its buckets
     known = scratch.write(nodes.join(met, "node").select("node", "w", "n", "bins", F.col("raw").alias("_raw"), "first_id"), "known")
     profiles = known.select("node", "w", "n", "bins")
-    found = base.join(known.hint("merge"), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    packed = found.select("node", "text").mapInArrow(_packed, "node long, body binary")
-    texts = scratch.write(packed.groupBy("node").agg(F.first("body").alias("body")), "texts")  # rows may repeat
+    packed = base.mapInArrow(_packed, "doc_id long, raw long, body binary")  # before the join, which moves all texts
+    found = packed.join(known.hint("merge"), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = scratch.write(found.groupBy("node").agg(F.first("body").alias("body")), "texts")  # rows may repeat
 
     # every bucket's members against one head: the text that meets the most, as that does from which copies were made
     live = live.join(profiles, "node")
     heads = live.groupBy("key").agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
     held = scratch.write(live.join(heads, "key").where("node <> h.node").select("key", "node", "root", "comp", "n", "bins", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("_n"), F.col("h.bins").alias("_bins")), "held")
-    labels = connect(scratch, labels, scratch.write(linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b"))), "links"))
+    labels = connect(scratch, labels, linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b"))))
     live = opened(held.select("key", "node", "root"), "live")
 
     band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20)
     while not live.isEmpty():
         few, many = live.where(F.col("m") <= FEW).join(profiles, "node"), live.where(F.col("m") > FEW)
         pairs = few.join(few.toDF(*[f"_{c}" for c in few.columns]), (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")))
-        links = scratch.write(linked(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b"))), "links")
+        links = linked(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b")))
         if many.isEmpty():
             labels = connect(scratch, labels, links)
             break
@@ -377,7 +382,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         pivots = heads.join(centers, "comp", "left").select("key", "head", F.coalesce("center", "head").alias("center"))
         pivot = F.when(F.col("root").isNull(), F.col("center")).otherwise(F.col("head"))
         against = many.join(pivots, "key").select("node", pivot.alias("pivot"), F.coalesce("root", "center").alias("root")).where("node <> pivot").distinct()
-        both = against.join(texts, "node").join(texts.toDF("root", "root_body"), "root").join(texts.toDF("pivot", "pivot_body"), "pivot")
+        against = scratch.write(against, "against")
+        both = against.join(bodies(against, "node", "body"), "node").join(bodies(against, "root", "root_body"), "root").join(bodies(against, "pivot", "pivot_body"), "pivot")
         parts = both.mapInArrow(_splitter(width, least), "node long, pivot long, root long, linked boolean, near boolean, n int, most double, keys array<long>")
         parts = scratch.write(parts, "parts")
 
@@ -388,7 +394,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         others = sized.withColumn("band", band(F.col("n").cast("double"))).select(*[F.col(c).alias(f"_{c}") for c in ("node", "pivot", "root", "n", "most", "comp", "band")])
         fits = F.col("_n").between(F.col("low"), F.col("high")) & (F.col("n") <= F.col("_most")) & (F.col("comp") != F.col("_comp"))
         pairs = off.join(others, (F.col("pivot") == F.col("_pivot")) & (F.col("root") == F.col("_root")) & (F.col("band") == F.col("_band")) & fits)
-        by_size = scratch.write(linked(pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))), "links")
+        by_size = linked(pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")))
         labels = connect(scratch, labels, links.union(parts.where("linked").select("node", "pivot")).union(by_size))
         live = opened(parts.select(F.explode("keys").alias("key"), "node", "root"), "live")
 
