@@ -1,30 +1,39 @@
-"""Field extraction from document text, as Column expressions.
+"""Field extraction from document text.
 
 Every extractor gives a struct (raw_text, normalized_text, matched_pattern,
 span_start, span_end) or null; spans are half-open character offsets into the
-text. Spark's regular expressions give no offsets, so a pattern is run behind a
-reluctant prefix group: the prefix's length is where the value starts.
+text. Spark's regular expressions give no offsets and can't step on to the next
+match, so texts go through compiled patterns in Arrow batches, all wanted fields
+in one pass; what needs neither (dates, genders) is normalised by built-in
+functions afterwards.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import capitalize, clean_spacing, gender_of_text, normalize_date, squeeze  # noqa: F401
+from .text import gender_of_text, normalize_date
 
 FOUND = "struct<raw_text: string, normalized_text: string, matched_pattern: string, span_start: int, span_end: int>"
+_ARROW = pa.struct([("raw_text", pa.string()), ("normalized_text", pa.string()), ("matched_pattern", pa.string()), ("span_start", pa.int32()), ("span_end", pa.int32())])
 
 # Labels, patterns and word lists of the document formats.
-NAME_LABEL = r"(?:full\s*name|citizen\s*name|applicant\s*name|holder\s*name|name\s*of\s*holder|name)\s*[:\-.]\s*"
+NAME_LABEL = r"(?i:full\s*name|citizen\s*name|applicant\s*name|holder\s*name|name\s*of\s*holder|name)\s*[:\-.]\s*"
 NAME_VALUE = r"[^\n\r,;|]+"
 HONORIFIC = r"(?i)^(?:shri|smt|dr|mr|mrs|ms)\.?\s*"
 NAME_CHARS = r"[^A-Za-z\s.'\-]"
 BIRTH_OR_GENDER = r"(?i)(?:year\s*of\s*birth|yearof\s*birth|yob|dob|gender|male|female)"
 CARE_OF = r"(?i)\b[dswc]/o\b"
-BIRTH_YEAR_LABEL = r"(?:year\s*of\s*birth|yearof\s*birth|yearofbirth|birth\s*year|yob)[\s:\-./]*"
+BIRTH_YEAR_LABEL = r"(?i:year\s*of\s*birth|yearof\s*birth|yearofbirth|birth\s*year|yob)[\s:\-./]*"
 BIRTH_YEAR_VALUE = r"[12][0-9]{3}"
-DOB_LABEL = r"(?:dob|d0b|d\.o\.b|date\s*of\s*birth|birth\s*date)[\s:\-./]*"
+DOB_LABEL = r"(?i:dob|d0b|d\.o\.b|date\s*of\s*birth|birth\s*date)[\s:\-./]*"
 NUMERIC_DATE = r"[0-3]?[0-9][/\-.][0-1]?[0-9][/\-.][12][0-9]{3}"
 DOB_VALUE = NUMERIC_DATE + r"|[12][0-9]{3}[/\-.][0-1]?[0-9][/\-.][0-3]?[0-9]|[0-3]?[0-9]\s+[A-Za-z]{3,9}\s+[12][0-9]{3}"
 NOT_A_BIRTH = ("enrollment", "enrolment", "issued", "valid")
@@ -42,126 +51,188 @@ ADDRESS_START = r"(?i)[dswc]/o|\bcare\s*of\b|\b(?:hno|h\.no|house\s*no|flat\s*no
 PIN = r"\b[1-9][0-9]{2}[\s\-]?[0-9]{3}\b"
 BLOCK_NOISE = r"(?i)verified|portal|signature|government|aadhaar\s*no"
 LINE_NOISE = r"(?i)verified|portal|signature|government|credential|authority"
-ADDRESS_LABEL = r"(?:address|perm\s*address|residential\s*address|res\.\s*address)\s*[:\-.]"
-ADDRESS_END = r"(?=(?:\n\s*(?:DOB|Date|Phone|Mobile|PIN|Pin\s*Code|ID|Doc\s*ID|Gender)\b)|\n\s*\n|$)"
+ADDRESS_LABEL = r"(?i:address|perm\s*address|residential\s*address|res\.\s*address)\s*[:\-.]"
+ADDRESS_END = r"(?=(?i:\n\s*(?:DOB|Date|Phone|Mobile|PIN|Pin\s*Code|ID|Doc\s*ID|Gender)\b)|\n\s*\n|$)"
 ADDRESS_WORDS = (
     "road", "rd", "street", "st", "lane", "nagar", "colony", "sector", "plot", "apt", "apartment", "flat", "floor", "cross", "main", "district", "post", "near", "opposite", "mandalam", "mandal", "taluk", "village",
 )
 
 
-def found(raw: Column, normalized: Column, pattern: Column | str, start: Column, end: Column) -> Column:
-    tag = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.struct(raw.alias("raw_text"), normalized.alias("normalized_text"), tag.alias("matched_pattern"), start.cast("int").alias("span_start"), end.cast("int").alias("span_end"))
+Hit = dict[str, object]
+
+
+def _hit(raw: str, normalized: str, tag: str, start: int, end: int) -> Hit:
+    return {"raw_text": raw, "normalized_text": normalized, "matched_pattern": tag, "span_start": start, "span_end": end}
 
 
-def _first(text: Column, label: str, value: str, tail: str, normalize, tag: str, before: str = "", flags: str = "", ok=None) -> Column:
-    """The first match of label, value and tail that ``before`` doesn't rule out."""
-    pattern = rf"(?U{flags})^([\s\S]*?{before}{label})({value}){tail}"
-    raw_all = F.regexp_extract(text, pattern, 2)
-    start = F.char_length(F.regexp_extract(text, pattern, 1))
-    raw = F.trim(F.regexp_replace(raw_all, r"^\s+|\s+$", ""))
-    out = found(raw, normalize(raw), tag, start, start + F.char_length(raw_all))
-    hit = F.char_length(raw_all) > 0
-    return F.when(hit if ok is None else hit & ok(raw), out)
+@dataclass(frozen=True)
+class Rule:
+    """A value between a label and a tail; a match with one of ``not_after`` in the ``reach`` characters before it, or shorter
+    than ``least`` without spaces and hyphens, is passed over for the next one."""
 
+    tag: str
+    label: str
+    value: str
+    tail: str = ""
+    not_after: tuple[str, ...] = ()
+    reach: int = 0
+    least: int = 0
+    pattern: re.Pattern = field(init=False)
+    excluded: re.Pattern | None = field(init=False)
 
-def _no_word_before(words: tuple[str, ...], reach: int) -> str:
-    """Look-behind: none of ``words`` lies within the ``reach`` characters before this place."""
-    return "(?<!" + "|".join(rf"(?i:{w})[\s\S]{{0,{reach - len(w)}}}" for w in words) + ")"
+    def __post_init__(self):
+        object.__setattr__(self, "pattern", re.compile(f"{self.label}({self.value}){self.tail}"))
+        object.__setattr__(self, "excluded", re.compile("|".join(self.not_after), re.IGNORECASE) if self.not_after else None)
 
+    def first(self, text: str) -> Hit | None:
+        for m in self.pattern.finditer(text):
+            if self.excluded and self.excluded.search(text, max(0, m.start() - self.reach), m.start()):
+                continue
+            raw = m[1].strip()
+            bare = _BARE.sub("", raw)
+            if len(bare) >= self.least:
+                return _hit(raw, bare.upper(), self.tag, m.start(1), m.end(1))
+        return None
+
+
+_BARE = re.compile(r"[\s\-]")
+_DOB_RULES = (
+    Rule("year_of_birth", BIRTH_YEAR_LABEL, BIRTH_YEAR_VALUE, r"\b"), Rule("labeled_dob", DOB_LABEL, DOB_VALUE), Rule("standalone_date", r"\b", NUMERIC_DATE, r"\b", NOT_A_BIRTH, 30),
+)
+_ID_RULES = tuple(Rule(tag, label, value, tail, NOT_AN_ID, 25, 5) for tag, label, value, tail in ID_PATTERNS)
+_GENDER_RULES = tuple(Rule(f"gender:{i + 1}", label, value, tail) for i, (label, value, tail) in enumerate(GENDER_PATTERNS))
 
-def lines_of(text: Column) -> Column:
+_FUSED = ((re.compile("([a-z])([A-Z])"), r"\1 \2"), (re.compile(r"(?i)\b([dswc]/o)([a-zA-Z])"), r"\1 \2"), (re.compile(r"(?i)\b(hno|h\.no|house\s*no)([0-9])"), r"\1 \2"))
+
+
+def _spaced(line: str) -> str:
+    """``text.clean_spacing`` of one line."""
+    for pattern, by in _FUSED:
+        line = pattern.sub(by, line)
+    return " ".join(line.split())
+
+
+_NAME, _HONORIFIC, _NO_NAME_CHARS = re.compile(f"{NAME_LABEL}({NAME_VALUE})"), re.compile(HONORIFIC), re.compile(NAME_CHARS)
+_NO_NAME = re.compile("(?i)government|india|department")
+#: Names by layout: the tag, what marks a line, how far from it the name is, and what is no name.
+_NAME_LINES = (
+    ("aadhaar_to_name", re.compile(r"(?i)^to\b"), 1, re.compile("(?i)government|india|authority|enrollment")),
+    ("aadhaar_pre_dob_name", re.compile(BIRTH_OR_GENDER), -1, re.compile("(?i)government|india|authority|enrollment|republic")),
+    ("aadhaar_pre_careof_name", re.compile(CARE_OF), -1, re.compile(r"(?i)government|india|authority|to\b")),
+)
+_START, _PIN, _BLOCK_NOISE, _LINE_NOISE = (re.compile(x) for x in (ADDRESS_START, PIN, BLOCK_NOISE, LINE_NOISE))
+_LABELLED_ADDRESS = re.compile(rf"{ADDRESS_LABEL}([\s\S]+?){ADDRESS_END}")
+_ADDRESS_WORDS = re.compile("|".join(ADDRESS_WORDS))
+
+
+def _lines(text: str) -> list[str]:
     """Lines without white space at their ends; blank ones go."""
-    return F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-
-
-def extract_dob(text: Column) -> Column:
-    year = _first(text, BIRTH_YEAR_LABEL, BIRTH_YEAR_VALUE, r"\b", lambda raw: raw, "year_of_birth", flags="i")
-    labelled = _first(text, DOB_LABEL, DOB_VALUE, "", normalize_date, "labeled_dob", flags="i")
-    alone = _first(text, r"\b", NUMERIC_DATE, r"\b", normalize_date, "standalone_date", before=_no_word_before(NOT_A_BIRTH, 30))
-    return F.coalesce(year, labelled, alone)
-
-
-def extract_document_id(text: Column) -> Column:
-    """By kind of number first, then by place; the tag names the kind."""
-    before = _no_word_before(NOT_AN_ID, 25)
-    normalize = lambda raw: F.upper(F.regexp_replace(raw, r"(?U)[\s\-]", ""))
-    kinds = [_first(text, label, value, tail, normalize, tag, before=before, ok=lambda raw: F.char_length(normalize(raw)) >= 5) for tag, label, value, tail in ID_PATTERNS]
-    return F.coalesce(*kinds)
-
-
-def extract_gender(text: Column) -> Column:
-    return F.coalesce(*[_first(text, label, value, tail, gender_of_text, f"gender:{i + 1}") for i, (label, value, tail) in enumerate(GENDER_PATTERNS)])
-
-
-def extract_name(text: Column) -> Column:
-    """Labelled; else, line by line, after 'to', before a birth or gender line, before a care-of line."""
-    pattern = rf"(?Ui)^([\s\S]*?{NAME_LABEL})({NAME_VALUE})"
-    whole = F.regexp_extract(text, pattern, 2)
-    raw = F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(raw, HONORIFIC, ""), NAME_CHARS, ""))
-    start = F.char_length(F.regexp_extract(text, pattern, 1))
-    labelled = F.when((F.char_length(clean) >= 2) & ~clean.rlike("(?i)government|india|department"), found(raw, clean_spacing(clean), "labeled_name", start, start + F.char_length(whole)))
-
-    lines = lines_of(text)
-    at = lambda i: F.try_element_at(lines, i + 1)  # noqa: E731  0-based; null beyond the end
-    ahead = lambda i: F.when(i > 0, at(F.greatest(i - 1, F.lit(0))))
-    rules = (
-        ("aadhaar_to_name", r"(?i)^to\b", lambda i: at(i + 1), "(?i)government|india|authority|enrollment"),
-        ("aadhaar_pre_dob_name", BIRTH_OR_GENDER, ahead, "(?i)government|india|authority|enrollment|republic"),
-        ("aadhaar_pre_careof_name", CARE_OF, ahead, r"(?i)government|india|authority|to\b"),
-    )
-
-    def candidates(line: Column, i: Column) -> Column:
-        out = []
-        for tag, trigger, pick, reject in rules:
-            cand = pick(i)
-            clean = F.trim(F.regexp_replace(clean_spacing(cand), NAME_CHARS, ""))
-            good = line.rlike(trigger) & cand.isNotNull() & (F.char_length(clean) >= 3) & ~clean.rlike(reject)
-            start = F.instr(text, cand) - 1
-            out.append(F.when(good, found(cand, clean, tag, start, start + F.char_length(cand))))
-        return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-    layout = F.try_element_at(F.flatten(F.transform(lines, candidates)), F.lit(1))
-    return F.coalesce(labelled, layout)
-
-
-def _joined(lines: Column) -> Column:
-    return F.array_join(lines, ", ")
-
-
-def extract_address(text: Column) -> Column:
-    """A block from a start mark to the first line with a PIN; else the labelled address; else lines that look like one."""
-    lines = lines_of(text)
-    one_line = lambda x: clean_spacing(x)
-    find = lambda what, origin: F.when(F.substr(text, origin + 1).contains(what), F.instr(F.substr(text, origin + 1), what) - 1 + origin).otherwise(F.lit(-1))
-
-    start = F.array_position(F.transform(lines, lambda x: x.rlike(ADDRESS_START)), True).cast("int")
-    rest = F.when(start > 0, F.slice(lines, start, F.size(lines)))
-    stop = F.array_position(F.transform(rest, lambda x: x.rlike(PIN)), True).cast("int")
-    block = F.when((start > 0) & (stop > 0), F.slice(rest, F.lit(1), F.greatest(stop, F.lit(1))))
-    kept = F.transform(F.filter(block, lambda x: ~x.rlike(BLOCK_NOISE)), one_line)
-    from_, last = find(F.element_at(block, 1), F.lit(0)), F.element_at(block, -1)
-    by_block = F.when((start > 0) & (stop > 0) & (F.size(kept) > 0), found(_joined(kept), squeeze(_joined(kept)), "aadhaar_address_block", from_, find(last, from_) + F.char_length(last)))
-
-    pattern = rf"(?i)^([\s\S]*?{ADDRESS_LABEL})([\s\S]+?){ADDRESS_END}"
-    value = F.regexp_extract(text, pattern, 2)
-    origin = F.char_length(F.regexp_extract(text, pattern, 1))
-    raw_lines = lines_of(value)
-    noise = F.array_position(F.transform(raw_lines, lambda x: x.rlike(LINE_NOISE)), True).cast("int")
-    before = F.transform(F.when(noise > 0, F.slice(raw_lines, F.lit(1), F.greatest(noise - 1, F.lit(0)))).otherwise(raw_lines), one_line)
-    clean = squeeze(F.array_join(before, " "))
-    first, last_raw = F.try_element_at(raw_lines, F.lit(1)), F.try_element_at(raw_lines, F.lit(-1))
-    at = find(first, origin)
-    by_label = F.when((F.char_length(value) > 0) & (F.size(before) > 0) & (F.char_length(clean) > 5), found(_joined(before), clean, "labeled_address", at, find(last_raw, at) + F.char_length(last_raw)))
-
-    words = "|".join(ADDRESS_WORDS)
-    looks = F.filter(lines, lambda x: ~x.rlike(LINE_NOISE) & (F.lower(x).rlike(words) | x.rlike(PIN)))
-    places = F.transform(looks, lambda x: F.instr(text, x) - 1)
-    ends = F.transform(looks, lambda x: F.instr(text, x) - 1 + F.char_length(x))
-    loose = _joined(F.transform(looks, one_line))
-    by_look = F.when(F.size(looks) > 0, found(loose, squeeze(loose), "heuristic_address", F.array_min(places), F.array_max(ends)))
-    return F.coalesce(by_block, by_label, by_look)
-
-
-EXTRACTORS = {"name": extract_name, "dob": extract_dob, "document_id": extract_document_id, "gender": extract_gender, "address": extract_address}
+    return [x for x in map(str.strip, text.splitlines()) if x]
+
+
+class Reading:
+    """One text, and what is found in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return _lines(self.text)
+
+    def _by(self, rules: tuple[Rule, ...]) -> Hit | None:
+        return next((hit for hit in (r.first(self.text) for r in rules) if hit), None)
+
+    def dob(self) -> Hit | None:
+        return self._by(_DOB_RULES)
+
+    def document_id(self) -> Hit | None:
+        """By kind of number first, then by place; the tag names the kind."""
+        return self._by(_ID_RULES)
+
+    def gender(self) -> Hit | None:
+        return self._by(_GENDER_RULES)
+
+    def name(self) -> Hit | None:
+        """Labelled; else, line by line, after 'to', before a birth or gender line, before a care-of line."""
+        if m := _NAME.search(self.text):
+            clean = _NO_NAME_CHARS.sub("", _HONORIFIC.sub("", m[1].strip())).strip()
+            if len(clean) >= 2 and not _NO_NAME.search(clean):
+                return _hit(m[1].strip(), _spaced(clean), "labeled_name", *m.span(1))
+        marked = ((i + step, tag, reject) for i, line in enumerate(self.lines) for tag, mark, step, reject in _NAME_LINES if mark.search(line))
+        for at, tag, reject in marked:
+            if 0 <= at < len(self.lines):
+                clean = _NO_NAME_CHARS.sub("", _spaced(self.lines[at])).strip()
+                if len(clean) >= 3 and not reject.search(clean):
+                    return _hit(self.lines[at], clean, tag, *self._span(self.lines[at : at + 1]))
+        return None
+
+    def address(self) -> Hit | None:
+        """A block from a start mark to the first line with a PIN; else the labelled address; else lines that look like one."""
+        return self._address_block() or self._labelled_address() or self._address_lines()
+
+    def _span(self, lines: list[str], origin: int = 0) -> tuple[int, int]:
+        """From where the first line first occurs to where the last one, from there on, ends."""
+        start = self.text.find(lines[0], origin)
+        return start, self.text.find(lines[-1], max(start, 0)) + len(lines[-1])
+
+    def _address_block(self) -> Hit | None:
+        start = next((i for i, x in enumerate(self.lines) if _START.search(x)), len(self.lines))
+        end = next((i for i in range(start, len(self.lines)) if _PIN.search(self.lines[i])), None)
+        if end is None:
+            return None
+        block = self.lines[start : end + 1]
+        raw = ", ".join(_spaced(x) for x in block if not _BLOCK_NOISE.search(x))
+        return _hit(raw, " ".join(raw.split()), "aadhaar_address_block", *self._span(block)) if raw else None
+
+    def _labelled_address(self) -> Hit | None:
+        m = _LABELLED_ADDRESS.search(self.text)
+        lines = _lines(m[1]) if m else []
+        noise = next((i for i, x in enumerate(lines) if _LINE_NOISE.search(x)), len(lines))
+        kept = [_spaced(x) for x in lines[:noise]]
+        clean = " ".join(kept)
+        return _hit(", ".join(kept), clean, "labeled_address", *self._span(lines, m.start(1))) if len(clean) > 5 else None
+
+    def _address_lines(self) -> Hit | None:
+        looks = [x for x in self.lines if not _LINE_NOISE.search(x) and (_ADDRESS_WORDS.search(x.lower()) or _PIN.search(x))]
+        if not looks:
+            return None
+        raw, places = ", ".join(map(_spaced, looks)), [self.text.find(x) for x in looks]
+        return _hit(raw, " ".join(raw.split()), "heuristic_address", min(places), max(p + len(x) for p, x in zip(places, looks, strict=True)))
+
+
+FIELD_NAMES = ("name", "dob", "document_id", "gender", "address")
+
+
+def _normal(name: str, f: Column) -> Column:
+    """What built-in functions normalise."""
+    raw = f["raw_text"]
+    if name == "dob":
+        return f.withField("normalized_text", F.when(f["matched_pattern"] == "year_of_birth", raw).otherwise(normalize_date(raw)))
+    return f.withField("normalized_text", gender_of_text(raw)) if name == "gender" else f
+
+
+def extracted(text: Column, *names: str) -> Column:
+    """A struct with the fields that are found in ``text``, by name; null where one isn't found."""
+    kind = pa.struct([(n, _ARROW) for n in names])
+
+    def read(texts: pa.Array) -> pa.Array:
+        readings = [None if t is None else Reading(t) for t in texts.to_pylist()]
+        return pa.array([{n: r and getattr(r, n)() for n in names} for r in readings], kind)
+
+    read.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, "struct<" + ", ".join(f"{n}: {FOUND}" for n in names) + ">")(text)
+
+
+def _extractor(name: str) -> Callable[[Column], Column]:
+    return lambda text: _normal(name, extracted(text, name)[name])
+
+
+EXTRACTORS = {name: _extractor(name) for name in FIELD_NAMES}
+
+
+def extract_all(text: Column) -> Iterator[tuple[str, Column]]:
+    """(field name, its struct) of all fields, from one pass over the texts."""
+    found = extracted(text, *FIELD_NAMES)
+    for name in FIELD_NAMES:
+        yield name, _normal(name, found[name])

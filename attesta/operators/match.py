@@ -60,12 +60,13 @@ def dates_agree(submitted: Column, normalized: Column) -> Column:
     return (mine == normalized) | ((a != "") & (a == b) & ((F.char_length(normalized) == 4) | (F.char_length(mine) == 4)))
 
 
-def match_fields(submitted: DataFrame, fields: DataFrame) -> DataFrame:
+def match_fields(submitted: DataFrame, fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """One row per submitted field and side of the document.
 
     ``submitted``: (doc_id, field_name, submitted). ``fields``: (doc_id, side,
-    field_name, raw_text, normalized_text[, bbox, confidence]). Sides are those
-    that ``fields`` has for the document, and the front in any case.
+    field_name, raw_text, normalized_text[, bbox, confidence]). ``sides`` (doc_id,
+    side) are the sides that the documents have, found fields or not; without it
+    they are those of ``fields``. The front counts in any case.
 
     Rows whose normal forms are equal need no similarity; only the others cross
     to Python, in one pass over Arrow batches.
@@ -74,7 +75,8 @@ def match_fields(submitted: DataFrame, fields: DataFrame) -> DataFrame:
     found = fields.select(
         "doc_id", "side", "field_name", "raw_text", "normalized_text", (F.col("bbox") if has_boxes else F.array(*[F.lit(0)] * 4)).cast(BBOX).alias("box"), (F.col("confidence") if has_boxes else F.lit(0.0)).alias("conf")
     )
-    sides = submitted.select("doc_id", F.lit("front").alias("side")).union(fields.select("doc_id", "side")).distinct()
+    known = (fields if sides is None else sides).select("doc_id", "side")
+    sides = submitted.select("doc_id", F.lit("front").alias("side")).union(known).distinct()
     return match_sides(submitted.join(sides, "doc_id"), found)
 
 

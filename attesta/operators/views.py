@@ -37,7 +37,7 @@ def audits(merged: DataFrame, verdict: DataFrame, has_back: DataFrame | None = N
 
     ``has_back`` (doc_id) lists documents with a second side.
     """
-    body = F.struct("submitted", "ocr_text", F.round("_score", 1).alias("score"), "status", "bbox", "doc_side", F.nullif("diff", F.lit("")).alias("diff"))
+    body = F.struct("submitted", "ocr_text", F.col("_score").alias("score"), "status", "bbox", "doc_side", F.nullif("diff", F.lit("")).alias("diff"))
     rounded = merged.withColumn("_score", python_round(F.col("score"), 1))
     fields = rounded.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", body.alias("v"))))).alias("fields"))
     d = verdict.withColumn("_overall", python_round(F.col("overall_score"), 1)).join(fields, "doc_id", "left")

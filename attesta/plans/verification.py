@@ -15,25 +15,29 @@ from ..operators.views import audits
 
 @dataclass(frozen=True)
 class Verification:
-    """The relations of one run, all lazy: fields, matches (per side), merged (per field), verdicts."""
+    """The relations of one run, all lazy: fields, matches (per side), merged (per field), verdicts; and the sides that came."""
 
     fields: DataFrame
     matches: DataFrame
     merged: DataFrame
     verdicts: DataFrame
     forms: DataFrame
+    sides: DataFrame
 
     def audits(self, extended: bool = True) -> DataFrame:
         """Audit JSON of every document."""
-        back = self.fields.where("side = 'back'")
-        return audits(self.merged, self.verdicts, back, extended)
+        return audits(self.merged, self.verdicts, self.backs(), extended)
+
+    def backs(self) -> DataFrame:
+        """(doc_id) of documents that came with a back, whatever was found on it."""
+        return self.sides.where("side = 'back'").select("doc_id")
 
     def records(self) -> DataFrame:
         """Rows for ``RecordStore.save``."""
         forms = self.forms
         have = lambda *names: F.coalesce(*[F.col(n) for n in names if n in forms.columns], F.lit(""))
         who = forms.select("doc_id", have("name", "full_name").alias("applicant_name"), have("dob", "date_of_birth").alias("dob"), have("gender", "sex").alias("gender"), have("document_id", "id_number").alias("document_id"), have("address").alias("address"))
-        back = self.fields.where("side = 'back'").select("doc_id").distinct().withColumn("has_back_document", F.lit(True))
+        back = self.backs().withColumn("has_back_document", F.lit(True))
         return self.verdicts.join(who, "doc_id").join(self.audits(), "doc_id").join(back, "doc_id", "left").drop("doc_id", "review_reason")
 
 
@@ -46,6 +50,7 @@ def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame |
     by doc_id.
     """
     fields = extract_from_tokens(tokens) if tokens is not None else extract_fields(texts)
-    matches = match_fields(submitted_rows(forms), fields)
+    sides = (tokens if tokens is not None else texts).select("doc_id", "side").distinct()
+    matches = match_fields(submitted_rows(forms), fields, sides)
     merged = merge_sides(matches)
-    return Verification(fields, matches, merged, verdicts(merged, forms, weights), forms)
+    return Verification(fields, matches, merged, verdicts(merged, forms, weights), forms, sides)

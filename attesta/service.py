@@ -43,13 +43,13 @@ class VerificationService:
     def verify_batch(self, manifest: str, save: bool = True) -> Verification:
         """Documents of a manifest; entries whose front isn't there are left out, backs that are named must be."""
         entries = docs.manifest(self.spark, manifest)
-        paths = [r[0] for r in entries.select(F.regexp_replace("document_path", r"[^/\\]*$", "")).union(entries.where("back_document_path IS NOT NULL").select(F.regexp_replace("back_document_path", r"[^/\\]*$", ""))).distinct().collect()]  # folders, not files
-        files = docs.scan(self.spark, paths[0]) if len(paths) == 1 else None
-        for p in paths if files is None else []:
-            files = docs.scan(self.spark, p) if files is None else files.union(docs.scan(self.spark, p))
-        bare = F.regexp_replace("path", r"^[a-z]+:(//)?(?=/)", "")
-        found = files.dropDuplicates(["path"]).select(bare.alias("_p"), "content")
-        there = docs.present(entries, files)
+        named = entries.select("document_path").union(entries.where("back_document_path IS NOT NULL").select("back_document_path")).distinct()
+        folders = [r[0] for r in named.select(F.regexp_replace("document_path", r"[^/\\]*$", "")).distinct().collect()]
+        listing = docs.scan(self.spark, folders).select("path")  # names only: no content is read
+        there = docs.present(entries, listing)
+        wanted = docs.present(named, listing)  # of the files in those folders only the ones that the manifest names are read
+        files = docs.scan(self.spark, [r[0] for r in wanted.collect()])
+        found = files.select(docs.bare_path(F.col("path")).alias("_p"), "content")
         front = there.join(found, F.col("document_path") == F.col("_p")).select("doc_id", F.lit("front").alias("side"), "content")
         back = there.where("back_document_path IS NOT NULL").join(found, F.col("back_document_path") == F.col("_p"), "left").select("doc_id", F.lit("back").alias("side"), F.coalesce("content", F.raise_error(F.concat(F.lit("no such file: "), F.col("back_document_path"))).cast("binary")).alias("content"))
         names = ("name", "full_name", "dob", "date_of_birth", "document_id", "id_number", "gender", "sex", "address")

@@ -14,9 +14,15 @@ from ..schemas import MANIFEST, OCR_LINES
 SUFFIXES = ("png", "jpg", "jpeg", "pdf", "tif", "tiff", "webp", "bmp")
 
 
-def scan(spark: SparkSession, path: str, side: str = "front") -> DataFrame:
-    """(doc_id, side, path, content, is_pdf) of the image and PDF files under ``path``; doc_id is the file's stem."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*SUFFIXES, *map(str.upper, SUFFIXES)]) + "}").load(path)
+def scan(spark: SparkSession, path: str | list[str], side: str = "front") -> DataFrame:
+    """(doc_id, side, path, content, is_pdf) of the image and PDF files under ``path``, or under each of several; doc_id is the file's stem.
+
+    A file that lies under more than one of the paths is one row; no path at all gives no rows.
+    """
+    paths = [path] if isinstance(path, str) else sorted(set(path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*SUFFIXES, *map(str.upper, SUFFIXES)]) + "}")
+    inside = [p for p in paths if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in paths)]
+    d = files.load(inside) if inside else spark.createDataFrame([], "path string, content binary")
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return d.select(stem.alias("doc_id"), F.lit(side).alias("side"), "path", "content", is_pdf(F.col("content")).alias("is_pdf"))
 
@@ -32,10 +38,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return d.select(stem.alias("doc_id"), "document_path", "back_document_path", "submitted")
 
 
+def bare_path(c: Column) -> Column:
+    """A path without its scheme."""
+    return F.regexp_replace(c, r"^[a-z]+:(//)?(?=/)", "")
+
+
 def present(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Entries whose document is among ``files`` (path); the path is compared without its scheme."""
-    bare = lambda c: F.regexp_replace(c, r"^[a-z]+:(//)?(?=/)", "")
-    return entries.join(files.select(bare(F.col("path")).alias("_p")), bare(F.col("document_path")) == F.col("_p"), "left_semi")
+    return entries.join(files.select(bare_path(F.col("path")).alias("_p")), bare_path(F.col("document_path")) == F.col("_p"), "left_semi")
 
 
 def form(values: dict[str, str | None]) -> dict[str, str]:

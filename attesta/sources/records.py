@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.views import python_round
 from ..schemas import RECORDS
 
 _TEXTS = ("applicant_name", "dob", "gender", "document_id", "address", "front_filename", "back_filename", "front_file_path", "back_file_path", "annotated_front_path", "annotated_back_path", "crops_dir")
 MOST_ROWS = 200
+_STORED = T.StructType([*RECORDS, T.StructField("batch", T.StringType())])
 
 
 def like(c: Column, term: str) -> Column:
@@ -60,11 +64,11 @@ def record_id(at: Column | None = None) -> Column:
 
 
 class RecordStore:
-    """Records under a folder: ``records`` partitioned by tier, ``deleted`` ids beside them.
+    """Records under a folder: ``records`` partitioned by batch and tier, ``deleted`` ids beside them.
 
     Deleting appends a tombstone; reading leaves tombstones out by an anti-join;
-    ``compact`` rewrites what is left. All writes are appends of whole files, so
-    writers don't hold each other up.
+    ``compact`` rewrites what is left. Every batch is a folder of its own, so
+    writers don't hold each other up, and none mistakes another's rows for its own.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -72,8 +76,8 @@ class RecordStore:
 
     def create(self) -> RecordStore:
         """Lay out the empty table if there is none."""
-        if self._read("records", RECORDS) is None:
-            self.spark.createDataFrame([], RECORDS).write.partitionBy("tier").parquet(f"{self.root}/records")
+        if self._read("records", _STORED) is None:
+            self.spark.createDataFrame([], RECORDS).write.partitionBy("tier").parquet(f"{self.root}/records/batch=b-0")
         return self
 
     def _read(self, name: str, schema) -> DataFrame | None:
@@ -84,7 +88,7 @@ class RecordStore:
 
     def records(self) -> DataFrame:
         """All records that weren't deleted; the audit stays text until it is asked for (``with_audit``)."""
-        d = self._read("records", RECORDS)
+        d = self._read("records", _STORED)
         if d is None:
             return self.spark.createDataFrame([], RECORDS)
         gone = self._read("deleted", "id string")
@@ -98,20 +102,13 @@ class RecordStore:
         flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in there else F.lit(False)
         d = rows.select(
             (F.col("id") if "id" in there else record_id()).alias("id"), (F.col("timestamp") if "timestamp" in there else F.localtimestamp()).cast("timestamp_ntz").alias("timestamp"), *[text(c).alias(c) for c in _TEXTS],
-            F.round(F.coalesce(F.col("overall_score") if "overall_score" in there else F.lit(None), F.lit(0.0)).cast("double"), 1).alias("overall_score"), F.coalesce(F.col("tier") if "tier" in there else F.lit(None), F.lit("UNKNOWN")).alias("tier"),
+            python_round(F.coalesce(F.col("overall_score") if "overall_score" in there else F.lit(None), F.lit(0.0)), 1).alias("overall_score"), F.coalesce(F.col("tier") if "tier" in there else F.lit(None), F.lit("UNKNOWN")).alias("tier"),
             *[flag(c).alias(c) for c in ("critical_flag", "manual_review_priority", "has_back_document")], (F.coalesce("audit_json", F.lit("{}")) if "audit_json" in there else F.lit("{}")).alias("audit_json"),
         ).select(*RECORDS.fieldNames())
-        batch = f"{self.root}/records"
-        before = self._files()
-        d.write.mode("append").partitionBy("tier").parquet(batch)
-        fresh = sorted(self._files() - before)
-        if not fresh:
-            return self.spark.createDataFrame([], "id string")
-        return self.spark.read.parquet(*fresh).select("id")
-
-    def _files(self) -> set[str]:
-        d = self._read("records", RECORDS)
-        return set() if d is None else set(d.inputFiles())
+        # a folder of this batch's own, written once: whoever else writes meanwhile, these ids are the batch's
+        batch = f"{self.root}/records/batch=b-{uuid.uuid4().hex}"
+        d.write.partitionBy("tier").parquet(batch)
+        return self.spark.read.schema(RECORDS).parquet(batch).select("id")
 
     def get(self, record: str) -> DataFrame:
         return self.records().where(F.col("id") == record).limit(1)
@@ -128,7 +125,7 @@ class RecordStore:
 
     def compact(self, to: str) -> RecordStore:
         """Write the records that are left to another folder."""
-        self.records().write.partitionBy("tier").parquet(f"{to.rstrip('/')}/records")
+        self.records().write.partitionBy("tier").parquet(f"{to.rstrip('/')}/records/batch=b-{uuid.uuid4().hex}")
         return RecordStore(self.spark, to)
 
     def list(self, tier: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
