@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,13 @@ ABBREVIATIONS = (
     ("rd", "road"), ("st", "street"), ("ave", "avenue"), ("apt", "apartment"), ("fl", "floor"), ("blvd", "boulevard"),
     ("ln", "lane"), ("ct", "court"), ("pl", "place"), ("ste", "suite"), ("sec", "sector"), ("no", "number"),
 )
-# Date formats, first that fits wins (day before month).
-DATE_FORMATS = ("d-M-yyyy", "yyyy-M-d", "M-d-yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "d MMM yyyy", "d MMMM yyyy")
+# Shapes of dates and their formats, first that fits wins (day before month).
+DATE_FORMATS = ((r"^\d{1,2}-\d{1,2}-\d{4}$", ("d-M-yyyy", "M-d-yyyy")), (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)), (r"^\d{1,2} [A-Za-z]+ \d{4}$", ("d MMM yyyy", "d MMMM yyyy")))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def squeeze(c: Column) -> Column:
@@ -52,15 +59,16 @@ def clean_spacing(c: Column) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """``yyyy-MM-dd``, or ``yyyy`` for a year alone, or the cleaned text if no format fits."""
-    edge = r"^[.,;:()]+|[.,;:()]+$"
-    clean = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")), edge, ""), r"[./]", "-")
-    spaced = F.regexp_replace(clean, r"\s+", " ")
-    dates = []
-    for f in DATE_FORMATS:
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    clean = F.regexp_replace(F.regexp_replace(bare, r"^[.,;:()]+|[.,;:()]+$", ""), r"[./]", "-")
+
+    def dated(x: Column) -> Column:
+        even = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^(\d{1,2})-([A-Za-z]+)-(\d{4})$", "$1 $2 $3")
         # Java would read a long run of digits as a year: the shape is checked first
-        shape = {"d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$", "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$"}.get(f, r"^\d{1,2}[- ][A-Za-z]+[- ]\d{4}$")
-        dates.append(F.when(spaced.rlike(shape), F.try_to_date(spaced, f)))
-    return F.coalesce(F.date_format(F.coalesce(*dates), "yyyy-MM-dd"), clean)
+        day = lambda y: F.coalesce(*[F.when(y.rlike(shape), F.coalesce(*[F.try_to_date(y, f) for f in formats])) for shape, formats in DATE_FORMATS])
+        return F.coalesce(F.date_format(let(even, day), "yyyy-MM-dd"), x)
+
+    return let(clean, dated)
 
 
 def gender_of_text(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fuzzy_scores, similarity
-from ..functions.text import gender_of_form, normalize_address, normalize_date, normalize_id, normalize_string
+from ..functions.text import gender_of_form, let, normalize_address, normalize_date, normalize_id, normalize_string
 from ..schemas import ALIASES, BBOX
 
 # What a missing field says, and from which scores a field counts as a match or a partial one.
@@ -54,10 +54,13 @@ def address_score(s: Column, tset: Column, ts: Column, part: Column, lev: Column
 
 def dates_agree(submitted: Column, normalized: Column) -> Column:
     """Equal dates, or equal years if one of the two is a year alone."""
-    mine = normalize_date(submitted)
-    year = r"\b(19\d{2}|20\d{2})\b"
-    a, b = F.regexp_extract(mine, year, 1), F.regexp_extract(normalized, year, 1)
-    return (mine == normalized) | ((a != "") & (a == b) & ((F.char_length(normalized) == 4) | (F.char_length(mine) == 4)))
+    year = lambda c: F.regexp_extract(c, r"\b(19\d{2}|20\d{2})\b", 1)
+
+    def agree(mine: Column) -> Column:
+        one_year = (year(mine) != "") & (year(mine) == year(normalized))
+        return (mine == normalized) | (one_year & ((F.char_length(normalized) == 4) | (F.char_length(mine) == 4)))
+
+    return let(normalize_date(submitted), agree)
 
 
 def match_fields(submitted: DataFrame, fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
