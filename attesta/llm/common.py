@@ -112,9 +112,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def global_index(df: DataFrame, order: list[str | Column], name: str, index: str = "_g") -> DataFrame:
+def global_index(df: DataFrame, order: list[str | Column], name: str, index: str = "_g", write_first: bool = False) -> DataFrame:
     """Number all rows 0..N-1 in ``order``, without a single-task sort.
 
+    Range partitioning samples its input by running it: ``write_first`` writes
+    the input before, for light rows that are costly to compute.
+
     Rows are range-partitioned and sorted; ``monotonically_increasing_id``
     then holds the partition and the place in it. The table is written once,
     so that the numbers cannot change, and each partition's start is the
@@ -123,6 +126,8 @@ def global_index(df: DataFrame, order: list[str | Column], name: str, index: str
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if write_first:
+        df = materialize(df, f"{name}-rows")
     placed = materialize(
         df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), name
     )

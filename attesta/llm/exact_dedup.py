@@ -15,6 +15,7 @@ import hashlib
 import os
 import struct
 import uuid
+from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -25,11 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, new_path, table
+from .common import ASCII_SPACE, drop_path, materialize, new_path, table, unused
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Depth below which splits stop: equal 64-bit keys can't be split further and are chained.
 _MAX_DEPTH = 60
+#: Rows that one owner task is meant for: their number follows the input's.
+OWNER_ROWS = 1_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -42,7 +45,7 @@ class SegmentFile:
 
     def __init__(self, fs, path: str, buffer_bytes: int = 4 << 20):
         self.fs, self.path, self.buffer, self.flushed = fs, path, bytearray(), 0
-        self.limit, self.parts = buffer_bytes, []
+        self.limit, self.parts, self.opened = buffer_bytes, [], (None, None)
 
     def append(self, data: bytes) -> tuple[int, int]:
         at = self.flushed + len(self.buffer)
@@ -64,9 +67,16 @@ class SegmentFile:
     def read(self, at: int, length: int) -> bytes:
         if at >= self.flushed:
             return bytes(self.buffer[at - self.flushed : at - self.flushed + length])
-        part = next(p for p in reversed(self.parts) if p[0] <= at)
-        with self.fs.open_input_file(part[1]) as f:
-            return f.read_at(length, at - part[0])
+        k = bisect_right(self.parts, at, key=lambda p: p[0]) - 1
+        if k != self.opened[0]:  # the last part read stays open: reads of a bucket's texts stand close together
+            self.shut()
+            self.opened = k, self.fs.open_input_file(self.parts[k][1])
+        return self.opened[1].read_at(length, at - self.parts[k][0])
+
+    def shut(self) -> None:
+        if self.opened[1]:
+            self.opened[1].close()
+        self.opened = None, None
 
 
 class ExtendibleHash:
@@ -137,8 +147,9 @@ class ExtendibleHash:
         """Write what is in memory; the returned bytes are the directory page."""
         for b, entries in self.live.items():
             self.on_disk[b] = self.pages.append(b"".join(self._ENTRY.pack(*e) for e in entries))
-        self.blobs.flush()
-        self.pages.flush()
+        for file in (self.blobs, self.pages):
+            file.flush()
+            file.shut()
         return struct.pack(f"<I{len(self.directory)}I", self.depth, *self.directory)
 
 
@@ -197,41 +208,55 @@ def _keyed(owners: int, window_bytes: int):
 
 
 def _owned(root: str, capacity: int, cached: int):
-    """Owner side: one key range after another, in key order, through its part of the index."""
+    """Owner side: one key range after another through its part of the index.
+
+    A range comes sorted by key. The index would find copies in any order; the
+    sort gives its accesses an order: a bucket is filled before the next one, so
+    that it is written once and read back hardly ever, and no text of a later
+    key can be a copy of an earlier one, so that groups are handed on as soon as
+    their key ends and a task keeps those of one key.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
         unpacker = zstandard.ZstdDecompressor()
         attempt = uuid.uuid4().hex[:12]  # a task that runs again writes files of its own
-        index, owner, groups = None, None, []
+        index, owner, key, done = None, None, None, []
+        groups: dict[int, dict] = {}  # of the present key
 
-        def finish():
+        def finish() -> None:
             if index is not None:
                 page = index.close()
                 with fs.open_output_stream(f"{base}/owner-{owner:06d}-{attempt}.directory", compression=None) as out:
                     out.write(page)
-                for i in range(0, len(groups), 4096):
-                    yield pa.RecordBatch.from_pylist(groups[i : i + 4096], schema=_GROUPS)
 
         for batch in batches:
             for r in batch.to_pylist():
+                if (r["owner"], r["key"]) != (owner, key):
+                    done += groups.values()
+                    key, groups = r["key"], {}
+                    if len(done) >= 4096:
+                        yield pa.RecordBatch.from_pylist(done, schema=_GROUPS)
+                        done = []
                 if r["owner"] != owner:
-                    yield from finish()
-                    owner, groups = r["owner"], []
+                    finish()
+                    owner = r["owner"]
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/owner-{owner:06d}-{attempt}"
                     index = ExtendibleHash(SegmentFile(fs, f"{name}.blobs"), SegmentFile(fs, f"{name}.pages"), capacity, cached, unpack=unpacker.decompress)
                 g = index.put(r["key"] + 2**63, r["body"])
-                if g == len(groups):
-                    groups.append({n: r[n] for n in _GROUPS.names})
+                if g not in groups:
+                    groups[g] = {n: r[n] for n in _GROUPS.names}
                 else:
                     _fold(groups[g], r["length"], r["keep_id"], r["keep_rows"], r["group_size"])
-        yield from finish()
+        finish()
+        if done := [*done, *groups.values()]:
+            yield pa.RecordBatch.from_pylist(done, schema=_GROUPS)
 
     return rows
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None, window_bytes: int = 32 << 20, capacity: int = 256, cached_buckets: int = 1024) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None, window_bytes: int = 32 << 20, capacity: int = 256, cached_buckets: int = 1024, root: str | None = None) -> DataFrame:
     """One row per distinct normalised text: sha256, keep_id, length, keep_rows, group_size.
 
     Copies are folded before the shuffle (within ``window_bytes`` of distinct
@@ -240,8 +265,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the id and the length of the row that stays (over 1 for repeated rows).
     """
     spark = docs.sparkSession
-    n = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    root = new_path(spark, "exact-index")
+    n = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // OWNER_ROWS + 1)
+    root = root or new_path(spark, "exact-index")
     keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_keyed(n, window_bytes), _ddl(_KEYED))
     placed = keyed.repartition(n, "owner").sortWithinPartitions("owner", "key")
     return placed.mapInArrow(_owned(root, capacity, cached_buckets), _ddl(_GROUPS))
@@ -261,31 +286,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``keep_first`` leaves one of them. An empty table gives no rows; further
     columns are ignored.
     """
-    light = docs.select(F.col(id_col), F.col(text_col), _sha256(text_col).alias("_sha256"))
     # only what the join needs crosses it: the text's length, not the text
-    light = light.withColumn(text_col, F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    groups = materialize(duplicate_groups(docs, id_col, text_col), "exact-groups").where("group_size > 1")
+    light = docs.select(F.col(id_col).alias("_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), _sha256(text_col).alias("_sha256"))
+    groups = _found_groups(docs, id_col, text_col).where("group_size > 1")
     many = groups.select(F.col("sha256").alias("_sha256"), F.col("keep_id").alias("_keep_id"), F.col("length").alias("_length"), F.col("group_size").alias("_size"))
-    me, alone = F.col(id_col).cast("long"), F.col("_size").isNull()
+    me, alone = F.col("_id").cast("long"), F.col("_size").isNull()
     return light.join(many, "_sha256", "left").select(
         me.alias("doc_id"),
         F.when(alone, me).otherwise(F.col("_keep_id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (me.eqNullSafe(F.col("_keep_id")) & (F.col(text_col) == F.col("_length")))).alias("kept"),
+        (alone | (me.eqNullSafe(F.col("_keep_id")) & (F.col("_n") == F.col("_length")))).alias("kept"),
         F.col("_sha256").alias("text_sha256"),
     )
 
 
+def _found_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``duplicate_groups``, written; the index that found them goes."""
+    root = new_path(docs.sparkSession, "exact-index")
+    groups = materialize(duplicate_groups(docs, id_col, text_col, root=root), "exact-groups")
+    drop_path(docs.sparkSession, root)
+    return groups
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all its columns) without the rows that are copies of the one that stays."""
-    groups = materialize(duplicate_groups(docs, id_col, text_col), "exact-groups").where("group_size > 1")
-    many = groups.select(F.col("sha256").alias("_sha256"), F.col("keep_id").alias("_keep_id"), F.col("length").alias("_length"))
-    joined = docs.withColumn("_sha256", _sha256(text_col)).join(many, "_sha256", "left")
-    stays = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_length"))
-    kept = joined.where(F.col("_length").isNull() | stays)
+    groups = _found_groups(docs, id_col, text_col).where("group_size > 1")
+    sha, keep, length = unused(docs, "sha256", "keep_id", "length")
+    many = groups.select(F.col("sha256").alias(sha), F.col("keep_id").alias(keep), F.col("length").alias(length))
+    joined = docs.withColumn(sha, _sha256(text_col)).join(many, sha, "left")
+    stays = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col(length))
+    kept = joined.where(F.col(length).isNull() | stays)
     if not groups.where("keep_rows > 1").isEmpty():  # repeated rows: one of each stays
-        kept = kept.dropDuplicates([id_col, "_sha256"])
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+        kept = kept.dropDuplicates([id_col, sha])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Language identification of spans.
 
-Every word gets a score for each language from hashed character n-grams; only
-languages that are written in the word's script are candidates. A Viterbi pass
+A word is a run of characters other than ASCII white space whose letters are of
+one script: where the script changes a word ends, so that text without spaces
+has words as well. Every word gets a score for each language from hashed
+character n-grams; only languages that are written in the word's script are
+candidates, and for letters of a script without a range of its own all are. A
+Viterbi pass
 over the words, with a penalty for each switch, labels spans; the document's
 language is the one of most letters.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,12 @@ SCRIPT_SHARE = 0.02
 _ASCII_SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters (category L), 1 for the marks that belong to letters (M), 0 for all else."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -39,14 +51,19 @@ class Words:
     def __init__(self, codes: np.ndarray):
         space = np.isin(codes, _ASCII_SPACES)
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.codes, self.n = codes, len(self.starts)
-        script = _OF_RANGE[np.searchsorted(_STARTS, codes, "right") - 1]
-        self.letter = script > 0
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        kind = _kinds()[codes]
+        self.glyph, self.letter = kind > 0, kind == 2
+        script = np.where(self.letter, _OF_RANGE[np.searchsorted(_STARTS, codes, "right") - 1], 0)
+        at = np.flatnonzero(self.letter)
+        cuts = at[1:][script[at[1:]] != script[at[:-1]]]  # letters of another script than the letter before
+        if len(cuts):
+            cuts = cuts[~np.isin(cuts, starts) & ~space[cuts]]
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        self.starts, self.ends, self.codes, self.n = starts, ends, codes, len(starts)
         counts = np.concatenate([[0], np.cumsum(self.letter)])
         self.letters = counts[self.ends] - counts[self.starts]
         # script of a word: that of its first letter
-        at = np.flatnonzero(self.letter)
         first = np.searchsorted(at, self.starts)
         has = self.letters > 0
         self.script = np.zeros(self.n, np.int64)
@@ -57,7 +74,7 @@ class Words:
         """(start positions, cells) per n-gram length; grams lie within letters of one word, with the word's edges as marks."""
         n = len(self.codes)
         padded = np.zeros(n + 8, np.uint32)
-        padded[1 : n + 1] = np.where(self.letter, self.codes, 0)  # whatever isn't a letter is an edge
+        padded[1 : n + 1] = np.where(self.glyph, self.codes, 0)  # whatever isn't a letter is an edge
         for k in GRAMS:
             h = np.full(n, k, np.uint32)
             for i in range(k):
@@ -74,7 +91,7 @@ def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
     total = np.zeros((len(words.codes) + 1, langs), np.float32)
     for _, cells in words.cells():
         total[:-1] += table[cells]
-    total[:-1][~words.letter] = 0
+    total[:-1][~words.glyph] = 0
     bounds = np.stack([words.starts, words.ends], 1).ravel()
     return np.add.reduceat(total, bounds, axis=0)[::2]
 
@@ -137,6 +154,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
+        if not langs:
+            return
         smooth = counts + 0.5
         grams = np.log(smooth / smooth.sum(axis=0, keepdims=True))
         # n-grams of several lengths overlap: their evidence is counted by half
@@ -144,6 +163,7 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         allowed = share >= SCRIPT_SHARE
         allowed[~allowed.any(axis=1)] = True  # a script that no language has: all are candidates
+        allowed[0] = True  # letters of scripts that aren't told apart
         self.bar = np.where(allowed, 0.0, -1e4).astype(np.float32)
 
     def scores(self, words: Words) -> np.ndarray:
@@ -179,7 +199,7 @@ def _counter(langs: list[str]):
                 words = Words(codes_of(text.as_py() or ""))
                 k = number[lang]
                 for _, cells in words.cells():
-                    grams[k, :CELLS] += np.bincount(cells[words.letter], minlength=CELLS)
+                    grams[k, :CELLS] += np.bincount(cells[words.glyph], minlength=CELLS)
                 grams[k, CELLS:] += np.bincount(words.scripts[words.letter], minlength=len(SCRIPTS))
         k, cell = np.nonzero(grams)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(grams[k, cell])], schema=schema)

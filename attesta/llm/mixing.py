@@ -27,8 +27,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     All sizes together are shared out by weight; a target stops at
     ``max_repeat`` times the source's size and the excess goes to the others by
     weight. The sources that stop are those first in order of size over weight,
-    so running sums over the (few) sources find them without iterating. Sums
-    are integers, hence exact in any order.
+    so running sums over the sources find them without iterating. Sums are
+    integers, hence exact in any order. The running sums are one task over one
+    row of some 100 bytes per source, which is fine for a million sources;
+    Spark broadcasts the result only below its own threshold.
     """
     s = sized.groupBy(F.col("_source")).agg(F.sum("size").alias("source_size"), F.min("_g").alias("_first"))
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
         F.col(source_col).alias("_source"),
         *[c.alias(f"_carry_{i}") for i, c in enumerate(spark_cols)],
     )
-    placed = global_index(light, [F.col("_source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()], "mix")
+    placed = global_index(light, [F.col("_source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()], "mix", write_first=not carry)
     targets = source_targets(placed, weights, max_repeat).withColumnRenamed("_source", "_of")
     d = placed.join(targets, F.col("_source").eqNullSafe(F.col("_of")))
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce("_source", F.lit(""))).cast("binary"), 256), 1, 3), 16, 10).cast("double")

@@ -179,15 +179,14 @@ def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality", most
     for each.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y IS NOT NULL")
-    rows = measured.join(known, "doc_id").where(~held_out("doc_id"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    known = known.where(~held_out("doc_id"))
+    n = known.count()
+    if n > most:  # thinned before anything is joined or moved
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
-    rows = materialize(rows.select("x", "y", fold.alias("fold"), draw.alias("draw")).repartition(SUM_TASKS), "labelled")
-    n = rows.count()
-    if not n:
+    rows = materialize(measured.join(known, "doc_id").select("x", "y", fold.alias("fold")).repartition(SUM_TASKS), "labelled")
+    if rows.isEmpty():
         return None
-    if n > most:
-        rows = rows.where(F.col("draw") < int((1 << 20) * most / n))
     d = len(STATISTICS)
     n, moments = _summed(rows, _moments, (2, d))
     mean = moments[0] / n

@@ -10,7 +10,6 @@ the logarithm of its length) must lie in the bands of the text's main script.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,10 +53,6 @@ def main_script(text: str) -> str:
     return SCRIPTS[int(counts.argmax())]
 
 
-def script_of(code: int) -> str:
-    return SCRIPT_RANGES[bisect_right(SCRIPT_RANGES, (code, "￿")) - 1][1]
-
-
 def repeated_words(words: list[bytes], width: int = 8) -> int:
     """Words that lie in a window of ``width`` words found twice or more in the text."""
     n = len(words) - width + 1
@@ -128,7 +123,7 @@ _SCHEMA = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), (
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
-def _judge(pieces: str, ranks: str, bands: dict, filter_only: bool):
+def _judge(pieces: str, ranks: str, bands: dict, filter_only: bool, text_col: str):
     schema = pa.schema([("doc_id", pa.int64()), *((n, _ARROW[t]) for n, t in _SCHEMA)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +137,10 @@ def _judge(pieces: str, ranks: str, bands: dict, filter_only: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [judge(t.as_py()) for t in part.column("__text")]
+                found = [judge(t.as_py()) for t in part.column(text_col)]
                 if filter_only:
                     keep = part.filter(pa.array([x["kept"] for x in found], pa.bool_()))
-                    yield keep.drop_columns(["__text"])
+                    yield keep
                 else:
                     yield pa.RecordBatch.from_pylist([x | {"doc_id": i} for i, x in zip(part.column("doc_id").to_pylist(), found, strict=True)], schema=schema)
 
@@ -161,13 +156,13 @@ def quality_rules(docs: DataFrame, pieces: str | None = None, ranks: str | None
     table gives no rows; further columns are ignored. Nothing is shuffled.
     """
     pieces, ranks = pieces or vocabulary("piece_bpe_32k.model"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")).mapInArrow(_judge(pieces, ranks, bands, False), ", ".join(["doc_id long", *(f"{n} {t}" for n, t in _SCHEMA)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_judge(pieces, ranks, bands, False, "text"), ", ".join(["doc_id long", *(f"{n} {t}" for n, t in _SCHEMA)]))
 
 
 def keep_good(docs: DataFrame, pieces: str | None = None, ranks: str | None = None, bands: dict = BANDS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that the rules keep."""
     pieces, ranks = pieces or vocabulary("piece_bpe_32k.model"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken")
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_judge(pieces, ranks, bands, True), docs.schema)
+    return docs.mapInArrow(_judge(pieces, ranks, bands, True, text_col), docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

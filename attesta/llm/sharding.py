@@ -73,7 +73,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "doc_i
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     light = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = global_index(light, [F.col("doc_id").asc_nulls_last(), "text_crc32", "size"], "shards")
+    placed = global_index(light, [F.col("doc_id").asc_nulls_last(), "text_crc32", "size"], "shards", write_first=True)
     n = placed.count()
     p = placed.withColumn("_p", permuted(F.col("_g"), n, seed))
     p = p.withColumn("_p", F.when(F.col("_p") < n, F.col("_p")).otherwise(F.raise_error(F.lit("cycle walk too long"))))

@@ -148,8 +148,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     Of equal payloads (same SHA-1 and size) of ``LEAST_REVISIT`` bytes or more
     the largest page_id is the response. Payloads are folded by digest before
     the shuffle and only digests seen twice or more are joined back, so one
-    payload that fills a third of the pages is a hot key of a join that Spark
-    splits, of rows without their html.
+    payload that fills a third of the pages is the hot key of one join, whose
+    large side (the pages with their html) Spark splits. A page without an id
+    revisits the response, if there is a page that has one.
     """
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     cols = pages.select("page_id", "url", "html", F.sha1(raw).alias("payload_digest"), F.octet_length(raw).cast("long").alias("_n"))
@@ -195,7 +196,7 @@ OP1_SQL = """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to, true AS whole
+  CASE WHEN payload_bytes >= 1000 AND last_id IS NOT NULL AND page_id IS DISTINCT FROM last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to, true AS whole
 FROM g
 """
