@@ -79,6 +79,16 @@ def test_keep_first_leaves_one_of_each(docs, clash):
     assert sorted(texts) == sorted(brute_groups())
 
 
+def test_stages_keep_columns_of_any_name(docs):
+    """Columns named like those that the operators add for a while come through with their own values."""
+    names = ("sha256", "SHA256_", "keep_id", "Length", "of", "seq", "first_id", "class_id", "_sha256", "_length", "__seq", "__text", "_k4", "_copy")
+    table = docs.withColumns({n: F.lit(n) for n in names})
+    for stage in (exact_dedup.keep_first, near_dedup.keep_one, quality_rules.keep_good, mixing.take_mix):
+        got = stage(table)
+        assert got.columns == table.columns
+        assert all(r[n] == n for r in rows(got) for n in names)
+
+
 def test_extendible_hash_splits_chains_and_spills(tmp_path):
     import pyarrow.fs as pafs
 
@@ -428,6 +438,35 @@ def test_quality_rules(spark, docs, clash, none):
     assert kept.columns == clash.columns and {r["doc_id"] for r in rows(kept)} <= {6, 7, 8, 9}
 
 
+def test_fertility_is_what_the_two_libraries_say(spark):
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary("piece_bpe_32k.model"))
+    import base64
+
+    import public_tokenizers
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.vocabulary("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    raw = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [prose(80, 1), "漢字 " * 30, "zq\u0378\U000e0001 " * 25, "a" * 3000, "\n\n  x", "1 2 3 4 " * 9, "Привет мир " * 20, ""]
+    got = {r["doc_id"]: r for r in rows(quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        ids = pieces.encode(t)
+        if not ids:
+            assert got[i]["chars_per_token"] is None and not got[i]["kept"]
+            continue
+        n, counts = len(ids), collections.Counter(ids)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        want = {"chars_per_token": len(t) / n, "chars_per_byte_token": len(t) / len(raw.encode_ordinary(t)), "byte_share": sum(pieces.is_byte(k) for k in ids) / n, "token_entropy": entropy, "evenness": entropy / math.log2(max(2, min(n, 1024)))}
+        assert {k: got[i][k] for k in want} == pytest.approx(want, abs=1e-9)
+        low, high, low_bytes, most_bytes, even = quality_rules.BANDS.get(got[i]["script"], quality_rules.OTHER_BAND)
+        fits = low <= want["chars_per_token"] <= high and low_bytes <= want["chars_per_byte_token"] <= high and want["byte_share"] <= most_bytes and want["evenness"] >= even
+        assert got[i]["kept"] == (fits and not got[i]["base_failed"])
+
+
 def test_scripts():
     assert [quality_rules.main_script(t) for t in ("abc", "привет", "漢字", "12 !", "", "かな")] == ["latin", "cyrillic", "han", "", "", "kana"]
 
@@ -471,12 +510,84 @@ def test_language_id(spark, none):
 # --- quality model
 
 
+def test_letters_of_any_script_have_a_language(spark):
+    learn = [(i, "ສະບາຍດີ ຂອບໃຈ" if i % 2 else "hello thank you friend", "lo" if i % 2 else "en") for i in range(60)]
+    odd = [(100, "ខ្មែរ"), (101, "ሰላም ነው"), (102, "ｈｅｌｌｏ"), (103, "µ"), (104, "१२३ ٤٥ 12"), (105, "،؟ !?"), (106, None), (107, "ສະບາຍ"), (108, "hello中文hello")]
+    table = spark.createDataFrame(learn + [(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in rows(language_id.identify(table, language_id.train(table)))}
+    assert [got[i]["lang_pred"] == "und" for i in range(100, 109)] == [False] * 4 + [True] * 3 + [False] * 2
+    assert got[107]["lang_pred"] == "lo" and got[104]["score"] == 0.0 and got[100]["score"] > 0
+    words = language_id.Words(language_id.codes_of("hello中文hello x1"))
+    assert (words.starts.tolist(), words.ends.tolist()) == ([0, 5, 7, 13], [5, 7, 12, 15])
+
+
+def test_word_scores_are_sums_over_grams():
+    model_table = np.random.default_rng(3).normal(size=(language_id.CELLS, 3)).astype(np.float32)
+    text = "Grün 12 ab,c été"
+    words = language_id.Words(language_id.codes_of(text))
+    want = np.zeros((words.n, 3))
+    codes = [ord(c) if c.isalpha() else 0 for c in text.lower()]
+    at = lambda i: codes[i] if 0 <= i < len(codes) else 0
+    for w, (a, b) in enumerate(zip(words.starts, words.ends, strict=True)):
+        for i in range(a, b):
+            if not codes[i]:
+                continue
+            for k in language_id.GRAMS:  # grams start one place before the letter, single letters at it
+                h = k
+                for j in range(k):
+                    h = (h ^ at(i + j - (k > 1))) * 0x01000193 % (1 << 32)
+                    h ^= h >> 13
+                want[w] += model_table[h % language_id.CELLS]
+    assert language_id.word_scores(words, model_table) == pytest.approx(want, abs=1e-3)
+
+
 def test_isotonic_is_least_squares_monotone():
     rows_, ones = np.array([4.0, 0, 2, 2, 4]), np.array([1.0, 0, 2, 0, 4])
     at, value = quality_model.isotonic(rows_, ones)
     assert (np.diff(at) > 0).all() and (np.diff(value) > 0).all() and len(at) == 3
 
 
+def test_isotonic_is_the_best_rising_fit():
+    """Against the max-min formula of isotonic regression."""
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        size = rng.integers(0, 5, n).astype(float)
+        size[rng.integers(0, n)] += 1
+        ones = np.floor(size * rng.random(n) + rng.random(n) * 0.5)
+        at, value = quality_model.isotonic(size, np.minimum(ones, size))
+        ones = np.minimum(ones, size)
+        mean = lambda a, b: ones[a : b + 1].sum() / size[a : b + 1].sum()
+        there = np.flatnonzero(size)
+        best = [max(min(mean(a, b) for b in there[there >= i]) for a in there[there <= i]) for i in there]
+        blocks = [len(list(g)) for _, g in __import__("itertools").groupby(np.round(best, 9))]
+        assert len(at) == len(blocks) and (np.diff(at) > 0).all()
+        ends = np.cumsum([0, *blocks])
+        for k in range(len(blocks)):
+            inside = there[ends[k] : ends[k + 1]]
+            assert value[k] == pytest.approx((ones[inside].sum() + 0.5) / (size[inside].sum() + 1))
+
+
+def test_summed_equations_are_one_dense_ridge(spark):
+    """Weights fitted from partition sums against one dense solve over all rows; the features against the Gaussian kernel."""
+    rng = np.random.default_rng(11)
+    d = len(quality_model.STATISTICS)
+    x = rng.normal(size=(400, d)).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    measured = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<float>").repartition(5)
+    model = quality_model.fit(measured, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"))
+    learn = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(400)])
+    assert model.to.mean == pytest.approx(x[learn].mean(axis=0), abs=1e-5)
+    z = model.to(x[learn].astype(np.float64))
+    ridge = np.eye(z.shape[1]) * (quality_model.RIDGE * learn.sum() + 0.05)
+    ridge[-1, -1] = 1e-9
+    assert model.weights == pytest.approx(np.linalg.solve(z.T @ z + ridge, z.T @ y[learn]), rel=1e-6, abs=1e-8)
+    wide = quality_model.Map(np.zeros(d), np.ones(d), features=20_000)
+    a = rng.normal(size=(20, d))
+    kernel = np.exp(-((a[:, None] - a[None]) ** 2).sum(axis=2) / (4.0 * d))
+    assert np.abs(wide(a)[:, :-1] @ wide(a)[:, :-1].T - kernel).max() < 0.04
+
+
 def test_quality_model(spark, docs, none):
     good = [(i, prose(50 + i % 40, i)) for i in range(300)]
     bad = [(1000 + i, " ".join(w + "***" for w in prose(50, i).upper().split())) for i in range(300)]
