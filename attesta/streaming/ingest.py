@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ def tier_windows(records: DataFrame, size: str = "10 minutes") -> DataFrame:
 
 
 def append_to(records: DataFrame, root: str, checkpoint: str):
-    """Start appending the stream to a store's records; exactly once by the sink's own log."""
+    """Start appending the stream to a store's records.
+
+    Every micro-batch is a batch of the store, named by the stream's checkpoint
+    and the micro-batch's number: one that runs again writes the same folder.
+    """
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("tier").parquet(f"{root.rstrip('/')}/records/batch=s-{stream}-{number}")
+
     out = records.drop("event_time").select(*RECORDS.fieldNames())
-    return out.writeStream.format("parquet").option("path", f"{root.rstrip('/')}/records").option("checkpointLocation", checkpoint).partitionBy("tier").outputMode("append").trigger(availableNow=True).start()
+    return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -46,6 +46,11 @@ def test_document_id(spark):
     assert got[1] is None and got[2][:3] == ("AB-12 34", "AB1234", "generic_id") and got[3] is None and got[4][2] == "voter_id" and got[5] is None and got[6] is None
 
 
+def test_document_id_goes_on_to_the_next_match(spark):
+    got = found(spark, "document_id", "Doc ID: A-12\nCard No: ABC12345", "phone 123456789012 then 210987654321", "Passport J 1234567", "DL: KA-01 20190001", "ID No. x-1")
+    assert [g and g[1:3] for g in got] == [("ABC12345", "generic_id"), ("210987654321", "aadhaar_compact"), ("J1234567", "passport"), ("KA0120190001", "driving_license"), None]
+
+
 def test_gender(spark):
     got = found(spark, "gender", "Sex: F", "x / MALE", "a Female b", "YOB 1990 Male", "MALE", "male", None)
     assert [g and g[1] for g in got] == ["Female", "Male", "Female", "Male", "Male", None, None]

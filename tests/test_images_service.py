@@ -90,5 +90,7 @@ def test_service(spark, tmp_path):
     record = page["records"][0]["id"]
     assert service.get_record(record)["applicant_name"] == "Jane Roe" and service.stats()["total_records"] == 1
     assert service.delete_record(record) and not service.delete_record(record) and service.get_record(record) is None
+    (tmp_path / "none.json").write_text("[]")
+    assert service.verify_batch(str(tmp_path / "none.json")).verdicts.count() == 0
     with pytest.raises(RuntimeError):
         VerificationService(spark, str(tmp_path / "other")).tokens(run.forms)

@@ -41,9 +41,25 @@ def test_verification_to_records(spark, tmp_path):
     store = R.RecordStore(spark, str(tmp_path)).create()
     store.save(verify(forms, texts=texts).records())
     r = store.records().first()
+    assert r.has_back_document and json.loads(r.audit_json)["has_back_document"]  # a back on which nothing is found
     assert (r.applicant_name, r.dob, r.tier, r.overall_score) == ("Jane Roe", "1990", "HIGH", 100.0) and json.loads(r.audit_json)["fields"]["dob"]["status"] == "match"
 
 
+def test_stored_scores_are_the_audits(spark, tmp_path):
+    store = R.RecordStore(spark, str(tmp_path)).create()
+    store.save(spark.createDataFrame([("a", 85.25), ("b", 0.35), ("c", None)], "id string, overall_score double"))
+    assert {r.id: r.overall_score for r in store.records().collect()} == {"a": 85.2, "b": 0.3, "c": 0.0}
+
+
+def test_writers_get_their_own_ids(spark, tmp_path):
+    one, two = R.RecordStore(spark, str(tmp_path)).create(), R.RecordStore(spark, str(tmp_path))
+    name = lambda *x: spark.createDataFrame([(n,) for n in x], "applicant_name string")
+    first = one.save(name("a", "b"))
+    second = two.save(name("c"))
+    assert first.count() == 2 and second.count() == 1 and one.records().count() == 3
+    assert first.join(one.records(), "id").select("applicant_name").distinct().count() == 2
+
+
 def test_views(spark):
     d = spark.createDataFrame([("jane roe", "LOW", 49.9), ("", "HIGH", 120.0), (" x", "MEDIUM", 95.0)], "name string, tier string, score double")
     got = d.select(views.initials(F.col("name")).alias("i"), views.chip(F.col("tier")).alias("c"), views.card_class(F.col("score")).alias("k"), views.gauge_offset(F.col("score")).alias("g"), views.label_text(F.col("name"), F.col("score")).alias("l")).collect()
@@ -80,6 +96,7 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in/1.json").write_text("\n".join(json.dumps(x) for x in (base, base, base | {"id": "r2", "tier": "LOW"})))
     store = R.RecordStore(spark, str(tmp_path / "store")).create()
     ingest.append_to(ingest.landing(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    assert {(r.id, r.tier) for r in store.records().collect()} == {("r1", "HIGH"), ("r2", "LOW")}
+    store.save(spark.createDataFrame([("r3", "HIGH")], "id string, tier string"))
+    assert {(r.id, r.tier) for r in store.records().collect()} == {("r1", "HIGH"), ("r2", "LOW"), ("r3", "HIGH")}
     q = ingest.tier_windows(ingest.landing(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
