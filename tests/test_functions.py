@@ -47,7 +47,7 @@ def test_document_id(spark):
 
 
 def test_document_id_goes_on_to_the_next_match(spark):
-    got = found(spark, "document_id", "Doc ID: A-12\nCard No: ABC12345", "phone 123456789012 then 210987654321", "Passport J 1234567", "DL: KA-01 20190001", "ID No. x-1")
+    got = found(spark, "document_id", "Doc ID: A-12\nCard No: ABC12345", "phone 123456789012 and afterwards 210987654321", "Passport J 1234567", "DL: KA-01 20190001", "ID No. x-1")
     assert [g and g[1:3] for g in got] == [("ABC12345", "generic_id"), ("210987654321", "aadhaar_compact"), ("J1234567", "passport"), ("KA0120190001", "driving_license"), None]
 
 
