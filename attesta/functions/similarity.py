@@ -68,6 +68,8 @@ def partial_ratio(a: str, b: str) -> float:
     n, m = len(short), len(long)
     if not n:
         return 0.0
+    if short in long:
+        return 100.0
     windows = {long[max(0, i) : i + n] for i in range(1 - n, m)}
     best = 0.0
     for w in sorted(windows, key=lambda w: -len(w)):

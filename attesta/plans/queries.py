@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fields import ADDRESS_WORDS, EXTRACTORS
 from ..functions.similarity import native_ratio, similarity
 from ..operators import layout, views
-from ..operators.match import address_score, dates_agree, match_sides, name_score, submitted_rows
-from ..operators.verdict import merge_sides, review, tier_counts, tier_of, verdicts
+from ..operators.match import address_score, name_score
+from ..operators.verdict import tier_counts, tier_of
 from ..sources import records as R
 from . import cards as C
 from .verification import verify
@@ -22,34 +22,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- the relations that the queries share -----------------------------------
 
 
-def _run(spark: SparkSession, sf_dir: str, two_sided: bool = False):
+def _run(spark: SparkSession, sf_dir: str):
+    """Verification of every card: all five fields, front and back."""
     card = C.cards(spark, sf_dir)
-    texts = C.sides(card)
-    if not two_sided:
-        texts = texts.where("side = 'front'")
-    return verify(C.submitted(card).drop("k"), texts=texts)
-
-
-def _core_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on date of birth, id and gender: built-in functions only."""
-    card = C.cards(spark, sf_dir)
-    texts = C.sides(card).where("side = 'front'")
-    pick = lambda f: EXTRACTORS[f](F.col("full_text"))["normalized_text"].alias(f"x_{f}")
-    found = texts.select("doc_id", pick("dob"), pick("document_id"), pick("gender"))
-    d = C.submitted(card).join(found, "doc_id")
-    parts = []
-    for f, same in (("dob", dates_agree(F.col("dob"), F.col("x_dob"))), ("document_id", T.normalize_id(F.col("document_id")) == T.normalize_id(F.col("x_document_id"))), ("gender", T.gender_of_form(F.col("gender")) == T.gender_of_form(F.col("x_gender")))):
-        got = F.col(f"x_{f}").isNotNull()
-        status = F.when(~got, "missing").when(same, "match").otherwise("mismatch")
-        parts.append(F.struct(F.lit(f).alias("field_name"), status.alias("status"), F.when(status == "match", 100.0).otherwise(0.0).alias("score"), F.lit(f != "gender").alias("is_critical")))
-    merged = d.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.*")
-    return verdicts(merged)
+    return verify(C.submitted(card).drop("k"), texts=C.sides(card))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per card, made of its core verdict."""
+    """A record per card, made of its verdict."""
     card = C.cards(spark, sf_dir)
-    v = _core_verdicts(spark, sf_dir).select("doc_id", "overall_score", "tier", "critical_flag", "manual_review_priority")
+    v = _run(spark, sf_dir).verdicts.select("doc_id", "overall_score", "tier", "critical_flag", "manual_review_priority")
     day = F.expr("timestampadd(MINUTE, cast((k * 7919) % 500000 as int), TIMESTAMP_NTZ'2024-01-01 00:00:00')")
     return card.select("doc_id", F.concat(F.lit("VERIF-"), F.lpad("doc_id", 8, "0")).alias("id"), day.alias("timestamp"), F.col("name").alias("applicant_name"), "document_id").join(v, "doc_id").drop("doc_id")
 
@@ -81,12 +63,24 @@ _RATIO = lambda a, b: (
     f"list_reduce(list_prepend([0], [[ord(x), i] FOR x, i IN string_split({b}, '')]), lambda done, x: list_append(done, CASE WHEN x[1] = c[1] THEN r[x[2]] + 1 ELSE greatest(r[x[2] + 1], list_last(done)) END)))) / (length({a}) + length({b})) END)"
 )
 _SORTED = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+_ADDR = lambda c: f"regexp_replace(regexp_replace({_NORM(c)}, '\\brd\\b', 'road', 'g'), '\\bapt\\b', 'apartment', 'g')"
+_NAME_SCORE = lambda same, ts, lev, jw: f"(CASE WHEN {same} THEN 100.0 WHEN {ts} >= 60 THEN greatest({ts}, {lev}, 0.5 * {ts} + 0.5 * {jw}) ELSE least({ts}, {lev}) END)"
+#: The parts of an address' score: every card's address holds all words of the form's in their order, so the word sets and the best window agree fully; anything else shows as null.
+_TSET = lambda a, b: f"(CASE WHEN list_has_all(string_split({b}, ' '), string_split({a}, ' ')) THEN 100.0::DOUBLE END)"
+_PART = lambda a, b: f"(CASE WHEN contains({b}, {a}) THEN 100.0::DOUBLE END)"
+_ADDRESS_SCORE = lambda same, tset, ts, part: f"(CASE WHEN {same} THEN 100.0 WHEN {tset} >= 70 THEN CASE WHEN {part} IS NOT NULL THEN greatest(0.5 * {tset} + 0.3 * {part} + 0.2 * {ts}, 0.6 * {tset} + 0.4 * {ts}) END END)"
+#: Fields read from the texts of both sides, compared with the forms, scored and sorted into tiers.
 _CORE = f"""
-core AS (SELECT f.k, f.doc_id, f.k % 8 AS p, regexp_extract(full_text, 'DOB: ([0-9/]+)', 1) AS xd, regexp_extract(full_text, '\\b([A-Z]{{5}}[0-9]{{4}}[A-Z])\\b', 1) AS xi, f.dob, f.document_id FROM forms f JOIN sides s ON s.doc_id = f.doc_id AND side = 'front'),
-statuses AS (SELECT *, CASE WHEN {_DATE("dob")} = {_DATE("xd")} OR (length(dob) = 4 AND dob = substr({_DATE("xd")}, 1, 4)) THEN 'match' ELSE 'mismatch' END AS ds,
-  CASE WHEN xi = '' THEN 'missing' WHEN xi = document_id THEN 'match' ELSE 'mismatch' END AS ids FROM core),
-scores AS (SELECT *, (CASE WHEN ds = 'match' THEN 100.0 ELSE 0.0 END) AS d, (CASE WHEN ids = 'match' THEN 100.0 ELSE 0.0 END) AS i, ds = 'mismatch' OR ids = 'mismatch' AS critical_flag FROM statuses),
-v AS (SELECT k, doc_id, (d * 0.20::DOUBLE + i * 0.20::DOUBLE + 100.0 * 0.15::DOUBLE) / (0.20::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE) AS overall_score, critical_flag FROM scores),
+found AS (SELECT doc_id, max(regexp_extract(full_text, 'Name: ([^\\n]+)', 1)) AS xn, max(regexp_extract(full_text, 'DOB: ([0-9/]+)', 1)) AS xd, max(regexp_extract(full_text, '\\b([A-Z]{{5}}[0-9]{{4}}[A-Z])\\b', 1)) AS xi,
+  max(regexp_extract(full_text, 'Gender: ([A-Za-z]+)', 1)) AS xg, max(regexp_extract(full_text, '(Address: [^\\n]+)', 1)) AS xa FROM sides GROUP BY doc_id),
+core AS (SELECT f.*, xn, xd, xi, xg, xa, {_NORM("f.name")} AS na, {_NORM("xn")} AS nb, {_ADDR("f.address")} AS aa, {_ADDR("xa")} AS ab FROM forms f JOIN found USING (doc_id)),
+statuses AS (SELECT *, CASE WHEN xd = '' THEN 'missing' WHEN {_DATE("dob")} = {_DATE("xd")} OR (length(dob) = 4 AND dob = substr({_DATE("xd")}, 1, 4)) THEN 'match' ELSE 'mismatch' END AS ds,
+  CASE WHEN xi = '' THEN 'missing' WHEN xi = document_id THEN 'match' ELSE 'mismatch' END AS ids, CASE WHEN xg = '' THEN 'missing' WHEN lower(xg) = lower(gender) THEN 'match' ELSE 'mismatch' END AS gs,
+  {_SORTED("na")} AS nsa, {_SORTED("nb")} AS nsb, {_SORTED("aa")} AS asa, {_SORTED("ab")} AS asb FROM core),
+parts AS (SELECT *, {_RATIO("na", "nb")} AS n_lev, {_RATIO("nsa", "nsb")} AS n_ts, 100 * jaro_winkler_similarity(na, nb) AS n_jw, {_RATIO("asa", "asb")} AS a_ts, {_TSET("aa", "ab")} AS a_tset, {_PART("aa", "ab")} AS a_part FROM statuses),
+scores AS (SELECT *, (CASE WHEN ds = 'match' THEN 100.0 ELSE 0.0 END) AS d, (CASE WHEN ids = 'match' THEN 100.0 ELSE 0.0 END) AS i, (CASE WHEN gs = 'match' THEN 100.0 ELSE 0.0 END) AS g,
+  {_NAME_SCORE("na = nb", "n_ts", "n_lev", "n_jw")} AS n, {_ADDRESS_SCORE("aa = ab", "a_tset", "a_ts", "a_part")} AS a, ds = 'mismatch' OR ids = 'mismatch' AS critical_flag FROM parts),
+v AS (SELECT k, doc_id, (n * 0.30::DOUBLE + d * 0.20::DOUBLE + i * 0.20::DOUBLE + g * 0.15::DOUBLE + a * 0.15::DOUBLE) / (0.30::DOUBLE + 0.20::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE) AS overall_score, critical_flag FROM scores),
 verdict AS (SELECT *, CASE WHEN critical_flag THEN 'CRITICAL_MISMATCH' WHEN overall_score >= 95 THEN 'HIGH' WHEN overall_score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM v),
 records AS (SELECT 'VERIF-' || lpad(c.doc_id, 8, '0') AS id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((c.k * 7919) % 500000 AS INT)) AS timestamp, c.name AS applicant_name, c.document_id, overall_score, tier, critical_flag, tier IN ('CRITICAL_MISMATCH', 'LOW') AS manual_review_priority FROM cards c JOIN verdict USING (doc_id))
 """
@@ -112,24 +106,25 @@ def query(sql: str | None = None):
 
 @query(_WITH_RECORDS + "SELECT tier, count(*) AS n FROM verdict GROUP BY tier")
 def tier_breakdown(spark, sf_dir):
-    """Flagship: cards' text to fields to matches to verdicts to counts."""
-    return tier_counts(_core_verdicts(spark, sf_dir))
+    """Flagship: texts of both sides to five fields, to matches, to verdicts, to counts."""
+    return tier_counts(_run(spark, sf_dir).verdicts)
 
 
-@query()
+@query(_WITH_RECORDS + "SELECT tier, count(*) AS n, round(min(overall_score), 6) AS least, round(max(overall_score), 6) AS most FROM verdict GROUP BY tier")
 def tier_breakdown_full(spark, sf_dir):
-    """All five fields, both sides, fuzzy names and addresses."""
-    return tier_counts(_run(spark, sf_dir, two_sided=True).verdicts)
+    """Tiers with the range of their scores."""
+    score = F.col("overall_score")
+    return _run(spark, sf_dir).verdicts.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(score), 6).alias("least"), F.round(F.max(score), 6).alias("most"))
 
 
 @query(_WITH_RECORDS + "SELECT doc_id, round(overall_score, 6) AS overall_score, critical_flag FROM verdict")
 def weighted_score(spark, sf_dir):
-    return _core_verdicts(spark, sf_dir).select("doc_id", F.round("overall_score", 6).alias("overall_score"), "critical_flag")
+    return _run(spark, sf_dir).verdicts.select("doc_id", F.round("overall_score", 6).alias("overall_score"), "critical_flag")
 
 
 @query(_WITH_RECORDS + "SELECT doc_id, critical_flag FROM verdict WHERE critical_flag")
 def critical_flag(spark, sf_dir):
-    return _core_verdicts(spark, sf_dir).where("critical_flag").select("doc_id", "critical_flag")
+    return _run(spark, sf_dir).verdicts.where("critical_flag").select("doc_id", "critical_flag")
 
 
 @query(
@@ -137,7 +132,7 @@ def critical_flag(spark, sf_dir):
     WHEN 'MEDIUM' THEN 'Moderate confidence match; minor formatting or OCR variations' WHEN 'LOW' THEN 'Technical clarity/scan uncertainty requires manual priority officer verification; not an automated rejection.' END AS review_reason FROM verdict"""
 )
 def review_routing(spark, sf_dir):
-    return _core_verdicts(spark, sf_dir).select("doc_id", "tier", "manual_review_priority", "review_reason")
+    return _run(spark, sf_dir).verdicts.select("doc_id", "tier", "manual_review_priority", "review_reason")
 
 
 @query("SELECT s AS score, c AS critical, CASE WHEN c THEN 'CRITICAL_MISMATCH' WHEN s >= 95 THEN 'HIGH' WHEN s >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM (SELECT l_quantity * 2 AS s, l_linenumber = 7 AS c FROM lineitem)")
@@ -160,9 +155,10 @@ def stats_rollup(spark, sf_dir):
     return _records(spark, sf_dir).rollup("tier").agg(F.count(F.lit(1)).alias("n"), F.grouping("tier").cast("int").alias("is_total"))
 
 
-@query()
+@query(_WITH_RECORDS + """, n AS (SELECT tier, count(*) AS n FROM records GROUP BY tier) SELECT sum(n)::BIGINT AS total_records, '{' || string_agg('"' || tier || '":' || n, ',' ORDER BY tier) || '}' AS tier_breakdown FROM n""")
 def stats_map(spark, sf_dir):
-    return R.stats(_records(spark, sf_dir))
+    """The service's statistics; the map of tiers as JSON."""
+    return R.stats(_records(spark, sf_dir)).withColumn("tier_breakdown", F.to_json("tier_breakdown"))
 
 
 @query(_WITH_RECORDS + "SELECT id, applicant_name, tier FROM records WHERE tier = 'HIGH' AND (applicant_name ILIKE '%wid_et%' OR document_id ILIKE '%wid_et%' OR id ILIKE '%wid_et%')")
@@ -231,7 +227,10 @@ def normalize_date(spark, sf_dir):
     return C.submitted(C.cards(spark, sf_dir)).select("doc_id", T.normalize_date(F.col("dob")).alias("v"))
 
 
-@query(_WITH_CARDS + "SELECT doc_id, gender AS by_text, gender AS by_form FROM cards")
+@query(
+    _WITH_CARDS + """, said AS (SELECT doc_id, CASE k % 3 WHEN 0 THEN upper(gender) WHEN 1 THEN substr(gender, 1, 1) ELSE gender END AS g FROM cards)
+    SELECT doc_id, CASE WHEN regexp_matches(lower(g), 'female|^f$') THEN 'Female' WHEN regexp_matches(lower(g), 'male|^m$') THEN 'Male' ELSE g END AS by_text, CASE WHEN lower(g) IN ('f', 'female') THEN 'Female' WHEN lower(g) IN ('m', 'male') THEN 'Male' ELSE g END AS by_form FROM said"""
+)
 def normalize_gender(spark, sf_dir):
     shout = F.when(F.col("k") % 3 == 0, F.upper("gender")).when(F.col("k") % 3 == 1, F.substring("gender", 1, 1)).otherwise(F.col("gender"))
     return C.cards(spark, sf_dir).select("doc_id", T.gender_of_text(shout).alias("by_text"), T.gender_of_form(shout).alias("by_form"))
@@ -262,12 +261,27 @@ def name_token_sort(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", F.round(similarity("token_sort_ratio", F.col("a"), F.col("b")), 6).alias("v"))
 
 
-@query()
+#: Words that both names have and those that one has alone, and the ratios of the three texts they make.
+_WORDS = f"""words AS (SELECT doc_id, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM names),
+halves AS (SELECT doc_id, len(list_intersect(x, y)) AS n, length(array_to_string(list_intersect(x, y), ' ')) AS c, array_to_string(list_sort([w FOR w IN x IF NOT list_contains(y, w)]), ' ') AS p, array_to_string(list_sort([w FOR w IN y IF NOT list_contains(x, w)]), ' ') AS q FROM words),
+sizes AS (SELECT *, c + (CASE WHEN c > 0 THEN 1 ELSE 0 END) + length(p) AS l, c + (CASE WHEN c > 0 THEN 1 ELSE 0 END) + length(q) AS r, {_RATIO("p", "q")} * (length(p) + length(q)) / 200 AS common FROM halves)"""
+
+
+@query(
+    _WITH_CARDS + f""", {_NAMES}, {_WORDS} SELECT doc_id, round(CASE WHEN n > 0 AND (p = '' OR q = '') THEN 100.0 ELSE greatest(100 * (1 - (length(p) + length(q) - 2 * common) / (l + r)), CASE WHEN c > 0 THEN 100 * (1 - (1 + length(p)) / (c + l)::DOUBLE) END,
+    CASE WHEN c > 0 THEN 100 * (1 - (1 + length(q)) / (c + r)::DOUBLE) END) END, 6) AS v FROM sizes"""
+)
 def name_token_set(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", F.round(similarity("token_set_ratio", F.col("a"), F.col("b")), 6).alias("v"))
 
 
-@query()
+#: Every window of the longer name as long as the shorter one, cut at the ends or not; of equal lengths both names are slid.
+_WINDOWS = """pairs AS (SELECT doc_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM names UNION SELECT doc_id, b, a FROM names WHERE length(a) = length(b)),
+windows AS (SELECT DISTINCT doc_id, s, substr(l, greatest(0, i) + 1, i + length(s) - greatest(0, i)) AS w FROM pairs, LATERAL (SELECT unnest(range(1 - length(s), length(l))) AS i) WHERE NOT contains(l, s)),
+slid AS (SELECT doc_id, s, l FROM pairs WHERE contains(l, s))"""
+
+
+@query(_WITH_CARDS + f", {_NAMES}, {_WINDOWS} SELECT doc_id, round(max(v), 6) AS v FROM (SELECT doc_id, {_RATIO('s', 'w')} AS v FROM windows UNION ALL SELECT doc_id, 100.0 FROM slid) GROUP BY doc_id")
 def name_partial(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", F.round(similarity("partial_ratio", F.col("a"), F.col("b")), 6).alias("v"))
 
@@ -287,7 +301,10 @@ def name_score_query(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", F.round(s, 6).alias("score"))
 
 
-@query()
+_ADDRESSES = f"addresses AS (SELECT f.doc_id, {_ADDR('f.address')} AS a, {_ADDR("('Address: ' || c.address)")} AS b FROM forms f JOIN cards c USING (doc_id))"
+
+
+@query(_WITH_CARDS + f", {_ADDRESSES}, w AS (SELECT *, {_SORTED('a')} AS sa, {_SORTED('b')} AS sb FROM addresses), s AS (SELECT doc_id, a = b AS same, {_RATIO('sa', 'sb')} AS ts, {_TSET('a', 'b')} AS tset, {_PART('a', 'b')} AS part FROM w) SELECT doc_id, round({_ADDRESS_SCORE('same', 'tset', 'ts', 'part')}, 6) AS score FROM s")
 def address_score_query(spark, sf_dir):
     card = C.cards(spark, sf_dir)
     d = C.submitted(card).select("doc_id", T.normalize_address(F.col("address")).alias("a")).join(card.select("doc_id", T.normalize_address(F.concat(F.lit("Address: "), F.col("address"))).alias("b")), "doc_id")
@@ -299,17 +316,11 @@ def address_score_query(spark, sf_dir):
 # --- exact matches -----------------------------------------------------------
 
 
-def _found(spark, sf_dir, field):
-    texts = C.sides(C.cards(spark, sf_dir)).where("side = 'front'")
-    return texts.select("doc_id", F.lit("front").alias("side"), F.lit(field).alias("field_name"), EXTRACTORS[field](F.col("full_text")).alias("f")).select("doc_id", "side", "field_name", "f.raw_text", "f.normalized_text").withColumns({"box": F.lit(None).cast("array<int>"), "conf": F.lit(None).cast("double")})
-
-
 def _matched(spark, sf_dir, field):
-    forms = submitted_rows(C.submitted(C.cards(spark, sf_dir)).select("doc_id", field)).withColumn("side", F.lit("front"))
-    return match_sides(forms, _found(spark, sf_dir, field)).select("doc_id", "status", "score", "diff")
+    return _run(spark, sf_dir).merged.where(F.col("field_name") == field).select("doc_id", "status", "score", "diff")
 
 
-@query(_WITH_RECORDS + "SELECT doc_id, ds AS status, d AS score, CASE WHEN ds = 'mismatch' THEN 'Submitted ''' || dob || ''' != document ''' || xd || '''' END AS diff FROM scores")
+@query(_WITH_RECORDS + "SELECT doc_id, ds AS status, d AS score, CASE ds WHEN 'missing' THEN 'DOB not detected on credential' WHEN 'mismatch' THEN 'Submitted ''' || dob || ''' != document ''' || xd || '''' END AS diff FROM scores")
 def dob_match(spark, sf_dir):
     return _matched(spark, sf_dir, "dob")
 
@@ -319,7 +330,7 @@ def docid_match(spark, sf_dir):
     return _matched(spark, sf_dir, "document_id")
 
 
-@query(_WITH_CARDS + "SELECT doc_id, 'match' AS status, 100.0 AS score, CAST(NULL AS VARCHAR) AS diff FROM forms")
+@query(_WITH_RECORDS + "SELECT doc_id, gs AS status, g AS score, CASE gs WHEN 'missing' THEN 'Gender not detected on credential' WHEN 'mismatch' THEN 'Submitted ''' || gender || ''' != document ''' || xg || '''' END AS diff FROM scores")
 def gender_match(spark, sf_dir):
     return _matched(spark, sf_dir, "gender")
 
@@ -336,22 +347,27 @@ def _span(value: str, prefix: str) -> str:
     return f"CAST(strpos(full_text, {prefix} || {value}) - 1 + length({prefix}) AS INT) AS span_start, CAST(strpos(full_text, {prefix} || {value}) - 1 + length({prefix}) + length({value}) AS INT) AS span_end"
 
 
-@query(_WITH_CARDS + f"SELECT s.doc_id, side, document_id AS raw_text, document_id AS normalized_text, 'pan_card' AS matched_pattern, {_span('document_id', chr(39) + 'Doc ID: ' + chr(39))} FROM sides s JOIN cards c USING (doc_id) WHERE s.k % 8 <> 7")
+def _read(pattern: str, prefix: str, tag: str, norm: str = "v") -> str:
+    """SQL of a field read from the texts by a pattern with one group, where there is one."""
+    return _WITH_CARDS + f""", hits AS (SELECT doc_id, side, full_text, regexp_extract(full_text, '{pattern}', 1) AS v FROM sides) SELECT doc_id, side, v AS raw_text, {norm} AS normalized_text, '{tag}' AS matched_pattern, {_span('v', f"'{prefix}'")} FROM hits WHERE v <> ''"""
+
+
+@query(_read("\\b([A-Z]{5}[0-9]{4}[A-Z])\\b", "Doc ID: ", "pan_card"))
 def extract_docid(spark, sf_dir):
     return _extract(spark, sf_dir, "document_id")
 
 
-@query(_WITH_CARDS + f"SELECT s.doc_id, side, dob AS raw_text, {_DATE('dob')} AS normalized_text, 'labeled_dob' AS matched_pattern, {_span('dob', chr(39) + 'DOB: ' + chr(39))} FROM sides s JOIN cards c USING (doc_id) WHERE side = 'front'")
+@query(_read("DOB: ([0-9/]+)", "DOB: ", "labeled_dob", _DATE("v")))
 def extract_dob(spark, sf_dir):
     return _extract(spark, sf_dir, "dob")
 
 
-@query(_WITH_CARDS + f"SELECT s.doc_id, side, name AS raw_text, name AS normalized_text, 'labeled_name' AS matched_pattern, {_span('name', chr(39) + 'Name: ' + chr(39))} FROM sides s JOIN cards c USING (doc_id) WHERE side = 'front'")
+@query(_read("Name: ([^\\n]+)", "Name: ", "labeled_name"))
 def extract_name(spark, sf_dir):
     return _extract(spark, sf_dir, "name")
 
 
-@query(_WITH_CARDS + f"SELECT s.doc_id, side, gender AS raw_text, gender AS normalized_text, 'gender:1' AS matched_pattern, {_span('gender', chr(39) + 'Gender: ' + chr(39))} FROM sides s JOIN cards c USING (doc_id) WHERE side = 'front'")
+@query(_read("Gender: ([A-Za-z]+)", "Gender: ", "gender:1"))
 def extract_gender(spark, sf_dir):
     return _extract(spark, sf_dir, "gender")
 
@@ -434,13 +450,13 @@ def word_boxes(spark, sf_dir):
 )
 def front_back_merge(spark, sf_dir):
     """Which side each field's evidence comes from."""
-    m = _run(spark, sf_dir, two_sided=True).merged
+    m = _run(spark, sf_dir).merged
     return m.select("doc_id", "field_name", "doc_side", F.when(F.col("status") == "missing", "missing").otherwise("there").alias("evidence"))
 
 
 @query()
 def audit_json(spark, sf_dir):
-    return _run(spark, sf_dir, two_sided=True).audits()
+    return _run(spark, sf_dir).audits()
 
 
 @query()

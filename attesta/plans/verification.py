@@ -52,5 +52,6 @@ def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame |
     fields = extract_from_tokens(tokens) if tokens is not None else extract_fields(texts)
     sides = (tokens if tokens is not None else texts).select("doc_id", "side").distinct()
     matches = match_fields(submitted_rows(forms), fields, sides)
-    merged = merge_sides(matches)
-    return Verification(fields, matches, merged, verdicts(merged, forms, weights), forms, sides)
+    # verdicts need neither boxes nor texts of differences: without them the columns and the Python pass behind them are pruned
+    scored = merge_sides(matches.select("doc_id", "side", "field_name", "score", "status", "is_critical"))
+    return Verification(fields, matches, merge_sides(matches), verdicts(scored, forms, weights), forms, sides)
