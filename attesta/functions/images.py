@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Defaults of preprocessing.
 DPI, LONGEST_SKEW, MEDIAN, BLOCK, OFFSET = 300, 45.0, 3, 21, 11
@@ -66,19 +67,19 @@ def _png(content: bytes) -> np.ndarray:
         rule, line = raw[y, 0], raw[y, 1:].astype(np.int32)
         if rule == 2:
             line = line + above
-        elif rule in (1, 3, 4):
-            for x in range(len(line)):
-                left = line[x - planes] if x >= planes else 0
-                if rule == 1:
-                    line[x] += left
-                elif rule == 3:
-                    line[x] += (left + above[x]) // 2
+        elif rule == 1:
+            line = np.cumsum(line.reshape(width, planes), axis=0).ravel()
+        elif rule in (3, 4):  # each value needs the one before it
+            v, up = line.tolist(), above.tolist()
+            for x in range(len(v)):
+                left, corner = (v[x - planes], up[x - planes]) if x >= planes else (0, 0)
+                if rule == 3:
+                    near = (left + up[x]) // 2
                 else:
-                    corner = above[x - planes] if x >= planes else 0
-                    p = left + above[x] - corner
-                    near = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))
-                    line[x] += near[2]
-                line[x] &= 255
+                    p = left + up[x] - corner
+                    near = min((abs(p - left), 0, left), (abs(p - up[x]), 1, up[x]), (abs(p - corner), 2, corner))[2]
+                v[x] = (v[x] + near) & 255
+            line = np.array(v, np.int32)
         above = line & 255
         out[y] = above
     pixels = out.reshape(height, width, planes)
@@ -121,16 +122,26 @@ def _windows(image: np.ndarray, height: int, width: int) -> np.ndarray:
 def median(image: np.ndarray, size: int = MEDIAN) -> np.ndarray:
     """Median of a square of odd size (an even one is made odd)."""
     size += size % 2 == 0
-    return np.median(_windows(image, size, size), axis=(2, 3)).astype(np.uint8)
+    out, padded = np.empty_like(image), np.pad(image, size // 2, mode="edge")
+    for y in range(0, len(image), 64):  # the windows of a strip of rows at a time
+        part = padded[y : y + 63 + size]
+        out[y : y + 64] = np.median(np.lib.stride_tricks.sliding_window_view(part, (size, size)), axis=(2, 3))
+    return out
 
 
 def bilateral(image: np.ndarray, size: int = 7, color: float = 75.0, space: float = 75.0) -> np.ndarray:
     """Mean of a neighbourhood, weighted by nearness in place and in value."""
-    w = _windows(image.astype(np.float32), size, size)
-    d = np.arange(size) - size // 2
-    place = np.exp(-(d[:, None] ** 2 + d[None, :] ** 2) / (2 * space**2))
-    weight = np.exp(-((w - image[:, :, None, None]) ** 2) / (2 * color**2)) * place
-    return np.rint((w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3))).astype(np.uint8)
+    h, w = image.shape
+    half, plain = size // 2, image.astype(np.float32)
+    padded = np.pad(plain, half, mode="edge")
+    total, over = np.zeros_like(plain), np.zeros_like(plain)
+    for i in range(size):  # one shift at a time: a page is held a few times, not once for every neighbour
+        for j in range(size):
+            near = padded[i : i + h, j : j + w]
+            weight = np.exp(-((near - plain) ** 2) / (2 * color**2)) * np.float32(np.exp(-((i - half) ** 2 + (j - half) ** 2) / (2 * space**2)))
+            total += weight * near
+            over += weight
+    return np.rint(total / over).astype(np.uint8)
 
 
 def threshold(image: np.ndarray, adaptive: bool = True, block: int = BLOCK, offset: int = OFFSET) -> np.ndarray:
@@ -235,11 +246,19 @@ def process(image: np.ndarray, deskew: bool = True, adaptive: bool = True, kerne
     return angle, level, threshold(median(bilateral(gray(level)), kernel), adaptive)
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 SCHEMA = "doc_id string, side string, skew_angle double, width int, height int, color_png binary, png binary, error string"
 
 
-def preprocess(documents: DataFrame, decoder: Decoder = decode, page: int = 0, **options) -> DataFrame:
-    """Every file's image made level and black and white; a file that can't be read has ``error`` and no image."""
+def preprocess(documents: DataFrame, decoder: Decoder = decode, page: int = 0, keep: bool = False, **options) -> DataFrame:
+    """Every file's image made level and black and white; a file that can't be read has ``error`` and no image.
+
+    ``keep`` adds the file's own ``content``.
+    """
+    schema = SCHEMA + ", content binary" if keep else SCHEMA
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -247,8 +266,76 @@ def preprocess(documents: DataFrame, decoder: Decoder = decode, page: int = 0, *
                 try:
                     angle, level, done = process(decoder(d.content, page), **options)
                     row = (d.doc_id, d.side, angle, done.shape[1], done.shape[0], encode(level), encode(done), None)
-                except (ValueError, IndexError, KeyError, zlib.error, struct.error) as e:
+                except (ValueError, IndexError, KeyError, TypeError, zlib.error, struct.error) as e:
                     row = (d.doc_id, d.side, None, None, None, None, None, str(e))
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield pd.DataFrame([(*row, d.content) if keep else row], columns=_names(schema))
+
+    return documents.select("doc_id", "side", "content").mapInPandas(rows, schema)
+
+
+PAGES = "doc_id string, side string, page int, png binary, error string"
+
+
+def pages(documents: DataFrame, decoder: Callable[[bytes], Iterable[np.ndarray]]) -> DataFrame:
+    """(doc_id, side, page, png, error): every page of files (doc_id, side, content) that hold several.
+
+    ``decoder`` gives the pages of a file one after the other, so one page is in
+    memory at a time. Where it fails, a row with ``error`` and no image follows
+    the pages that it gave; null content fails at once.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d in batch.itertuples():
+                at = 0
+                try:
+                    if d.content is None:
+                        raise ValueError("no content")
+                    for image in decoder(d.content):
+                        yield pd.DataFrame([(d.doc_id, d.side, at, encode(image), None)], columns=_names(PAGES))
+                        at += 1
+                except (ValueError, IndexError, KeyError, OSError, zlib.error, struct.error) as e:
+                    yield pd.DataFrame([(d.doc_id, d.side, at, None, str(e))], columns=_names(PAGES))
+
+    return documents.select("doc_id", "side", "content").mapInPandas(rows, PAGES)
+
+
+ARTEFACTS = "doc_id string, side string, kind string, field_name string, path string, png binary"
+
 
-    return documents.select("doc_id", "side", "content").mapInPandas(rows, SCHEMA)
+def artefacts(images: DataFrame, merged: DataFrame, decoder: Decoder = decode, padding: int = 4) -> DataFrame:
+    """Annotated images and crops: (doc_id, side, kind, field_name, path, png), kind ``annotated`` or ``crop``.
+
+    ``images``: (doc_id, side, png), one per side, in the pixels that the boxes
+    are given in. ``merged``: matches, one per document and field; each goes to
+    the image of its ``doc_side``. Every image that can be read is annotated, also
+    without boxes; a field that is missing or lies outside the image has no crop.
+    An image that can't be read gives no row. Rows stay rows of one table under
+    their ``path``: millions of small files would burden the file system.
+    """
+    boxes = merged.where("status <> 'missing'").groupBy("doc_id", F.col("doc_side").alias("side"))  # five fields at most
+    boxes = boxes.agg(F.array_sort(F.collect_list(F.struct("field_name", "bbox", "status"))).alias("boxes"))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d in batch.itertuples():
+                try:
+                    image = decoder(d.png, 0)
+                except (ValueError, IndexError, KeyError, TypeError, zlib.error, struct.error):
+                    continue
+                found = [(b["field_name"], [int(v) for v in b["bbox"]], b["status"]) for b in (d.boxes if d.boxes is not None else ())]
+                out = [(d.doc_id, d.side, "annotated", None, f"{d.doc_id}/{d.side}/annotated.png", encode(draw_boxes(image, [(box, status) for _, box, status in found])))]
+                for field, box, _ in found:
+                    part = crop(image, box, padding)
+                    if part is not None:
+                        out.append((d.doc_id, d.side, "crop", field, f"{d.doc_id}/{d.side}/crops/{field}.png", encode(part)))
+                yield pd.DataFrame(out, columns=_names(ARTEFACTS))
+
+    return images.select("doc_id", "side", "png").join(boxes, ["doc_id", "side"], "left").mapInPandas(rows, ARTEFACTS)
+
+
+def artefact_paths(made: DataFrame) -> DataFrame:
+    """(doc_id, annotated_front_path, annotated_back_path, crops_dir) for the records; what isn't there is empty."""
+    of = lambda side: F.coalesce(F.max(F.when((F.col("kind") == "annotated") & (F.col("side") == side), F.col("path"))), F.lit(""))
+    crops = F.when(F.bool_or(F.col("kind") == "crop"), F.concat("doc_id", F.lit("/"))).otherwise(F.lit(""))
+    return made.groupBy("doc_id").agg(of("front").alias("annotated_front_path"), of("back").alias("annotated_back_path"), crops.alias("crops_dir"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import images
 from .operators.extract import extract_from_tokens
 from .operators.layout import ocr_words
 from .plans.verification import Verification, verify
@@ -15,10 +16,18 @@ HEALTH = {"status": "ok"}
 
 
 class VerificationService:
-    """``engine`` makes the OCR function of a task (see ``sources.documents.ocr_lines``); without one, texts or tokens are passed in."""
-
-    def __init__(self, spark: SparkSession, root: str, engine=None, weights: dict[str, float] | None = None):
-        self.spark, self.engine, self.weights = spark, engine, weights
+    """``engine`` makes the OCR function of a task (see ``sources.documents.ocr_lines``); without one, texts or tokens are passed in.
+
+    ``reads`` says what the engine gets: the file as it came (``raw``), the level
+    image in colour (``color``, for engines trained on photographs) or the level
+    image in black and white (``binary``, for classic ones). A file that can't be
+    made level goes to the engine as it came.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, engine=None, weights: dict[str, float] | None = None, reads: str = "raw", decoder: images.Decoder = images.decode):
+        if reads not in ("raw", "color", "binary"):
+            raise ValueError("reads must be raw, color or binary")
+        self.spark, self.engine, self.weights, self.reads, self.decoder = spark, engine, weights, reads, decoder
         self.store = R.RecordStore(spark, root).create()
 
     def health(self) -> dict:
@@ -28,7 +37,19 @@ class VerificationService:
         """OCR tokens of files (doc_id, side, content)."""
         if self.engine is None:
             raise RuntimeError("no OCR engine was given")
-        return ocr_words(docs.ocr_lines(files, self.engine))
+        return ocr_words(docs.ocr_lines(self.level(files), self.engine))
+
+    def level(self, files: DataFrame) -> DataFrame:
+        """(doc_id, side, content) as the engine gets it."""
+        if self.reads == "raw":
+            return files
+        # the file travels with its image through one pass, so nothing is joined back
+        png = "color_png" if self.reads == "color" else "png"
+        return images.preprocess(files, self.decoder, keep=True).select("doc_id", "side", F.coalesce(png, "content").alias("content"))
+
+    def artefacts(self, run: Verification, level: DataFrame) -> DataFrame:
+        """Annotated images and crops of a run: ``level`` (doc_id, side, content) are the images that OCR read."""
+        return images.artefacts(level.withColumnRenamed("content", "png"), run.merged, self.decoder)
 
     def extract(self, files: DataFrame) -> DataFrame:
         return extract_from_tokens(self.tokens(files))

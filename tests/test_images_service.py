@@ -65,6 +65,46 @@ def test_kernels():
     assert tuple(boxed[10, 15]) == I.COLORS["mismatch"] and (boxed != color).any(axis=2).sum() < 20 * 10
 
 
+def test_strips_and_shifts_are_the_whole_window():
+    g = np.random.default_rng(1).integers(0, 256, (150, 31), np.uint8)
+    w = np.lib.stride_tricks.sliding_window_view(np.pad(g, 1, mode="edge"), (3, 3))
+    assert np.array_equal(I.median(g), np.median(w, axis=(2, 3)).astype(np.uint8))
+    w = np.lib.stride_tricks.sliding_window_view(np.pad(g.astype(float), 3, mode="edge"), (7, 7))
+    d = np.arange(7) - 3
+    weight = np.exp(-((w - g[:, :, None, None]) ** 2) / (2 * 75.0**2)) * np.exp(-(d[:, None] ** 2 + d[None, :] ** 2) / (2 * 75.0**2))
+    assert np.abs(I.bilateral(g) - (w * weight).sum(axis=(2, 3)) / weight.sum(axis=(2, 3))).max() <= 0.51
+
+
+def test_pages(spark):
+    def two(content):
+        if content == b"bad":
+            raise ValueError("no pages")
+        yield np.zeros((2, 3), np.uint8)
+        yield np.full((2, 3), 9, np.uint8)
+        if content == b"cut":
+            raise OSError("cut off")
+
+    d = spark.createDataFrame([("a", "front", bytearray(b"ok")), ("b", "front", bytearray(b"bad")), ("c", "back", bytearray(b"cut")), ("d", "front", None)], "doc_id string, side string, content binary")
+    got = sorted((r.doc_id, r.page, r.png is not None, r.error) for r in I.pages(d, two).collect())
+    assert got == [("a", 0, True, None), ("a", 1, True, None), ("b", 0, False, "no pages"), ("c", 0, True, None), ("c", 1, True, None), ("c", 2, False, "cut off"), ("d", 0, False, "no content")]
+
+
+def test_artefacts(spark):
+    png = bytearray(I.encode(page()))
+    images = spark.createDataFrame([("a", "front", png), ("a", "back", png), ("b", "front", bytearray(b"broken")), ("c", "front", None)], "doc_id string, side string, png binary")
+    merged = spark.createDataFrame(
+        [("a", "name", "front", "match", [10, 10, 20, 10]), ("a", "address", "back", "mismatch", [900, 0, 5, 5]), ("a", "dob", "front", "missing", [0, 0, 0, 0]), ("b", "name", "front", "match", [1, 1, 5, 5])],
+        "doc_id string, field_name string, doc_side string, status string, bbox array<int>",
+    )
+    made = I.artefacts(images, merged)
+    got = {r.path: r for r in made.collect()}
+    assert sorted(got) == ["a/back/annotated.png", "a/front/annotated.png", "a/front/crops/name.png"]
+    assert I.decode(bytes(got["a/front/crops/name.png"].png)).shape == (18, 28, 3)
+    assert tuple(I.decode(bytes(got["a/front/annotated.png"].png))[10, 15]) == I.COLORS["match"]
+    assert [tuple(r) for r in I.artefact_paths(made).collect()] == [("a", "a/front/annotated.png", "a/back/annotated.png", "a/")]
+    assert I.artefacts(images.limit(0), merged).count() == 0
+
+
 def test_preprocess(spark):
     d = spark.createDataFrame([("a", "front", bytearray(I.encode(page(4.5)))), ("b", "front", bytearray(b"broken"))], "doc_id string, side string, content binary")
     got = {r.doc_id: r for r in I.preprocess(d).collect()}
@@ -92,5 +132,11 @@ def test_service(spark, tmp_path):
     assert service.delete_record(record) and not service.delete_record(record) and service.get_record(record) is None
     (tmp_path / "none.json").write_text("[]")
     assert service.verify_batch(str(tmp_path / "none.json")).verdicts.count() == 0
+    with pytest.raises(ValueError):
+        VerificationService(spark, str(tmp_path / "other"), reads="grey")
+    files = spark.createDataFrame([("x", "front", bytearray(I.encode(np.full((40, 60, 3), 120, np.uint8)))), ("y", "front", bytearray(b"%PDF"))], "doc_id string, side string, content binary")
+    for reads, planes in (("color", 3), ("binary", 1)):  # the engine gets the level image, and a file that isn't one as it came
+        level = {r.doc_id: bytes(r.content) for r in VerificationService(spark, str(tmp_path / "store"), reads=reads).level(files).collect()}
+        assert level["y"] == b"%PDF" and level["x"][25] == (2 if planes == 3 else 0)
     with pytest.raises(RuntimeError):
         VerificationService(spark, str(tmp_path / "other")).tokens(run.forms)
