@@ -174,16 +174,20 @@ class Model:
         if not self.langs:
             return [{"lang": "und", "score": 0.0, "spans": []} for _ in texts]
         words = [Words(codes_of(t or "")) for t in texts]
-        paths = viterbi_many([self.scores(w) for w in words], switch)
+        scores = [self.scores(w) for w in words]
+        paths = viterbi_many(scores, switch)
         out = []
-        for w, path in zip(words, paths, strict=True):
+        for w, own, path in zip(words, scores, paths, strict=True):
             letters = np.bincount(path, weights=w.letters, minlength=len(self.langs)) if w.n else np.zeros(1)
             if letters.sum() == 0:
                 out.append({"lang": "und", "score": 0.0, "spans": []})
                 continue
             cut = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [w.n]])
             spans = [(int(a), int(b - a), self.langs[path[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            out.append({"lang": self.langs[int(letters.argmax())], "score": float(letters.max() / letters.sum()), "spans": spans})
+            best = int(letters.argmax())
+            evidence = own[(path == best) & (w.letters > 0)].sum(axis=0, dtype=np.float64)
+            sure = 1.0 / np.exp(evidence - evidence[best]).clip(max=1e300).sum()  # of the winner among all, on its own words
+            out.append({"lang": self.langs[best], "score": float(letters[best] / letters.sum() * sure), "spans": spans})
         return out
 
 
@@ -264,7 +268,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
     """One row per row of ``docs``: doc_id, lang_pred, score and spans of one language each.
 
     ``score`` is the share of the text's letters in spans of the predicted
-    language. Null and letterless texts are ``und`` with score 0 and no spans;
+    language, times the probability of that language, among all, for the words
+    of these spans. Null and letterless texts are ``und`` with score 0 and no spans;
     ties go to the language first in order. Nothing is shuffled; rows that
     repeat are labelled alike; an empty table gives no rows; further columns
     are ignored.

@@ -460,10 +460,10 @@ def test_fertility_is_what_the_two_libraries_say(spark):
             continue
         n, counts = len(ids), collections.Counter(ids)
         entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-        want = {"chars_per_token": len(t) / n, "chars_per_byte_token": len(t) / len(raw.encode_ordinary(t)), "byte_share": sum(pieces.is_byte(k) for k in ids) / n, "token_entropy": entropy, "evenness": entropy / math.log2(max(2, min(n, 1024)))}
+        want = {"chars_per_token": len(t) / n, "chars_per_byte_token": len(t) / len(raw.encode_ordinary(t)), "byte_share": sum(pieces.is_byte(k) for k in ids) / n, "token_entropy": entropy, "n_tokens": n}
         assert {k: got[i][k] for k in want} == pytest.approx(want, abs=1e-9)
-        low, high, low_bytes, most_bytes, even = quality_rules.BANDS.get(got[i]["script"], quality_rules.OTHER_BAND)
-        fits = low <= want["chars_per_token"] <= high and low_bytes <= want["chars_per_byte_token"] <= high and want["byte_share"] <= most_bytes and want["evenness"] >= even
+        low, high, low_bytes, most_bytes, at_64 = quality_rules.BANDS.get(got[i]["script"], quality_rules.OTHER_BAND)
+        fits = low <= want["chars_per_token"] <= high and low_bytes <= want["chars_per_byte_token"] <= high and want["byte_share"] <= most_bytes and entropy >= at_64 + 0.34 * (math.log2(min(n, 1024)) - 6)
         assert got[i]["kept"] == (fits and not got[i]["base_failed"])
 
 
