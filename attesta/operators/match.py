@@ -85,7 +85,10 @@ def match_fields(submitted: DataFrame, fields: DataFrame, sides: DataFrame | Non
 
 def match_sides(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """``match_fields`` for given (doc_id, side, field_name, submitted)."""
-    d = wanted.join(found, ["doc_id", "side", "field_name"], "left")
+    keys = ["doc_id", "side", "field_name"]
+    # rows are short and what follows costs much for each: by their bytes they would be gathered into a few tasks
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = wanted.repartition(tasks, *keys).join(found.repartition(tasks, *keys), keys, "left")
     field, sub, raw, norm = F.col("field_name"), F.col("submitted"), F.col("raw_text"), F.coalesce("normalized_text", F.lit(""))
     missing = norm == ""
     fuzzy = field.isin("name", "address")

@@ -15,9 +15,12 @@ def _k(m: int) -> str:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, doc_id, name, dob, document_id, gender, address) of every customer."""
+    """(k, doc_id, name, dob, document_id, gender, address) of every customer, dealt over the session's shuffle partitions.
+
+    The customers' file is small, one task; what is done with a card's texts isn't.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    c = read("customer").select(F.col("c_custkey").alias("k"), "c_nationkey", "c_mktsegment")
+    c = read("customer").select(F.col("c_custkey").alias("k"), "c_nationkey", "c_mktsegment").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     c = c.join(read("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     p = read("part").where("p_partkey < 200").select("p_partkey", "p_name")
     c = c.join(F.broadcast(p), F.col("k") % 200 == F.col("p_partkey"))  # 200 rows at any scale

@@ -23,10 +23,11 @@ class Verification:
     verdicts: DataFrame
     forms: DataFrame
     sides: DataFrame
+    weights: dict[str, float] | None = None
 
     def audits(self, extended: bool = True) -> DataFrame:
-        """Audit JSON of every document."""
-        return audits(self.merged, self.verdicts, self.backs(), extended)
+        """Audit JSON of every document. Its verdicts are read off the merged matches, whose shuffle then serves both."""
+        return audits(self.merged, verdicts(self.merged, self.forms, self.weights), self.backs(), extended)
 
     def backs(self) -> DataFrame:
         """(doc_id) of documents that came with a back, whatever was found on it."""
@@ -38,7 +39,7 @@ class Verification:
         have = lambda *names: F.coalesce(*[F.col(n) for n in names if n in forms.columns], F.lit(""))
         who = forms.select("doc_id", have("name", "full_name").alias("applicant_name"), have("dob", "date_of_birth").alias("dob"), have("gender", "sex").alias("gender"), have("document_id", "id_number").alias("document_id"), have("address").alias("address"))
         back = self.backs().withColumn("has_back_document", F.lit(True))
-        return self.verdicts.join(who, "doc_id").join(self.audits(), "doc_id").join(back, "doc_id", "left").drop("doc_id", "review_reason")
+        return verdicts(self.merged, forms, self.weights).join(who, "doc_id").join(self.audits(), "doc_id").join(back, "doc_id", "left").drop("doc_id", "review_reason")
 
 
 def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, weights: dict[str, float] | None = None) -> Verification:
@@ -54,4 +55,4 @@ def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame |
     matches = match_fields(submitted_rows(forms), fields, sides)
     # verdicts need neither boxes nor texts of differences: without them the columns and the Python pass behind them are pruned
     scored = merge_sides(matches.select("doc_id", "side", "field_name", "score", "status", "is_critical"))
-    return Verification(fields, matches, merge_sides(matches), verdicts(scored, forms, weights), forms, sides)
+    return Verification(fields, matches, merge_sides(matches), verdicts(scored, forms, weights), forms, sides, weights)
