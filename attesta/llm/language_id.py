@@ -186,7 +186,7 @@ class Model:
             spans = [(int(a), int(b - a), self.langs[path[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             best = int(letters.argmax())
             evidence = own[(path == best) & (w.letters > 0)].sum(axis=0, dtype=np.float64)
-            sure = 1.0 / np.exp(evidence - evidence[best]).clip(max=1e300).sum()  # of the winner among all, on its own words
+            sure = 1.0 / np.exp(np.minimum(evidence - evidence[best], 700.0)).sum()  # of the winner among all, on its own words
             out.append({"lang": self.langs[best], "score": float(letters[best] / letters.sum() * sure), "spans": spans})
         return out
 

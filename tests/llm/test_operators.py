@@ -503,6 +503,8 @@ def test_language_id(spark, none):
     assert sum(s["words"] for s in got[1]["spans"]) == len(f"{en} {en} {ru} {de}".split())
     assert got[5]["lang_pred"] == "ru" and got[5]["score"] == 1.0 and got[None]["lang_pred"] == "de"
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0.0 for i in (2, 3, 4))
+    unsure = model.label(["an", en, f"{en} {ru}"])  # few letters tell little; half of a text is of another language
+    assert 1 / 3 < unsure[0]["score"] < unsure[1]["score"] <= 1.0 and unsure[2]["score"] < 0.7
     nothing = language_id.train(none)
     assert rows(language_id.identify(none, nothing)) == [] and {r["lang_pred"] for r in rows(language_id.identify(mixed, nothing))} == {"und"}
 
