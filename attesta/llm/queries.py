@@ -8,6 +8,7 @@ from .licenses import op7_licenses
 from .mixing import OP5_SQL, op5_mixing
 from .near_dedup import op3_near_dedup
 from .packing import op2_packing
+from .phrases import OP12_SQL, op12_phrases
 from .quality_model import op4_quality_model
 from .quality_rules import op10_quality_rules
 from .sharding import op8_sharding
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op12_phrases": op12_phrases,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_phrases": OP12_SQL}
