@@ -13,6 +13,7 @@ from .quality_model import op4_quality_model
 from .quality_rules import op10_quality_rules
 from .sharding import op8_sharding
 from .warc import OP1_SQL, op1_warc
+from .word_bpe import op11_word_bpe
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_word_bpe": op11_word_bpe,
     "op12_phrases": op12_phrases,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_phrases": OP12_SQL}
