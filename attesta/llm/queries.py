@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op9_language_id
 from .licenses import op7_licenses
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_word_bpe": op11_word_bpe,
     "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_phrases": OP12_SQL}
