@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..functions.similarity import native_ratio, similarity
 from ..operators import layout, views
 from ..operators.match import address_score, name_score
 from ..operators.verdict import tier_counts, tier_of
+from ..session import scratch
 from ..sources import records as R
 from . import cards as C
 from .verification import verify
@@ -184,6 +186,51 @@ def records_after_delete(spark, sf_dir):
     return _records(spark, sf_dir).join(gone, "id", "left_anti").select("id", "tier")
 
 
+# --- records that are stored: written as a batch, indexed, read by the index
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> R.RecordStore:
+    store = R.RecordStore(spark, scratch(spark, "records")).create()
+    store.save(_records(spark, sf_dir))
+    return store
+
+
+#: Search terms: with each wildcard, with a run too short for a trigram, of digits alone, in another case, and one that nothing is like.
+TERMS = ("wid_et", "e%anvil aut", "_0000004", "rt", "BLUE", "no such")
+_TERMS = ", ".join(f"('{t}')" for t in TERMS)
+
+
+@query(_WITH_RECORDS + f", terms(term) AS (VALUES {_TERMS}) SELECT term, id, applicant_name FROM records, terms WHERE applicant_name ILIKE '%' || term || '%' OR document_id ILIKE '%' || term || '%' OR id ILIKE '%' || term || '%'")
+def stored_search(spark, sf_dir):
+    """Searches of a stored table: candidates by trigrams, then the term itself."""
+    store = _stored(spark, sf_dir)
+    found = [store.search(t).select(F.lit(t).alias("term"), "id", "applicant_name") for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+_DELETED = "id NOT IN (SELECT 'VERIF-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_custkey % 10 = 0)"
+
+
+@query(_WITH_RECORDS + f"SELECT id, timestamp, tier, 'before' AS read FROM (SELECT * FROM records WHERE tier = 'HIGH' ORDER BY timestamp DESC, id LIMIT 50 OFFSET 25) UNION ALL SELECT id, timestamp, tier, 'after' FROM (SELECT * FROM records WHERE {_DELETED} ORDER BY timestamp DESC, id LIMIT 50 OFFSET 25)")
+def stored_pages(spark, sf_dir):
+    """A page of one tier, and one of all after deleting every tenth record and compacting in place."""
+    store = _stored(spark, sf_dir)
+    columns = ("id", "timestamp", "tier")
+    before = store.list("high", limit=50, offset=25).select(*columns, F.lit("before").alias("read"))
+    gone = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0").select(F.concat(F.lit("VERIF-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id"))
+    store.delete_all(gone)
+    after = store.compact().list(limit=50, offset=25).select(*columns, F.lit("after").alias("read"))
+    return before.unionByName(after)
+
+
+@query(_WITH_RECORDS + "SELECT id, applicant_name, document_id, tier, round(overall_score, 1) AS overall_score FROM records WHERE id IN ('VERIF-00000042', 'VERIF-00000149')")
+def stored_lookup(spark, sf_dir):
+    """Two records by id, and one that isn't there."""
+    store = _stored(spark, sf_dir)
+    found = [store.get(f"VERIF-{i}").select("id", "applicant_name", "document_id", "tier", F.round("overall_score", 1).alias("overall_score")) for i in ("00000042", "00000149", "99999999")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(_WITH_RECORDS + "SELECT count(*) FILTER (tier IN ('CRITICAL_MISMATCH', 'LOW')) AS needs_attention FROM records")
 def kpi_needs_attention(spark, sf_dir):
     return R.needs_attention(_records(spark, sf_dir))

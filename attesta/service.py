@@ -78,7 +78,8 @@ class VerificationService:
         return self.verify(forms, files=front.union(back), save=save)
 
     def list_records(self, tier: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> dict:
-        return R.envelope(R.checked_page(R.filtered(self.store.records(), tier, search), limit, offset))
+        R.checked(limit, offset)
+        return R.envelope(self.store.list(tier, search, limit, offset))
 
     def get_record(self, record: str) -> dict | None:
         row = self.store.get(record).first()

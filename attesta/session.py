@@ -1,8 +1,13 @@
-"""Makes the package importable where Python workers run."""
+"""Makes the package importable where Python workers run, and names the shared folder for scratch tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,3 +26,21 @@ def attach(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Only a session in one process that names none gets a temporary folder, which
+    goes with the process; anywhere else that is an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="attesta-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(f"file://{folder}")
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

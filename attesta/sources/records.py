@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.views import python_round
 from ..schemas import RECORDS
+from .index import RecordIndex, fold, folded
 
 _TEXTS = ("applicant_name", "dob", "gender", "document_id", "address", "front_filename", "back_filename", "front_file_path", "back_file_path", "annotated_front_path", "annotated_back_path", "crops_dir")
 MOST_ROWS = 200
+#: Rows of a data file.
+FILE_ROWS = 1_000_000
 _STORED = T.StructType([*RECORDS, T.StructField("batch", T.StringType())])
 
 
 def like(c: Column, term: str) -> Column:
     """LIKE '%term%' without regard to case of ASCII letters; % and _ of the term are wildcards."""
-    lower = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    folded = "".join(x.lower() if x.isascii() else x for x in term)
-    return lower.like("%" + folded.replace("\\", "\\\\") + "%")
+    return folded(c).like("%" + fold(term).replace("\\", "\\\\") + "%")
 
 
 def filtered(records: DataFrame, tier: str | None = None, search: str | None = None) -> DataFrame:
@@ -41,10 +42,14 @@ def page(records: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return records.orderBy(F.desc("timestamp"), "id").offset(offset).limit(limit)
 
 
-def checked_page(records: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """``page`` with the bounds of the service: 1 to 200 rows, no negative offset."""
+def checked(limit: int, offset: int) -> None:
     if not 1 <= limit <= MOST_ROWS or offset < 0:
         raise ValueError(f"limit must be 1 to {MOST_ROWS} and offset 0 or more")
+
+
+def checked_page(records: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """``page`` with the bounds of the service: 1 to 200 rows, no negative offset."""
+    checked(limit, offset)
     return page(records, limit, offset)
 
 
@@ -64,36 +69,76 @@ def record_id(at: Column | None = None) -> Column:
 
 
 class RecordStore:
-    """Records under a folder: ``records`` partitioned by batch and tier, ``deleted`` ids beside them.
+    """Records under a folder: ``records`` partitioned by batch and tier, ``deleted`` ids and indexes beside them.
 
     Deleting appends a tombstone; reading leaves tombstones out by an anti-join;
     ``compact`` rewrites what is left. Every batch is a folder of its own, so
     writers don't hold each other up, and none mistakes another's rows for its own.
+
+    A batch's files are sorted by time, newest first, within tier, and carry a
+    bloom filter of ids. Pages, lookups and searches ask the batch's index
+    (``sources.index``) which files or rows to read; batches without one, such
+    as a writer's that ended early, are scanned.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, file_rows: int = FILE_ROWS):
+        self.spark, self.root, self.file_rows = spark, root.rstrip("/"), file_rows
+        self.index = RecordIndex(spark, self.root)
 
     def create(self) -> RecordStore:
         """Lay out the empty table if there is none."""
-        if self._read("records", _STORED) is None:
+        if not self._children("records"):
             self.spark.createDataFrame([], RECORDS).write.partitionBy("tier").parquet(f"{self.root}/records/batch=b-0")
         return self
 
-    def _read(self, name: str, schema) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return None
+    # --- batches
+
+    def _fs(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _children(self, name: str) -> list[str]:
+        path, fs = self._fs(name)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _remove(self, name: str) -> None:
+        path, fs = self._fs(name)
+        fs.delete(path, True)
+
+    def batches(self) -> list[str]:
+        """Batches that count: what a compaction writes does once its commit is there, and what it read no longer does."""
+        into, retired = set(), set()
+        if self._children("compactions"):
+            for r in self.spark.read.schema("into string, retired array<string>").json(f"{self.root}/compactions").collect():
+                into.add(r["into"])
+                retired.update(r["retired"])
+        there = [x.removeprefix("batch=") for x in self._children("records") if x.startswith("batch=")]
+        return [b for b in there if b not in retired and (b in into or not b.startswith("c-"))]
+
+    def indexed(self, batches: list[str]) -> tuple[list[str], list[str]]:
+        """Batches with their index, and those without."""
+        done = {x.removeprefix("batch=") for x in self._children("files") if "_SUCCESS" in self._children(f"files/{x}")}
+        return [b for b in batches if b in done], [b for b in batches if b not in done]
+
+    def _scan(self, batches: list[str]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], _STORED)
+        base = f"{self.root}/records"
+        return self.spark.read.schema(_STORED).option("basePath", base).parquet(*[f"{base}/batch={b}" for b in batches])
+
+    def _left(self, d: DataFrame) -> DataFrame:
+        """Without the records that were deleted."""
+        d = d.select(*RECORDS.fieldNames())
+        if not self._children("deleted"):
+            return d
+        gone = self.spark.read.schema("id string").parquet(f"{self.root}/deleted")
+        return d.join(gone, "id", "left_anti").select(*RECORDS.fieldNames())
 
     def records(self) -> DataFrame:
         """All records that weren't deleted; the audit stays text until it is asked for (``with_audit``)."""
-        d = self._read("records", _STORED)
-        if d is None:
-            return self.spark.createDataFrame([], RECORDS)
-        gone = self._read("deleted", "id string")
-        d = d.select(*RECORDS.fieldNames())
-        return d if gone is None else d.join(gone, "id", "left_anti").select(*RECORDS.fieldNames())
+        return self._left(self._scan(self.batches()))
+
+    # --- writing
 
     def save(self, rows: DataFrame) -> DataFrame:
         """Append ``rows``; missing columns get the defaults of the table. Returns the ids that were written."""
@@ -106,12 +151,28 @@ class RecordStore:
             *[flag(c).alias(c) for c in ("critical_flag", "manual_review_priority", "has_back_document")], (F.coalesce("audit_json", F.lit("{}")) if "audit_json" in there else F.lit("{}")).alias("audit_json"),
         ).select(*RECORDS.fieldNames())
         # a folder of this batch's own, written once: whoever else writes meanwhile, these ids are the batch's
-        batch = f"{self.root}/records/batch=b-{uuid.uuid4().hex}"
-        d.write.partitionBy("tier").parquet(batch)
-        return self.spark.read.schema(RECORDS).parquet(batch).select("id")
-
-    def get(self, record: str) -> DataFrame:
-        return self.records().where(F.col("id") == record).limit(1)
+        batch = f"b-{uuid.uuid4().hex}"
+        self.write_batch(d, batch)
+        return self.spark.read.schema(RECORDS).parquet(f"{self.root}/records/batch={batch}").select("id")
+
+    def write_batch(self, d: DataFrame, batch: str) -> None:
+        """Write and index a batch of whole records; writing it again replaces it.
+
+        Rows are costly to make and their ids are drawn, so they are written as
+        they come first, then sorted into files of about ``file_rows``.
+        """
+        staged = f"staging/{batch}"
+        d.write.mode("overwrite").parquet(f"{self.root}/{staged}")
+        rows = self.spark.read.schema(RECORDS).parquet(f"{self.root}/{staged}")
+        n = rows.count()
+        order = [F.col("tier"), F.desc_nulls_last("timestamp"), F.col("id")]
+        bloom = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.expected.ndv#id": str(min(max(n, 1), self.file_rows))}
+        self._remove(f"files/batch={batch}")
+        ranged = rows.repartitionByRange(max(1, math.ceil(n / self.file_rows)), *order).sortWithinPartitions(*order)
+        ranged.write.mode("overwrite").options(**bloom).partitionBy("tier").parquet(f"{self.root}/records/batch={batch}")
+        if n:
+            self.index.build(batch)
+        self._remove(staged)
 
     def delete(self, record: str, on_files: Callable[[dict], None] | None = None) -> bool:
         """Mark a record as deleted; False if there is none. ``on_files`` gets the row, to remove what belongs to it."""
@@ -123,13 +184,77 @@ class RecordStore:
         self.spark.createDataFrame([(record,)], "id string").coalesce(1).write.mode("append").parquet(f"{self.root}/deleted")
         return True
 
-    def compact(self, to: str) -> RecordStore:
-        """Write the records that are left to another folder."""
-        self.records().write.partitionBy("tier").parquet(f"{to.rstrip('/')}/records/batch=b-{uuid.uuid4().hex}")
-        return RecordStore(self.spark, to)
+    def delete_all(self, ids: DataFrame) -> None:
+        """Mark the records with these ids (id) as deleted; ids that aren't there make no tombstone."""
+        self.records().select("id").join(ids.select("id").distinct(), "id", "left_semi").write.mode("append").parquet(f"{self.root}/deleted")
+
+    def compact(self, to: str | None = None) -> RecordStore:
+        """Write the records that are left to one batch, here or in another folder.
+
+        Here, readers see the old batches until the commit, one small file, is
+        there, and the new one from then on; batches that others write meanwhile
+        aren't touched. The old folders stay for readers that have begun, until
+        ``vacuum``.
+        """
+        if to is not None:
+            other = RecordStore(self.spark, to, self.file_rows)
+            other.write_batch(self.records(), f"b-{uuid.uuid4().hex}")
+            return other
+        old, batch = self.batches(), f"c-{uuid.uuid4().hex}"
+        self.write_batch(self._left(self._scan(old)), batch)
+        commit = self.spark.createDataFrame([(batch, old)], "into string, retired array<string>").coalesce(1)
+        commit.write.mode("append").json(f"{self.root}/compactions")
+        return self
+
+    def vacuum(self) -> list[str]:
+        """Remove the folders of batches that no longer count; returns their names."""
+        live = set(self.batches())
+        retired = {x for r in self.spark.read.schema("retired array<string>").json(f"{self.root}/compactions").collect() for x in r["retired"]} if self._children("compactions") else set()
+        gone = sorted(b for b in (x.removeprefix("batch=") for x in self._children("records")) if b in retired and b not in live)
+        for b in gone:
+            for name in ("files", "grams", "postings", "records"):
+                self._remove(f"{name}/batch={b}")
+        return gone
+
+    # --- reading by index
+
+    def get(self, record: str) -> DataFrame:
+        """The record with this id, from the files whose ids take it in; their bloom filters skip what hasn't got it."""
+        done, rest = self.indexed(self.batches())
+        files = self.index.holding(done, record)
+        found = self._scan(done) if files is None else self.index.read(files, _STORED)
+        both = found.select(*RECORDS.fieldNames()).union(self._scan(rest).select(*RECORDS.fieldNames()))
+        return self._left(both.where(F.col("id") == record)).limit(1)
+
+    def search(self, term: str) -> DataFrame:
+        """``filtered(records(), search=term)``, by the trigram index where the term has a run of three letters that is rare enough."""
+        batches = self.batches()
+        done, rest = self.indexed(batches)
+        near = self.index.candidates(term, done)
+        if near is None:
+            return self._left(filtered(self._scan(batches), search=term))
+        files = sorted(r[0] for r in near.select("file").distinct().collect())
+        at = self.index.read(files, _STORED).join(F.broadcast(near), ["file", "row"], "left_semi")  # bounded: see MOST_CANDIDATES
+        both = at.select(*RECORDS.fieldNames()).union(self._scan(rest).select(*RECORDS.fieldNames()))
+        return self._left(filtered(both, search=term))
+
+    def newest(self, tier: str | None = None, rows: int = MOST_ROWS) -> DataFrame:
+        """Records that hold the ``rows`` newest ones of a tier, read from few files.
+
+        Deleted records fill places on a page, so as many more are taken as
+        there are tombstones; a store with many is compacted.
+        """
+        done, rest = self.indexed(self.batches())
+        gone = self.spark.read.schema("id string").parquet(f"{self.root}/deleted").count() if self._children("deleted") else 0
+        files = self.index.newest(done, tier, rows + gone)
+        found = self._scan(done) if files is None else self.index.read(files, _STORED)
+        both = found.select(*RECORDS.fieldNames()).union(self._scan(rest).select(*RECORDS.fieldNames()))
+        return self._left(filtered(both, tier))
 
     def list(self, tier: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        return with_audit(page(filtered(self.records(), tier, search), limit, offset))
+        """A page of the records of a tier that are like the search term, newest first."""
+        d = filtered(self.search(search.strip()), tier) if search and search.strip() else self.newest(tier, limit + offset)
+        return with_audit(page(d, limit, offset))
 
     def stats(self) -> dict:
         row = stats(self.records()).first()

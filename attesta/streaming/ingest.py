@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RECORDS
+from ..sources.records import RecordStore
 
 
 def landing(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -32,7 +33,7 @@ def append_to(records: DataFrame, root: str, checkpoint: str):
     stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("tier").parquet(f"{root.rstrip('/')}/records/batch=s-{stream}-{number}")
+        RecordStore(batch.sparkSession, root).write_batch(batch, f"s-{stream}-{number}")
 
     out = records.drop("event_time").select(*RECORDS.fieldNames())
     return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
