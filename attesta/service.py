@@ -10,6 +10,7 @@ from .operators.extract import extract_from_tokens
 from .operators.layout import ocr_words
 from .plans.verification import Verification, verify
 from .sources import documents as docs
+from .sources import files as files_source
 from .sources import records as R
 
 HEALTH = {"status": "ok"}
@@ -62,20 +63,17 @@ class VerificationService:
         return run
 
     def verify_batch(self, manifest: str, save: bool = True) -> Verification:
-        """Documents of a manifest; entries whose front isn't there are left out, backs that are named must be."""
-        entries = docs.manifest(self.spark, manifest)
-        named = entries.select("document_path").union(entries.where("back_document_path IS NOT NULL").select("back_document_path")).distinct()
-        folders = [r[0] for r in named.select(F.regexp_replace("document_path", r"[^/\\]*$", "")).distinct().collect()]
-        listing = docs.scan(self.spark, folders).select("path")  # names only: no content is read
-        there = docs.present(entries, listing)
-        wanted = docs.present(named, listing)  # of the files in those folders only the ones that the manifest names are read
-        files = docs.scan(self.spark, [r[0] for r in wanted.collect()])
-        found = files.select(docs.bare_path(F.col("path")).alias("_p"), "content")
-        front = there.join(found, F.col("document_path") == F.col("_p")).select("doc_id", F.lit("front").alias("side"), "content")
-        back = there.where("back_document_path IS NOT NULL").join(found, F.col("back_document_path") == F.col("_p"), "left").select("doc_id", F.lit("back").alias("side"), F.coalesce("content", F.raise_error(F.concat(F.lit("no such file: "), F.col("back_document_path"))).cast("binary")).alias("content"))
+        """Documents of a manifest; entries whose front isn't there are left out, backs that are named must be.
+
+        Tasks read the manifest and open what it names (``sources.files``): no
+        path comes to the driver, and nothing is joined to the listing.
+        """
+        files_source.register(self.spark)
+        read = self.spark.read.format("attesta_documents").option("manifest", manifest)
         names = ("name", "full_name", "dob", "date_of_birth", "document_id", "id_number", "gender", "sex", "address")
+        there = read.option("content", "false").load().where(F.col("side") == "front")
         forms = there.select("doc_id", *[F.try_element_at("submitted", F.lit(n)).alias(n) for n in names])
-        return self.verify(forms, files=front.union(back), save=save)
+        return self.verify(forms, files=read.option("content", "true").load().select("doc_id", "side", "content"), save=save)
 
     def list_records(self, tier: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> dict:
         R.checked(limit, offset)
