@@ -25,25 +25,30 @@ def decode(content: bytes, page: int = 0) -> np.ndarray:
     if content[:8] == b"\x89PNG\r\n\x1a\n":
         return _png(content)
     if content[:2] in (b"P5", b"P6"):
-        parts, at = [], 2
-        while len(parts) < 3:
-            while content[at : at + 1].isspace():
-                at += 1
-            if content[at : at + 1] == b"#":
-                at = content.index(b"\n", at)
-                continue
-            end = at
-            while not content[end : end + 1].isspace():
-                end += 1
-            parts.append(int(content[at:end]))
-            at = end
-        w, h, _ = parts
-        planes = 1 if content[:2] == b"P5" else 3
-        pixels = np.frombuffer(content, np.uint8, w * h * planes, at + 1).reshape(h, w, planes)
-        return np.repeat(pixels, 3, axis=2) if planes == 1 else pixels.copy()
+        return netpbm(content)[0]
     raise ValueError("unknown image format: pass a decoder")
 
 
+def netpbm(content: bytes) -> tuple[np.ndarray, int]:
+    """The first image of a binary PGM or PPM stream, and how many bytes it takes."""
+    parts, at = [], 2
+    while len(parts) < 3:
+        while content[at : at + 1].isspace():
+            at += 1
+        if content[at : at + 1] == b"#":
+            at = content.index(b"\n", at)
+            continue
+        end = at
+        while end < len(content) and not content[end : end + 1].isspace():
+            end += 1
+        parts.append(int(content[at:end]))
+        at = end
+    w, h, _ = parts
+    planes = 1 if content[:2] == b"P5" else 3
+    pixels = np.frombuffer(content, np.uint8, w * h * planes, at + 1).reshape(h, w, planes)
+    return np.repeat(pixels, 3, axis=2) if planes == 1 else pixels.copy(), at + 1 + w * h * planes
+
+
 def _png(content: bytes) -> np.ndarray:
     at, data, palette = 8, b"", None
     width = height = kind = 0

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import glyphs, tables
 from ..functions import text as T
 from ..functions.fields import ADDRESS_WORDS, EXTRACTORS
 from ..functions.similarity import native_ratio, similarity
@@ -487,6 +489,51 @@ def word_boxes(spark, sf_dir):
     return t.select("doc_id", "side", "text", "line_num", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"))
 
 
+# --- images: printed from the cards' texts, read back by table functions --------
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): each card as a file with a page for each side."""
+
+    def pages(fronts: pd.Series, backs: pd.Series) -> pd.Series:
+        netpbm = lambda page: b"P5 %d %d 255\n" % page.shape[::-1] + page.tobytes()
+        return pd.Series([b"".join(netpbm(glyphs.printed(t.rstrip("\n"))) for t in (f, b) if t is not None) for f, b in zip(fronts, backs, strict=True)])
+
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("full_text")))
+    both = C.sides(C.cards(spark, sf_dir)).groupBy("doc_id").agg(of("front").alias("front"), of("back").alias("back"))
+    return both.select("doc_id", F.pandas_udf(pages, "binary")("front", "back").alias("content"))
+
+
+def _with_scans(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql(sql, scans=_scans(spark, sf_dir))
+
+
+@query(
+    _WITH_TOKENS + """, n AS (SELECT doc_id, side, line_num, line, length(replace(line, ' ', '')) AS chars, length(line) * 6 AS wide FROM lines),
+    ws AS (SELECT n.*, t.w, t.text, CASE WHEN contains(n.line, ' ') THEN greatest(1, CAST(floor(wide * (length(t.text) / chars::DOUBLE)) AS INT)) ELSE wide END AS ww FROM n JOIN toks t USING (doc_id, side, line_num))
+    SELECT doc_id, side, text, CAST(line_num * 12 AS INT) AS y, CAST(coalesce(sum(ww + CAST(floor(wide * 0.02::DOUBLE) AS INT)) OVER (PARTITION BY doc_id, side, line_num ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS x, CAST(ww AS INT) AS w, 100.0::DOUBLE AS confidence FROM ws"""
+)
+def scanned_lines(spark, sf_dir):
+    """Files to pages to lines by an engine that finds lines, then words with boxes."""
+    lines = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, l.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_lines(p.png) l")
+    return layout.ocr_words(lines).select("doc_id", "side", "text", F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "confidence")
+
+
+@query(_WITH_TOKENS + "SELECT doc_id, side, text, CAST(x * 6 / 10 AS INT) AS x, CAST(line_num * 12 AS INT) AS y, CAST(length(text) * 6 AS INT) AS w, CAST(line_num AS INT) AS line_num, 100.0::DOUBLE AS confidence FROM tokens")
+def scanned_tokens(spark, sf_dir):
+    """Files to pages to words by an engine that finds words."""
+    t = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, w.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_tokens(p.png) w")
+    return t.select("doc_id", "side", "text", F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), "line_num", "confidence")
+
+
+@query(_WITH_RECORDS + "SELECT tier, count(*) AS n FROM verdict GROUP BY tier")
+def scanned_tiers(spark, sf_dir):
+    """From images to tiers: pages, words, fields with boxes, matches, verdicts."""
+    t = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, w.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_tokens(p.png) w")
+    return tier_counts(verify(C.submitted(C.cards(spark, sf_dir)).drop("k"), tokens=t).verdicts)
+
+
 # --- merge, audit, boxes -----------------------------------------------------
 
 
