@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .tokens import ByteBpe, vocabulary
-from .word_bpe import byte_letters
 
 #: Tokens of a batch on its way out.
 BATCH_TOKENS = 1 << 18
 #: A pair's count is broadcast if more than one in so many of all (document, pair) rows is its: so many pairs at most.
 COMMON = 100_000
+#: Links of a group from which its ids are counted first.
+WIDE = 4096
 _PAIR = 32  # bits of the B id in a pair's number
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
@@ -62,32 +63,59 @@ def shared_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[i
             y = b_ends[j]
 
 
-def links(a: list[int], b: list[int], of_a: list[int], of_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct linked pairs (A id and B id in one number) and how often each is linked."""
-    ia, ib = np.array([0, *of_a]), np.array([0, *of_b])
-    da, db = np.diff(ia), np.diff(ib)
-    one = (da == 1) & (db == 1)
-    x, y = np.array(a, np.int64), np.array(b, np.int64)
-    codes, times = [x[ia[:-1][one]] << _PAIR | y[ib[:-1][one]]], [np.ones(int(one.sum()), np.int64)]
-    more: Counter[int] = Counter()
-    for g in np.flatnonzero(~one):  # a group that repeats ids counts them first: its pairs are of distinct ids
-        there = Counter(b[ib[g] : ib[g + 1]]).items()
-        for p, n in Counter(a[ia[g] : ia[g + 1]]).items():
-            for q, m in there:
-                more[p << _PAIR | q] += n * m
-    codes.append(np.fromiter(more.keys(), np.int64, len(more)))
-    times.append(np.fromiter(more.values(), np.int64, len(more)))
-    pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
-    return pairs, np.bincount(place, np.concatenate(times), len(pairs)).astype(np.int64) if len(pairs) else pairs
-
-
-def as_text(a: list[int], b: list[int], of_a: list[int], of_b: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    sa, sb, i, j, out = list(map(str, a)), list(map(str, b)), 0, 0, []
-    for p, q in zip(of_a, of_b, strict=True):
-        out.append(f"{sa[i]}|{sb[j]}" if p - i == 1 == q - j else f"{','.join(sa[i:p])}|{','.join(sb[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+class Groups:
+    """Groups of two lists of ids, cut at ``of_a`` and ``of_b`` (from ``shared_ends``)."""
+
+    def __init__(self, a: list[int], b: list[int], of_a: list[int], of_b: list[int]):
+        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+        self.ia, self.ib = np.array([0, *of_a]), np.array([0, *of_b])
+        self.da, self.db = np.diff(self.ia), np.diff(self.ib)
+
+    def __len__(self) -> int:
+        return len(self.da)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct linked pairs (A id and B id in one number) and how often each is linked."""
+        size = self.da * self.db
+        small = np.flatnonzero(size <= WIDE)
+        n, across = size[small], np.repeat(self.db[small], size[small])
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # a link's number in its group
+        down = within // across
+        x = self.a[np.repeat(self.ia[small], n) + down] << _PAIR
+        pairs, times = np.unique(x | self.b[np.repeat(self.ib[small], n) + within - down * across], return_counts=True)
+        more: Counter[int] = Counter()
+        for g in np.flatnonzero(size > WIDE):  # a long group is one of few ids, repeated: they are counted before they are paired
+            there = Counter(self.b[self.ib[g] : self.ib[g + 1]].tolist()).items()
+            for p, k in Counter(self.a[self.ia[g] : self.ia[g + 1]].tolist()).items():
+                for q, m in there:
+                    more[p << _PAIR | q] += k * m
+        if more:
+            wide = np.fromiter(more.values(), np.int64, len(more))
+            pairs, place = np.unique(np.concatenate([pairs, np.fromiter(more.keys(), np.int64, len(more))]), return_inverse=True)
+            both = np.zeros(len(pairs), np.int64)
+            np.add.at(both, place, np.concatenate([times, wide]))
+            times = both
+        return pairs, times
+
+    def text(self, marked: Marked) -> str:
+        """Groups as ``a1,a2|b1;a3|b2,b3``."""
+        # a group's A tokens come right before its B tokens, each with what stands behind it
+        out = np.empty(len(self.a) + len(self.b), object)
+        ends = np.zeros(len(self.a), bool)
+        ends[self.ia[1:] - 1] = True
+        out[np.arange(len(self.a)) + np.repeat(self.ib[:-1], self.da)] = np.where(ends, marked.bar[self.a], marked.comma[self.a])
+        ends = np.zeros(len(self.b), bool)
+        ends[self.ib[1:] - 1] = True
+        out[np.arange(len(self.b)) + np.repeat(self.ia[1:], self.db)] = np.where(ends, marked.semicolon[self.b], marked.comma[self.b])
+        return "".join(out.tolist())[:-1]
+
+
+class Marked:
+    """The decimal form of each id with the marks that may stand behind it."""
+
+    def __init__(self, ids: int):
+        text = [str(i) for i in range(ids)]
+        self.comma, self.bar, self.semicolon = (np.array([t + mark for t in text], object) for mark in ",|;")
 
 
 class Aligner:
@@ -95,11 +123,11 @@ class Aligner:
 
     def __init__(self, ranks: str, letters_file: str, pieces: str):
         self.a = ByteBpe(ranks)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         with open(letters_file, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.a_size = {i: len(token) for token, i in vocab.items()}  # a letter is a byte
+        self.marked = Marked(1 + max(max(self.a_size), self.b.get_piece_size()))
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -109,12 +137,14 @@ class Aligner:
         """(A ids, B ids, A ends, B ends); none for an empty text, or if a side's bytes aren't the text's."""
         if not text:
             return None
-        whole = f" {text}".encode()
-        a, b = self.a.ids(f" {text}"), self.b.encode(text, num_threads=1)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(b_parts) != whole or b"".join(a_parts) != whole:
+        whole = f" {text}"
+        a, b = self.a.ids(whole), self.b.encode(text, num_threads=1)
+        parts = [self.b_bytes[i] for i in b]
+        a_ends, b_ends = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(len, parts)))
+        # byte-level tokens spell any text; pieces may not
+        if b"".join(parts) != whole.encode() or a_ends[-1] != b_ends[-1]:
             return None
-        return a, b, list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
+        return a, b, a_ends, b_ends
 
 
 @lru_cache(maxsize=1)
@@ -137,9 +167,9 @@ def _aligned(files: tuple[str, str, str]):
                     out.append((number, doc, 0, 0, 0, 0, "", none, none))
                 else:
                     a, b, a_ends, b_ends = got
-                    of_a, of_b = shared_ends(a_ends, b_ends)
-                    pairs, times = links(a, b, of_a, of_b)
-                    out.append((number, doc, len(a), len(b), len(of_a), int(times.sum()), as_text(a, b, of_a, of_b), pairs, times))
+                    groups = Groups(a, b, *shared_ends(a_ends, b_ends))
+                    pairs, times = groups.links()
+                    out.append((number, doc, len(a), len(b), len(groups), int(times.sum()), groups.text(aligner.marked), pairs, times))
                     size += len(a) + len(b)
                 number += 1
                 if size >= BATCH_TOKENS or len(out) >= 8192:
