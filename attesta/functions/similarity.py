@@ -11,7 +11,10 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,23 +65,91 @@ def token_set_ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with any window of the longer, cut at its ends or not."""
-    if not a and not b:
-        return 100.0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n, m = len(short), len(long)
-    if not n:
-        return 0.0
-    if short in long:
-        return 100.0
-    windows = {long[max(0, i) : i + n] for i in range(1 - n, m)}
-    best = 0.0
-    for w in sorted(windows, key=lambda w: -len(w)):
-        if 200.0 * min(n, len(w)) / (n + len(w)) > best:
-            best = max(best, ratio(short, w))
-    if n == m:
-        for w in {short[max(0, i) : i + n] for i in range(1 - n, n)}:
-            best = max(best, ratio(long, w))
-    return best
+    return partial_ratios([a], [b])[0]
+
+
+#: Cells of a block of pairs that are compared together.
+BLOCK_CELLS = 1 << 22
+
+
+def partial_ratios(a: list[str], b: list[str]) -> list[float]:
+    """``partial_ratio`` of many pairs; those of like size are compared together."""
+    out = [100.0 if not x and not y else 0.0 for x, y in zip(a, b, strict=True)]
+    todo = [(k, *((x, y) if len(x) <= len(y) else (y, x))) for k, (x, y) in enumerate(zip(a, b, strict=True)) if x and y]
+    todo += [(k, y, x) for k, x, y in todo if len(x) == len(y)]  # of two strings as long as each other both are slid
+    todo.sort(key=lambda t: (len(t[1]), len(t[2])))
+    at = 0
+    while at < len(todo):
+        end, wide = at, 0
+        while end < len(todo):
+            wide = max(wide, len(todo[end][2]))
+            if end > at and (end - at + 1) * len(todo[end][1]) * wide > BLOCK_CELLS:
+                break
+            end += 1
+        block = todo[at:end]
+        for (k, _, _), best in zip(block, _best_windows([t[1] for t in block], [t[2] for t in block]), strict=True):
+            out[k] = max(out[k], best)
+        at = end
+    return out
+
+
+def _codes(texts: list[str], filler: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), filler, np.int32)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
+def strands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the strand that ends below each character of ``b`` starts above it; under 0: it comes in from the side.
+
+    ``a`` and ``b`` are rows of characters, a row for each pair. A strand comes in
+    for each character of ``a`` from the left and for each of ``b`` from above;
+    in each cell of the table the two that meet cross, unless the characters are
+    equal or they have crossed before. From the strands the common subsequences
+    of ``a`` with every window of ``b`` can be read (``_best_windows``). Cells of
+    a diagonal don't depend on each other and are done at once, for all pairs.
+    """
+    n, m = a.shape[1], b.shape[1]
+    left = np.tile(np.arange(n - 1, -1, -1, dtype=np.int32), (len(a), 1))
+    above = np.tile(np.arange(n, n + m, dtype=np.int32), (len(a), 1))
+    back = b[:, ::-1]
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n - 1, d)
+        h, v = left[:, lo : hi + 1], above[:, d - hi : d - lo + 1][:, ::-1]
+        swap = (a[:, lo : hi + 1] == back[:, m - 1 - d + lo : m - d + hi]) | (h > v)
+        h[...], v[...] = np.where(swap, v, h), np.where(swap, h, v)
+    return above - n
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """Best ratio of each short string with a window of the long one that is as long, or is cut at an end.
+
+    Of a window's characters those are not common whose strands start and end
+    within it. A strand from p to r lies within the windows of width n that start
+    in r - n + 1 .. p, the prefixes that end behind r and the suffixes that start
+    up to p: three sums give the counts of all windows.
+    """
+    n, m = np.array([len(t) for t in short]), np.array([len(t) for t in long])
+    starts = strands(_codes(short, -1), _codes(long, -2))
+    width = starts.shape[1]
+    pair, end = np.nonzero((starts >= 0) & (np.arange(width) < m[:, None]))
+    p = starts[pair, end]
+    step = np.zeros((len(n), width + 1), np.int64)
+    np.add.at(step, (pair, np.maximum(0, end - n[pair] + 1)), p >= end - n[pair] + 1)
+    np.add.at(step, (pair, p + 1), -(p >= end - n[pair] + 1).astype(np.int64))
+    whole = n[:, None] - np.cumsum(step, axis=1)
+    i = np.arange(width + 1)
+    best = np.where(i <= (m - n)[:, None], 100.0 * whole / n[:, None], 0.0).max(axis=1)
+    ends, begins = np.zeros((len(n), width + 1), np.int64), np.zeros((len(n), width + 1), np.int64)
+    np.add.at(ends, (pair, end + 1), 1)
+    np.add.at(begins, (pair, p), 1)
+    size = np.where((i >= 1) & (i < n[:, None]), i, 0)
+    common = np.where(size > 0, size - np.cumsum(ends, axis=1), 0)  # of prefixes
+    best = np.maximum(best, (200.0 * common / (n[:, None] + size)).max(axis=1))
+    size = np.where((i > (m - n)[:, None]) & (i < m[:, None]), m[:, None] - i, 0)
+    common = np.where(size > 0, size - np.cumsum(begins[:, ::-1], axis=1)[:, ::-1], 0)  # of suffixes
+    return np.maximum(best, (200.0 * common / (n[:, None] + size)).max(axis=1))
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -129,14 +200,27 @@ FUNCTIONS = {f.__name__: (f, "double") for f in (ratio, token_sort_ratio, token_
 
 
 def similarity(name: str, a: Column, b: Column) -> Column:
-    f, kind = FUNCTIONS[name]
-    return _paired(f, kind)(a, b)
+    return _column_function(name)(a, b)
+
+
+def _column_function(name: str):
+    if name != "partial_ratio":
+        return _paired(*FUNCTIONS[name])
+
+    def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        there = a.notna() & b.notna()
+        out = pd.Series(np.nan, index=a.index, dtype="float64")
+        out[there] = partial_ratios(a[there].tolist(), b[there].tolist())
+        return out.astype(object).where(there, None)
+
+    partial_ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(partial_ratio, "double")
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions available to SQL under their names, with the native ratio as ``ratio_native``."""
-    for name, (f, kind) in FUNCTIONS.items():
-        spark.udf.register(name, _paired(f, kind))
+    for name in FUNCTIONS:
+        spark.udf.register(name, _column_function(name))
 
 
 def native_ratio(a: Column, b: Column) -> Column:
@@ -159,11 +243,56 @@ def native_ratio(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / both)
 
 
-def fuzzy_scores(a: Column, b: Column) -> Column:
-    """All that scoring needs, in one pass over Arrow batches: a struct of five scores."""
+SCORES = ("ratio", "token_sort", "token_set", "partial", "jaro_winkler")
+
+
+def score_pairs(a: list[str], b: list[str], wide: list[bool]) -> dict[str, list[float]]:
+    """What scoring asks of each pair; where ``wide`` is set (addresses) word sets and windows count, else Jaro-Winkler does.
+
+    Scores that a pair's own rule doesn't ask for are 0: windows where the word
+    sets differ much, the plain ratio where they don't. Empty pairs have none.
+    """
+    out = {name: [0.0] * len(a) for name in SCORES}
+    windows = []
+    for k, (x, y, w) in enumerate(zip(a, b, wide, strict=True)):
+        if not x and not y:
+            continue
+        out["token_sort"][k] = token_sort_ratio(x, y)
+        if w:
+            out["token_set"][k] = token_set_ratio(x, y)
+            if out["token_set"][k] >= 70.0:
+                windows.append(k)
+                continue
+        else:
+            out["jaro_winkler"][k] = 100.0 * jaro_winkler(x, y)
+        out["ratio"][k] = ratio(x, y)
+    for k, best in zip(windows, partial_ratios([a[k] for k in windows], [b[k] for k in windows]), strict=True):
+        out["partial"][k] = best
+    return out
+
+
+def _ends(lists: pa.Array) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]), pa.int32())
+
+
+def fuzzy_score_arrays(a: Column, b: Column, wide: Column) -> Column:
+    """``score_pairs`` of arrays: a struct of scores for each pair of a row; a batch's pairs are compared together."""
+
+    def over(a: pa.Array, b: pa.Array, wide: pa.Array) -> pa.Array:
+        scores = score_pairs(a.flatten().to_pylist(), b.flatten().to_pylist(), wide.flatten().to_pylist())
+        return pa.ListArray.from_arrays(_ends(a), pa.StructArray.from_arrays([pa.array(scores[n], pa.float64()) for n in SCORES], names=list(SCORES)))
+
+    over.__annotations__ = {"a": pa.Array, "b": pa.Array, "wide": pa.Array, "return": pa.Array}
+    # not to be copied into the expressions that use it: it would run again for each
+    return F.arrow_udf(over, "array<struct<" + ", ".join(f"{n}: double" for n in SCORES) + ">>").asNondeterministic()(a, b, wide)
+
+
+def token_diff_arrays(a: Column, b: Column) -> Column:
+    """``token_diff`` of each pair of two arrays; empty pairs have none."""
 
-    def fuzzy(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [(ratio(p, q), token_sort_ratio(p, q), token_set_ratio(p, q), partial_ratio(p, q), 100.0 * jaro_winkler(p, q)) for p, q in zip(x, y, strict=True)]
-        return pd.DataFrame(rows, columns=["ratio", "token_sort", "token_set", "partial", "jaro_winkler"], dtype="float64")
+    def over(a: pa.Array, b: pa.Array) -> pa.Array:
+        said = [token_diff(x, y) if x or y else None for x, y in zip(a.flatten().to_pylist(), b.flatten().to_pylist(), strict=True)]
+        return pa.ListArray.from_arrays(_ends(a), pa.array(said, pa.string()))
 
-    return F.pandas_udf(fuzzy, "ratio double, token_sort double, token_set double, partial double, jaro_winkler double")(a, b)
+    over.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(over, "array<string>").asNondeterministic()(a, b)

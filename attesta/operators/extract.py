@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import extract_all
 from .layout import full_text, locate, token_spans
 
 
+def all_fields(text: Column) -> Column:
+    """An array of (field_name, f) for the five fields; f is null where a field isn't found."""
+    return F.array(*[F.struct(F.lit(name).alias("field_name"), f.alias("f")) for name, f in extract_all(text)])
+
+
 def extract_fields(texts: DataFrame, text_col: str = "full_text") -> DataFrame:
     """(doc_id, side, field_name, raw_text, normalized_text, matched_pattern, span_start, span_end) of every field found.
 
     One pass over the texts finds the five fields and one explode makes rows of
     them; nothing is shuffled.
     """
-    fields = F.array(*[F.struct(F.lit(name).alias("field_name"), f.alias("f")) for name, f in extract_all(F.col(text_col))])
-    rows = texts.select("doc_id", "side", F.explode(fields).alias("x")).where("x.f IS NOT NULL")
+    rows = texts.select("doc_id", "side", F.explode(all_fields(F.col(text_col))).alias("x")).where("x.f IS NOT NULL")
     return rows.select("doc_id", "side", "x.field_name", "x.f.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fuzzy_scores, similarity
+from ..functions.similarity import fuzzy_score_arrays, token_diff_arrays
 from ..functions.text import gender_of_form, let, normalize_address, normalize_date, normalize_id, normalize_string
 from ..schemas import ALIASES, BBOX
 
@@ -25,13 +25,25 @@ def submitted_rows(forms: DataFrame) -> DataFrame:
     A field is submitted if its column or an alias isn't null; its value is the
     first that isn't empty. Columns that don't exist count as null.
     """
-    value: dict[str, Column] = {}
+    return forms.select("doc_id", F.explode(F.array(*_pairs(forms))).alias("p")).where("p.submitted IS NOT NULL").select("doc_id", "p.*")
+
+
+def _pairs(forms: DataFrame) -> list[Column]:
+    pairs = []
     for field, names in ALIASES.items():
-        there = [F.col(f"`{n}`").cast("string") for n in names if n in forms.columns]
-        if there:
-            value[field] = F.when(F.coalesce(*there).isNotNull(), F.coalesce(*[F.nullif(c, F.lit("")) for c in there], F.lit("")))
-    pairs = [F.struct(F.lit(f).alias("field_name"), v.alias("submitted")) for f, v in value.items()]
-    return forms.select("doc_id", F.explode(F.array(*pairs)).alias("p")).where("p.submitted IS NOT NULL").select("doc_id", "p.*")
+        there = [F.col(f"`{n}`").cast("string") for n in names if n in forms.columns] or [F.lit(None).cast("string")]
+        value = F.when(F.coalesce(*there).isNotNull(), F.coalesce(*[F.nullif(c, F.lit("")) for c in there], F.lit("")))
+        pairs.append(F.struct(F.lit(field).alias("field_name"), value.alias("submitted")))
+    return pairs
+
+
+def submitted_arrays(forms: DataFrame) -> DataFrame:
+    """(doc_id, submitted) of every form: what ``submitted_rows`` gives for it, as an array."""
+    return forms.select("doc_id", submitted_array(forms).alias("submitted"))
+
+
+def submitted_array(forms: DataFrame) -> Column:
+    return F.filter(F.array(*_pairs(forms)), lambda p: p["submitted"].isNotNull())
 
 
 def submitted_rows_of_map(forms: DataFrame, map_col: str = "submitted") -> DataFrame:
@@ -63,6 +75,50 @@ def dates_agree(submitted: Column, normalized: Column) -> Column:
     return let(normalize_date(submitted), agree)
 
 
+def sides_of_texts(texts: DataFrame, fields: Column) -> DataFrame:
+    """(doc_id, side, fields): ``fields`` is an array of what was found on the side, made in the row where its text is."""
+    return texts.select("doc_id", "side", F.transform(F.filter(fields, lambda f: f["f"].isNotNull()), _found_of_text).alias("fields"))
+
+
+def _found_of_text(f: Column) -> Column:
+    x = f["f"]
+    return F.struct(f["field_name"].alias("field_name"), x["raw_text"].alias("raw_text"), x["normalized_text"].alias("normalized_text"), F.array(*[F.lit(0)] * 4).cast(BBOX).alias("box"), F.lit(0.0).alias("conf"))
+
+
+def sides_of_fields(fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(doc_id, side, fields) of extracted fields as rows; ``sides`` (doc_id, side) may have nothing found on them."""
+    has_boxes = {"bbox", "confidence"} <= set(fields.columns)
+    found = F.struct(
+        "field_name", "raw_text", "normalized_text", (F.col("bbox") if has_boxes else F.array(*[F.lit(0)] * 4)).cast(BBOX).alias("box"), (F.col("confidence") if has_boxes else F.lit(0.0)).alias("conf")
+    )
+    rows = fields.select("doc_id", "side", found.alias("x"))
+    if sides is not None:
+        rows = rows.unionByName(sides.select("doc_id", "side").distinct(), allowMissingColumns=True)
+    return rows.groupBy("doc_id", "side").agg(F.array_sort(F.collect_list("x")).alias("fields"))  # five at most, nulls aren't collected
+
+
+def sides_of_texts(texts: DataFrame, fields: Column) -> DataFrame:
+    """(doc_id, side, fields): ``fields`` is an array of what was found on the side, made in the row where its text is."""
+    return texts.select("doc_id", "side", F.transform(F.filter(fields, lambda f: f["f"].isNotNull()), _found_of_text).alias("fields"))
+
+
+def _found_of_text(f: Column) -> Column:
+    x = f["f"]
+    return F.struct(f["field_name"].alias("field_name"), x["raw_text"].alias("raw_text"), x["normalized_text"].alias("normalized_text"), F.array(*[F.lit(0)] * 4).cast(BBOX).alias("box"), F.lit(0.0).alias("conf"))
+
+
+def sides_of_fields(fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(doc_id, side, fields) of extracted fields as rows; ``sides`` (doc_id, side) may have nothing found on them."""
+    has_boxes = {"bbox", "confidence"} <= set(fields.columns)
+    found = F.struct(
+        "field_name", "raw_text", "normalized_text", (F.col("bbox") if has_boxes else F.array(*[F.lit(0)] * 4)).cast(BBOX).alias("box"), (F.col("confidence") if has_boxes else F.lit(0.0)).alias("conf")
+    )
+    rows = fields.select("doc_id", "side", found.alias("x"))
+    if sides is not None:
+        rows = rows.unionByName(sides.select("doc_id", "side").distinct(), allowMissingColumns=True)
+    return rows.groupBy("doc_id", "side").agg(F.array_sort(F.collect_list("x")).alias("fields"))  # five at most, nulls aren't collected
+
+
 def match_fields(submitted: DataFrame, fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """One row per submitted field and side of the document.
 
@@ -70,51 +126,88 @@ def match_fields(submitted: DataFrame, fields: DataFrame, sides: DataFrame | Non
     field_name, raw_text, normalized_text[, bbox, confidence]). ``sides`` (doc_id,
     side) are the sides that the documents have, found fields or not; without it
     they are those of ``fields``. The front counts in any case.
-
-    Rows whose normal forms are equal need no similarity; only the others cross
-    to Python, in one pass over Arrow batches.
     """
-    has_boxes = {"bbox", "confidence"} <= set(fields.columns)
-    found = fields.select(
-        "doc_id", "side", "field_name", "raw_text", "normalized_text", (F.col("bbox") if has_boxes else F.array(*[F.lit(0)] * 4)).cast(BBOX).alias("box"), (F.col("confidence") if has_boxes else F.lit(0.0)).alias("conf")
-    )
-    known = (fields if sides is None else sides).select("doc_id", "side")
-    sides = submitted.select("doc_id", F.lit("front").alias("side")).union(known).distinct()
-    return match_sides(submitted.join(sides, "doc_id"), found)
+    forms = submitted.groupBy("doc_id").agg(F.collect_list(F.struct("field_name", "submitted")).alias("submitted"))  # five at most
+    return match_rows(match_documents(forms, sides_of_fields(fields, sides)))
+
 
+def match_rows(documents: DataFrame) -> DataFrame:
+    """``match_documents`` with a row for each match."""
+    return documents.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
-def match_sides(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """``match_fields`` for given (doc_id, side, field_name, submitted)."""
-    keys = ["doc_id", "side", "field_name"]
+
+def match_documents(forms: DataFrame, sides: DataFrame, with_diffs: bool = True) -> DataFrame:
+    """``forms`` with has_back and ``matches``: an array of a match for each submitted field and side.
+
+    ``forms``: (doc_id, submitted, ...), an array of (field_name, submitted).
+    ``sides``: (doc_id, side, fields). A document's sides meet in one row by
+    doc_id and its form joins them there; everything after happens within that
+    row, so nothing else is shuffled.
+    """
     # rows are short and what follows costs much for each: by their bytes they would be gathered into a few tasks
-    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = wanted.repartition(tasks, *keys).join(found.repartition(tasks, *keys), keys, "left")
-    field, sub, raw, norm = F.col("field_name"), F.col("submitted"), F.col("raw_text"), F.coalesce("normalized_text", F.lit(""))
-    missing = norm == ""
+    tasks = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    have = sides.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("side", "fields")).alias("sides"))
+    return matched(forms.repartition(tasks, "doc_id").join(have, "doc_id", "left"), with_diffs)
+
+
+def matched(documents: DataFrame, with_diffs: bool = True) -> DataFrame:
+    """Documents (doc_id, submitted, sides, ...) with has_back and ``matches`` instead of sides and submitted; one pass, row by row.
+
+    A document that came without a front has one on which nothing is found.
+    Pairs whose normal forms are equal need no similarity; only the others cross
+    to Python, a document's together.
+    """
+    kind = documents.schema["sides"].dataType
+    there = F.coalesce("sides", F.array().cast(kind))
+    front = F.array(F.struct(F.lit("front").alias("side"), F.array().cast(kind.elementType["fields"].dataType).alias("fields")))
+    whole = F.when(F.exists(there, lambda s: s["side"] == "front"), there).otherwise(F.concat(there, front))
+    hit = lambda s, p: F.get(F.filter(s["fields"], lambda f: f["field_name"] == p["field_name"]), F.lit(0))
+    met = F.flatten(F.transform(whole, lambda s: F.transform("submitted", lambda p: F.struct(s["side"].alias("side"), p["field_name"].alias("field"), p["submitted"].alias("sub"), hit(s, p).alias("f")))))
+    d = documents.withColumns({"has_back": F.exists(there, lambda s: s["side"] == "back"), "_p": met}).drop("sides", "submitted")
+
+    def formed(p: Column) -> Column:
+        norm = F.coalesce(p["f"]["normalized_text"], F.lit(""))
+        form = lambda c: F.when(p["field"] == "address", normalize_address(c)).otherwise(normalize_string(c))
+        return F.struct(p["side"].alias("side"), p["field"].alias("field"), p["sub"].alias("sub"), p["f"].alias("f"), norm.alias("norm"), (norm == "").alias("missing"), form(p["sub"]).alias("a"), form(norm).alias("b"))
+
+    def compared(p: Column) -> Column:
+        field, sub, norm, raw = p["field"], p["sub"], p["norm"], p["f"]["raw_text"]
+        fuzzy = field.isin("name", "address")
+        equal = (
+            F.when(fuzzy, p["a"] == p["b"]).when(field == "dob", dates_agree(sub, norm)).when(field == "document_id", normalize_id(sub) == normalize_id(norm)).otherwise(gender_of_form(sub) == gender_of_form(norm))
+        )
+        same = F.coalesce(equal, F.lit(False)) & ~p["missing"]
+        open_ = fuzzy & ~same & ~p["missing"]  # pairs that are settled send empty strings, which cost nothing
+        blank = F.lit("")
+        said = ~p["missing"] & ((field == "address") | ((field == "name") & ~same))
+        return p.withField("same", same).withField("a", F.when(open_, p["a"]).otherwise(blank)).withField("b", F.when(open_, p["b"]).otherwise(blank)).withField("s", F.when(said, sub).otherwise(blank)).withField("t", F.when(said, raw).otherwise(blank))
+
+    d = d.withColumn("_p", F.transform("_p", formed)).withColumn("_p", F.transform("_p", compared))
+    d = d.withColumn("_f", fuzzy_score_arrays(F.col("_p.a"), F.col("_p.b"), F.transform("_p", lambda p: p["field"] == "address")))
+    d = d.withColumn("_d", token_diff_arrays(F.col("_p.s"), F.col("_p.t")) if with_diffs else F.lit(None).cast("array<string>"))
+    d = d.withColumn("_p", F.transform("_p", lambda p, i: p.withField("score", _score(p, F.get("_f", i))).withField("said", F.get("_d", i))))
+    return d.withColumn("matches", F.transform("_p", _outcome)).drop("_p", "_f", "_d")
+
+
+def _score(p: Column, f: Column) -> Column:
+    field, same = p["field"], p["same"]
+    by_name = name_score(same, f["token_sort"], f["ratio"], f["jaro_winkler"])
+    by_address = address_score(same, f["token_set"], f["token_sort"], f["partial"], f["ratio"])
+    return F.when(p["missing"], F.lit(0.0)).when(field == "name", by_name).when(field == "address", by_address).otherwise(F.when(same, F.lit(100.0)).otherwise(F.lit(0.0)))
+
+
+def _outcome(p: Column) -> Column:
+    """A match: (side, field_name, submitted, ocr_text, score, status, bbox, diff, is_critical, ocr_confidence, doc_side)."""
+    field, sub, raw, missing, score = p["field"], p["sub"], p["f"]["raw_text"], p["missing"], p["score"]
     fuzzy = field.isin("name", "address")
-    form = lambda c: F.when(field == "address", normalize_address(c)).otherwise(normalize_string(c))
-    d = d.withColumns({"_missing": missing, "_a": form(sub), "_b": form(norm)})
-    equal = (
-        F.when(fuzzy, F.col("_a") == F.col("_b")).when(field == "dob", dates_agree(sub, norm)).when(field == "document_id", normalize_id(sub) == normalize_id(norm)).otherwise(gender_of_form(sub) == gender_of_form(norm))
-    )
-    d = d.withColumn("_equal", F.coalesce(equal, F.lit(False)) & ~F.col("_missing"))
-    # a UDF runs on all rows of its projection, so rows that are settled send empty strings, which cost nothing
-    open_ = fuzzy & ~F.col("_equal") & ~F.col("_missing")
-    blank = F.lit("")
-    d = d.withColumn("_f", fuzzy_scores(F.when(open_, F.col("_a")).otherwise(blank), F.when(open_, F.col("_b")).otherwise(blank)))
-    said = ~F.col("_missing") & ((field == "address") | ((field == "name") & ~F.col("_equal")))
-    d = d.withColumn("_diff", similarity("token_diff", F.when(said, sub).otherwise(blank), F.when(said, raw).otherwise(blank)))
-    f, same = F.col("_f"), F.col("_equal")
-    score = F.when(F.col("_missing"), F.lit(0.0)).when(field == "name", name_score(same, f["token_sort"], f["ratio"], f["jaro_winkler"])).when(field == "address", address_score(same, f["token_set"], f["token_sort"], f["partial"], f["ratio"])).otherwise(F.when(same, F.lit(100.0)).otherwise(F.lit(0.0)))
-    d = d.withColumn("score", score)
     enough = F.when(field == "name", F.lit(MATCH_FROM["name"])).when(field == "address", F.lit(MATCH_FROM["address"])).otherwise(F.lit(100.0))
-    status = F.when(F.col("_missing"), "missing").when(F.col("score") >= enough, "match").when(fuzzy & (F.col("score") >= PARTIAL_FROM), "partial_match").otherwise("mismatch")
+    status = F.when(missing, "missing").when(score >= enough, "match").when(fuzzy & (score >= PARTIAL_FROM), "partial_match").otherwise("mismatch")
     gone = F.create_map(*[F.lit(x) for kv in NOT_FOUND.items() for x in kv])[field]
     plain = F.when(field == "document_id", F.format_string("ID mismatch: submitted '%s' != document '%s'", sub, raw)).otherwise(F.format_string("Submitted '%s' != document '%s'", sub, raw))
-    diff = F.when(F.col("_missing"), gone).when(fuzzy, F.col("_diff")).when(~same, plain)
-    zero = F.array(*[F.lit(0)] * 4)
-    return d.select(
-        "doc_id", "side", "field_name", "submitted", F.when(F.col("_missing"), blank).otherwise(raw).alias("ocr_text"), "score", status.alias("status"),
-        F.when(F.col("_missing"), zero).otherwise(F.coalesce("box", zero)).alias("bbox"), diff.alias("diff"), field.isin(*CRITICAL).alias("is_critical"),
-        F.when(F.col("_missing"), F.lit(0.0)).otherwise(F.coalesce("conf", F.lit(0.0))).alias("ocr_confidence"), F.col("side").alias("doc_side"),
+    diff = F.when(missing, gone).when(fuzzy, p["said"]).when(~p["same"], plain)
+    zero = F.array(*[F.lit(0)] * 4).cast(BBOX)
+    return F.struct(
+        p["side"].alias("side"), field.alias("field_name"), sub.alias("submitted"), F.when(missing, F.lit("")).otherwise(raw).alias("ocr_text"), score.alias("score"), status.alias("status"),
+        F.when(missing, zero).otherwise(F.coalesce(p["f"]["box"], zero)).alias("bbox"), diff.alias("diff"), field.isin(*CRITICAL).alias("is_critical"),
+        F.when(missing, F.lit(0.0)).otherwise(F.coalesce(p["f"]["conf"], F.lit(0.0))).alias("ocr_confidence"), p["side"].alias("doc_side"),
     )

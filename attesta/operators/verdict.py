@@ -30,6 +30,16 @@ def merge_sides(matches: DataFrame) -> DataFrame:
     return best.select("doc_id", "field_name", "m.*")
 
 
+def merged_arrays(matches: Column) -> Column:
+    """``merge_sides`` within a document's array of matches: an array with the better side of each field."""
+
+    def best(field: str) -> Column:
+        ranked = F.transform(F.filter(matches, lambda m: m["field_name"] == field), lambda m: F.struct(m["score"], (m["status"] != "missing").alias("there"), (m["side"] == "front").alias("front"), m.alias("m")))
+        return F.array_max(ranked)["m"]
+
+    return F.filter(F.array(*[best(f) for f in FIELDS]), lambda m: m.isNotNull())
+
+
 def tier_of(score: Column, critical: Column) -> Column:
     return F.when(critical, "CRITICAL_MISMATCH").when(score >= HIGH_FROM, "HIGH").when(score >= MEDIUM_FROM, "MEDIUM").otherwise("LOW")
 
@@ -48,23 +58,35 @@ def verdicts(merged: DataFrame, documents: DataFrame | None = None, weights: dic
     the order of rows. ``documents`` (doc_id) adds those without a submitted
     field: score 0, LOW. No or empty ``weights`` are the default ones.
     """
-    w = weights or WEIGHTS
     of = lambda f, c: F.max(F.when(F.col("field_name") == f, c))
     cols = [of(f, F.col("score")).alias(f"_{f}") for f in FIELDS]
     critical = F.bool_or(F.col("is_critical") & (F.col("status") == "mismatch"))
     d = merged.groupBy("doc_id").agg(*cols, critical.alias("critical_flag"))
     if documents is not None:
         d = documents.select("doc_id").distinct().join(d, "doc_id", "left")
+    return judged(d, {f: F.col(f"_{f}") for f in FIELDS}, F.col("critical_flag"), ["doc_id"], weights)
+
+
+def verdicts_of_arrays(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """The same of documents whose merged matches are an array, ``fields``, in their row; other columns stay."""
+    one = lambda f: F.get(F.filter("fields", lambda m: m["field_name"] == f), F.lit(0))["score"]
+    critical = F.exists("fields", lambda m: m["is_critical"] & (m["status"] == "mismatch"))
+    return judged(documents, {f: one(f) for f in FIELDS}, critical, documents.columns, weights)
+
+
+def judged(d: DataFrame, scores: dict[str, Column], critical: Column, keep: list[str], weights: dict[str, float] | None) -> DataFrame:
+    """Verdict columns from the fields' scores (null: not submitted), beside ``keep``."""
+    w = weights or WEIGHTS
     zero = F.lit(0.0)
     total, over = zero, zero
     for f in FIELDS:
-        total = total + F.coalesce(F.col(f"_{f}") * w.get(f, OTHER_WEIGHT), zero)
-        over = over + F.when(F.col(f"_{f}").isNotNull(), w.get(f, OTHER_WEIGHT)).otherwise(zero)
+        total = total + F.coalesce(scores[f] * w.get(f, OTHER_WEIGHT), zero)
+        over = over + F.when(scores[f].isNotNull(), w.get(f, OTHER_WEIGHT)).otherwise(zero)
     score = F.when(over > 0, F.least(F.lit(100.0), F.greatest(zero, total / over))).otherwise(zero)
-    d = d.select("doc_id", score.alias("overall_score"), F.coalesce("critical_flag", F.lit(False)).alias("critical_flag"))
+    d = d.select(*keep, score.alias("overall_score"), F.coalesce(critical, F.lit(False)).alias("critical_flag"))
     d = d.withColumn("tier", tier_of(F.col("overall_score"), F.col("critical_flag")))
     manual, reason = review(F.col("tier"))
-    return d.select("doc_id", "overall_score", "tier", "critical_flag", manual.alias("manual_review_priority"), reason.alias("review_reason"))
+    return d.select(*keep, "overall_score", "tier", "critical_flag", manual.alias("manual_review_priority"), reason.alias("review_reason"))
 
 
 def tier_counts(verdict: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,28 +35,35 @@ def field_view(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "side", "field_name", F.to_json(body).alias("json"))
 
 
-def audits(merged: DataFrame, verdict: DataFrame, has_back: DataFrame | None = None, extended: bool = True) -> DataFrame:
-    """(doc_id, audit_json): overall score, tier, fields by name, flags; ``extended`` adds review and policy.
+def rounded(values: Column, digits: int) -> Column:
+    """``python_round`` of an array's values."""
 
-    ``has_back`` (doc_id) lists documents with a second side.
+    def over(x: pa.Array) -> pa.Array:
+        flat = [None if v is None else round(v, digits) for v in x.flatten().to_pylist()]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float64()))
+
+    over.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(over, "array<double>").asNondeterministic()(values)
+
+
+def audits(documents: DataFrame, extended: bool = True) -> DataFrame:
+    """``documents`` with audit_json: overall score, tier, fields by name, flags; ``extended`` adds review and policy.
+
+    ``documents``: a row for each, with its merged matches as the array
+    ``fields``, has_back and the verdict's columns; nothing is joined or shuffled.
     """
-    body = F.struct("submitted", "ocr_text", F.col("_score").alias("score"), "status", "bbox", "doc_side", F.nullif("diff", F.lit("")).alias("diff"))
-    rounded = merged.withColumn("_score", python_round(F.col("score"), 1))
-    fields = rounded.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", body.alias("v"))))).alias("fields"))
-    d = verdict.withColumn("_overall", python_round(F.col("overall_score"), 1)).join(fields, "doc_id", "left")
-    back = F.lit(False)
-    if has_back is not None:
-        d = d.join(has_back.select("doc_id").distinct().withColumn("_back", F.lit(True)), "doc_id", "left")
-        back = F.coalesce("_back", F.lit(False))
-    empty = F.expr("map()").cast(fields.schema["fields"].dataType)
-    parts = [F.col("_overall").alias("overall_score"), F.col("tier"), F.coalesce("fields", empty).alias("fields"), F.col("critical_flag"), back.alias("has_back_document")]
+    d = documents.withColumn("_r", rounded(F.concat(F.array("overall_score"), F.col("fields.score")), 1))
+    body = lambda m, i: F.struct(m["submitted"], m["ocr_text"], F.get("_r", i + 1).alias("score"), m["status"], m["bbox"], m["doc_side"], F.nullif(m["diff"], F.lit("")).alias("diff"))
+    fields = F.map_from_entries(F.array_sort(F.transform("fields", lambda m, i: F.struct(m["field_name"], body(m, i).alias("v")))))
+    parts = [F.get("_r", F.lit(0)).alias("overall_score"), F.col("tier"), fields.alias("fields"), F.col("critical_flag"), F.col("has_back").alias("has_back_document")]
     if extended:
         parts += [F.col("manual_review_priority"), F.col("review_reason"), F.lit(POLICY_NOTICE).alias("policy_notice")]
     d = d.withColumn("_t", F.to_json(F.struct(*parts)))
     text = F.col("_t")
     if extended:  # a reason that is null is said to be null, while empty diffs are left out
         text = F.when(F.col("review_reason").isNull(), F.concat(F.expr("left(_t, length(_t) - 1)"), F.lit(',"review_reason":null}'))).otherwise(text)
-    return d.select("doc_id", text.alias("audit_json"))
+    return d.withColumn("audit_json", text).drop("_r", "_t")
 
 
 def data_url(png: Column) -> Column:

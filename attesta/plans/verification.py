@@ -7,52 +7,79 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_fields, extract_from_tokens
-from ..operators.match import match_fields, submitted_rows
-from ..operators.verdict import merge_sides, verdicts
+from ..operators.extract import all_fields, extract_fields, extract_from_tokens
+from ..operators.match import match_documents, match_rows, sides_of_fields, sides_of_texts, submitted_array
+from ..operators.verdict import merged_arrays, verdicts_of_arrays
 from ..operators.views import audits
 
+#: What a record says of the applicant, and the submitted names that it is taken from, in order.
+_WHO = {"applicant_name": ("name", "full_name"), "dob": ("dob", "date_of_birth"), "gender": ("gender", "sex"), "document_id": ("document_id", "id_number"), "address": ("address",)}
+_VERDICT = ("doc_id", "overall_score", "tier", "critical_flag", "manual_review_priority", "review_reason")
+
 
 @dataclass(frozen=True)
 class Verification:
-    """The relations of one run, all lazy: fields, matches (per side), merged (per field), verdicts; and the sides that came."""
+    """One run, all lazy: ``documents`` has a row for each form, (doc_id, who, has_back, matches); the relations are read off it.
+
+    ``scored`` is the same without texts of differences, and without the Python
+    pass that finds them.
+    """
 
+    documents: DataFrame
+    scored: DataFrame
     fields: DataFrame
-    matches: DataFrame
-    merged: DataFrame
-    verdicts: DataFrame
     forms: DataFrame
-    sides: DataFrame
     weights: dict[str, float] | None = None
 
-    def audits(self, extended: bool = True) -> DataFrame:
-        """Audit JSON of every document. Its verdicts are read off the merged matches, whose shuffle then serves both."""
-        return audits(self.merged, verdicts(self.merged, self.forms, self.weights), self.backs(), extended)
+    @property
+    def matches(self) -> DataFrame:
+        """A row for each submitted field and side."""
+        return match_rows(self.documents)
+
+    @property
+    def merged(self) -> DataFrame:
+        """A row for each submitted field, from the side with the better evidence."""
+        return match_rows(self._merged(self.documents).withColumnRenamed("fields", "matches"))
+
+    @property
+    def verdicts(self) -> DataFrame:
+        return self._judged(self.scored).select(*_VERDICT)
 
-    def backs(self) -> DataFrame:
-        """(doc_id) of documents that came with a back, whatever was found on it."""
-        return self.sides.where("side = 'back'").select("doc_id")
+    def _merged(self, documents: DataFrame) -> DataFrame:
+        return documents.withColumn("fields", merged_arrays(F.col("matches"))).drop("matches")
+
+    def _judged(self, documents: DataFrame) -> DataFrame:
+        return verdicts_of_arrays(self._merged(documents), self.weights)
+
+    def audits(self, extended: bool = True) -> DataFrame:
+        """(doc_id, audit_json) of every document."""
+        return audits(self._judged(self.documents), extended).select("doc_id", "audit_json")
 
     def records(self) -> DataFrame:
         """Rows for ``RecordStore.save``."""
-        forms = self.forms
-        have = lambda *names: F.coalesce(*[F.col(n) for n in names if n in forms.columns], F.lit(""))
-        who = forms.select("doc_id", have("name", "full_name").alias("applicant_name"), have("dob", "date_of_birth").alias("dob"), have("gender", "sex").alias("gender"), have("document_id", "id_number").alias("document_id"), have("address").alias("address"))
-        back = self.backs().withColumn("has_back_document", F.lit(True))
-        return verdicts(self.merged, forms, self.weights).join(who, "doc_id").join(self.audits(), "doc_id").join(back, "doc_id", "left").drop("doc_id", "review_reason")
+        d = audits(self._judged(self.documents))
+        return d.select("who.*", "overall_score", "tier", "critical_flag", "manual_review_priority", F.col("has_back").alias("has_back_document"), "audit_json")
+
+
+def form_rows(forms: DataFrame) -> DataFrame:
+    """(doc_id, submitted, who): the submitted fields as an array, and what a record says of the applicant."""
+    have = lambda *names: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in forms.columns], F.lit(""))
+    return forms.select("doc_id", submitted_array(forms).alias("submitted"), F.struct(*[have(*names).alias(c) for c, names in _WHO.items()]).alias("who"))
 
 
 def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, weights: dict[str, float] | None = None) -> Verification:
     """Verify forms (doc_id and submitted columns) against documents.
 
     Documents come as ``texts`` (doc_id, side, full_text) or as OCR ``tokens``;
-    only tokens give boxes and confidences. All keys are (doc_id, ...), so that
-    with texts the joins and aggregates after extraction share one distribution
-    by doc_id.
+    only tokens give boxes and confidences. A text's fields are found in its row;
+    then sides and form of a document meet by doc_id, each shuffled once, and
+    matching, merging, judging and writing the audit happen in that row.
     """
-    fields = extract_from_tokens(tokens) if tokens is not None else extract_fields(texts)
-    sides = (tokens if tokens is not None else texts).select("doc_id", "side").distinct()
-    matches = match_fields(submitted_rows(forms), fields, sides)
-    # verdicts need neither boxes nor texts of differences: without them the columns and the Python pass behind them are pruned
-    scored = merge_sides(matches.select("doc_id", "side", "field_name", "score", "status", "is_critical"))
-    return Verification(fields, matches, merge_sides(matches), verdicts(scored, forms, weights), forms, sides, weights)
+    if tokens is not None:
+        fields = extract_from_tokens(tokens)
+        found = sides_of_fields(fields, tokens.select("doc_id", "side"))
+    else:
+        fields = extract_fields(texts)
+        found = sides_of_texts(texts, all_fields(F.col("full_text")))
+    rows = form_rows(forms)
+    return Verification(match_documents(rows, found), match_documents(rows, found, with_diffs=False), fields, forms, weights)
