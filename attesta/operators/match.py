@@ -77,29 +77,12 @@ def dates_agree(submitted: Column, normalized: Column) -> Column:
 
 def sides_of_texts(texts: DataFrame, fields: Column) -> DataFrame:
     """(doc_id, side, fields): ``fields`` is an array of what was found on the side, made in the row where its text is."""
-    return texts.select("doc_id", "side", F.transform(F.filter(fields, lambda f: f["f"].isNotNull()), _found_of_text).alias("fields"))
+    return texts.select("doc_id", "side", found_fields(fields).alias("fields"))
 
 
-def _found_of_text(f: Column) -> Column:
-    x = f["f"]
-    return F.struct(f["field_name"].alias("field_name"), x["raw_text"].alias("raw_text"), x["normalized_text"].alias("normalized_text"), F.array(*[F.lit(0)] * 4).cast(BBOX).alias("box"), F.lit(0.0).alias("conf"))
-
-
-def sides_of_fields(fields: DataFrame, sides: DataFrame | None = None) -> DataFrame:
-    """(doc_id, side, fields) of extracted fields as rows; ``sides`` (doc_id, side) may have nothing found on them."""
-    has_boxes = {"bbox", "confidence"} <= set(fields.columns)
-    found = F.struct(
-        "field_name", "raw_text", "normalized_text", (F.col("bbox") if has_boxes else F.array(*[F.lit(0)] * 4)).cast(BBOX).alias("box"), (F.col("confidence") if has_boxes else F.lit(0.0)).alias("conf")
-    )
-    rows = fields.select("doc_id", "side", found.alias("x"))
-    if sides is not None:
-        rows = rows.unionByName(sides.select("doc_id", "side").distinct(), allowMissingColumns=True)
-    return rows.groupBy("doc_id", "side").agg(F.array_sort(F.collect_list("x")).alias("fields"))  # five at most, nulls aren't collected
-
-
-def sides_of_texts(texts: DataFrame, fields: Column) -> DataFrame:
-    """(doc_id, side, fields): ``fields`` is an array of what was found on the side, made in the row where its text is."""
-    return texts.select("doc_id", "side", F.transform(F.filter(fields, lambda f: f["f"].isNotNull()), _found_of_text).alias("fields"))
+def found_fields(fields: Column) -> Column:
+    """Those of a text's fields (field_name, f) that were found, as matching takes them."""
+    return F.transform(F.filter(fields, lambda f: f["f"].isNotNull()), _found_of_text)
 
 
 def _found_of_text(f: Column) -> Column:
