@@ -197,7 +197,7 @@ def _keyed(owners: int, window_bytes: int):
                     continue
                 key = xxhash.xxh64_intdigest(data)
                 body = packer.compress(data)
-                window[digest] = {"owner": (key >> 32) * owners >> 32, "key": key - 2**63, "sha256": digest.hex(), "group_size": 1, "length": n, "keep_id": doc_id, "keep_rows": 1, "body": body}
+                window[digest] = {"owner": key * owners >> 64, "key": key - 2**63, "sha256": digest.hex(), "group_size": 1, "length": n, "keep_id": doc_id, "keep_rows": 1, "body": body}
                 held += len(body) + 600
                 if held > window_bytes:
                     yield from flush()
@@ -207,7 +207,16 @@ def _keyed(owners: int, window_bytes: int):
     return rows
 
 
-def _owned(root: str, capacity: int, cached: int):
+def _place(key: int, owners: int) -> int:
+    """A key's place in its owner's range, spread over 64 bits: no two keys of an owner share one.
+
+    Keys of one owner have their leading bits in common; a directory over the
+    keys themselves would double for each of those bits before it tells any apart.
+    """
+    return key * owners & (2**64 - 1)
+
+
+def _owned(root: str, owners: int, capacity: int, cached: int):
     """Owner side: one key range after another through its part of the index.
 
     A range comes sorted by key. The index would find copies in any order; the
@@ -244,7 +253,7 @@ def _owned(root: str, capacity: int, cached: int):
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/owner-{owner:06d}-{attempt}"
                     index = ExtendibleHash(SegmentFile(fs, f"{name}.blobs"), SegmentFile(fs, f"{name}.pages"), capacity, cached, unpack=unpacker.decompress)
-                g = index.put(r["key"] + 2**63, r["body"])
+                g = index.put(_place(r["key"] + 2**63, owners), r["body"])
                 if g not in groups:
                     groups[g] = {n: r[n] for n in _GROUPS.names}
                 else:
@@ -269,7 +278,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     root = root or new_path(spark, "exact-index")
     keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_keyed(n, window_bytes), _ddl(_KEYED))
     placed = keyed.repartition(n, "owner").sortWithinPartitions("owner", "key")
-    return placed.mapInArrow(_owned(root, capacity, cached_buckets), _ddl(_GROUPS))
+    return placed.mapInArrow(_owned(root, n, capacity, cached_buckets), _ddl(_GROUPS))
 
 
 def _sha256(text_col: str):

@@ -106,6 +106,31 @@ def test_extendible_hash_splits_chains_and_spills(tmp_path):
     index.close()
 
 
+@pytest.mark.parametrize("owners", [1, 3, 100, 4096])
+def test_directory_follows_the_buckets_whatever_the_owners(tmp_path, owners):
+    """One owner's keys share their leading bits; the directory stays within a small factor of the buckets."""
+    import pyarrow.fs as pafs
+
+    fs = pafs.LocalFileSystem()
+    rng, owner = np.random.default_rng(1), owners // 2
+    low, high = -(-(owner << 64) // owners), ((owner + 1) << 64) // owners
+    keys = sorted({low + int(x * (high - low)) for x in rng.random(20_000)} - {high})
+    assert {k * owners >> 64 for k in keys} == {owner}
+    places = [exact_dedup._place(k, owners) for k in keys]
+    assert places == sorted(set(places))
+    index = exact_dedup.ExtendibleHash(exact_dedup.SegmentFile(fs, str(tmp_path / "b")), exact_dedup.SegmentFile(fs, str(tmp_path / "p")), capacity=64)
+    assert [index.put(p, b"%d" % p) for p in places] == list(range(len(places)))
+    assert len(index.directory) <= 8 * len(set(index.directory))
+    assert [index.put(p, b"%d" % p) for p in places[::37]] == list(range(len(places)))[::37]
+    index.close()
+
+
+def test_many_owners_give_the_same_groups(docs):
+    want = sorted(map(str, rows(exact_dedup.duplicate_groups(docs))))
+    for owners in (1, 7, 64):
+        assert sorted(map(str, rows(exact_dedup.duplicate_groups(docs, owners=owners).coalesce(2)))) == want
+
+
 def test_bytes_decide_within_a_key(tmp_path):
     import pyarrow.fs as pafs
 
