@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import glyphs, tables
@@ -18,6 +18,7 @@ from ..operators.match import address_score, name_score
 from ..operators.verdict import tier_counts, tier_of
 from ..session import scratch
 from ..sources import records as R
+from ..sources import statistics
 from . import cards as C
 from .verification import verify
 
@@ -184,7 +185,7 @@ def record_by_id(spark, sf_dir):
 @query(_WITH_RECORDS + "SELECT id, tier FROM records r WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 10 = 0 AND 'VERIF-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') = r.id)")
 def records_after_delete(spark, sf_dir):
     """Tombstones left out by an anti-join."""
-    gone = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0").select(F.concat(F.lit("VERIF-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id"))
+    gone = _every_tenth(spark, sf_dir)
     return _records(spark, sf_dir).join(gone, "id", "left_anti").select("id", "tier")
 
 
@@ -213,14 +214,17 @@ def stored_search(spark, sf_dir):
 _DELETED = "id NOT IN (SELECT 'VERIF-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_custkey % 10 = 0)"
 
 
+def _every_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0").select(F.concat(F.lit("VERIF-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id"))
+
+
 @query(_WITH_RECORDS + f"SELECT id, timestamp, tier, 'before' AS read FROM (SELECT * FROM records WHERE tier = 'HIGH' ORDER BY timestamp DESC, id LIMIT 50 OFFSET 25) UNION ALL SELECT id, timestamp, tier, 'after' FROM (SELECT * FROM records WHERE {_DELETED} ORDER BY timestamp DESC, id LIMIT 50 OFFSET 25)")
 def stored_pages(spark, sf_dir):
     """A page of one tier, and one of all after deleting every tenth record and compacting in place."""
     store = _stored(spark, sf_dir)
     columns = ("id", "timestamp", "tier")
     before = store.list("high", limit=50, offset=25).select(*columns, F.lit("before").alias("read"))
-    gone = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0").select(F.concat(F.lit("VERIF-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id"))
-    store.delete_all(gone)
+    store.delete_all(_every_tenth(spark, sf_dir))
     after = store.compact().list(limit=50, offset=25).select(*columns, F.lit("after").alias("read"))
     return before.unionByName(after)
 
@@ -233,6 +237,35 @@ def stored_lookup(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+@query(_WITH_RECORDS + f"SELECT CAST(timestamp AS DATE) AS day, tier, count(*) AS n FROM records WHERE {_DELETED} GROUP BY ALL")
+def stored_counts(spark, sf_dir):
+    """Counts by day and tier, merged from partial ones, with tombstones taken off."""
+    store = _stored(spark, sf_dir)
+    store.delete_all(_every_tenth(spark, sf_dir))
+    return store.statistics(["day", "tier"]).select("day", "tier", "n")
+
+
+@query(_WITH_RECORDS + "SELECT tier, count(*) AS n, true AS quantiles_hold, true AS distinct_holds FROM records GROUP BY tier")
+def stored_sketches(spark, sf_dir):
+    """Quantiles and distinct numbers by merged sketches of two batches, held against exact ones and their stated bounds."""
+    records = _records(spark, sf_dir)
+    store = R.RecordStore(spark, scratch(spark, "records")).create()
+    for part in (0, 1):
+        store.save(records.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part))
+    levels = (0.1, 0.5, 0.9)
+    exact = store.records().groupBy("tier").agg(F.count_distinct("document_id").alias("numbers"), F.array_sort(F.collect_list("overall_score")).alias("scores"))
+    both = store.statistics(quantiles=levels).join(exact, "tier")
+
+    def holds(i: int) -> Column:
+        # rows below the value and up to it have the level between them
+        value, slack = F.get("quantiles", F.lit(i)), F.lit(2 * statistics.RANK_ERROR) * F.col("n") + 1
+        below, upto = F.size(F.filter("scores", lambda s: s < value)), F.size(F.filter("scores", lambda s: s <= value))
+        return (below - slack <= levels[i] * F.col("n")) & (upto + slack >= levels[i] * F.col("n"))
+
+    near = F.abs(F.col("distinct_numbers") - F.col("numbers")) <= 3 * statistics.DISTINCT_ERROR * F.col("numbers") + 1
+    return both.select("tier", "n", (holds(0) & holds(1) & holds(2)).alias("quantiles_hold"), near.alias("distinct_holds"))
+
+
 @query(_WITH_RECORDS + "SELECT count(*) FILTER (tier IN ('CRITICAL_MISMATCH', 'LOW')) AS needs_attention FROM records")
 def kpi_needs_attention(spark, sf_dir):
     return R.needs_attention(_records(spark, sf_dir))

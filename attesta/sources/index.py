@@ -2,6 +2,7 @@
 
 Both are tables beside the records, a folder for each batch:
 
+* ``statistics``: counts and sketches by day and tier (``sources.statistics``).
 * ``files``: (file, tier, n, first_time, last_time, first_id, last_id) of each data file. It is written last; a batch without it isn't indexed yet and is scanned.
 * ``grams``: (field, gram, n), how many rows of the batch hold a trigram.
 * ``postings``: (field, gram, file, row), those rows, sorted, so that a reader of one trigram opens few row groups.
@@ -19,6 +20,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import statistics
+
 #: Fields that a search term is looked for in.
 SEARCHED = ("applicant_name", "document_id", "id")
 #: Trigrams of a term that candidates must hold; the final test does the rest.
@@ -72,7 +75,7 @@ class RecordIndex:
         """Index a batch that was written; running it again gives the same tables."""
         path = f"{self.root}/records/batch={batch}"
         place = F.regexp_extract(F.col("_metadata.file_path"), r"(batch=[^/]+/.*)$", 1)
-        stored = self.spark.read.schema("id string, timestamp timestamp_ntz, applicant_name string, document_id string, tier string").option("basePath", f"{self.root}/records").parquet(path)
+        stored = self.spark.read.schema("id string, timestamp timestamp_ntz, applicant_name string, document_id string, overall_score double, tier string").option("basePath", f"{self.root}/records").parquet(path)
         d = stored.select("*", place.alias("file"), F.col("_metadata.row_index").alias("row"))
         write = lambda t, name: t.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
         fields = F.array(*[F.struct(F.lit(f).alias("field"), trigrams(folded(F.coalesce(f, F.lit("")))).alias("grams")) for f in SEARCHED])
@@ -81,10 +84,14 @@ class RecordIndex:
         total = self.spark.read.schema(GRAMS).parquet(f"{self.root}/grams/batch={batch}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         order = ["field", "gram", "file", "row"]  # ranges go down to rows: a trigram that every row holds is split like any other
         write(rows.repartitionByRange(max(1, math.ceil(total / POSTING_ROWS)), *order).sortWithinPartitions(*order), "postings")
+        write(statistics.partial(d).coalesce(1), "statistics")
         time = F.col("timestamp")
         first = F.when(F.count(time) == F.count(F.lit(1)), F.min(time))  # rows without a time come last: such a file goes on to the end
         write(d.groupBy("file", "tier").agg(F.count(F.lit(1)).alias("n"), first.alias("first_time"), F.max(time).alias("last_time"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).coalesce(1), "files")
 
+    def statistics(self, batches: list[str]) -> DataFrame:
+        return self._table("statistics", batches, statistics.PARTIAL)
+
     def read(self, files: list[str], schema) -> DataFrame:
         """Records of these data files alone, with the place of each row."""
         base = f"{self.root}/records"

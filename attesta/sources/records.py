@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 
 from ..operators.views import python_round
 from ..schemas import RECORDS
+from . import statistics
 from .index import RecordIndex, fold, folded
 
 _TEXTS = ("applicant_name", "dob", "gender", "document_id", "address", "front_filename", "back_filename", "front_file_path", "back_file_path", "annotated_front_path", "annotated_back_path", "crops_dir")
 MOST_ROWS = 200
 #: Rows of a data file.
 FILE_ROWS = 1_000_000
+_TOMBSTONES = "id string, tier string, day date, batch string"
 _STORED = T.StructType([*RECORDS, T.StructField("batch", T.StringType())])
 
 
@@ -181,12 +183,24 @@ class RecordStore:
             return False
         if on_files is not None:
             on_files(row[0].asDict())
-        self.spark.createDataFrame([(record,)], "id string").coalesce(1).write.mode("append").parquet(f"{self.root}/deleted")
+        self.delete_all(self.spark.createDataFrame([(record,)], "id string"), self._holders(record))
         return True
 
-    def delete_all(self, ids: DataFrame) -> None:
-        """Mark the records with these ids (id) as deleted; ids that aren't there make no tombstone."""
-        self.records().select("id").join(ids.select("id").distinct(), "id", "left_semi").write.mode("append").parquet(f"{self.root}/deleted")
+    def delete_all(self, ids: DataFrame, among: DataFrame | None = None) -> None:
+        """Mark the records with these ids (id) as deleted; ids that aren't there make no tombstone.
+
+        A tombstone says where its record counts: in which batch, day and tier.
+        """
+        there = self._scan(self.batches()) if among is None else among
+        if self._children("deleted"):
+            there = there.join(self._tombstones().select("id"), "id", "left_anti")
+        found = there.join(ids.select("id").distinct(), "id", "left_semi")
+        found.select("id", "tier", statistics.day_of(F.col("timestamp")).alias("day"), "batch").write.mode("append").parquet(f"{self.root}/deleted")
+
+    def _tombstones(self) -> DataFrame:
+        if not self._children("deleted"):
+            return self.spark.createDataFrame([], _TOMBSTONES)
+        return self.spark.read.schema(_TOMBSTONES).parquet(f"{self.root}/deleted")
 
     def compact(self, to: str | None = None) -> RecordStore:
         """Write the records that are left to one batch, here or in another folder.
@@ -212,7 +226,7 @@ class RecordStore:
         retired = {x for r in self.spark.read.schema("retired array<string>").json(f"{self.root}/compactions").collect() for x in r["retired"]} if self._children("compactions") else set()
         gone = sorted(b for b in (x.removeprefix("batch=") for x in self._children("records")) if b in retired and b not in live)
         for b in gone:
-            for name in ("files", "grams", "postings", "records"):
+            for name in ("files", "grams", "postings", "statistics", "records"):
                 self._remove(f"{name}/batch={b}")
         return gone
 
@@ -220,11 +234,14 @@ class RecordStore:
 
     def get(self, record: str) -> DataFrame:
         """The record with this id, from the files whose ids take it in; their bloom filters skip what hasn't got it."""
+        return self._left(self._holders(record)).limit(1)
+
+    def _holders(self, record: str) -> DataFrame:
+        """Stored rows with this id, with their batch, deleted or not."""
         done, rest = self.indexed(self.batches())
         files = self.index.holding(done, record)
         found = self._scan(done) if files is None else self.index.read(files, _STORED)
-        both = found.select(*RECORDS.fieldNames()).union(self._scan(rest).select(*RECORDS.fieldNames()))
-        return self._left(both.where(F.col("id") == record)).limit(1)
+        return found.select(*_STORED.fieldNames()).union(self._scan(rest)).where(F.col("id") == record)
 
     def search(self, term: str) -> DataFrame:
         """``filtered(records(), search=term)``, by the trigram index where the term has a run of three letters that is rare enough."""
@@ -256,9 +273,28 @@ class RecordStore:
         d = filtered(self.search(search.strip()), tier) if search and search.strip() else self.newest(tier, limit + offset)
         return with_audit(page(d, limit, offset))
 
+    def statistics(self, by: Sequence[str] = ("tier",), quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+        """Exact counts by day or tier or both, with quantiles of the scores and distinct document numbers by sketches.
+
+        Merged from the batches' partial statistics; only batches without an
+        index are counted record by record.
+        """
+        if not set(by) <= {"day", "tier"}:
+            raise ValueError("statistics are by day, tier or both")
+        batches = self.batches()
+        done, rest = self.indexed(batches)
+        parts = self.index.statistics(done).drop("batch").unionByName(statistics.partial(self._scan(rest)))
+        # two writers may have deleted a record at once; what a compaction dropped is in no live batch
+        gone = self._tombstones().where(F.col("batch").isin(batches)).dropDuplicates(["id"]).groupBy("day", "tier").agg(F.count(F.lit(1)).alias("n"))
+        return statistics.merged(parts, gone, list(by), quantiles)
+
     def stats(self) -> dict:
-        row = stats(self.records()).first()
-        return {"total_records": row["total_records"], "tier_breakdown": dict(row["tier_breakdown"] or {}), "storage_path": self.root}
+        """Total and count of each tier, from the partial statistics."""
+        by = {r["tier"]: r["n"] for r in self.statistics().select("tier", "n").collect()}
+        return {"total_records": sum(by.values()), "tier_breakdown": dict(sorted(by.items())), "storage_path": self.root}
+
+    def needs_attention(self) -> int:
+        return self.statistics().where(F.col("tier").isin(*statistics.ATTENTION)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def with_audit(records: DataFrame) -> DataFrame:

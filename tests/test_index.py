@@ -104,3 +104,36 @@ def test_times_and_ties(spark, tmp_path):
     for limit in (1, 3, 6, 8):
         assert [r["id"] for r in s.list(limit=limit).collect()] == [str(i) for i in range(limit)]
     assert [r["id"] for r in s.list(limit=2, offset=6).collect()] == ["6", "7"]
+
+
+def test_statistics_are_merged(spark, tmp_path):
+    s = R.RecordStore(spark, str(tmp_path)).create()
+    assert s.stats()["total_records"] == 0 and s.needs_attention() == 0
+    day = lambda n: datetime.datetime(2024, 1, n, 5)
+    rows = [(f"{i}", day(1 + i % 3), ["HIGH", "LOW"][i % 2], float(i % 100), f"D{i % 40}") for i in range(600)]
+    make = lambda x: spark.createDataFrame(x, "id string, timestamp timestamp, tier string, overall_score double, document_id string")
+    s.save(make(rows[:250]))
+    s.save(make(rows[250:]))
+    s.write_batch(s.records().limit(0), "b-late")  # no rows, no index
+    for i in ("0", "1", "7"):
+        assert s.delete(i)
+    s.delete_all(spark.createDataFrame([("7",), ("8",), ("none",)], "id string"))  # 7 is gone already
+    gone = {"0", "1", "7", "8"}
+
+    def counts():
+        return {(r.day.day, r.tier): r.n for r in s.statistics(["day", "tier"]).collect()}
+
+    want = {}
+    for i, t, tier, *_ in rows:
+        if i not in gone:
+            want[t.day, tier] = want.get((t.day, tier), 0) + 1
+    assert counts() == want and s.stats()["total_records"] == 596 and s.needs_attention() == 298
+    whole = s.statistics([]).first()
+    assert whole.n == 596 and abs(whole.distinct_numbers - 40) <= 2 and all(abs(q - e) <= 4 for q, e in zip(whole.quantiles, (10, 50, 90), strict=True))
+    s._remove("files/" + next(x for x in s._children("files")))  # a batch that isn't indexed is counted record by record
+    assert counts() == want
+    s.compact()
+    assert counts() == want and s.stats()["tier_breakdown"] == {"HIGH": 298, "LOW": 298}  # tombstones of the old batches count no more
+    assert s.delete("9") and s.stats()["total_records"] == 595
+    with pytest.raises(ValueError):
+        s.statistics(["id"])
