@@ -161,6 +161,13 @@ def threshold(image: np.ndarray, adaptive: bool = True, block: int = BLOCK, offs
     return np.where(image > np.rint(mean) - offset, 255, 0).astype(np.uint8)
 
 
+def _outline(ink: np.ndarray) -> np.ndarray:
+    """The first and the last inked place (x, y) of each row: no other can be a corner of the hull."""
+    rows = np.flatnonzero(ink.any(axis=1))
+    first, last = ink[rows].argmax(axis=1), ink.shape[1] - 1 - ink[rows, ::-1].argmax(axis=1)
+    return np.stack([np.concatenate([first, last]), np.concatenate([rows, rows])], 1)
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     p = sorted(map(tuple, points.tolist()))
 
@@ -184,10 +191,9 @@ def skew_angle(image: np.ndarray, longest: float = LONGEST_SKEW) -> float:
     g = gray(image)
     ink = g <= otsu(g)
     ink = _windows(_windows(ink, 1, 25).max(axis=(2, 3)), 3, 1).max(axis=(2, 3))
-    y, x = np.nonzero(ink)
-    if len(x) < 100:
+    if np.count_nonzero(ink) < 100:
         return 0.0
-    hull = _hull(np.stack([x, y], 1))
+    hull = _hull(_outline(ink))
     edges = np.diff(np.concatenate([hull, hull[:1]]), axis=0)
     best = (np.inf, 0.0)
     for a in np.unique(np.mod(np.arctan2(edges[:, 1], edges[:, 0]), np.pi / 2)):
@@ -211,13 +217,28 @@ def rotate(image: np.ndarray, angle: float, fill: int = 255) -> np.ndarray:
     dx, dy = xx - (W - 1) / 2, yy - (H - 1) / 2
     x, y = c * dx - s * dy + (w - 1) / 2, s * dx + c * dy + (h - 1) / 2
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    padded = np.pad(image.astype(np.float64), ((1, 1), (1, 1)) + ((0, 0),) * (image.ndim - 2), constant_values=fill)
-    at = lambda i, j: padded[np.clip(j + 1, 0, h + 1), np.clip(i + 1, 0, w + 1)]
-    fx, fy = (x - x0, y - y0) if image.ndim == 2 else ((x - x0)[:, :, None], (y - y0)[:, :, None])
-    out = (at(x0, y0) * (1 - fx) + at(x0 + 1, y0) * fx) * (1 - fy) + (at(x0, y0 + 1) * (1 - fx) + at(x0 + 1, y0 + 1) * fx) * fy
+    padded = np.pad(image.astype(np.float32), ((2, 2), (2, 2)) + ((0, 0),) * (image.ndim - 2), constant_values=fill)
+    column = [np.clip(x0 + i + 1, 0, w + 3) for i in range(4)]
+    wide = lambda weight: weight if image.ndim == 2 else weight[:, :, None]
+    across, down = [[wide(k.astype(np.float32)) for k in _cubic(t)] for t in (x - x0, y - y0)]
+    out = np.zeros((H, W) + image.shape[2:], np.float32)
+    for j in range(4):  # one row of neighbours at a time
+        row = np.clip(y0 + j + 1, 0, h + 3)
+        out += down[j] * sum(across[i] * padded[row, column[i]] for i in range(4))
     return np.rint(np.clip(out, 0, 255)).astype(np.uint8)
 
 
+#: How sharp cubic interpolation is (fixed value).
+_SHARP = -0.75
+
+
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the neighbours at -1, 0, 1 and 2 of a place ``t`` behind the second."""
+    near = lambda d: ((_SHARP + 2) * d - (_SHARP + 3)) * d * d + 1
+    far = lambda d: ((_SHARP * d - 5 * _SHARP) * d + 8 * _SHARP) * d - 4 * _SHARP
+    return [far(t + 1), near(t), near(1 - t), far(2 - t)]
+
+
 def crop(image: np.ndarray, bbox: list[int], padding: int = 4) -> np.ndarray | None:
     x, y, w, h = bbox if len(bbox) == 4 else (0, 0, 0, 0)
     if w <= 0 or h <= 0:

@@ -45,6 +45,30 @@ def token_spans(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("span_start", before).withColumn("span_end", F.col("span_start") + F.char_length("text"))
 
 
+def lines_by_place(tokens: DataFrame) -> DataFrame:
+    """Tokens with ``line_num`` from where they are, for engines that don't number lines.
+
+    The page's slope is the median over neighbours in the engine's order that can
+    be on one line: the next one lies to the right, off by less than its height.
+    Taking the slope away makes lines level; then tokens, from the top, start a
+    new line where their middle halves overlap none of the ones before. Windows
+    over a document's side only; tokens without a box of positive size get null.
+    """
+    x, y, w, h = (F.get("bbox", i).cast("double") for i in range(4))
+    page = Window.partitionBy(*DOC)
+    d = tokens.withColumns({"_x": x, "_y": y, "_h": F.when((w > 0) & (h > 0), h)})
+    order = page.orderBy("tok_id")
+    run, rise = F.lead("_x").over(order) - F.col("_x"), F.lead("_y").over(order) - F.col("_y")
+    d = d.withColumn("_step", F.when((run > 0) & (F.abs(rise) < F.col("_h")), rise / run))
+    # the height of a level token is its own; only its place moves
+    d = d.withColumn("_top", F.when(F.col("_h").isNotNull(), F.col("_y") - F.coalesce(F.median("_step").over(page), F.lit(0.0)) * F.col("_x") + F.col("_h") / 4))
+    down = page.orderBy(F.asc_nulls_last("_top"), "tok_id")
+    d = d.withColumn("_reach", F.max(F.col("_top") + F.col("_h") / 2).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_new", F.when(F.col("_top") >= F.col("_reach"), 1).otherwise(0))
+    number = F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("line_num", F.when(F.col("_top").isNotNull(), number).cast("int")).drop("_x", "_y", "_h", "_step", "_top", "_reach", "_new")
+
+
 def full_text(tokens: DataFrame) -> DataFrame:
     """(doc_id, side, full_text, token_count): words joined by spaces, every line ends in a newline."""
     item = F.struct("line_num", F.col("bbox")[0].alias("x"), "tok_id", "text")

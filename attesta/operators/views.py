@@ -35,6 +35,25 @@ def field_view(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "side", "field_name", F.to_json(body).alias("json"))
 
 
+def extraction_view(fields: DataFrame, texts: DataFrame, images: DataFrame | None = None, backend: str | None = None) -> DataFrame:
+    """(doc_id, side, json): what was extracted from each side: full_text, token_count, fields by name, image_shape, backend_used.
+
+    ``texts``: (doc_id, side, full_text, token_count), as ``layout.full_text``
+    gives them; ``fields`` of the same; ``images`` (doc_id, side, width, height).
+    A side without fields has an empty map, one without an image no shape.
+    """
+    one = F.struct("field_name", F.struct("field_name", "raw_text", "normalized_text", "bbox", python_round(F.col("confidence"), 2).alias("confidence"), "matched_pattern").alias("v"))
+    named = fields.withColumn("_x", one).groupBy("doc_id", "side").agg(F.map_from_entries(F.array_sort(F.collect_list("_x"))).alias("fields"))  # five at most
+    d = texts.select("doc_id", "side", "full_text", "token_count").join(named, ["doc_id", "side"], "left")
+    if images is None:
+        d = d.withColumn("image_shape", F.lit(None).cast("array<int>"))
+    else:
+        d = d.join(images.select("doc_id", "side", F.array("height", "width").alias("image_shape")), ["doc_id", "side"], "left")
+    empty = F.expr("map()").cast(named.schema["fields"].dataType)
+    body = F.struct("full_text", "token_count", F.coalesce("fields", empty).alias("fields"), "image_shape", F.lit(backend).cast("string").alias("backend_used"))
+    return d.select("doc_id", "side", F.to_json(body).alias("json"))
+
+
 def rounded(values: Column, digits: int) -> Column:
     """``python_round`` of an array's values."""
 

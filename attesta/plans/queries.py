@@ -237,6 +237,27 @@ def stored_lookup(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+_FIELDS = """m AS (SELECT doc_id, bool_or(side = 'back' AND contains(full_text, 'Address: ')) AS on_back FROM sides GROUP BY doc_id),
+said AS (SELECT s.*, on_back, CASE WHEN n >= 85 THEN 'match' WHEN n >= 50 THEN 'partial_match' ELSE 'mismatch' END AS ns, CASE WHEN a >= 80 THEN 'match' WHEN a >= 50 THEN 'partial_match' ELSE 'mismatch' END AS ast FROM scores s JOIN m USING (doc_id)),
+fields AS (SELECT doc_id, u.* FROM (SELECT doc_id, unnest([{'field_name': 'name', 'submitted': name, 'ocr_text': xn, 'status': ns, 'doc_side': 'front'}, {'field_name': 'dob', 'submitted': dob, 'ocr_text': xd, 'status': ds, 'doc_side': 'front'},
+{'field_name': 'document_id', 'submitted': document_id, 'ocr_text': xi, 'status': ids, 'doc_side': 'front'}, {'field_name': 'gender', 'submitted': gender, 'ocr_text': xg, 'status': gs, 'doc_side': 'front'},
+{'field_name': 'address', 'submitted': address, 'ocr_text': xa, 'status': ast, 'doc_side': CASE WHEN on_back THEN 'back' ELSE 'front' END}]) AS u FROM said))"""
+
+
+@query(
+    _WITH_RECORDS + f""", {_FIELDS} SELECT 'VERIF-' || lpad(doc_id, 8, '0') AS id, field_name, submitted, ocr_text, status, doc_side, NULL AS audit_text FROM fields WHERE CAST(doc_id AS BIGINT) % 7 <> 0
+    UNION ALL SELECT 'VERIF-' || lpad(doc_id, 8, '0'), NULL, NULL, NULL, NULL, NULL, CASE WHEN k % 2 = 0 THEN 'not json ' || doc_id ELSE '{{}}' END FROM cards WHERE k % 7 = 0"""
+)
+def stored_audit_fields(spark, sf_dir):
+    """Stored audits, some of them broken or empty, taken apart into a row for each field."""
+    number = F.col("doc_id").cast("long")
+    broken = F.when(number % 7 == 0, F.when(number % 2 == 0, F.concat(F.lit("not json "), "doc_id")).otherwise(F.lit("{}")))
+    store = R.RecordStore(spark, scratch(spark, "records")).create()
+    audits = _run(spark, sf_dir).audits()
+    store.save(audits.select(F.concat(F.lit("VERIF-"), F.lpad("doc_id", 8, "0")).alias("id"), F.coalesce(broken, "audit_json").alias("audit_json")))
+    return R.audit_fields(store.records()).select("id", "field_name", "submitted", "ocr_text", "status", "doc_side", "audit_text")
+
+
 @query(_WITH_RECORDS + f"SELECT CAST(timestamp AS DATE) AS day, tier, count(*) AS n FROM records WHERE {_DELETED} GROUP BY ALL")
 def stored_counts(spark, sf_dir):
     """Counts by day and tier, merged from partial ones, with tombstones taken off."""
@@ -395,6 +416,31 @@ def address_score_query(spark, sf_dir):
     return d.select("doc_id", F.round(s, 6).alias("score"))
 
 
+#: An address as a form may have it: the same, with words missing, in another order, of another town, misread, or hardly like it.
+_WORN = """CASE k % 8 WHEN 6 THEN 'Address: ' || address WHEN 7 THEN CAST(k % 90 AS STRING) || ' Mine Rode, Flat ' || CAST(k % 50 AS STRING) || ', Cites ' || CAST(200000 + k AS STRING) WHEN 0 THEN regexp_replace(address, '^[0-9]+ ', '') WHEN 1 THEN substr(address, 12) WHEN 2 THEN replace(address, 'City', 'Town') || ' rear' WHEN 3 THEN regexp_replace(address, '^(.*), (.*)$', '\\2 \\1') WHEN 4 THEN 'Hill Lane ' || doc_id ELSE 'St ' || CAST(k % 97 AS STRING) || ' Quay' END"""
+_WORN_SCORE = f"""worn AS (SELECT doc_id, {_NORM("w")} AS a0, {_ADDR("('Address: ' || address)")} AS b FROM (SELECT *, {_WORN} AS w FROM cards)),
+names AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(a0, '\\brd\\b', 'road', 'g'), '\\bapt\\b', 'apartment', 'g'), '\\bst\\b', 'street', 'g') AS a, b FROM worn),
+{_WORDS}, tsets AS (SELECT doc_id, CASE WHEN n > 0 AND (p = '' OR q = '') THEN 100.0 ELSE greatest(100 * (1 - (length(p) + length(q) - 2 * common) / (l + r)), CASE WHEN c > 0 THEN 100 * (1 - (1 + length(p)) / (c + l)::DOUBLE) END, CASE WHEN c > 0 THEN 100 * (1 - (1 + length(q)) / (c + r)::DOUBLE) END) END AS tset FROM sizes),
+wide_names AS (SELECT doc_id, a, b FROM names JOIN tsets USING (doc_id) WHERE tset >= 70), {_WINDOWS.replace("FROM names", "FROM wide_names")}, wins AS (SELECT doc_id, max(v) AS part FROM (SELECT doc_id, {_RATIO('s', 'w')} AS v FROM windows UNION ALL SELECT doc_id, 100.0 FROM slid) GROUP BY doc_id),
+sorted AS (SELECT doc_id, a, b, {_SORTED('a')} AS sa, {_SORTED('b')} AS sb FROM names),
+lcs AS (SELECT doc_id, a = b AS same, {_RATIO('a', 'b')} AS lev, {_RATIO('sa', 'sb')} AS ts FROM sorted)"""
+
+
+@query(
+    _WITH_CARDS + f""", {_WORN_SCORE} SELECT doc_id, round(tset, 6) AS tset, round(part, 6) AS part, round(CASE WHEN same THEN 100.0 WHEN tset >= 70 THEN greatest(0.5 * tset + 0.3 * part + 0.2 * ts, 0.6 * tset + 0.4 * ts) WHEN ts >= 40 THEN 0.5 * tset + 0.3 * ts + 0.2 * lev ELSE least(ts, lev) END, 6) AS score,
+    CASE WHEN same THEN 'same' WHEN tset >= 70 THEN 'words' WHEN ts >= 40 THEN 'order' ELSE 'least' END AS branch FROM lcs JOIN tsets USING (doc_id) LEFT JOIN wins USING (doc_id)"""
+)
+def address_branches(spark, sf_dir):
+    """Scores of worn addresses: word sets, windows and every branch of the rule."""
+    card = C.cards(spark, sf_dir).withColumn("w", F.expr(_WORN.replace("\\2 \\1", "$2 $1")))
+    d = card.select("doc_id", T.normalize_address(F.col("w")).alias("a"), T.normalize_address(F.concat(F.lit("Address: "), F.col("address"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    d = d.withColumns({"tset": similarity("token_set_ratio", a, b), "ts": similarity("token_sort_ratio", a, b), "part": similarity("partial_ratio", a, b), "lev": similarity("ratio", a, b)})
+    branch = F.when(a == b, "same").when(F.col("tset") >= 70, "words").when(F.col("ts") >= 40, "order").otherwise("least")
+    score = address_score(a == b, F.col("tset"), F.col("ts"), F.col("part"), F.col("lev"))
+    return d.select("doc_id", F.round("tset", 6).alias("tset"), F.when(F.col("tset") >= 70, F.round("part", 6)).alias("part"), F.round(score, 6).alias("score"), branch.alias("branch"))
+
+
 # --- exact matches -----------------------------------------------------------
 
 
@@ -487,6 +533,29 @@ def full_text_layout(spark, sf_dir):
     return layout.full_text(C.tokens(C.cards(spark, sf_dir)))
 
 
+def _tilted(card: DataFrame) -> DataFrame:
+    """Tokens of cards that were scanned at a slope of their own, in the engine's order, without line numbers."""
+    t = C.tokens(card)
+    slope = (F.pmod(F.col("doc_id").cast("long"), F.lit(13)) - 6) / 100.0  # up to 60 pixels over a line: three lines' height
+    y = (F.get("bbox", F.lit(1)) + slope * F.get("bbox", F.lit(0))).cast("int")
+    return t.withColumn("bbox", F.array(F.get("bbox", F.lit(0)), y, F.get("bbox", F.lit(2)), F.get("bbox", F.lit(3)))).drop("line_num")
+
+
+@query(
+    _WITH_TOKENS + """, tilted AS (SELECT doc_id, side, CAST(tok_id AS INT) AS tok_id, x, CAST(trunc(y + ((CAST(doc_id AS BIGINT) % 13) - 6) / 100.0::DOUBLE * x) AS INT) AS y, 16.0::DOUBLE AS h FROM tokens),
+    steps AS (SELECT *, lead(x) OVER o - x AS run, lead(y) OVER o - y AS rise FROM tilted WINDOW o AS (PARTITION BY doc_id, side ORDER BY tok_id)),
+    level AS (SELECT *, y - coalesce(median(CASE WHEN run > 0 AND abs(rise) < h THEN rise / run::DOUBLE END) OVER (PARTITION BY doc_id, side), 0) * x + h / 4 AS top FROM steps),
+    edges AS (SELECT *, max(top + h / 2) OVER (PARTITION BY doc_id, side ORDER BY top, tok_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM level)
+    SELECT e.doc_id, e.side, e.tok_id, CAST(sum(CASE WHEN top >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id, e.side ORDER BY top, e.tok_id ROWS UNBOUNDED PRECEDING) AS INT) AS line_num,
+    CAST(dense_rank() OVER (PARTITION BY e.doc_id, e.side ORDER BY t.line_num) - 1 AS INT) AS printed FROM edges e JOIN tokens t ON t.doc_id = e.doc_id AND t.side = e.side AND t.tok_id = e.tok_id"""
+)
+def lines_by_place(spark, sf_dir):
+    """Lines of tilted tokens by gaps and islands, beside the lines that were printed."""
+    card = C.cards(spark, sf_dir)
+    printed = C.tokens(card).select("doc_id", "side", "tok_id", F.col("line_num").alias("printed"))
+    return layout.lines_by_place(_tilted(card)).select("doc_id", "side", "tok_id", "line_num").join(printed, ["doc_id", "side", "tok_id"])
+
+
 _DOB_SPAN = "hit AS (SELECT s.doc_id, s.side, CAST(strpos(full_text, 'DOB: ') + 4 AS INT) AS a, CAST(strpos(full_text, 'DOB: ') + 14 AS INT) AS b FROM sides s WHERE side = 'front')"
 
 

@@ -302,6 +302,22 @@ def with_audit(records: DataFrame) -> DataFrame:
     return records.withColumn("audit", F.try_parse_json("audit_json"))
 
 
+def audit_fields(records: DataFrame) -> DataFrame:
+    """(id, field_name, submitted, ocr_text, score, status, doc_side, diff, audit_text): a row for each field of each stored audit.
+
+    The audit is parsed once, as VARIANT, and taken apart by ``variant_explode``.
+    An audit that isn't JSON, or has no fields, is one row without a field, and
+    keeps its text in ``audit_text``.
+    """
+    d = records.select("id", "audit_json", F.expr("try_variant_get(try_parse_json(audit_json), '$.fields', 'variant')").alias("f"))
+    part = lambda name, kind: f"try_variant_get(x.value, '$.{name}', '{kind}') AS {name}"
+    return records.sparkSession.sql(
+        f"""SELECT d.id, x.key AS field_name, {part('submitted', 'string')}, {part('ocr_text', 'string')}, {part('score', 'double')}, {part('status', 'string')}, {part('doc_side', 'string')}, {part('diff', 'string')},
+        CASE WHEN x.key IS NULL THEN d.audit_json END AS audit_text FROM {{d}} d, LATERAL variant_explode_outer(d.f) x""",
+        d=d,
+    )
+
+
 def envelope(rows: DataFrame) -> dict:
     """What the service returns for a page."""
     found = [r.asDict(recursive=True) for r in rows.drop("audit").collect()]

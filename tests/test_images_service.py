@@ -140,3 +140,25 @@ def test_service(spark, tmp_path):
         assert level["y"] == b"%PDF" and level["x"][25] == (2 if planes == 3 else 0)
     with pytest.raises(RuntimeError):
         VerificationService(spark, str(tmp_path / "other")).tokens(run.forms)
+
+
+def test_outline_has_the_hull_of_all_ink():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        ink = rng.random((rng.integers(2, 30), rng.integers(2, 30))) < 0.2
+        if np.count_nonzero(ink) > 2:
+            y, x = np.nonzero(ink)
+            assert sorted(map(tuple, I._hull(I._outline(ink)))) == sorted(map(tuple, I._hull(np.stack([x, y], 1))))
+
+
+def test_cubic_rotation():
+    assert [np.round(w, 6).tolist() for w in I._cubic(np.array([0.0]))] == [[0.0], [1.0], [0.0], [0.0]]
+    assert np.allclose(sum(I._cubic(np.linspace(0, 1, 11))), 1.0)
+    y, x = np.mgrid[0:80, 0:120]
+    smooth = (127 + 100 * np.sin(x / 9.0) * np.cos(y / 7.0)).astype(np.uint8)
+    back = I.rotate(I.rotate(smooth, 7.0), -7.0)
+    top, left = (back.shape[0] - 80) // 2, (back.shape[1] - 120) // 2
+    inner = np.abs(back[top : top + 80, left : left + 120].astype(int) - smooth)[15:-15, 15:-15]
+    assert inner.mean() < 3  # cubic: a smooth image comes back as it was, but for the canvas' fraction of a pixel
+    assert np.array_equal(I.rotate(np.full((30, 40, 3), 255, np.uint8), 12.0), np.full(I.rotate(np.full((30, 40, 3), 255, np.uint8), 12.0).shape, 255))
+    assert I.rotate(smooth, 90.0).shape == (120, 80) or I.rotate(smooth, 90.0).shape == (119, 80) or I.rotate(smooth, 90.0).shape == (120, 79)
