@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence; one machine-word operation per character and word of ``a``."""
@@ -223,10 +225,42 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, _column_function(name))
 
 
+#: Characters of the shorter string that fit a row of bits.
+_BITS = 62
+
+
 def native_ratio(a: Column, b: Column) -> Column:
-    """``ratio`` of built-in functions only: rows of the dynamic programme folded over the characters of ``a``."""
+    """``ratio`` of built-in functions only: rows of the dynamic programme folded over the characters of one string.
+
+    A row of up to 62 characters is the bits of a number, as in ``lcs``; of two
+    longer strings it is an array.
+    """
+    swap = F.char_length(a) > F.char_length(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    both = F.char_length(a) + F.char_length(b)
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    left, right = chars(a), chars(b)
+    common = F.when(F.char_length(short) == 0, F.lit(0)).when(F.char_length(short) <= _BITS, let(chars(short), lambda s: _common_bits(s, chars(long)))).otherwise(_common_rows(chars(short), chars(long)))
+    return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / both)
+
+
+def _common_bits(short: Column, long: Column) -> Column:
+    one = F.lit(1).cast("long")
+    full = F.call_function("shiftleft", one, F.size(short)) - one
+    # a number has a bit for each place of a character
+    mask = lambda c: F.aggregate(F.transform(short, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    places = F.map_from_entries(F.transform(F.array_distinct(short), lambda c: F.struct(c, mask(c))))
+
+    def folded(known: Column) -> Column:
+        def step(row: Column, c: Column) -> Column:
+            hit = row.bitwiseAND(F.coalesce(F.try_element_at(known, c), F.lit(0).cast("long")))
+            return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+
+        return F.size(short) - F.bit_count(F.aggregate(long, full, step))
+
+    return let(places, folded)
+
+
+def _common_rows(left: Column, right: Column) -> Column:
     start = F.transform(F.sequence(F.lit(0), F.size(right)), lambda _: F.lit(0))
 
     def step(row: Column, c: Column) -> Column:
@@ -238,9 +272,7 @@ def native_ratio(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(right)), F.array(F.lit(0)), cell)
 
-    both = F.size(left) + F.size(right)
-    common = F.when((F.size(left) > 0) & (F.size(right) > 0), F.element_at(F.aggregate(left, start, step), -1)).otherwise(F.lit(0))
-    return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / both)
+    return F.element_at(F.aggregate(left, start, step), -1)
 
 
 SCORES = ("ratio", "token_sort", "token_set", "partial", "jaro_winkler")

@@ -73,3 +73,12 @@ def test_scores_are_those_that_the_rules_ask_for():
     got = S.score_pairs([p[0] for p in pairs], [p[1] for p in pairs], [True, True, True, False])
     assert got["partial"][0] == 100.0 and got["ratio"][0] == 0.0 and got["partial"][1] == 0.0 and got["ratio"][1] == S.ratio(*pairs[1])
     assert [got[n][2] for n in S.SCORES] == [0.0] * 5 and got["jaro_winkler"][3] == 100 * S.jaro_winkler(*pairs[3]) and got["token_set"][3] == 0.0
+
+
+def test_native_ratio_of_short_and_long_strings(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcd é😀", k=n))
+    pairs = [(text(rng.randint(0, 12)), text(rng.randint(0, 12))) for _ in range(60)] + [(text(n), text(m)) for n, m in ((61, 80), (62, 62), (62, 90), (63, 63), (64, 70), (0, 70), (70, 1))]
+    d = spark.createDataFrame([*pairs, (None, "a")], "a string, b string")
+    got = [r[0] for r in d.select(S.native_ratio(d.a, d.b)).collect()]
+    assert got[:-1] == pytest.approx([S.ratio(a, b) for a, b in pairs]) and got[-1] is None
