@@ -655,8 +655,28 @@ def audit_json(spark, sf_dir):
     return _run(spark, sf_dir).audits()
 
 
-@query()
+#: Differences in SQL: runs of equal words on a diagonal, the longest one of a region (the first of equal ones), then the regions before and after it.
+_DIFFS = """pairs AS (SELECT f.doc_id, 'name' AS kind, f.name AS sub, c.name AS doc FROM forms f JOIN cards c USING (doc_id) UNION ALL SELECT f.doc_id, 'address', f.address, c.address FROM forms f JOIN cards c USING (doc_id)),
+lists AS MATERIALIZED (SELECT doc_id, kind, x, y, [lower(w) FOR w IN x] AS a, [lower(w) FOR w IN y] AS b FROM (SELECT doc_id, kind, [w FOR w IN [trim(v, '.,;:()') FOR v IN string_split(doc, ' ')] IF w <> ''] AS x, [w FOR w IN [trim(v, '.,;:()') FOR v IN string_split(sub, ' ')] IF w <> ''] AS y FROM pairs)),
+hits AS (SELECT doc_id, kind, i, j, i - row_number() OVER (PARTITION BY doc_id, kind, i - j ORDER BY i) AS island FROM (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM lists)) WHERE a[i] = b[j]),
+runs AS MATERIALIZED (SELECT doc_id, kind, i, j, max(i) OVER (PARTITION BY doc_id, kind, i - j, island) - i + 1 AS k FROM hits),
+regions AS (SELECT doc_id, kind, 1::BIGINT AS alo, len(a) + 1 AS ahi, 1::BIGINT AS blo, len(b) + 1 AS bhi FROM lists
+  UNION ALL SELECT doc_id, kind, CASE side WHEN 0 THEN alo ELSE i + n END, CASE side WHEN 0 THEN i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE j + n END, CASE side WHEN 0 THEN j ELSE bhi END
+  FROM (SELECT r.doc_id, r.kind, alo, ahi, blo, bhi, i, j, least(k, ahi - i, bhi - j) AS n FROM regions r JOIN runs m ON m.doc_id = r.doc_id AND m.kind = r.kind AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+    QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.kind, alo, ahi, blo, bhi ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) = 1), (SELECT unnest([0, 1]) AS side)
+  WHERE CASE side WHEN 0 THEN alo < i AND blo < j ELSE i + n < ahi AND j + n < bhi END),
+blocks AS (SELECT r.doc_id, r.kind, i, j, least(k, ahi - i, bhi - j) AS n FROM regions r JOIN runs m ON m.doc_id = r.doc_id AND m.kind = r.kind AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+    QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.kind, alo, ahi, blo, bhi ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) = 1 UNION ALL SELECT doc_id, kind, len(a) + 1, len(b) + 1, 0 FROM lists),
+gaps AS (SELECT doc_id, kind, i, j, coalesce(lag(i + n) OVER o, 1) AS i0, coalesce(lag(j + n) OVER o, 1) AS j0 FROM blocks WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i, j)),
+edits AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i, j) AS place, array_to_string(x[i0:i - 1], ' ') AS p, array_to_string(y[j0:j - 1], ' ') AS q FROM gaps JOIN lists USING (doc_id, kind) WHERE i0 < i OR j0 < j),
+said AS (SELECT doc_id, kind, string_agg(CASE WHEN q = '' THEN 'Extra in OCR: ''' || p || '''' WHEN p = '' THEN 'Missing in OCR: ''' || q || '''' ELSE p || ' vs ' || q END, ', ' ORDER BY place) AS d FROM edits WHERE place <= 2 GROUP BY ALL)"""
+
+
+@query(
+    _WITH_CARDS.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_DIFFS} SELECT c.doc_id, n.d AS name_diff, a.d AS address_diff FROM cards c LEFT JOIN said n ON n.doc_id = c.doc_id AND n.kind = 'name' LEFT JOIN said a ON a.doc_id = c.doc_id AND a.kind = 'address'"
+)
 def token_diff(spark, sf_dir):
+    """Differences of names and addresses, word by word."""
     card = C.cards(spark, sf_dir)
     d = C.submitted(card).select("doc_id", "name", "address").join(card.select("doc_id", F.col("name").alias("n"), F.col("address").alias("a")), "doc_id")
     return d.select("doc_id", similarity("token_diff", F.col("name"), F.col("n")).alias("name_diff"), similarity("token_diff", F.col("address"), F.col("a")).alias("address_diff"))
