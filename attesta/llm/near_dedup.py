@@ -6,22 +6,33 @@ speak of equal order and not only of equal sets. Some sketches sample
 occurrence-labelled shingles (the first and the second time a shingle occurs are
 two items), the others the first occurrences, which are what is aligned: how
 often a line is repeated changes neither those nor a link. Texts that share a
-sketch are candidates; a candidate pair is a link if the alignment of its
-sequences is long enough, and classes are the connected components of links.
+sketch are candidates. A candidate pair is a link if its words align to
+SIMILARITY or more and its shingles to SHARED or more (``near_copies``), and
+classes are the connected components of links. A changed word is one of the
+words but five of the shingles, so shingles alone would take for other texts
+what differs in one word of thirty.
 
 Buckets are never expanded into all pairs. First every bucket's members are held
 against one head, the text that meets the most others. What is still of several
 components then is held against a pivot, the text from which the head's
 component seems to be copied, and split by what its members have beyond the
-pivot: a link has either a shingle in common that the pivot lacks, which makes
-parts of those few that do, or both texts have so much of the pivot that this,
-with their lengths, allows a link, which makes a pair (``_Part``). The parts get
-pivots of their own, until each is of one component or so small that its few
-members are held against each other. Every round makes a row for each member of
-an open bucket and its pivot. No link of a bucket is lost on the way, with one
-exception: two texts that both have the pivot's own shingles, at least one in
-another order, meet by ORDER_SKETCHES sketches of that order, which a link of
-the least share misses with a chance below 0.001.
+pivot: texts whose shingles align to SIMILARITY have either a shingle in common
+that the pivot lacks, which makes parts of those few that do, or both have so
+much of the pivot that this, with their lengths, allows a link, which makes a
+pair. Parts of few members are held against each other. Texts put
+together from the same paragraphs have much in common beyond any pivot, so
+their parts stay crowded, and to split those again would multiply them: such
+texts, each once, meet by finer sketches instead, of more and shorter shingles,
+and only what these hold together is split by pivots again. Pairs are compared
+by their numbers of words in classes before any text is moved.
+
+A pair of words 0.8 and shingles 0.8 in common misses the first sketches with
+a chance below 1e-6, and one of shingles 0.6 or 0.5 in common with 0.01 or 0.13.
+Splitting loses no pair of shingles 0.8, but for texts of the pivot's own
+shingles in another order (they meet by ORDER_SKETCHES sketches, a miss below
+0.001) and those of crowded parts (finer sketches, a miss below 0.001 from 40
+shingles on); pairs of fewer shingles in common meet by the head, the pivot, the
+least of what they have beyond it, or the finer sketches.
 """
 
 from __future__ import annotations
@@ -49,8 +60,16 @@ SKETCHES, LABELLED, ORDER = 28, 4, 4
 FEW = 16
 #: Sketches by which texts of the same shingles as their pivot are told apart by order.
 ORDER_SKETCHES, ORDER_OF_SAME = 24, 6
-#: Classes of shingle hashes by which pairs are ruled out before their texts are fetched.
-BINS = 32
+#: Classes of words by which pairs are ruled out before their texts are fetched, and those of texts in open buckets.
+BINS, MARKS = 32, 256
+#: Least aligned share of the shingles of a link, whose words align to SIMILARITY.
+SHARED = 0.5
+#: Sketches by which the texts of crowded parts are told apart: FINE_ORDER shingles of FINE_WIDTH words each; the last FINE_LABELLED sample occurrence-labelled ones.
+FINE, FINE_LABELLED, FINE_ORDER, FINE_WIDTH = 96, 32, 10, 3
+#: Words in a row that are aligned at once.
+STRETCH = 4096
+#: Distinct shingles in order, and the words that they start with.
+Text = tuple[np.ndarray, np.ndarray]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,10 +78,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in text.split()], np.uint64)
+
+
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of the text's word shingles in order; a shorter text is one shingle, one without words none."""
-    digest = xxhash.xxh3_64_intdigest
-    words = np.array([digest(w) for w in text.split()], np.uint64)
+    return shingled(word_hashes(text), width)
+
+
+def shingled(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     n = max(1, len(words) - width + 1) if len(words) else 0
     h = np.zeros(n, np.uint64)
     for i in range(min(width, len(words))):
@@ -110,10 +136,9 @@ def sketch_keys(h: np.ndarray, sketches: int = SKETCHES, order: int = ORDER, rep
     return np.concatenate([order_sketches(distinct, sketches, order), order_sketches(labelled(h), repeats, order, sketches + 1)])
 
 
-def profile(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and how many of them fall in each of BINS classes of hashes (127 at most)."""
-    h = np.unique(h)
-    return len(h), np.minimum(np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 127).astype(np.int8)
+def profile(words: np.ndarray, classes: int) -> np.ndarray:
+    """How many of a text's items fall in each of some (a power of two) classes of words, 127 at most."""
+    return np.minimum(np.bincount((words >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes), 127).astype(np.int8)
 
 
 def distinct_in_order(h: np.ndarray) -> np.ndarray:
@@ -156,6 +181,97 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return len(tails) >= need - 1e-9
 
 
+def _rising(i: np.ndarray) -> np.ndarray:
+    """Places of a longest rising run of ``i``."""
+    if (np.diff(i) > 0).all():
+        return np.arange(len(i))
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, x in enumerate(i.tolist()):
+        p = bisect_left(tails, x)
+        if p == len(tails):
+            tails.append(x)
+            ends.append(k)
+        else:
+            tails[p], ends[p] = x, k
+        before.append(ends[p - 1] if p else -1)
+    run, k = [], ends[-1]
+    while k >= 0:
+        run.append(k)
+        k = before[k]
+    return np.array(run[::-1], np.int64)
+
+
+def common_words(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one integer.
+
+    A stretch of more than STRETCH words is aligned in as many proportional pieces as it takes.
+    """
+    if not x or not y:
+        return 0
+    pieces = -(-max(len(x), len(y)) // STRETCH)
+    if pieces > 1:
+        cut = lambda z, k: z[len(z) * k // pieces : len(z) * (k + 1) // pieces]
+        return sum(common_words(cut(x, k), cut(y, k)) for k in range(pieces))
+    at: dict[int, int] = {}
+    for k, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << k
+    full = row = (1 << len(x)) - 1
+    for w in y:
+        u = row & at.get(w, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(x) - row.bit_count()
+
+
+def near_copies(a: Text, b: Text, least: float = SIMILARITY, shared: float = SHARED) -> bool:
+    """Whether two texts are linked: their words align to ``least`` or more, their shingles to ``shared`` or more.
+
+    The items of a text are its distinct shingles in order of first occurrence,
+    each with the word that it starts with, so what is repeated counts once.
+    Shingles of both texts are aligned within the band that an alignment of
+    share ``least`` never leaves; the words between aligned shingles are then
+    aligned with each other. With m items aligned the share is
+    m / (|a| + |b| - m). Every pair of which the shingles alone align to
+    ``least`` is a link.
+    """
+    if (len(b[0]), b[0][:1].tolist()) < (len(a[0]), a[0][:1].tolist()):
+        a, b = b, a
+    (h, words), (other, other_words) = a, b
+    total = len(h) + len(other)
+    need, anchors = total * least / (1 + least) - 1e-9, total * shared / (1 + shared) - 1e-9
+    if not len(h) or len(h) < need:
+        return False
+    order = np.argsort(h)
+    at = order[np.minimum(np.searchsorted(h, other, sorter=order), len(h) - 1)]
+    j = np.flatnonzero(h[at] == other)
+    j = j[np.abs(at[j] - j) <= total * (1 - least) / (1 + least) + 1]
+    if len(j) < anchors:
+        return False
+    i = at[j]
+    run = _rising(i)
+    i, j = i[run], j[run]
+    if len(i) < anchors or len(i) >= need:
+        return len(i) >= need
+    i, j = np.concatenate([[-1], i, [len(h)]]), np.concatenate([[-1], j, [len(other)]])
+    gaps = np.flatnonzero((np.diff(i) > 1) & (np.diff(j) > 1))
+    room = np.minimum(np.diff(i), np.diff(j))[gaps] - 1
+    reach = len(run) + int(room.sum())  # what is aligned if all that is still to be looked at is
+    for k, most in zip(gaps.tolist(), room.tolist(), strict=True):
+        if reach < need:
+            return False
+        reach += common_words(words[i[k] + 1 : i[k + 1]].tolist(), other_words[j[k] + 1 : j[k + 1]].tolist()) - most
+    return reach >= need
+
+
+def items(text: bytes, width: int = SHINGLE) -> Text:
+    """The distinct shingles of a text in order of first occurrence, and the words that they start with."""
+    words = word_hashes(text)
+    h = shingled(words, width)
+    first = np.sort(np.unique(h, return_index=True)[1])
+    return h[first], words[first]
+
+
 def _sequence(text: Column) -> Column:
     """128 bits of the text's word sequence: equal for texts that differ in white space between words only."""
     one = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -181,11 +297,12 @@ def _sketcher(width: int, sketches: int, order: int):
                 seq, keys, n, bins = [], [], [], []
                 for text in map(_utf8, part.column(2)):
                     seq.append(hashlib.md5(b" ".join(text.split())).digest())  # as _sequence
-                    h = shingles(text, width)
+                    words = word_hashes(text)
+                    h = shingled(words, width)
                     keys.append(sketch_keys(h, sketches, order))
-                    size, classes = profile(h)
-                    n.append(size)
-                    bins.append(classes)
+                    words = words[np.unique(h, return_index=True)[1]]
+                    n.append(len(words))
+                    bins.append(profile(words, BINS))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seq, pa.binary()), _lists(keys, pa.int64()), pa.array(n, pa.int32()), _lists(bins, pa.int8())], schema=schema)
 
     return rows
@@ -201,15 +318,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Bodies:
-    """Distinct shingles of packed texts; those of the last few heads are kept, as pairs of one head stand together."""
+    """Items of packed texts; those of the last few heads are kept, as pairs of one head stand together."""
 
     def __init__(self, width: int):
         self.width, self.unpack, self.held = width, zstandard.ZstdDecompressor().decompress, {}
 
-    def __call__(self, body: pa.BinaryScalar) -> np.ndarray:
-        return distinct_in_order(shingles(self.unpack(body.as_py()), self.width))
+    def __call__(self, body: pa.BinaryScalar) -> Text:
+        return items(self.unpack(body.as_py()), self.width)
 
-    def head(self, node: int, body: pa.BinaryScalar) -> np.ndarray:
+    def head(self, node: int, body: pa.BinaryScalar) -> Text:
         if node not in self.held:
             if len(self.held) >= 4:
                 del self.held[next(iter(self.held))]
@@ -225,7 +342,7 @@ def _verifier(width: int, least: float):
         read = _Bodies(width)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            links = [k for k in range(batch.num_rows) if similar(read.head(b[k], batch.column(3)[k]), read(batch.column(2)[k]), least)]
+            links = [k for k in range(batch.num_rows) if near_copies(read.head(b[k], batch.column(3)[k]), read(batch.column(2)[k]), least)]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in links], pa.int64()), pa.array([b[k] for k in links], pa.int64())], schema=schema)
 
     return rows
@@ -266,10 +383,11 @@ def _splitter(width: int, least: float):
                 pivots, roots = part.column("pivot").to_pylist(), part.column("root").to_pylist()
                 linked, near, n, most, keys = [], [], [], [], []
                 for k, (pivot, root) in enumerate(zip(pivots, roots, strict=True)):
-                    p, h = read.head(pivot, part.column("pivot_body")[k]), read(part.column("body")[k])
-                    known = p if root == pivot else np.union1d(p, read.head(root, part.column("root_body")[k]))
+                    original, text = read.head(pivot, part.column("pivot_body")[k]), read(part.column("body")[k])
+                    p, h = original[0], text[0]
+                    known = p if root == pivot else np.union1d(p, read.head(root, part.column("root_body")[k])[0])
                     outside, inside = beyond(h, known, least)
-                    linked.append(similar(p, h, least))
+                    linked.append(near_copies(original, text, least))
                     near.append(bool(np.isin(h, p).sum() >= (len(h) + len(p)) * share - 1e-9))
                     n.append(len(h))
                     most.append(inside / share - len(h) + 1e-6)
@@ -281,6 +399,29 @@ def _splitter(width: int, least: float):
     return rows
 
 
+def _marker(width: int):
+    """Rows (node, body) -> the node's profile in MARKS classes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Bodies(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([profile(read(b)[1], MARKS) for b in part.column(1)], pa.int8())], names=["node", "marks"])
+
+    return rows
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, body) -> the node's finer sketches."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            keys = [sketch_keys(shingles(unpack(b.as_py()), FINE_WIDTH), FINE, FINE_ORDER, FINE_LABELLED) for b in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(keys, pa.int64())], names=["node", "keys"])
+
+
 def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """Update labels (node, comp) by links (a, b): comp becomes the least node that is connected.
 
@@ -308,7 +449,7 @@ def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _may_match(n: Column, bins: Column, other_n: Column, other_bins: Column, least: float) -> Column:
-    """False only for pairs that cannot reach ``least``: shingles without a partner are at least the difference of the
+    """False only for pairs that cannot reach ``least``: items without a partner are at least the difference of the
     profiles, and at most (n + n') * (1 - least) / (1 + least)."""
     apart = F.aggregate(F.zip_with(bins, other_bins, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, v: s + v)
     room = (n + other_n) * ((1 - least) / (1 + least)) + 1e-6
@@ -330,14 +471,18 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
     nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "seq", F.col("f.doc_id").alias("first_id"), F.col("f.raw").alias("raw"), "copies", "keys", "n", "bins"), "nodes")
     labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
 
-    def opened(members: DataFrame, name: str) -> DataFrame:
-        """Of (key, node, root) those in buckets of more than one component, with comp and the bucket's size m.
+    def buckets_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (key, node, root) with comp, and the buckets (key, m) that have m members of more than one component.
 
         Buckets of the same members are one: of several such keys one stays.
         """
         known = members.join(labels, "node", "left").select("key", "node", "root", F.coalesce("comp", "node").alias("comp"))
         keys = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("root").alias("root")).where("x < z")
-        keys = keys.groupBy("x", "z", "m", "who", "root").agg(F.min("key").alias("key")).select("key", "m")
+        return known, keys.groupBy("x", "z", "m", "who", "root").agg(F.min("key").alias("key")).select("key", "m")
+
+    def opened(members: DataFrame, name: str) -> DataFrame:
+        """Of (key, node, root) those in buckets of more than one component, with comp and the bucket's size m."""
+        known, keys = buckets_of(members)
         return scratch.write(known.join(keys, "key"), name)
 
     def bodies(of: DataFrame, node: str, body: str) -> DataFrame:
@@ -363,18 +508,34 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
     found = packed.join(known.hint("merge"), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = scratch.write(found.groupBy("node").agg(F.first("body").alias("body")), "texts")  # rows may repeat
 
-    # every bucket's members against one head: the text that meets the most, as that does from which copies were made
-    live = live.join(profiles, "node")
-    heads = live.groupBy("key").agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
-    held = scratch.write(live.join(heads, "key").where("node <> h.node").select("key", "node", "root", "comp", "n", "bins", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("_n"), F.col("h.bins").alias("_bins")), "held")
-    labels = connect(scratch, labels, linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b"))))
-    live = opened(held.select("key", "node", "root"), "live")
+    def met_heads(live: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Every bucket's members against one head: the text that meets the most, as that does from which copies were made.
+
+        The members without the heads, which have met all, and the labels by the links found.
+        """
+        live = live.join(profiles, "node")
+        heads = live.groupBy("key").agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
+        held = scratch.write(live.join(heads, "key").where("node <> h.node").select("key", "node", "root", "comp", "n", "bins", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("_n"), F.col("h.bins").alias("_bins")), "held")
+        links = linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+        return held.select("key", "node", "root"), connect(scratch, labels, links)
+
+    members, labels = met_heads(live, labels)
+    live = opened(members, "live")
+    marks = texts.join(live.select("node"), "node", "left_semi").mapInArrow(_marker(width), "node long, marks array<tinyint>")
+    marks = scratch.write(profiles.join(marks, "node").select("node", "n", F.col("marks").alias("bins")), "marks")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of nodes in open buckets those that may be links by their finer profiles."""
+        pairs = scratch.write(pairs.select("a", "b").distinct(), "met")
+        return matching(pairs.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "_n", "_bins"), "b")).select("a", "b")
+
+    finer = False
 
     band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20)
     while not live.isEmpty():
         few, many = live.where(F.col("m") <= FEW).join(profiles, "node"), live.where(F.col("m") > FEW)
         pairs = few.join(few.toDF(*[f"_{c}" for c in few.columns]), (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")))
-        links = linked(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b")))
+        links = linked(likely(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b"))))
         if many.isEmpty():
             labels = connect(scratch, labels, links)
             break
@@ -397,9 +558,25 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         others = sized.withColumn("band", band(F.col("n").cast("double"))).select(*[F.col(c).alias(f"_{c}") for c in ("node", "pivot", "root", "n", "most", "comp", "band")])
         fits = F.col("_n").between(F.col("low"), F.col("high")) & (F.col("n") <= F.col("_most")) & (F.col("comp") != F.col("_comp"))
         pairs = off.join(others, (F.col("pivot") == F.col("_pivot")) & (F.col("root") == F.col("_root")) & (F.col("band") == F.col("_band")) & fits)
-        by_size = linked(pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")))
+        pairs = pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
+        by_size = linked(likely(pairs))
         labels = connect(scratch, labels, links.union(parts.where("linked").select("node", "pivot")).union(by_size))
-        live = opened(parts.select(F.explode("keys").alias("key"), "node", "root"), "live")
+        members = parts.select(F.explode("keys").alias("key"), "node", "root")
+        if finer:
+            live = opened(members, "live")
+            continue
+
+        # parts of few members go on; the texts of crowded ones meet by finer sketches instead, each text once
+        finer = True
+        joined, keys = buckets_of(members)
+        keys = scratch.write(keys, "parts-open")
+        live = scratch.write(joined.join(keys.where(F.col("m") <= FEW), "key"), "live")
+        crowd = scratch.write(members.join(keys.where(F.col("m") > FEW), "key").select("node").distinct(), "crowd")
+        if not crowd.isEmpty():
+            fine = texts.join(crowd, "node", "left_semi").mapInArrow(_fine, "node long, keys array<long>")
+            fine = scratch.write(fine, "fine").select(F.explode(F.array_distinct("keys")).alias("key"), "node", F.lit(None).cast("long").alias("root"))
+            members, labels = met_heads(opened(fine, "open"), labels)
+            live = opened(live.select("key", "node", "root").union(members), "live")
 
     joined = nodes.join(labels, "node", "left").select("seq", "first_id", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = joined.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -411,8 +588,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
-    Two texts are linked if their shingles (five words) align to 0.8 or more
-    (``similar``); texts of fewer words are one shingle, so only equal ones
+    Two texts are linked if their words align to 0.8 or more and their shingles
+    (five words) to 0.5 or more (``near_copies``); texts of fewer words are one shingle, so only equal ones
     meet. Texts that differ only in white space between words are one. The
     class is the connected component, class_id its smallest id, and that row is
     kept. Null text counts as empty, and empty texts are one class; a class of

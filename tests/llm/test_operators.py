@@ -243,10 +243,10 @@ def test_near_copies_that_repeat_lines_differently(spark):
 def brute_classes(texts: list[str]) -> dict[int, int]:
     parent = list(range(len(texts)))
     find = lambda x: x if parent[x] == x else find(parent[x])
-    seqs = [near_dedup.distinct_in_order(near_dedup.shingles(t.encode())) for t in texts]
+    seqs = [near_dedup.items(t.encode()) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] == texts[j] or near_dedup.similar(seqs[i], seqs[j]):
+            if texts[i] == texts[j] or near_dedup.near_copies(seqs[i], seqs[j]):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return {i: find(i) for i in range(len(texts))}
 
@@ -266,6 +266,75 @@ def test_near_dedup_splits_buckets_by_what_is_beyond_the_pivot(spark):
     assert got == want
 
 
+def test_near_dedup_of_texts_from_shared_paragraphs(spark, monkeypatch):
+    """Texts of 12 of 20 paragraphs each: the classes of brute force, and tables that stay in proportion to the sketches."""
+    rng, paragraphs = np.random.default_rng(5), [prose(60, 600 + k) for k in range(20)]
+    texts = ["\n\n".join(paragraphs[k] for k in np.sort(rng.choice(20, 12, False))) for _ in range(160)]
+    made, write = collections.Counter(), near_dedup.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", counted)
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got == brute_classes(texts) and 40 < len(set(got.values())) < 160
+    assert made["live"] <= 100 * len(texts) and made["pairs"] <= 32 * len(texts) and made["fine"] <= len(texts)
+
+
+def test_recall_of_near_copies_with_edits_every_10_to_60_words(spark):
+    """Words replaced, left out, put in or swapped: copies are found, other texts of the same vocabulary are left alone."""
+    texts = []
+    for k in range(120):
+        rng, every = np.random.default_rng(k), 10 + 50 * k // 119
+        words = prose(int(rng.integers(60, 600)), 800 + k).split(" ")
+        copy = list(words)
+        for at in range(len(copy) - int(rng.integers(1, every)), 0, -every):
+            kind = rng.integers(4)
+            if kind == 0:
+                del copy[at]
+            elif kind == 1:
+                copy.insert(at, f"new{rng.integers(1000)}")
+            elif kind == 2 and at > 1:
+                copy[at - 1], copy[at] = copy[at], copy[at - 1]
+            else:
+                copy[at] = f"edit{rng.integers(1000)}"
+        texts += [" ".join(words), " ".join(copy)]
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    found = [got[2 * k + 1] == 2 * k for k in range(120)]
+    assert sum(found) / 120 >= 0.9 and all(found[24:])  # from 20 words on
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(120))
+
+
+def test_near_copies_are_alignments_of_words():
+    rng, seen = np.random.default_rng(3), collections.Counter()
+    for trial in range(150):
+        a = prose(int(rng.integers(8, 120)), 900 + trial)
+        x, y = near_dedup.items(a.encode()), near_dedup.items(edited(a, int(rng.integers(4, 30)), trial).encode())
+        longest = near_dedup.common_words(x[1].tolist(), y[1].tolist())
+        table = np.zeros((len(x[1]) + 1, len(y[1]) + 1), int)
+        for i in range(len(x[1])):
+            for j in range(len(y[1])):
+                table[i + 1, j + 1] = table[i, j] + 1 if x[1][i] == y[1][j] else max(table[i, j + 1], table[i + 1, j])
+        assert longest == table[-1, -1]
+        total = len(x[0]) + len(y[0])
+        want = longest >= 0.8 * (total - longest) and near_dedup.similar(x[0], y[0], near_dedup.SHARED)
+        assert near_dedup.near_copies(x, y) == near_dedup.near_copies(y, x) == want
+        seen[want] += 1
+    assert min(seen.values()) > 20
+    none = near_dedup.items(b"")
+    assert not near_dedup.near_copies(none, none) and not near_dedup.near_copies(none, x)
+
+
+def test_near_copies_of_very_long_texts():
+    """A text of 400,000 words against a copy with a changed word in 20, and against one whose second half is another."""
+    words = [f"w{i}" for i in np.random.default_rng(1).integers(0, 5000, 400_000)]
+    text = near_dedup.items(" ".join(words).encode())
+    assert near_dedup.near_copies(text, near_dedup.items(" ".join(w if i % 20 else "x" for i, w in enumerate(words)).encode()))
+    assert not near_dedup.near_copies(text, near_dedup.items(" ".join([*words[:200_000], *words[:100_000:-1]]).encode()))
+
+
 def test_links_share_something_beyond_known_shingles_or_may_be_told_by_size():
     rng = np.random.default_rng(5)
     seen = collections.Counter()
