@@ -27,7 +27,7 @@ and only what these hold together is split by pivots again. Pairs are compared
 by their numbers of words in classes before any text is moved.
 
 A pair of words 0.8 and shingles 0.8 in common misses the first sketches with
-a chance below 1e-6, and one of shingles 0.6 or 0.5 in common with 0.01 or 0.13.
+a chance below 1e-6, and one of shingles 0.6, 0.5 or 0.4 in common with 0.01, 0.13 or 0.44.
 Splitting loses no pair of shingles 0.8, but for texts of the pivot's own
 shingles in another order (they meet by ORDER_SKETCHES sketches, a miss below
 0.001) and those of crowded parts (finer sketches, a miss below 0.001 from 40
@@ -63,7 +63,7 @@ ORDER_SKETCHES, ORDER_OF_SAME = 24, 6
 #: Classes of words by which pairs are ruled out before their texts are fetched, and those of texts in open buckets.
 BINS, MARKS = 32, 256
 #: Least aligned share of the shingles of a link, whose words align to SIMILARITY.
-SHARED = 0.5
+SHARED = 0.4
 #: Sketches by which the texts of crowded parts are told apart: FINE_ORDER shingles of FINE_WIDTH words each; the last FINE_LABELLED sample occurrence-labelled ones.
 FINE, FINE_LABELLED, FINE_ORDER, FINE_WIDTH = 96, 32, 10, 3
 #: Words in a row that are aligned at once.
@@ -589,7 +589,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
     Two texts are linked if their words align to 0.8 or more and their shingles
-    (five words) to 0.5 or more (``near_copies``); texts of fewer words are one shingle, so only equal ones
+    (five words) to 0.4 or more (``near_copies``); texts of fewer words are one shingle, so only equal ones
     meet. Texts that differ only in white space between words are one. The
     class is the connected component, class_id its smallest id, and that row is
     kept. Null text counts as empty, and empty texts are one class; a class of
