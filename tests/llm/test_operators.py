@@ -303,7 +303,7 @@ def test_recall_of_near_copies_with_edits_every_10_to_60_words(spark):
         texts += [" ".join(words), " ".join(copy)]
     got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
     found = [got[2 * k + 1] == 2 * k for k in range(120)]
-    assert sum(found) >= 0.9 * 120 and sum(found[24:]) >= 0.95 * 96  # the second from 20 words on
+    assert sum(found) >= 0.85 * 120 and sum(found[12:]) >= 0.95 * 108  # the second from 15 words on, where shingles align to 0.5
     assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(120))
 
 
