@@ -9,6 +9,11 @@ time; what they return travels as Arrow.)::
 
 An engine is a function that a maker returns; makers run once in each worker,
 so that models load once.
+
+Over whole collections ``file_pages``, ``page_lines`` and ``page_tokens`` give
+the same rows without the cost of a call for each image. What they send back
+goes out whenever ``SENT_BYTES`` are there, however many rows Spark hands over
+at a time, so a worker holds that and one image.
 """
 
 from __future__ import annotations
@@ -18,8 +23,11 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import glyphs, images
 
@@ -29,6 +37,9 @@ PAGES = "page int, png binary, width int, height int, error string"
 LINES = "line_idx int, poly array<array<double>>, text string, conf double"
 TOKENS = "tok_id int, text string, bbox array<int>, confidence double, line_num int, block_num int"
 
+#: Bytes and rows of a batch that is sent back.
+SENT_BYTES, SENT_ROWS = 1 << 22, 10_000
+
 Splitter = Callable[[bytes], Iterable[np.ndarray]]
 LineEngine = Callable[[np.ndarray], list[tuple[list[list[float]], str, float]]]
 WordEngine = Callable[[np.ndarray], list[tuple[str, list[int], float, int, int]]]
@@ -112,3 +123,49 @@ def register(spark: SparkSession, split: Splitter = netpbm_pages, lines: Callabl
     }
     for name, (base, plugged, schema) in made.items():
         spark.udtf.register(name, udtf(type(base.__name__, (base,), plugged), returnType=schema, useArrow=True))
+
+
+def in_batches(rows: Iterable[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``SENT_BYTES`` of their binary and text values, at most ``SENT_ROWS`` rows."""
+    held, size = [], 0
+    columns = lambda: [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kind, strict=True)]
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if size >= SENT_BYTES or len(held) >= SENT_ROWS:
+            yield pa.RecordBatch.from_arrays(columns(), schema=kind)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays(columns(), schema=kind)
+
+
+def _over(images: DataFrame, column: str, make: Callable[[], object], schema: str) -> DataFrame:
+    """The rows that ``make().eval`` gives for each value of a binary column, beside the other columns."""
+    keys = [c for c in images.columns if c != column]
+    kind = to_arrow_schema(T.StructType([*(images.schema[c] for c in keys), *T.DataType.fromDDL(schema)]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        reader = make()
+        for batch in batches:
+            values = batch.column(len(keys))
+            kept = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)) if keys else [()] * len(batch)
+            for key, value in zip(kept, values, strict=True):  # one image at a time becomes Python's
+                for row in reader.eval(value.as_py()):
+                    yield (*key, *row)
+
+    return images.select(*keys, column).mapInArrow(lambda batches: in_batches(each(batches), kind), from_arrow_schema(kind))
+
+
+def file_pages(files: DataFrame, split: Splitter = netpbm_pages) -> DataFrame:
+    """``document_pages`` of files (content, ...): the other columns with a row for each page."""
+    return _over(files, "content", type("Pages", (DocumentPages,), {"split": staticmethod(split)}), PAGES)
+
+
+def page_lines(pages: DataFrame, make: Callable[[], LineEngine] = _glyph_lines) -> DataFrame:
+    """``ocr_lines`` of pages (png, ...): the other columns with a row for each line."""
+    return _over(pages, "png", type("Lines", (OcrLines,), {"make": staticmethod(make)}), LINES)
+
+
+def page_tokens(pages: DataFrame, make: Callable[[], WordEngine] = _glyph_words) -> DataFrame:
+    """``ocr_tokens`` of pages (png, ...): the other columns with a row for each word."""
+    return _over(pages, "png", type("Tokens", (OcrTokens,), {"make": staticmethod(make)}), TOKENS)

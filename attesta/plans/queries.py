@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -596,19 +596,23 @@ def word_boxes(spark, sf_dir):
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): each card as a file with a page for each side."""
+    kind = pa.schema([("doc_id", pa.string()), ("content", pa.binary())])
+    netpbm = lambda page: b"P5 %d %d 255\n" % page.shape[::-1] + page.tobytes()
 
-    def pages(fronts: pd.Series, backs: pd.Series) -> pd.Series:
-        netpbm = lambda page: b"P5 %d %d 255\n" % page.shape[::-1] + page.tobytes()
-        return pd.Series([b"".join(netpbm(glyphs.printed(t.rstrip("\n"))) for t in (f, b) if t is not None) for f, b in zip(fronts, backs, strict=True)])
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, front, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield doc_id, b"".join(netpbm(glyphs.printed(t.rstrip("\n"))) for t in (front, back) if t is not None)
 
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("full_text")))
     both = C.sides(C.cards(spark, sf_dir)).groupBy("doc_id").agg(of("front").alias("front"), of("back").alias("back"))
-    return both.select("doc_id", F.pandas_udf(pages, "binary")("front", "back").alias("content"))
+    return both.mapInArrow(lambda batches: tables.in_batches(printed(batches), kind), "doc_id string, content binary")
 
 
-def _with_scans(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables.register(spark)
-    return spark.sql(sql, scans=_scans(spark, sf_dir))
+def _scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, side, png) of the pages of all files."""
+    side = F.when(F.col("page") == 0, "front").otherwise("back").alias("side")
+    return tables.file_pages(_scans(spark, sf_dir)).select("doc_id", side, "png")
 
 
 @query(
@@ -618,21 +622,23 @@ def _with_scans(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 )
 def scanned_lines(spark, sf_dir):
     """Files to pages to lines by an engine that finds lines, then words with boxes."""
-    lines = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, l.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_lines(p.png) l")
+    lines = tables.page_lines(_scanned_pages(spark, sf_dir))
     return layout.ocr_words(lines).select("doc_id", "side", "text", F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "confidence")
 
 
 @query(_WITH_TOKENS + "SELECT doc_id, side, text, CAST(x * 6 / 10 AS INT) AS x, CAST(line_num * 12 AS INT) AS y, CAST(length(text) * 6 AS INT) AS w, CAST(line_num AS INT) AS line_num, 100.0::DOUBLE AS confidence FROM tokens")
 def scanned_tokens(spark, sf_dir):
     """Files to pages to words by an engine that finds words."""
-    t = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, w.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_tokens(p.png) w")
+    t = tables.page_tokens(_scanned_pages(spark, sf_dir))
     return t.select("doc_id", "side", "text", F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), "line_num", "confidence")
 
 
 @query(_WITH_RECORDS + "SELECT tier, count(*) AS n FROM verdict GROUP BY tier")
 def scanned_tiers(spark, sf_dir):
     """From images to tiers: pages, words, fields with boxes, matches, verdicts."""
-    t = _with_scans(spark, sf_dir, "SELECT s.doc_id, CASE p.page WHEN 0 THEN 'front' ELSE 'back' END AS side, w.* FROM {scans} s, LATERAL document_pages(s.content) p, LATERAL ocr_tokens(p.png) w")
+    words = scratch(spark, "words")  # texts, places and sides are read off the words: without a table they would be printed and read for each
+    tables.page_tokens(_scanned_pages(spark, sf_dir)).write.parquet(words)
+    t = spark.read.schema("doc_id string, side string, " + tables.TOKENS).parquet(words)
     return tier_counts(verify(C.submitted(C.cards(spark, sf_dir)).drop("k"), tokens=t).verdicts)
 
 

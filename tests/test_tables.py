@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attesta.functions import glyphs, images, tables
@@ -50,3 +51,19 @@ def test_engines_are_plugged_in(spark):
     got = spark.sql("SELECT w.* FROM {d} d, LATERAL ocr_tokens(d.png) w", d=d).collect()
     assert [(r.tok_id, r.text, list(r.bbox), r.confidence, r.line_num, r.block_num) for r in got] == [(0, "x", [1, 2, 3, 4], 100.0, 0, 0), (1, "y", [5, 6, 7, 8], 12.5, 1, 2)]
     tables.register(spark)
+
+
+def test_batches_give_what_calls_give_and_stay_small(spark):
+    tables.register(spark)
+    page = glyphs.printed("ab c\nd")
+    stream = b"".join(b"P5 %d %d 255\n" % page.shape[::-1] + page.tobytes() for _ in range(2))
+    files = spark.createDataFrame([("x", bytearray(stream)), ("y", bytearray(stream + b"P5 9")), ("z", None)], "doc_id string, content binary")
+    pages = tables.file_pages(files)
+    assert sorted(pages.collect(), key=str) == sorted(spark.sql("SELECT f.doc_id, p.* FROM {f} f, LATERAL document_pages(f.content) p", f=files).collect(), key=str)
+    assert [r.error is None for r in pages.where("doc_id = 'y'").orderBy("page").collect()] == [True, True, False]
+    for over, name in ((tables.page_lines, "ocr_lines"), (tables.page_tokens, "ocr_tokens")):
+        want = spark.sql(f"SELECT p.doc_id, p.page, o.* FROM {{p}} p, LATERAL {name}(p.png) o", p=pages)
+        assert sorted(over(pages.select("doc_id", "page", "png")).collect(), key=str) == sorted(want.collect(), key=str)
+    kind = pa.schema([("doc_id", pa.string()), ("png", pa.binary())])
+    sent = list(tables.in_batches(((str(i), b"x" * 100_000) for i in range(1000)), kind))
+    assert sum(len(b) for b in sent) == 1000 and max(b.nbytes for b in sent) < 2 * tables.SENT_BYTES
