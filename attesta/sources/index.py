@@ -5,7 +5,7 @@ Both are tables beside the records, a folder for each batch:
 * ``statistics``: counts and sketches by day and tier (``sources.statistics``).
 * ``files``: (file, tier, n, first_time, last_time, first_id, last_id) of each data file. It is written last; a batch without it isn't indexed yet and is scanned.
 * ``grams``: (field, gram, n), how many rows of the batch hold a trigram.
-* ``postings``: (field, gram, file, row), those rows, sorted, so that a reader of one trigram opens few row groups.
+* ``postings``: (field, gram, file, rows), those rows as lists, sorted, so that a reader of one trigram opens few row groups. A list is of one batch of records at most.
 
 Searching stays what the scan does (``records.filtered``): the index only says
 which rows can match at all.
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ POSTING_ROWS, MOST_CANDIDATES = 5_000_000, 1_000_000
 SCAN_SHARE = 0.2
 FILES = "file string, tier string, n long, first_time timestamp_ntz, last_time timestamp_ntz, first_id string, last_id string"
 GRAMS = "field string, gram string, n long"
-POSTINGS = "field string, gram string, file string, row long"
+POSTINGS = "field string, gram string, file string, rows array<int>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,10 +47,21 @@ def fold(term: str) -> str:
     return "".join(x.lower() if x.isascii() else x for x in term)
 
 
-def trigrams(c: Column) -> Column:
-    """The distinct trigrams of a folded text."""
-    last = F.greatest(F.char_length(c) - 2, F.lit(0))
-    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last), lambda i: F.substring(c, i, 3)))
+_KIND = pa.schema([("field", pa.string()), ("gram", pa.string()), ("file", pa.string()), ("rows", pa.list_(pa.int32()))])
+
+
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (file, row, folded texts of ``SEARCHED``) the rows of each trigram, batch by batch: a list instead of a row for each of its records."""
+    for batch in batches:
+        files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for field, texts in zip(SEARCHED, batch.columns[2:], strict=True):
+            lists: dict[tuple[str, str], list[int]] = {}
+            for file, row, text in zip(files, rows, texts.to_pylist(), strict=True):
+                for gram in {text[i : i + 3] for i in range(len(text) - 2)}:
+                    lists.setdefault((gram, file), []).append(row)
+            if lists:
+                grams, of = zip(*lists, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(lists)), pa.array(grams), pa.array(of), pa.array(lists.values(), pa.list_(pa.int32()))], schema=_KIND)
 
 
 def literal_trigrams(term: str) -> list[str]:
@@ -78,12 +91,14 @@ class RecordIndex:
         stored = self.spark.read.schema("id string, timestamp timestamp_ntz, applicant_name string, document_id string, overall_score double, tier string").option("basePath", f"{self.root}/records").parquet(path)
         d = stored.select("*", place.alias("file"), F.col("_metadata.row_index").alias("row"))
         write = lambda t, name: t.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-        fields = F.array(*[F.struct(F.lit(f).alias("field"), trigrams(folded(F.coalesce(f, F.lit("")))).alias("grams")) for f in SEARCHED])
-        rows = d.select("file", "row", F.explode(fields).alias("x")).select("x.field", F.explode("x.grams").alias("gram"), "file", "row")
-        write(rows.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n")).coalesce(1).sortWithinPartitions("field", "gram"), "grams")
+        texts = [folded(F.coalesce(f, F.lit(""))).alias(f) for f in SEARCHED]
+        # made once: counts, ranges and the lists themselves are read off this table
+        write(d.select("file", "row", *texts).mapInArrow(posting_lists, POSTINGS), "lists")
+        lists = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/lists/batch={batch}")
+        write(lists.groupBy("field", "gram").agg(F.sum(F.size("rows").cast("long")).alias("n")).coalesce(1).sortWithinPartitions("field", "gram"), "grams")
         total = self.spark.read.schema(GRAMS).parquet(f"{self.root}/grams/batch={batch}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        order = ["field", "gram", "file", "row"]  # ranges go down to rows: a trigram that every row holds is split like any other
-        write(rows.repartitionByRange(max(1, math.ceil(total / POSTING_ROWS)), *order).sortWithinPartitions(*order), "postings")
+        order = ["field", "gram", "file", F.get("rows", F.lit(0))]  # ranges go down to lists: a trigram that every row holds is split like any other
+        write(lists.repartitionByRange(max(1, math.ceil(total / POSTING_ROWS)), *order).sortWithinPartitions(*order), "postings")
         write(statistics.partial(d).coalesce(1), "statistics")
         time = F.col("timestamp")
         first = F.when(F.count(time) == F.count(F.lit(1)), F.min(time))  # rows without a time come last: such a file goes on to the end
@@ -123,7 +138,7 @@ class RecordIndex:
         for f, g in chosen.items():
             met |= (F.col("field") == f) & F.col("gram").isin(g)
         needed = F.create_map(*[F.lit(x) for f, g in chosen.items() for x in (f, len(g))]) if chosen else None
-        hits = postings.where(met)
+        hits = postings.where(met).select("field", "file", F.explode(F.col("rows").cast("array<long>")).alias("row"))
         if needed is not None:
             hits = hits.groupBy("field", "file", "row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == needed[F.col("field")])
         return hits.select("file", "row").distinct()

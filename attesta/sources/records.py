@@ -17,8 +17,8 @@ from .index import RecordIndex, fold, folded
 
 _TEXTS = ("applicant_name", "dob", "gender", "document_id", "address", "front_filename", "back_filename", "front_file_path", "back_file_path", "annotated_front_path", "annotated_back_path", "crops_dir")
 MOST_ROWS = 200
-#: Rows of a data file.
-FILE_ROWS = 1_000_000
+#: Rows of a data file; a batch is sorted, written and indexed by a task for each.
+FILE_ROWS = 100_000
 _TOMBSTONES = "id string, tier string, day date, batch string"
 _STORED = T.StructType([*RECORDS, T.StructField("batch", T.StringType())])
 
@@ -174,6 +174,7 @@ class RecordStore:
         ranged.write.mode("overwrite").options(**bloom).partitionBy("tier").parquet(f"{self.root}/records/batch={batch}")
         if n:
             self.index.build(batch)
+        self._remove(f"lists/batch={batch}")
         self._remove(staged)
 
     def delete(self, record: str, on_files: Callable[[dict], None] | None = None) -> bool:

@@ -137,3 +137,17 @@ def test_statistics_are_merged(spark, tmp_path):
     assert s.delete("9") and s.stats()["total_records"] == 595
     with pytest.raises(ValueError):
         s.statistics(["id"])
+
+
+def test_postings_are_lists_that_stay_with_their_batch(store):
+    done, _ = store.indexed(store.batches())
+    base = f"{store.root}/postings"
+    lists = store.spark.read.schema(index.POSTINGS + ", batch string").option("basePath", base).parquet(*[f"{base}/batch={b}" for b in done])
+    # 300 records hold this trigram of the id; a row each would be 300
+    of = lists.where("field = 'id' AND gram = 'ver'")
+    assert of.agg(F.sum(F.size("rows"))).first()[0] == 300 and of.count() <= len({r.file for r in store.index.files(done).collect()})
+    assert not store._children("lists") or all(not store._children(f"lists/{x}") for x in store._children("lists"))
+    seen = lists.select("field", "gram", "file", F.explode("rows").alias("row"))
+    assert seen.count() == seen.distinct().count()
+    held = store.index._table("grams", done, index.GRAMS)
+    assert held.agg(F.sum("n")).first()[0] == seen.count()
