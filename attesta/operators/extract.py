@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import extract_all
+from ..functions.fields import FIELD_NAMES, extract_all
 from .layout import full_text, locate, token_spans
 
 
-def all_fields(text: Column) -> Column:
-    """An array of (field_name, f) for the five fields; f is null where a field isn't found."""
-    return F.array(*[F.struct(F.lit(name).alias("field_name"), f.alias("f")) for name, f in extract_all(text)])
+def all_fields(text: Column, names: tuple[str, ...] = FIELD_NAMES) -> Column:
+    """An array of (field_name, f) for the five fields, or those named; f is null where a field isn't found."""
+    return F.array(*[F.struct(F.lit(name).alias("field_name"), f.alias("f")) for name, f in extract_all(text, names)])
 
 
 def extract_fields(texts: DataFrame, text_col: str = "full_text") -> DataFrame:

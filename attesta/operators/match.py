@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fuzzy_score_arrays, token_diff_arrays
+from ..functions.similarity import SCORES, fuzzy_score_arrays, token_diff_arrays
 from ..functions.text import gender_of_form, let, normalize_address, normalize_date, normalize_id, normalize_string
 from ..schemas import ALIASES, BBOX
 
@@ -119,7 +119,7 @@ def match_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
-def match_documents(forms: DataFrame, sides: DataFrame, with_diffs: bool = True) -> DataFrame:
+def match_documents(forms: DataFrame, sides: DataFrame, with_diffs: bool = True, fuzzy: bool = True) -> DataFrame:
     """``forms`` with has_back and ``matches``: an array of a match for each submitted field and side.
 
     ``forms``: (doc_id, submitted, ...), an array of (field_name, submitted).
@@ -130,15 +130,16 @@ def match_documents(forms: DataFrame, sides: DataFrame, with_diffs: bool = True)
     # rows are short and what follows costs much for each: by their bytes they would be gathered into a few tasks
     tasks = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     have = sides.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("side", "fields")).alias("sides"))
-    return matched(forms.repartition(tasks, "doc_id").join(have, "doc_id", "left"), with_diffs)
+    return matched(forms.repartition(tasks, "doc_id").join(have, "doc_id", "left"), with_diffs, fuzzy)
 
 
-def matched(documents: DataFrame, with_diffs: bool = True) -> DataFrame:
+def matched(documents: DataFrame, with_diffs: bool = True, fuzzy: bool = True) -> DataFrame:
     """Documents (doc_id, submitted, sides, ...) with has_back and ``matches`` instead of sides and submitted; one pass, row by row.
 
     A document that came without a front has one on which nothing is found.
     Pairs whose normal forms are equal need no similarity; only the others cross
-    to Python, a document's together.
+    to Python, a document's together. Without ``fuzzy`` (no names or addresses
+    were submitted) nothing does.
     """
     kind = documents.schema["sides"].dataType
     there = F.coalesce("sides", F.array().cast(kind))
@@ -166,8 +167,9 @@ def matched(documents: DataFrame, with_diffs: bool = True) -> DataFrame:
         return p.withField("same", same).withField("a", F.when(open_, p["a"]).otherwise(blank)).withField("b", F.when(open_, p["b"]).otherwise(blank)).withField("s", F.when(said, sub).otherwise(blank)).withField("t", F.when(said, raw).otherwise(blank))
 
     d = d.withColumn("_p", F.transform("_p", formed)).withColumn("_p", F.transform("_p", compared))
-    d = d.withColumn("_f", fuzzy_score_arrays(F.col("_p.a"), F.col("_p.b"), F.transform("_p", lambda p: p["field"] == "address")))
-    d = d.withColumn("_d", token_diff_arrays(F.col("_p.s"), F.col("_p.t")) if with_diffs else F.lit(None).cast("array<string>"))
+    scores = fuzzy_score_arrays(F.col("_p.a"), F.col("_p.b"), F.transform("_p", lambda p: p["field"] == "address"))
+    d = d.withColumn("_f", scores if fuzzy else F.lit(None).cast("array<struct<" + ", ".join(f"{n}: double" for n in SCORES) + ">>"))
+    d = d.withColumn("_d", token_diff_arrays(F.col("_p.s"), F.col("_p.t")) if with_diffs and fuzzy else F.lit(None).cast("array<string>"))
     d = d.withColumn("_p", F.transform("_p", lambda p, i: p.withField("score", _score(p, F.get("_f", i))).withField("said", F.get("_d", i))))
     return d.withColumn("matches", F.transform("_p", _outcome)).drop("_p", "_f", "_d")
 

@@ -27,18 +27,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- the relations that the queries share -----------------------------------
 
 
-def _run(spark: SparkSession, sf_dir: str):
-    """Verification of every card: all five fields, front and back."""
-    card = C.cards(spark, sf_dir)
-    return verify(C.submitted(card).drop("k"), texts=C.sides(card))
+def _run(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None):
+    """Verification of every card: all five fields, or those named, front and back."""
+    return _verified(C.cards(spark, sf_dir), only)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per card, made of its verdict."""
-    card = C.cards(spark, sf_dir)
-    v = _run(spark, sf_dir).verdicts.select("doc_id", "overall_score", "tier", "critical_flag", "manual_review_priority")
+def _verified(card: DataFrame, only: tuple[str, ...] | None = None):
+    return verify(C.submitted(card).drop("k"), texts=C.sides(card), only=only)
+
+
+def _records(spark: SparkSession, sf_dir: str, search: str | None = None) -> DataFrame:
+    """A record per card, made of its verdict; with a search term of the cards that are like it, as name and numbers don't depend on the verdict."""
     day = F.expr("timestampadd(MINUTE, cast((k * 7919) % 500000 as int), TIMESTAMP_NTZ'2024-01-01 00:00:00')")
-    return card.select("doc_id", F.concat(F.lit("VERIF-"), F.lpad("doc_id", 8, "0")).alias("id"), day.alias("timestamp"), F.col("name").alias("applicant_name"), "document_id").join(v, "doc_id").drop("doc_id")
+    card = C.cards(spark, sf_dir).withColumns({"id": F.concat(F.lit("VERIF-"), F.lpad("doc_id", 8, "0")), "timestamp": day, "applicant_name": F.col("name")})
+    card = R.filtered(card, search=search)
+    v = _verified(card).verdicts.select("doc_id", "overall_score", "tier", "critical_flag", "manual_review_priority")
+    return card.select("doc_id", "id", "timestamp", "applicant_name", "document_id").join(v, "doc_id").drop("doc_id")
 
 
 # --- DuckDB: the same relations ---------------------------------------------
@@ -169,7 +173,7 @@ def stats_map(spark, sf_dir):
 @query(_WITH_RECORDS + "SELECT id, applicant_name, tier FROM records WHERE tier = 'HIGH' AND (applicant_name ILIKE '%wid_et%' OR document_id ILIKE '%wid_et%' OR id ILIKE '%wid_et%')")
 def records_filter_search(spark, sf_dir):
     """A tier and a search term whose underscore stays a wildcard."""
-    return R.filtered(_records(spark, sf_dir), "high", " wid_et ").select("id", "applicant_name", "tier")
+    return R.filtered(_records(spark, sf_dir, " wid_et "), "high", " wid_et ").select("id", "applicant_name", "tier")
 
 
 @query(_WITH_RECORDS + "SELECT id, timestamp, tier FROM records ORDER BY timestamp DESC, id LIMIT 50 OFFSET 25")
@@ -269,19 +273,24 @@ def stored_counts(spark, sf_dir):
 @query(_WITH_RECORDS + "SELECT tier, count(*) AS n, true AS quantiles_hold, true AS distinct_holds FROM records GROUP BY tier")
 def stored_sketches(spark, sf_dir):
     """Quantiles and distinct numbers by merged sketches of two batches, held against exact ones and their stated bounds."""
-    records = _records(spark, sf_dir)
+    written = scratch(spark, "verified")  # both batches are parts of it: verified once
+    _records(spark, sf_dir).write.parquet(written)
+    records = spark.read.parquet(written)
     store = R.RecordStore(spark, scratch(spark, "records")).create()
     for part in (0, 1):
         store.save(records.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part))
     levels = (0.1, 0.5, 0.9)
-    exact = store.records().groupBy("tier").agg(F.count_distinct("document_id").alias("numbers"), F.array_sort(F.collect_list("overall_score")).alias("scores"))
-    both = store.statistics(quantiles=levels).join(exact, "tier")
+    merged = store.statistics(quantiles=levels)
+    # rows below each value and up to it are counted, not gathered; there are four tiers
+    at, score = [F.get("quantiles", F.lit(i)) for i in range(3)], F.col("overall_score")
+    counted = [F.count_if(test).alias(f"{name}_{i}") for i in range(3) for name, test in (("below", score < at[i]), ("upto", score <= at[i]))]
+    exact = store.records().join(F.broadcast(merged.select("tier", "quantiles")), "tier").groupBy("tier").agg(F.count_distinct("document_id").alias("numbers"), *counted)
+    both = merged.join(exact, "tier")
 
     def holds(i: int) -> Column:
         # rows below the value and up to it have the level between them
-        value, slack = F.get("quantiles", F.lit(i)), F.lit(2 * statistics.RANK_ERROR) * F.col("n") + 1
-        below, upto = F.size(F.filter("scores", lambda s: s < value)), F.size(F.filter("scores", lambda s: s <= value))
-        return (below - slack <= levels[i] * F.col("n")) & (upto + slack >= levels[i] * F.col("n"))
+        slack = F.lit(2 * statistics.RANK_ERROR) * F.col("n") + 1
+        return (F.col(f"below_{i}") - slack <= levels[i] * F.col("n")) & (F.col(f"upto_{i}") + slack >= levels[i] * F.col("n"))
 
     near = F.abs(F.col("distinct_numbers") - F.col("numbers")) <= 3 * statistics.DISTINCT_ERROR * F.col("numbers") + 1
     return both.select("tier", "n", (holds(0) & holds(1) & holds(2)).alias("quantiles_hold"), near.alias("distinct_holds"))
@@ -445,7 +454,7 @@ def address_branches(spark, sf_dir):
 
 
 def _matched(spark, sf_dir, field):
-    return _run(spark, sf_dir).merged.where(F.col("field_name") == field).select("doc_id", "status", "score", "diff")
+    return _run(spark, sf_dir, (field,)).merged.where(F.col("field_name") == field).select("doc_id", "status", "score", "diff")
 
 
 @query(_WITH_RECORDS + "SELECT doc_id, ds AS status, d AS score, CASE ds WHEN 'missing' THEN 'DOB not detected on credential' WHEN 'mismatch' THEN 'Submitted ''' || dob || ''' != document ''' || xd || '''' END AS diff FROM scores")

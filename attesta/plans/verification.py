@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.extract import all_fields, extract_fields, extract_from_tokens
-from ..operators.match import match_documents, match_rows, sides_of_fields, sides_of_texts, submitted_array
+from ..operators.match import MATCH_FROM, match_documents, match_rows, sides_of_fields, sides_of_texts, submitted_array
 from ..operators.verdict import merged_arrays, verdicts_of_arrays
 from ..operators.views import audits
+from ..schemas import ALIASES, FIELDS
 
 #: What a record says of the applicant, and the submitted names that it is taken from, in order.
 _WHO = {"applicant_name": ("name", "full_name"), "dob": ("dob", "date_of_birth"), "gender": ("gender", "sex"), "document_id": ("document_id", "id_number"), "address": ("address",)}
@@ -67,19 +68,22 @@ def form_rows(forms: DataFrame) -> DataFrame:
     return forms.select("doc_id", submitted_array(forms).alias("submitted"), F.struct(*[have(*names).alias(c) for c, names in _WHO.items()]).alias("who"))
 
 
-def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, weights: dict[str, float] | None = None) -> Verification:
+def verify(forms: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, weights: dict[str, float] | None = None, only: tuple[str, ...] | None = None) -> Verification:
     """Verify forms (doc_id and submitted columns) against documents.
 
     Documents come as ``texts`` (doc_id, side, full_text) or as OCR ``tokens``;
     only tokens give boxes and confidences. A text's fields are found in its row;
     then sides and form of a document meet by doc_id, each shuffled once, and
-    matching, merging, judging and writing the audit happen in that row.
+    matching, merging, judging and writing the audit happen in that row. With
+    ``only`` no other fields are looked for and compared.
     """
+    wanted = only or FIELDS
+    forms = forms.drop(*[n for f in FIELDS if f not in wanted for n in ALIASES[f]])
     if tokens is not None:
         fields = extract_from_tokens(tokens)
         found = sides_of_fields(fields, tokens.select("doc_id", "side"))
     else:
         fields = extract_fields(texts)
-        found = sides_of_texts(texts, all_fields(F.col("full_text")))
-    rows = form_rows(forms)
-    return Verification(match_documents(rows, found), match_documents(rows, found, with_diffs=False), fields, forms, weights)
+        found = sides_of_texts(texts, all_fields(F.col("full_text"), wanted))
+    rows, fuzzy = form_rows(forms), any(f in MATCH_FROM for f in wanted)
+    return Verification(match_documents(rows, found, fuzzy=fuzzy), match_documents(rows, found, with_diffs=False, fuzzy=fuzzy), fields, forms, weights)

@@ -108,3 +108,23 @@ def test_result_does_not_depend_on_partitions(run, spark):
     a = sorted(map(str, run.verdicts.collect()))
     b = sorted(map(str, verdicts(run.merged.repartition(5, F.rand(1))).collect()))
     assert [x for x in b if x in a] == b
+
+
+def test_a_filter_on_tiers_makes_matches_once(spark, sf_dir):
+    from attesta.plans import queries as Q
+
+    v = Q._run(spark, sf_dir).verdicts
+    plan = v.where("tier = 'HIGH'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("partial_match") <= 2 * v._jdf.queryExecution().optimizedPlan().toString().count("partial_match")
+    assert v.where("tier = 'HIGH'").count() == v.count() - v.where("tier <> 'HIGH'").count()
+
+
+def test_only_some_fields(spark, sf_dir):
+    from attesta.plans import queries as Q
+
+    whole = Q._run(spark, sf_dir).merged.where("field_name = 'dob'")
+    one = Q._run(spark, sf_dir, ("dob",)).merged
+    assert sorted(map(str, one.collect())) == sorted(map(str, whole.collect()))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # reading; nothing is compared in Python
+    named = lambda d: sorted(map(str, d.where("field_name = 'name'").collect()))
+    assert named(Q._run(spark, sf_dir, ("name",)).merged) == named(Q._run(spark, sf_dir).merged)
