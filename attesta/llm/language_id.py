@@ -25,7 +25,7 @@ from .common import held_out, table
 from .quality_rules import _OF_RANGE, _STARTS, SCRIPTS
 
 #: Lengths of the character n-grams and the number of hash cells that they share.
-GRAMS, CELLS = (1, 2, 3, 4), 1 << 15
+GRAMS, CELLS = (1, 2, 3, 4), 1 << 15  # cells: a power of two
 #: At most about so many training documents (by a hash of their id); the model stays the same size.
 TRAIN_DOCS = 20_000
 #: Log-odds that a change of language within a text must be worth.
@@ -80,7 +80,7 @@ class Words:
             for i in range(k):
                 h = (h ^ padded[i + (k == 1) : i + (k == 1) + n]) * np.uint32(0x01000193)
                 h ^= h >> np.uint32(13)
-            yield np.arange(n), h % np.uint32(CELLS)
+            yield np.arange(n), h & np.uint32(CELLS - 1)
 
 
 def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
         return np.zeros((0, langs), np.float32)
     total = np.zeros((len(words.codes) + 1, langs), np.float32)
     for _, cells in words.cells():
-        total[:-1] += table[cells]
+        total[:-1] += table.take(cells, axis=0)
     total[:-1][~words.glyph] = 0
     bounds = np.stack([words.starts, words.ends], 1).ravel()
     return np.add.reduceat(total, bounds, axis=0)[::2]
@@ -113,8 +113,41 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
+def one_label(scores: np.ndarray, switch: float) -> int | None:
+    """The label that the whole best path has, where that can be told without walking it; else None.
+
+    It is that of the highest sum if no run of rows gains another label a
+    switch's worth, so that no leave from it pays, and if the best of the other
+    labels, row by row and switches for nothing, stay below it. Both by a margin,
+    so that rounding and ties are left to the walk.
+    """
+    if scores.shape[1] == 1:
+        return 0
+    best = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    over = np.delete(scores, best, axis=1).astype(np.float64) - scores[:, best : best + 1]
+    if over.max(axis=1).sum() >= -1e-3:
+        return None
+    gained = np.cumsum(over, axis=0)
+    lowest = np.minimum.accumulate(np.concatenate([np.zeros((1, gained.shape[1])), gained[:-1]]), axis=0)
+    return best if (gained - lowest).max() < switch - 1e-3 else None
+
+
 def viterbi_many(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
-    """``viterbi`` of many sequences, one step of all that are still running at a time."""
+    """``viterbi`` of many sequences: those of one label at once, of the others one step of all that are still running at a time."""
+    out = [np.zeros(0, np.int64)] * len(scores)
+    walked = []
+    for k, own in enumerate(scores):
+        label = one_label(own, switch) if len(own) else None
+        if label is None:
+            walked.append(k)
+        else:
+            out[k] = np.full(len(own), label, np.int64)
+    for k, path in zip(walked, _walk([scores[k] for k in walked], switch), strict=True):
+        out[k] = path
+    return out
+
+
+def _walk(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     sizes = np.array([len(scores[k]) for k in order])
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)

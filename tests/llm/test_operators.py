@@ -776,3 +776,23 @@ def test_each_licence_header_has_its_own_licence(spark):
         table = [(i, f"d{i}/x.py", f"{t}\n\nimport zyx{i}\ncall(zyx{i})\n") for i, (_, t) in enumerate(files)] + [(100 + i, f"e{i}/y.py", f"copyright line {i} of nobody") for i in range(more)]
         got = {r["doc_id"]: r["licence"] for r in rows(licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")))}
         assert [(got[i], t) for i, (_, t) in enumerate(files)] == files
+
+
+def test_one_label_is_the_whole_best_path():
+    import numpy as np
+
+    from attesta.llm import language_id as LI
+
+    rng = np.random.default_rng(5)
+    told = 0
+    for trial in range(2000):
+        n, langs = int(rng.integers(1, 60)), int(rng.integers(1, 5))
+        own = rng.normal(0, rng.choice([0.5, 2, 5]), (n, langs)).astype(np.float32)
+        own[:, trial % langs] += np.float32(rng.choice([0, 1, 3]))
+        if trial % 5 == 0:
+            own = np.round(own)  # ties
+        want, label = LI.viterbi(own, 8.0), LI.one_label(own, 8.0)
+        told += label is not None
+        assert label is None or (want == label).all()
+        assert (LI.viterbi_many([own, own[:0]], 8.0)[0] == want).all()
+    assert told > 500
