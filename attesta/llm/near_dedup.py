@@ -13,18 +13,20 @@ words but five of the shingles, so shingles alone would take for other texts
 what differs in one word of thirty.
 
 Buckets are never expanded into all pairs. First every bucket's members are held
-against one head, the text that meets the most others. What is still of several
-components then is held against a pivot, the text from which the head's
-component seems to be copied, and split by what its members have beyond the
-pivot: texts whose shingles align to SIMILARITY have either a shingle in common
-that the pivot lacks, which makes parts of those few that do, or both have so
-much of the pivot that this, with their lengths, allows a link, which makes a
-pair. Parts of few members are held against each other. Texts put
-together from the same paragraphs have much in common beyond any pivot, so
-their parts stay crowded, and to split those again would multiply them: such
-texts, each once, meet by finer sketches instead, of more and shorter shingles,
-and only what these hold together is split by pivots again. Pairs are compared
-by their numbers of words in classes before any text is moved.
+against one head, the text that meets the most others. Of what then still is of
+several components, members beyond the commonest component are held against all
+members of other components if there are FEW of them or less, so a large group
+of copies and some others cost each member a bounded number of looks at
+profiles. The texts of more crowded buckets, each once, meet by finer sketches instead, of more and
+shorter shingles (texts of few shingles stay in their buckets), and go the same
+way. Only what is crowded even then is split by pivots, in rounds without a
+bound: members are held against a pivot, the text from which the head's
+component seems to be copied, and split by what they have beyond the pivot:
+texts whose shingles align to SIMILARITY have either a shingle in common that
+the pivot lacks, which makes parts of those few that do, or both have so much of
+the pivot that this, with their lengths, allows a link, which makes a pair.
+Pairs are compared by their numbers of words in classes before any text is
+moved.
 
 A pair of words 0.8 and shingles 0.8 in common misses the first sketches with
 a chance below 1e-6, and one of shingles 0.6 or 0.5 in common with 0.01 or 0.13.
@@ -56,8 +58,8 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a sketch of ORDER shingles with chance 0.4, hence one of the SKETCHES of first
 #: occurrences all but surely. LABELLED more sketches are of occurrence-labelled shingles.
 SKETCHES, LABELLED, ORDER = 28, 4, 4
-#: Members of a bucket that are held against each other rather than against a pivot.
-FEW = 16
+#: Members of a bucket beyond its commonest component that are held against all its members rather than against a pivot.
+FEW = 512
 #: Sketches by which texts of the same shingles as their pivot are told apart by order.
 ORDER_SKETCHES, ORDER_OF_SAME = 24, 6
 #: Classes of words by which pairs are ruled out before their texts are fetched, and those of texts in open buckets.
@@ -66,6 +68,10 @@ BINS, MARKS = 32, 256
 SHARED = 0.5
 #: Sketches by which the texts of crowded parts are told apart: FINE_ORDER shingles of FINE_WIDTH words each; the last FINE_LABELLED sample occurrence-labelled ones.
 FINE, FINE_LABELLED, FINE_ORDER, FINE_WIDTH = 96, 32, 10, 3
+#: Shingles from which on a text of crowded buckets meets by finer sketches; shorter ones stay in their buckets.
+FINE_FROM = 40
+#: Rows up to which a written table of numbers is broadcast rather than shuffled.
+SMALL = 20_000
 #: Words in a row that are aligned at once.
 STRETCH = 4096
 #: Distinct shingles in order, and the words that they start with.
@@ -422,6 +428,11 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(keys, pa.int64())], names=["node", "keys"])
 
 
+def _sent(written: DataFrame):
+    """How a join gets what is made of a written table: broadcast if the table is SMALL, else as Spark does it."""
+    return F.broadcast if written.count() <= SMALL else lambda df: df
+
+
 def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """Update labels (node, comp) by links (a, b): comp becomes the least node that is connected.
 
@@ -435,8 +446,9 @@ def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     ends = links.select("a", "a").union(links.select("b", "b")).toDF("node", "comp")
     labels = scratch.write(labels.union(ends).groupBy("node").agg(F.min("comp").alias("comp")), "labels")  # a component is its least node
+    sent = _sent(labels)  # as many rows in every round
     while True:
-        la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+        la, lb = sent(labels.toDF("a", "ca")), sent(labels.toDF("b", "cb"))
         edges = scratch.write(links.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb").distinct(), "edges")
         if edges.isEmpty():
             return labels
@@ -444,8 +456,8 @@ def connect(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
         up = both.groupBy("c").agg(F.min("p").alias("p")).where("p < c")
         for _ in range(2):
             step = up.toDF("p", "q")
-            up = up.join(step, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
-        labels = scratch.write(labels.join(up, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+            up = up.join(sent(step), "p", "left").select("c", F.coalesce("q", "p").alias("p"))
+        labels = scratch.write(labels.join(sent(up), F.col("comp") == F.col("c"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
 def _may_match(n: Column, bins: Column, other_n: Column, other_bins: Column, least: float) -> Column:
@@ -471,28 +483,34 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
     nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "seq", F.col("f.doc_id").alias("first_id"), F.col("f.raw").alias("raw"), "copies", "keys", "n", "bins"), "nodes")
     labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
 
-    def buckets_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members (key, node, root) with comp, and the buckets (key, m) that have m members of more than one component.
+    def shared(buckets: DataFrame, name: str) -> DataFrame:
+        """Of (key, node, root) those in buckets of m > 1 members, each node its own component; buckets of the same members are one."""
+        sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who")).where("m > 1")
+        keys = sizes.groupBy("m", "who").agg(F.min("key").alias("key"))
+        return scratch.write(buckets.join(keys, "key").select("key", "node", "root", F.col("node").alias("comp"), "m"), name)
+
+    def opened(members: DataFrame, name: str) -> DataFrame:
+        """Of (key, node, root) those in buckets of more than one component, with comp, the bucket's commonest component ``main`` and how many members are not in it, ``rest``.
 
         Buckets of the same members are one: of several such keys one stays.
         """
-        known = members.join(labels, "node", "left").select("key", "node", "root", F.coalesce("comp", "node").alias("comp"))
-        keys = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("root").alias("root")).where("x < z")
-        return known, keys.groupBy("x", "z", "m", "who", "root").agg(F.min("key").alias("key")).select("key", "m")
+        known = members.join(_sent(labels)(labels), "node", "left").select("key", "node", "root", F.coalesce("comp", "node").alias("comp"))
+        comps = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("root").alias("root"))
+        keys = comps.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("m"), F.bit_xor("who").alias("who"), F.min("root").alias("root"))
+        keys = keys.select("key", "m", "who", "root", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.c")).alias("rest")).where("rest > 0")
+        return scratch.write(known.join(keys.groupBy("main", "m", "rest", "who", "root").agg(F.min("key").alias("key")).select("key", "main", "rest"), "key"), name)
 
-    def opened(members: DataFrame, name: str) -> DataFrame:
-        """Of (key, node, root) those in buckets of more than one component, with comp and the bucket's size m."""
-        known, keys = buckets_of(members)
-        return scratch.write(known.join(keys, "key"), name)
-
-    def bodies(of: DataFrame, node: str, body: str) -> DataFrame:
+    def bodies(of: DataFrame, node: str, body: str, sent=lambda df: df) -> DataFrame:
         """(node, body) of the texts that ``of`` names, so that a join moves those and no others."""
-        return texts.join(of.select(F.col(node).alias("node")), "node", "left_semi").toDF(node, body)
+        return texts.join(sent(of.select(F.col(node).alias("node"))), "node", "left_semi").toDF(node, body)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes those that are links, written; b is the one that many pairs may have."""
         pairs = scratch.write(pairs.distinct(), "pairs")
-        both = pairs.join(bodies(pairs, "a", "body_a"), "a").join(bodies(pairs, "b", "body_b"), "b").select("a", "b", "body_a", "body_b")
+        if pairs.isEmpty():
+            return pairs
+        sent = _sent(pairs)
+        both = sent(pairs).join(bodies(pairs, "a", "body_a", sent), "a").join(bodies(pairs, "b", "body_b", sent), "b").select("a", "b", "body_a", "body_b")
         return scratch.write(both.mapInArrow(_verifier(width, least), "a long, b long"), "links")
 
     def matching(pairs: DataFrame) -> DataFrame:
@@ -500,46 +518,55 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         return pairs.where(_may_match(F.col("n"), F.col("bins"), F.col("_n"), F.col("_bins"), least))
 
     buckets = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", F.lit(None).cast("long").alias("root"))
-    live = opened(buckets, "open")
+    live = shared(buckets, "open")  # every node is a component as yet
     met = live.groupBy("node").agg(F.sum("m").alias("w"))  # a text meets so many members in all its buckets
     known = scratch.write(nodes.join(met, "node").select("node", "w", "n", "bins", F.col("raw").alias("_raw"), "first_id"), "known")
-    profiles = known.select("node", "w", "n", "bins")
+    profiles, sent_profiles = known.select("node", "w", "n", "bins"), _sent(known)
     packed = base.mapInArrow(_packed, "doc_id long, raw long, body binary")  # before the join, which moves all texts
     found = packed.join(known.hint("merge"), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = scratch.write(found.groupBy("node").agg(F.first("body").alias("body")), "texts")  # rows may repeat
 
-    def met_heads(live: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def met_heads(live: DataFrame, labels: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Every bucket's members against one head: the text that meets the most, as that does from which copies were made.
 
-        The members without the heads, which have met all, and the labels by the links found.
+        The members without the heads, which have met all, and the labels by the links found and ``more`` links.
         """
-        live = live.join(profiles, "node")
+        live = live.join(sent_profiles(profiles), "node")
         heads = live.groupBy("key").agg(F.max(F.struct("w", "node", "comp", "n", "bins")).alias("h"))
         held = scratch.write(live.join(heads, "key").where("node <> h.node").select("key", "node", "root", "comp", "n", "bins", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"), F.col("h.n").alias("_n"), F.col("h.bins").alias("_bins")), "held")
         links = linked(matching(held.where("comp <> head_comp")).select(F.col("node").alias("a"), F.col("head").alias("b")))
-        return held.select("key", "node", "root"), connect(scratch, labels, links)
+        return held.select("key", "node", "root"), connect(scratch, labels, links.union(more) if more else links)
 
     members, labels = met_heads(live, labels)
     live = opened(members, "live")
     marks = texts.join(live.select("node"), "node", "left_semi").mapInArrow(_marker(width), "node long, marks array<tinyint>")
-    marks = scratch.write(profiles.join(marks, "node").select("node", "n", F.col("marks").alias("bins")), "marks")
+    marks = scratch.write(profiles.join(marks, "node").select("node", "n", "bins", "marks"), "marks")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes in open buckets those that may be links by their finer profiles."""
-        pairs = scratch.write(pairs.select("a", "b").distinct(), "met")
-        return matching(pairs.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "_n", "_bins"), "b")).select("a", "b")
-
-    finer = False
+        pairs, finer = scratch.write(pairs.select("a", "b").distinct(), "met"), marks.select("node", "n", F.col("marks").alias("bins"))
+        return matching(pairs.join(finer.withColumnRenamed("node", "a"), "a").join(finer.toDF("b", "_n", "_bins"), "b")).select("a", "b")
+
+    def within(live: DataFrame) -> DataFrame:
+        """Links of buckets with few members beyond their commonest component: those few against all members of other components."""
+        few = live.where(F.col("rest") <= FEW).join(marks, "node")
+        rest = few.where("comp <> main").toDF(*[f"_{c}" for c in few.columns])
+        met = (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node")))
+        for c in ("bins", "marks"):
+            met = met & _may_match(F.col("n"), F.col(c), F.col("_n"), F.col(f"_{c}"), least)
+        return linked(few.join(rest, met).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")))
+
+    links, many = within(live), live.where(F.col("rest") > FEW)
+    if not many.isEmpty():  # the texts of crowded buckets meet by finer sketches instead, each text once
+        crowd = scratch.write(many.join(profiles.select("node", "n"), "node").select("key", "node", "root", "n"), "crowd")
+        fine = texts.join(crowd.where(F.col("n") >= FINE_FROM), "node", "left_semi").mapInArrow(_fine, "node long, keys array<long>")
+        fine = scratch.write(fine, "fine").select(F.explode(F.array_distinct("keys")).alias("key"), "node", F.lit(None).cast("long").alias("root"))
+        members, labels = met_heads(opened(shared(fine, "shared").select("key", "node", "root"), "open"), labels, links)
+        live = opened(crowd.where(F.col("n") <= FINE_FROM / least).select("key", "node", "root").union(members), "live")
+        links, many = within(live), live.where(F.col("rest") > FEW)
 
     band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20)
-    while not live.isEmpty():
-        few, many = live.where(F.col("m") <= FEW).join(profiles, "node"), live.where(F.col("m") > FEW)
-        pairs = few.join(few.toDF(*[f"_{c}" for c in few.columns]), (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")))
-        links = linked(likely(matching(pairs).select(F.col("node").alias("a"), F.col("_node").alias("b"))))
-        if many.isEmpty():
-            labels = connect(scratch, labels, links)
-            break
-
+    while not many.isEmpty():
         # the pivot: at first the text of the head's component that meets the most, later the head itself
         heads = many.join(profiles, "node").groupBy("key").agg(F.max(F.struct("w", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("comp"))
         centers = profiles.join(labels, "node").groupBy("comp").agg(F.max(F.struct("w", "node")).alias("c")).select("comp", F.col("c.node").alias("center"))
@@ -561,24 +588,11 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, width: int = SHINGL
         pairs = pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
         by_size = linked(likely(pairs))
         labels = connect(scratch, labels, links.union(parts.where("linked").select("node", "pivot")).union(by_size))
-        members = parts.select(F.explode("keys").alias("key"), "node", "root")
-        if finer:
-            live = opened(members, "live")
-            continue
-
-        # parts of few members go on; the texts of crowded ones meet by finer sketches instead, each text once
-        finer = True
-        joined, keys = buckets_of(members)
-        keys = scratch.write(keys, "parts-open")
-        live = scratch.write(joined.join(keys.where(F.col("m") <= FEW), "key"), "live")
-        crowd = scratch.write(members.join(keys.where(F.col("m") > FEW), "key").select("node").distinct(), "crowd")
-        if not crowd.isEmpty():
-            fine = texts.join(crowd, "node", "left_semi").mapInArrow(_fine, "node long, keys array<long>")
-            fine = scratch.write(fine, "fine").select(F.explode(F.array_distinct("keys")).alias("key"), "node", F.lit(None).cast("long").alias("root"))
-            members, labels = met_heads(opened(fine, "open"), labels)
-            live = opened(live.select("key", "node", "root").union(members), "live")
-
-    joined = nodes.join(labels, "node", "left").select("seq", "first_id", "copies", F.coalesce("comp", "node").alias("comp"))
+        live = opened(parts.select(F.explode("keys").alias("key"), "node", "root"), "live")
+        links, many = within(live), live.where(F.col("rest") > FEW)
+    labels = connect(scratch, labels, links)
+
+    joined = nodes.join(_sent(labels)(labels), "node", "left").select("seq", "first_id", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = joined.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     out = scratch.write(joined.join(classes, "comp").select("seq", "first_id", "class_id", "class_size"), "classes")
     scratch.keep_only(rows, out)
