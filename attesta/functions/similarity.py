@@ -9,7 +9,7 @@ its token forms and Jaro-Winkler.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,26 @@ from pyspark.sql import functions as F
 from .text import let
 
 
+def _shared_start(a: Iterable[str], b: Iterable[str]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence; one machine-word operation per character and word of ``a``."""
+    """Length of the longest common subsequence; one machine-word operation per character and word of ``a``.
+
+    Equal characters at the ends belong to a longest one; only what is between them is compared.
+    """
+    ends = _shared_start(a, b)
+    a, b = a[ends:], b[ends:]
+    if after := _shared_start(reversed(a), reversed(b)):
+        a, b, ends = a[:-after], b[:-after], ends + after
     if not a or not b:
-        return 0
+        return ends
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -32,7 +48,7 @@ def lcs(a: str, b: str) -> int:
     for c in b:
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & whole
-    return len(a) - row.bit_count()
+    return ends + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -75,9 +91,9 @@ BLOCK_CELLS = 1 << 22
 
 
 def partial_ratios(a: list[str], b: list[str]) -> list[float]:
-    """``partial_ratio`` of many pairs; those of like size are compared together."""
-    out = [100.0 if not x and not y else 0.0 for x, y in zip(a, b, strict=True)]
-    todo = [(k, *((x, y) if len(x) <= len(y) else (y, x))) for k, (x, y) in enumerate(zip(a, b, strict=True)) if x and y]
+    """``partial_ratio`` of many pairs; those of like size are compared together, unless one of the two strings is within the other."""
+    out = [100.0 if not x and not y or x and y and (x in y or y in x) else 0.0 for x, y in zip(a, b, strict=True)]
+    todo = [(k, *((x, y) if len(x) <= len(y) else (y, x))) for k, (x, y) in enumerate(zip(a, b, strict=True)) if x and y and not out[k]]
     todo += [(k, y, x) for k, x, y in todo if len(x) == len(y)]  # of two strings as long as each other both are slid
     todo.sort(key=lambda t: (len(t[1]), len(t[2])))
     at = 0

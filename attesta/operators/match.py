@@ -129,6 +129,8 @@ def match_documents(forms: DataFrame, sides: DataFrame, with_diffs: bool = True,
     """
     # rows are short and what follows costs much for each: by their bytes they would be gathered into a few tasks
     tasks = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not with_diffs:
+        sides = sides.withColumn("fields", F.transform("fields", lambda f: F.struct(f["field_name"].alias("field_name"), f["normalized_text"].alias("normalized_text"))))
     have = sides.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("side", "fields")).alias("sides"))
     return matched(forms.repartition(tasks, "doc_id").join(have, "doc_id", "left"), with_diffs, fuzzy)
 
@@ -139,39 +141,50 @@ def matched(documents: DataFrame, with_diffs: bool = True, fuzzy: bool = True) -
     A document that came without a front has one on which nothing is found.
     Pairs whose normal forms are equal need no similarity; only the others cross
     to Python, a document's together. Without ``fuzzy`` (no names or addresses
-    were submitted) nothing does.
+    were submitted) nothing does. Without ``with_diffs`` matches have only what
+    verdicts are made of: (side, field_name, score, status, is_critical).
     """
     kind = documents.schema["sides"].dataType
     there = F.coalesce("sides", F.array().cast(kind))
     front = F.array(F.struct(F.lit("front").alias("side"), F.array().cast(kind.elementType["fields"].dataType).alias("fields")))
     whole = F.when(F.exists(there, lambda s: s["side"] == "front"), there).otherwise(F.concat(there, front))
     hit = lambda s, p: F.get(F.filter(s["fields"], lambda f: f["field_name"] == p["field_name"]), F.lit(0))
-    met = F.flatten(F.transform(whole, lambda s: F.transform("submitted", lambda p: F.struct(s["side"].alias("side"), p["field_name"].alias("field"), p["submitted"].alias("sub"), hit(s, p).alias("f")))))
+    # structs are copied by every step: what a verdict doesn't ask for isn't in them
+    evidence = lambda s, p: hit(s, p).alias("f") if with_diffs else F.coalesce(hit(s, p)["normalized_text"], F.lit("")).alias("norm")
+    met = F.flatten(F.transform(whole, lambda s: F.transform("submitted", lambda p: F.struct(s["side"].alias("side"), p["field_name"].alias("field"), p["submitted"].alias("sub"), evidence(s, p)))))
     d = documents.withColumns({"has_back": F.exists(there, lambda s: s["side"] == "back"), "_p": met}).drop("sides", "submitted")
 
     def formed(p: Column) -> Column:
-        norm = F.coalesce(p["f"]["normalized_text"], F.lit(""))
-        form = lambda c: F.when(p["field"] == "address", normalize_address(c)).otherwise(normalize_string(c))
-        return F.struct(p["side"].alias("side"), p["field"].alias("field"), p["sub"].alias("sub"), p["f"].alias("f"), norm.alias("norm"), (norm == "").alias("missing"), form(p["sub"]).alias("a"), form(norm).alias("b"))
+        norm = F.coalesce(p["f"]["normalized_text"], F.lit("")) if with_diffs else p["norm"]
+        form = lambda c: F.when(p["field"] == "address", normalize_address(c)).when(p["field"] == "name", normalize_string(c)).otherwise(F.lit(""))
+        found = [p["f"].alias("f")] if with_diffs else []
+        return F.struct(p["side"].alias("side"), p["field"].alias("field"), p["sub"].alias("sub"), *found, norm.alias("norm"), (norm == "").alias("missing"), F.when(norm == "", F.lit("")).otherwise(form(p["sub"])).alias("a"), form(norm).alias("b"))
 
-    def compared(p: Column) -> Column:
-        field, sub, norm, raw = p["field"], p["sub"], p["norm"], p["f"]["raw_text"]
+    def settled(p: Column) -> Column:
+        field, sub, norm = p["field"], p["sub"], p["norm"]
         fuzzy = field.isin("name", "address")
         equal = (
             F.when(fuzzy, p["a"] == p["b"]).when(field == "dob", dates_agree(sub, norm)).when(field == "document_id", normalize_id(sub) == normalize_id(norm)).otherwise(gender_of_form(sub) == gender_of_form(norm))
         )
-        same = F.coalesce(equal, F.lit(False)) & ~p["missing"]
+        return p.withField("same", ~p["missing"] & F.coalesce(equal, F.lit(False)))
+
+    def compared(p: Column) -> Column:
+        field, same = p["field"], p["same"]
+        fuzzy = field.isin("name", "address")
         open_ = fuzzy & ~same & ~p["missing"]  # pairs that are settled send empty strings, which cost nothing
         blank = F.lit("")
+        a, b = F.when(open_, p["a"]).otherwise(blank), F.when(open_, p["b"]).otherwise(blank)
+        if not with_diffs:
+            return F.struct(p["side"].alias("side"), field.alias("field"), p["missing"].alias("missing"), same.alias("same"), a.alias("a"), b.alias("b"))
         said = ~p["missing"] & ((field == "address") | ((field == "name") & ~same))
-        return p.withField("same", same).withField("a", F.when(open_, p["a"]).otherwise(blank)).withField("b", F.when(open_, p["b"]).otherwise(blank)).withField("s", F.when(said, sub).otherwise(blank)).withField("t", F.when(said, raw).otherwise(blank))
+        return p.withField("a", a).withField("b", b).withField("s", F.when(said, p["sub"]).otherwise(blank)).withField("t", F.when(said, p["f"]["raw_text"]).otherwise(blank))
 
-    d = d.withColumn("_p", F.transform("_p", formed)).withColumn("_p", F.transform("_p", compared))
+    d = d.withColumn("_p", F.transform("_p", formed)).withColumn("_p", F.transform("_p", settled)).withColumn("_p", F.transform("_p", compared))
     scores = fuzzy_score_arrays(F.col("_p.a"), F.col("_p.b"), F.transform("_p", lambda p: p["field"] == "address"))
     d = d.withColumn("_f", scores if fuzzy else F.lit(None).cast("array<struct<" + ", ".join(f"{n}: double" for n in SCORES) + ">>"))
     d = d.withColumn("_d", token_diff_arrays(F.col("_p.s"), F.col("_p.t")) if with_diffs and fuzzy else F.lit(None).cast("array<string>"))
     d = d.withColumn("_p", F.transform("_p", lambda p, i: p.withField("score", _score(p, F.get("_f", i))).withField("said", F.get("_d", i))))
-    return d.withColumn("matches", F.transform("_p", _outcome)).drop("_p", "_f", "_d")
+    return d.withColumn("matches", F.transform("_p", _outcome if with_diffs else _judged)).drop("_p", "_f", "_d")
 
 
 def _score(p: Column, f: Column) -> Column:
@@ -181,18 +194,27 @@ def _score(p: Column, f: Column) -> Column:
     return F.when(p["missing"], F.lit(0.0)).when(field == "name", by_name).when(field == "address", by_address).otherwise(F.when(same, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
+def _status(p: Column) -> Column:
+    field, score = p["field"], p["score"]
+    enough = F.when(field == "name", F.lit(MATCH_FROM["name"])).when(field == "address", F.lit(MATCH_FROM["address"])).otherwise(F.lit(100.0))
+    return F.when(p["missing"], "missing").when(score >= enough, "match").when(field.isin("name", "address") & (score >= PARTIAL_FROM), "partial_match").otherwise("mismatch")
+
+
+def _judged(p: Column) -> Column:
+    """What merging and judging ask of a match."""
+    return F.struct(p["side"].alias("side"), p["field"].alias("field_name"), p["score"].alias("score"), _status(p).alias("status"), p["field"].isin(*CRITICAL).alias("is_critical"))
+
+
 def _outcome(p: Column) -> Column:
     """A match: (side, field_name, submitted, ocr_text, score, status, bbox, diff, is_critical, ocr_confidence, doc_side)."""
     field, sub, raw, missing, score = p["field"], p["sub"], p["f"]["raw_text"], p["missing"], p["score"]
     fuzzy = field.isin("name", "address")
-    enough = F.when(field == "name", F.lit(MATCH_FROM["name"])).when(field == "address", F.lit(MATCH_FROM["address"])).otherwise(F.lit(100.0))
-    status = F.when(missing, "missing").when(score >= enough, "match").when(fuzzy & (score >= PARTIAL_FROM), "partial_match").otherwise("mismatch")
     gone = F.create_map(*[F.lit(x) for kv in NOT_FOUND.items() for x in kv])[field]
     plain = F.when(field == "document_id", F.format_string("ID mismatch: submitted '%s' != document '%s'", sub, raw)).otherwise(F.format_string("Submitted '%s' != document '%s'", sub, raw))
     diff = F.when(missing, gone).when(fuzzy, p["said"]).when(~p["same"], plain)
     zero = F.array(*[F.lit(0)] * 4).cast(BBOX)
     return F.struct(
-        p["side"].alias("side"), field.alias("field_name"), sub.alias("submitted"), F.when(missing, F.lit("")).otherwise(raw).alias("ocr_text"), score.alias("score"), status.alias("status"),
+        p["side"].alias("side"), field.alias("field_name"), sub.alias("submitted"), F.when(missing, F.lit("")).otherwise(raw).alias("ocr_text"), score.alias("score"), _status(p).alias("status"),
         F.when(missing, zero).otherwise(F.coalesce(p["f"]["box"], zero)).alias("bbox"), diff.alias("diff"), field.isin(*CRITICAL).alias("is_critical"),
         F.when(missing, F.lit(0.0)).otherwise(F.coalesce(p["f"]["conf"], F.lit(0.0))).alias("ocr_confidence"), p["side"].alias("doc_side"),
     )

@@ -38,7 +38,13 @@ def merged_arrays(matches: Column) -> Column:
         ranked = F.transform(F.filter(matches, lambda m: m["field_name"] == field), lambda m: F.struct(m["score"], (m["status"] != "missing").alias("there"), (m["side"] == "front").alias("front"), m.alias("m")))
         return F.array_max(ranked)["m"]
 
-    return let(matches, lambda all_: F.filter(F.array(*[best(all_, f) for f in FIELDS]), lambda m: m.isNotNull()))
+    def merged(matches: Column) -> Column:
+        every = F.filter(F.array(*[best(matches, f) for f in FIELDS]), lambda m: m.isNotNull())
+        # documents of one side are most: their matches are each a field's only one, in the order of the fields
+        names = F.transform(matches, lambda m: m["field_name"])
+        return F.when(names == F.array(*[F.lit(f) for f in FIELDS]), matches).otherwise(every)
+
+    return let(matches, merged)
 
 
 def tier_of(score: Column, critical: Column) -> Column:
